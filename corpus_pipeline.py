@@ -1,2 +1,63 @@
-"""Pipeline."""
-STAGES = []
+"""From raw documents to token ids: language, near copies, benchmark passages, mixture, token files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, langid, mixing, simhash, token_files
+from tessera.llm.common import new_folder, table
+
+BUDGET = 0.8
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a clear margin; what has no letter or a narrow one goes."""
+    judged = langid.predict(docs.withColumn("__text", F.col("text")), langid.fit(docs), "__text")
+    return judged.filter(~F.col("rejected")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each near-duplicate class; exact repeats of a row count once, rows without a doc_id stay."""
+    classes = simhash.near_duplicates(docs)
+    gone = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
+    return left.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of BUDGET of the tokens, its sources, languages and forms raked to smoothed shares."""
+    return mixing.mixed(docs, budget=BUDGET).filter("kept").select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_files.read_token_files(token_files.write_token_files(docs, token_files.byte_bpe_path()))
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_copies),
+    ("benchmark_decontamination", benchmark_free),
+    ("mixing", mixture),
+    ("token_files", token_ids),
+]
+
+#: No SQL stands for compression sizes, connected components or tokenizers.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
