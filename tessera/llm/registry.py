@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, token_files, warc
+import corpus_pipeline
+
+from . import decontam, langid, mixing, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.query,
+        "op5_langid": langid.query,
+        "op7_decontam": decontam.query,
         "op8_warc": warc.query,
+        "op9_mixing": mixing.query,
         "op10_token_files": token_files.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.ORACLE_SQL}
+    found = {"op7_decontam": decontam.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in found.items() if v}
