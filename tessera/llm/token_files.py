@@ -15,6 +15,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,13 +27,17 @@ from pyspark.sql import functions as F
 from .common import new_folder, partitions, table, written
 from .files import make_folder, opened, part_name
 
-MAGIC, BLOCK, PERCENTILE, END_ID, KNOWN_PIECES = b"PFR1", 4096, 90, 2, 400_000
+MAGIC, BLOCK, PERCENTILE, END_ID, KNOWN_PIECES, TOGETHER = b"PFR1", 4096, 90, 2, 400_000, 32
 
 # Latin-1 texts are cut into pieces here; each piece is encoded by the tokenizer once and remembered.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 PLAIN = re.compile(r"[\n\r\t\x20-\x7e\xa1-\xff]*\Z")
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
+# Byte-level vocabularies spell a byte by its Latin-1 character where that is visible, else by the next one from U+0100 on.
+VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
+
 
 class Encoder:
     """ids of texts by a byte-level BPE tokenizer file, equal to tokenizer.encode(text, add_special_tokens=False)."""
@@ -42,21 +47,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian uint32."""
-        if not PLAIN.match(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, pieces = self.known, PIECE.findall(text)
-        if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-            if len(known) > KNOWN_PIECES:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian uint32."""
+        pieces = [PIECE.findall(t) if PLAIN.match(t) and not any(s in t for s in self.special) else None for t in texts]
+        if len(self.known) > KNOWN_PIECES:  # what is still in use comes back from the older generation
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        if new := set().union(*filter(None, pieces)).difference(known):
+            back = new & older.keys()
+            known.update((p, older[p]) for p in back)
+            tokens = self.model.tokenize
+            for p in new - back:
+                known[p] = array("I", [t.id for t in tokens(p.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        of = known.__getitem__
+        return [
+            array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if p is None else b"".join(map(of, p))
+            for t, p in zip(texts, pieces)
+        ]
 
 
 @cache
@@ -190,8 +202,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
             if out is None and len(b):
                 part, path = part_name(folder, "pfr")
                 out = Writer(path)
-            for doc_id, t in zip(b["doc_id"], b["text"]):
-                out.add(None if pd.isna(doc_id) else int(doc_id), encode(t or "") + end)
+            for at in range(0, len(b), TOGETHER):
+                some = b.iloc[at : at + TOGETHER]
+                for doc_id, ids in zip(some["doc_id"], encode([t or "" for t in some["text"]])):
+                    out.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
         if out is not None:
             out.close()
             yield pd.DataFrame({"part": [part], "path": [path], "n_docs": [len(out.lengths)], "n_tokens": [sum(out.lengths)]})

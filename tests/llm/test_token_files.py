@@ -23,7 +23,15 @@ def test_block_round_trip(ids, shift):
 @settings(max_examples=150, deadline=None)
 def test_encoder_equals_tokenizer(text):
     want = Tokenizer.from_file(tf.byte_bpe_path()).encode(text, add_special_tokens=False).ids if text else []
-    assert np.frombuffer(tf.encoder(tf.byte_bpe_path())(text), "<u4").tolist() == want
+    assert np.frombuffer(tf.encoder(tf.byte_bpe_path())([text])[0], "<u4").tolist() == want
+
+
+def test_generations_of_known_pieces(monkeypatch):
+    monkeypatch.setattr(tf, "KNOWN_PIECES", 3)
+    tok = Tokenizer.from_file(tf.byte_bpe_path())
+    encode = tf.Encoder(tf.byte_bpe_path())
+    for text in TEXTS * 2:
+        assert np.frombuffer(encode([text, "a b c"])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_files_round_trip(spark):
