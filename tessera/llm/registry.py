@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontam, langid, mixing, simhash, token_files, warc
+from . import decontam, html, langid, licenses, merkle, mixing, secrets, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merkle": merkle.query,
         "op2_simhash": simhash.query,
+        "op3_html": html.query,
+        "op4_licenses": licenses.query,
         "op5_langid": langid.query,
+        "op6_secrets": secrets.query,
         "op7_decontam": decontam.query,
         "op8_warc": warc.query,
         "op9_mixing": mixing.query,
