@@ -14,16 +14,19 @@ from .catalog import named
 
 CUTOFF = "2001-01-01 00:00:00"
 
-REGISTRY = [
-    Metric("activity.orders", F.col("n"), F.col("n")),
-    Metric("activity.days_since_last", F.col("days_since"), F.col("n")),
-    Metric("activity.last_12_months", F.col("last_year"), F.col("n")),
-    Metric("activity.average_gap", F.when(F.col("n") >= 2, ratio(F.col("span"), F.col("n") - 1)), F.col("n"), 2),
-    Metric("results.finished_rate", ratio(F.col("finished"), F.col("decided")), F.col("decided"), 5),
-    Metric("results.urgent_share_of_finished", ratio(F.col("urgent_finished"), F.col("finished")), F.col("finished"), 5),
-    Metric("results.open_rate", ratio(F.col("open_"), F.col("decided")), F.col("decided"), 5),
-    Metric("value.large_orders", F.col("large"), F.col("n")),
-]
+
+
+def registry() -> list[Metric]:
+    return [
+        Metric("activity.orders", F.col("n"), F.col("n")),
+        Metric("activity.days_since_last", F.col("days_since"), F.col("n")),
+        Metric("activity.last_12_months", F.col("last_year"), F.col("n")),
+        Metric("activity.average_gap", F.when(F.col("n") >= 2, ratio(F.col("span"), F.col("n") - 1)), F.col("n"), 2),
+        Metric("results.finished_rate", ratio(F.col("finished"), F.col("decided")), F.col("decided"), 5),
+        Metric("results.urgent_share_of_finished", ratio(F.col("urgent_finished"), F.col("finished")), F.col("finished"), 5),
+        Metric("results.open_rate", ratio(F.col("open_"), F.col("decided")), F.col("decided"), 5),
+        Metric("value.large_orders", F.col("large"), F.col("n")),
+    ]
 
 
 def wide(orders: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ SELECT o_custkey, x.metric AS metric, 1 AS version, CASE WHEN x.s < x.l THEN 'in
 """)
 def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All registered metrics of each customer at a cutoff, in long form."""
-    return mt.told(wide(load(spark, sf_dir, "orders")), ["o_custkey"], REGISTRY)
+    return mt.told(wide(load(spark, sf_dir, "orders")), ["o_custkey"], registry())
 
 
 @named("""
@@ -113,7 +116,7 @@ def majority_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @named("""
 WITH s AS (SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price FROM orders GROUP BY o_custkey),
 p AS (SELECT c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer)
-SELECT p.a, p.b, x.n - y.n AS d_n, round(x.price - y.price, 4) AS d_price FROM p JOIN s x ON x.o_custkey = p.a JOIN s y ON y.o_custkey = p.b
+SELECT p.a, p.b, x.n - y.n AS d_n, round(x.price - y.price, 8) AS d_price FROM p JOIN s x ON x.o_custkey = p.a JOIN s y ON y.o_custkey = p.b
 """)
 def matchup_differentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of two customers' measures for neighbours of one nation."""
@@ -121,7 +124,7 @@ def matchup_differentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), (F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("price"))
     p = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("b"))
-    return mt.differentials(s, p, "o_custkey", "a", "b", ["n", "price"]).select("a", "b", "d_n", F.round("d_price", 4).alias("d_price"))
+    return mt.differentials(s, p, "o_custkey", "a", "b", ["n", "price"]).select("a", "b", "d_n", F.round("d_price", 8).alias("d_price"))
 
 
 @named("""
