@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate class; exact repeats of a row count once, rows without a doc_id stay."""
-    classes = simhash.near_duplicates(docs)
+    """The document of smallest doc_id of each class of texts alike to 0.8 in five-word shingles; exact repeats of a row count once, rows without a doc_id stay."""
+    classes = simhash.similar_texts(docs)
     gone = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
     return left.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)

@@ -7,12 +7,17 @@ vertically, distances of many lanes are counted at once by carry-save adders ove
 lanes are abandoned once every one of them is beyond the radius. Buckets over TILE rows are compared
 in pairs of sub-blocks, each in a task of its own, so that a hot bucket spreads over the cluster.
 Buckets return links that span their components and not all pairs.
+
+A similarity of 0.8 lies far beyond a radius that so few bits can search. `similar_texts` therefore takes
+fingerprints of WIDE_WORDS x 64 bits over distinct shingles and deals them to buckets by samples of their bits,
+as many tables as the wanted recall at that similarity takes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -24,6 +29,8 @@ from .common import partitions, table, written
 from .components import connected_components
 
 SHINGLE, RADIUS, BLOCKS, TILE, SMALL = 4, 4, 6, 2048, 16
+#: Of similar_texts: words a fingerprint, words a shingle, Jaccard similarity, recall at just that similarity, rows a bucket.
+WIDE_WORDS, WIDE_SHINGLE, SIMILARITY, RECALL, BUCKET_ROWS = 4, 5, 0.8, 0.98, 128
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -57,15 +64,21 @@ def with_fingerprint(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> D
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([simhash(t, k) for t in b["text"]], np.uint64).view(np.int64)})
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return kept.mapInPandas(run, "doc_id long, fp long")
+    # pandas turns a bigint column with nulls into floats, so the id goes as text
+    kept = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"))
+    return kept.mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def bits_of(fps: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints (n, words) as bytes (n, 64 words)."""
+    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit planes of uint64 fingerprints: 64 rows of words, lane i at bit i."""
+    """Bit planes of fingerprints (n, words): 64 rows of words for each word, lane i at bit i."""
     lanes = -len(fps) % 64
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    bits = np.concatenate([bits, np.zeros((lanes, 64), np.uint8)]) if lanes else bits
+    bits = bits_of(fps)
+    bits = np.concatenate([bits, np.zeros((lanes, bits.shape[1]), np.uint8)]) if lanes else bits
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -81,22 +94,22 @@ def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def lanes_within(differ, shape: tuple[int, ...], radius: int) -> np.ndarray:
+def lanes_within(differ, shape: tuple[int, ...], radius: int, bits: int = 64) -> np.ndarray:
     """Words whose set bits are the lanes at most `radius` apart. differ(i, rows) has plane i of the XOR, for the rows still open.
 
     Two planes enter the counters at a time through a carry-save adder; rows all of whose lanes are beyond the radius are given up.
     """
     out = np.zeros(shape, np.uint64)
     rows = np.arange(shape[0])
-    counter = [np.zeros(shape, np.uint64) for _ in range(7)]
-    for i in range(0, 64, 2):
+    counter = [np.zeros(shape, np.uint64) for _ in range(bits.bit_length())]
+    for i in range(0, bits, 2):
         a, b = differ(i, rows), differ(i + 1, rows)
         half = counter[0] ^ a
         carry = (counter[0] & a) | (half & b)
         counter[0] = half ^ b
-        for k in range(1, min(7, (i + 2).bit_length())):
+        for k in range(1, (i + 2).bit_length()):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
-        if i % 8 == 6 and i >= 14:
+        if i % 8 == 6 and i >= 2 * radius + 6:
             open_ = ~_beyond(counter, radius).reshape(len(rows), -1)
             live = open_.any(1)
             if not live.all():
@@ -112,7 +125,7 @@ def pairs_within(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) ->
     keep = np.zeros(len(i), bool)
     for at in range(0, len(i), 65536):
         planes = planes_of(fps[i[at : at + 65536]] ^ fps[j[at : at + 65536]])
-        words = lanes_within(lambda p, rows: planes[p][rows, None], (planes.shape[1], 1), radius)
+        words = lanes_within(lambda p, rows: planes[p][rows, None], (planes.shape[1], 1), radius, len(planes))
         keep[at : at + 65536] = np.unpackbits(words[:, 0].view(np.uint8), bitorder="little")[: len(i[at : at + 65536])].astype(bool)
     return keep
 
@@ -123,8 +136,8 @@ def spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     planes = planes_of(fps)
     adj = np.empty((n, planes.shape[1]), np.uint64)
     for at in range(0, n, 256):
-        masks = np.where((fps[at : at + 256, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ~np.uint64(0), np.uint64(0))
-        adj[at : at + 256] = lanes_within(lambda p, rows: planes[p][None, :] ^ masks[rows, p][:, None], (len(masks), planes.shape[1]), radius)
+        masks = np.where(bits_of(fps[at : at + 256]), ~np.uint64(0), np.uint64(0))
+        adj[at : at + 256] = lanes_within(lambda p, rows: planes[p][None, :] ^ masks[rows, p][:, None], (len(masks), planes.shape[1]), radius, len(planes))
     left = np.unpackbits(np.zeros(planes.shape[1], np.uint64).view(np.uint8))
     left[:n] = 1
     left = np.packbits(left, bitorder="little").view(np.uint64)
@@ -146,6 +159,13 @@ def spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def words_in(column: pd.Series) -> np.ndarray:
+    """Fingerprints (n, words) of a column of bigints or of little-endian bytes."""
+    if column.dtype == np.int64:
+        return column.to_numpy().view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column), "<u8").reshape(len(column), -1)
+
+
 def _links(radius: int):
     def group_links(fps, reps, starts):
         """Links of the buckets that begin at the given places of one sorted run."""
@@ -176,11 +196,11 @@ def _links(radius: int):
             last = int(cuts[-1]) if len(cuts) else 0
             rest = b.iloc[last:]
             if last:
-                out = group_links(b["fp"].to_numpy(np.int64).view(np.uint64), b["rep"].to_numpy(np.int64), np.array([0, *cuts.tolist()]))
+                out = group_links(words_in(b["fp"]), b["rep"].to_numpy(np.int64), np.array([0, *cuts.tolist()]))
                 if out is not None and len(out):
                     yield out
         if rest is not None:
-            out = group_links(rest["fp"].to_numpy(np.int64).view(np.uint64), rest["rep"].to_numpy(np.int64), np.array([0, len(rest)]))
+            out = group_links(words_in(rest["fp"]), rest["rep"].to_numpy(np.int64), np.array([0, len(rest)]))
             if out is not None and len(out):
                 yield out
 
@@ -189,7 +209,6 @@ def _links(radius: int):
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """(u, v): links between the `rep`s of distinct `fp`s, spanning the components of all pairs within the radius."""
-    n = partitions(nodes.sparkSession)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
     for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
@@ -197,6 +216,12 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, til
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
     dealt = nodes.filter("rep IS NOT NULL").select("fp", "rep", F.explode(F.array(*keys)).alias("bucket"))
+    return bucket_links(dealt, radius, tile)
+
+
+def bucket_links(dealt: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """(u, v): links of rows (bucket, fp, rep) within the radius, by bucket; hot buckets are cut into tiles."""
+    n = partitions(dealt.sparkSession)
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     hot = written(sizes.filter(F.col("n") > tile).select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("cuts")), "hot-buckets")
     dealt = dealt.join(hot, "bucket", "left")
@@ -222,6 +247,70 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, radiu
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def wide_simhash(text: str | None, k: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
+    """A SimHash of words x 64 bits over the distinct shingles, little-endian; zeros without a word."""
+    h = np.unique(shingle_hashes(text, k))
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), 4096):
+        for w in range(words):  # each word takes another mix of the hashes
+            z = h[at : at + 4096] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) % 2**64)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+            ones[64 * w : 64 * w + 64] += np.unpackbits(z.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def bit_difference(similarity: float) -> float:
+    """Chance that a bit differs between texts of a Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def wide_radius(similarity: float, bits: int) -> int:
+    """Bits that nearly all pairs of the similarity are within: the expected ones and 1.5 standard deviations."""
+    p = bit_difference(similarity)
+    return int(bits * p + 1.5 * sqrt(bits * p * (1 - p)))
+
+
+def bit_samples(n: int, similarity: float, bits: int, recall: float = RECALL, rows: int = BUCKET_ROWS) -> np.ndarray:
+    """Places of the sampled bits (tables, bits a key): keys leave about `rows` of n in a bucket, tables give the recall."""
+    size = max(8, round(log2(max(n, 2) / rows)))
+    tables = ceil(log(1 - recall) / log(1 - (1 - bit_difference(similarity)) ** size))
+    rng = np.random.default_rng(42)
+    return np.array([rng.choice(bits, size, replace=False) for _ in range(tables)])
+
+
+def similar_texts(docs: DataFrame, text: str = "text", k: int = WIDE_SHINGLE, similarity: float = SIMILARITY, words: int = WIDE_WORDS, tile: int = TILE) -> DataFrame:
+    """doc_id and component_id: classes of texts whose k-word shingles have about the Jaccard similarity or more, by wide fingerprints.
+
+    Equal texts always meet, pairs at the similarity with the chance RECALL, closer ones nearly surely. Nulls, empty texts and repeated
+    rows are as in near_duplicates.
+    """
+
+    def prints_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [wide_simhash(t, k, words) for t in b["text"]]})
+
+    kept = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"))
+    prints = written(kept.mapInPandas(prints_of, "doc_id string, fp binary").withColumn("doc_id", F.col("doc_id").cast("long")), "wide-simhash")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-nodes")
+    places = bit_samples(nodes.count(), similarity, 64 * words)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = 1 << np.arange(places.shape[1], dtype=np.int64)
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                some = b.iloc[at : at + 1000]
+                bits = bits_of(words_in(some["fp"]))
+                for t, own in enumerate(places):
+                    yield pd.DataFrame({"bucket": bits[:, own] @ powers + (t << 32), "fp": some["fp"], "rep": some["rep"]})
+
+    dealt = nodes.filter("rep IS NOT NULL").mapInPandas(deal, "bucket long, fp binary, rep long")
+    comp = connected_components(bucket_links(dealt, wide_radius(similarity, 64 * words), tile))
+    labels = written(nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "wide-labels")
+    return prints.join(labels, "fp", "left").select("doc_id", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

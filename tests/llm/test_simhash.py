@@ -62,3 +62,53 @@ def test_null_ids_and_empty(spark):
     got = {r.doc_id: r.component_id for r in sh.near_duplicates(docs).collect()}
     assert got == {None: None, 1: 1}
     assert sh.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_wide_lanes():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**63, (150, 4), dtype=np.int64).view(np.uint64)
+    for i in range(50, 100):
+        fps[i] = fps[0]
+        for b in rng.choice(256, rng.integers(1, 40), replace=False):
+            fps[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    i, j = np.triu_indices(150, 1)
+    near = np.bitwise_count(fps[i] ^ fps[j]).sum(1) <= 46
+    assert (sh.pairs_within(fps, i, j, 46) == near).all()
+    of = list(range(150))
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a, b in zip(i[near], j[near]):
+        of[max(find(a), find(b))] = min(find(a), find(b))
+    a, b = sh.spanning(fps, 46)
+    assert len(a) == 150 - len({find(x) for x in range(150)}) and all(find(x) == find(y) for x, y in zip(a, b))
+
+
+def test_similar_texts(spark):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(5000)]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda w: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, pairs = [], []
+    for i in range(0, 600, 3):
+        w = rng.choice(vocab, 200).tolist()
+        near, far = list(w), list(w)
+        for p in rng.choice(200, 3, replace=False):
+            near[p] = "edited"
+        for p in rng.choice(200, 40, replace=False):
+            far[p] = "edited"
+        rows += [(i, " ".join(w)), (i + 1, " ".join(near)), (i + 2, " ".join(far))]
+        pairs.append((i, jaccard(grams(w), grams(near)), jaccard(grams(w), grams(far))))
+    rows += [(1000, None), (1001, " "), (1002, "Two words"), (1003, "two words"), (1003, "two words")]
+    docs = spark.createDataFrame([(*r, 9) for r in rows] + [(None, "no id", 9)], "doc_id long, text string, component_id int")
+    got = {r.doc_id: r.component_id for r in sh.similar_texts(docs).collect()}
+    assert all(n > 0.8 and f < 0.5 for _, n, f in pairs)
+    assert sum(got[i] == got[i + 1] == i for i, _, _ in pairs) >= 0.97 * len(pairs)
+    assert all(got[i + 2] == i + 2 for i, _, _ in pairs)
+    assert got[1000] == got[1001] == 1000 and got[1002] == got[1003] == 1002 and got[None] is None
+    small = {r.doc_id: r.component_id for r in sh.similar_texts(docs, tile=3).collect()}
+    assert small == got
+    assert sh.similar_texts(docs.limit(0)).count() == 0
