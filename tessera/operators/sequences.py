@@ -6,16 +6,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def before(df: DataFrame, keys: list[str], order: list[str], carried: dict[str, str], bucket: Column | None = None) -> DataFrame:
+    """Rows with `first` and, for each column of `carried`, its value in the key's row before under the new name.
+
+    With a bucket, a non-decreasing function of the order such as a date, a key of any size is dealt to its buckets: the row before is found
+    inside the bucket, and for a bucket's first row in the last row of the bucket before, of which there is one.
+    """
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({new: F.lag(old).over(w) for old, new in carried.items()} | {"first": F.row_number().over(w) == 1})
+    rows = df.withColumn("__b", bucket)
+    last = F.max_by(F.struct(*[F.col(old).alias(new) for old, new in carried.items()]), F.struct(*order))
+    edges = rows.groupBy(*keys, "__b").agg(last.alias("__last"))
+    edges = edges.withColumn("__edge", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b"))).drop("__last")
+    w = Window.partitionBy(*keys, "__b").orderBy(*order)
+    head = F.col("__n") == 1
+    inner = rows.withColumns({f"__{new}": F.lag(old).over(w) for old, new in carried.items()} | {"__n": F.row_number().over(w)})
+    met = inner.join(edges, [*keys, "__b"])
+    found = {new: F.when(head, F.col(f"__edge.{new}")).otherwise(F.col(f"__{new}")) for new in carried.values()}
+    met = met.withColumns(found | {"first": head & F.col("__edge").isNull()})
+    return met.drop("__b", "__n", "__edge", *[f"__{new}" for new in carried.values()])
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], bucket: Column | None = None, inclusive: bool = True) -> DataFrame:
+    """Rows with running sums over the key in order, of the rows before and, if inclusive, their own. Buckets as in `before`: a bucket's sums start from those of the buckets before."""
+    end = 0 if inclusive else -1
+    frame = lambda w: w.rowsBetween(Window.unboundedPreceding, end)
+    if bucket is None:
+        w = frame(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumns({k: F.coalesce(F.sum(c.cast("long")).over(w), F.lit(0)) for k, c in sums.items()})
+    rows = df.withColumn("__b", bucket).withColumns({f"__x_{k}": c.cast("long") for k, c in sums.items()})
+    totals = rows.groupBy(*keys, "__b").agg(*[F.sum(f"__x_{k}").alias(f"__t_{k}") for k in sums])
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{k}").over(earlier), F.lit(0)).alias(f"__o_{k}") for k in sums])
+    w = frame(Window.partitionBy(*keys, "__b").orderBy(*order))
+    inner = rows.withColumns({f"__i_{k}": F.coalesce(F.sum(f"__x_{k}").over(w), F.lit(0)) for k in sums})
+    met = inner.join(totals, [*keys, "__b"]).withColumns({k: F.col(f"__i_{k}") + F.col(f"__o_{k}") for k in sums})
+    return met.drop("__b", *[f"__{p}_{k}" for k in sums for p in "xoi"])
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
     """Rows with `island`, the number of their run of equal neighbouring values (null-safe) within the key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    starts = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
-    return df.withColumn("__s", starts.cast("int")).withColumn("island", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
+    marked = before(df, keys, order, {value: "__before"}, bucket)
+    starts = F.col("first") | ~F.col(value).eqNullSafe(F.col("__before"))
+    return running(marked, keys, order, {"island": starts}, bucket).drop("__before", "first")
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], value: str, at: str) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list[str], value: str, at: str, bucket: Column | None = None) -> DataFrame:
     """One row a run: value, first and last time, length."""
-    return islands(df, keys, order, value).groupBy(*keys, "island").agg(
+    return islands(df, keys, order, value, bucket).groupBy(*keys, "island").agg(
         F.first(value).alias(value), F.min(at).alias("started_at"), F.max(at).alias("ended_at"), F.count("*").alias("length")
     )
 
@@ -40,17 +79,14 @@ def reigns(df: DataFrame, keys: list[str], order: list[str], at: str, holder: Co
     return spans.select(*keys, F.col("__d").alias("holder"), F.col(at).alias("started_at"), "ended_at")
 
 
-def entering(df: DataFrame, keys: list[str], order: list[str], counts: dict[str, Column]) -> DataFrame:
+def entering(df: DataFrame, keys: list[str], order: list[str], counts: dict[str, Column], bucket: Column | None = None) -> DataFrame:
     """Rows with how often each condition held in the key's rows before."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({k: F.coalesce(F.sum(c.cast("long")).over(before), F.lit(0)) for k, c in counts.items()})
+    return running(df, keys, order, counts, bucket, inclusive=False)
 
 
-def consecutive(df: DataFrame, keys: list[str], order: list[str], carried: dict[str, str]) -> DataFrame:
+def consecutive(df: DataFrame, keys: list[str], order: list[str], carried: dict[str, str], bucket: Column | None = None) -> DataFrame:
     """Rows with columns of the row before: carried maps a column to the name of its earlier value; first rows are left out."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.row_number().over(w)
-    return df.withColumns({new: F.lag(old).over(w) for old, new in carried.items()} | {"__n": n}).filter("__n > 1").drop("__n")
+    return before(df, keys, order, carried, bucket).filter(~F.col("first")).drop("first")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], member: str, place: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import all_of
+from tessera.operators.sequences import before
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -32,15 +33,14 @@ def current_revisions(df: DataFrame, id_: str, supersedes: str) -> DataFrame:
     return df.join(gone, df[id_] == gone["__gone"], "left_anti")
 
 
-def changes(df: DataFrame, keys: list[str], order: list[str], watched: list[str]) -> DataFrame:
+def changes(df: DataFrame, keys: list[str], order: list[str], watched: list[str], bucket: Column | None = None) -> DataFrame:
     """Rows in which a watched column differs, null-safe, from the row before; the first of a key counts as a change.
 
-    Rows are taken in the given order, which is that of arrival only where rows arrive in order.
+    Rows are taken in the given order, which is that of arrival only where rows arrive in order. A bucket deals large keys out, see sequences.before.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    same = all_of([F.col(c).eqNullSafe(F.lag(c).over(w)) for c in watched])
-    return df.withColumn("__new", first | ~same).filter("__new").drop("__new")
+    seen = before(df, keys, order, {c: f"__was_{c}" for c in watched}, bucket)
+    same = all_of([F.col(c).eqNullSafe(F.col(f"__was_{c}")) for c in watched])
+    return seen.filter(F.col("first") | ~same).select(*df.columns)
 
 
 def series_bounds(df: DataFrame, keys: list[str], at: str, id_: str, value: str) -> DataFrame:

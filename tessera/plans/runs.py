@@ -29,7 +29,7 @@ SELECT user_id, event_type, min(ts) AS started_at, max(ts) AS ended_at, count(*)
 """)
 def title_runs_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one event type of a user."""
-    return sq.runs(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", "ts").drop("island")
+    return sq.runs(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", "ts", F.to_date("ts")).drop("island")
 
 
 @named("""
@@ -49,7 +49,7 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 def record_entering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer's record when entering each order."""
     counts = {"finished": F.col("o_orderstatus") == "F", "open_": F.col("o_orderstatus") == "O", "before": F.lit(True)}
-    return sq.entering(load(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], counts).select("o_orderkey", *counts)
+    return sq.entering(load(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], counts, F.year("o_orderdate")).select("o_orderkey", *counts)
 
 
 @named("""
@@ -58,7 +58,7 @@ SELECT * FROM (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS before_ke
 """)
 def consecutive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order with the one before it and the days between."""
-    o = sq.consecutive(load(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], {"o_orderkey": "before_key", "o_orderdate": "before_at"})
+    o = sq.consecutive(load(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], {"o_orderkey": "before_key", "o_orderdate": "before_at"}, F.year("o_orderdate"))
     return o.select("o_custkey", "o_orderkey", "before_key", F.date_diff("o_orderdate", "before_at").alias("days"))
 
 

@@ -46,7 +46,7 @@ SELECT event_id, user_id, event_type, step FROM (
 def change_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks that change their series; repeats of the standing value are dropped."""
     e = load(spark, sf_dir, "events").withColumn("step", F.floor(F.col("value") / 10))
-    return tp.changes(e, SERIES, ["ts", "event_id"], ["step"]).select("event_id", *SERIES, "step")
+    return tp.changes(e, SERIES, ["ts", "event_id"], ["step"], F.to_date("ts")).select("event_id", *SERIES, "step")
 
 
 @named(f"""

@@ -13,6 +13,19 @@ def test_null_values_stand_and_change(spark):
     assert temporal.latest_per_key(df, ["k"], ["t"]).first() == (1, 4, None)
 
 
+def test_buckets_change_nothing(spark):
+    rows = [(i % 3, (i * 7) % 50, i, (i * i) % 4 if i % 5 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, t int, id int, v int")
+    plain = lambda d: sorted(map(str, d.collect()))
+    b = F.floor(F.col("t") / 10)
+    order = ["t", "id"]
+    assert plain(temporal.changes(df, ["k"], order, ["v"], b)) == plain(temporal.changes(df, ["k"], order, ["v"]))
+    pick = ["k", "id", "island"]
+    assert plain(sequences.islands(df, ["k"], order, "v", b).select(pick)) == plain(sequences.islands(df, ["k"], order, "v").select(pick))
+    pick, counts = ["k", "id", "n", "m"], {"n": F.lit(True), "m": F.col("v") == 1}
+    assert plain(sequences.entering(df, ["k"], order, counts, b).select(pick)) == plain(sequences.entering(df, ["k"], order, counts).select(pick))
+
+
 def test_as_of_holds_all_clocks(spark):
     t = datetime
     df = spark.createDataFrame([(1, 1, t(2024, 1, 1), t(2024, 1, 5)), (1, 2, t(2024, 1, 2), t(2024, 2, 1))], "k int, rev int, valid timestamp_ntz, known timestamp_ntz")
