@@ -13,8 +13,8 @@ BUDGET = 0.8
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin; what has no letter or a narrow one goes."""
-    judged = langid.predict(docs.withColumn("__text", F.col("text")), langid.fit(docs), "__text")
-    return judged.filter(~F.col("rejected")).select(*docs.columns)
+    judged = langid.predict(docs.select("text", F.struct("*").alias("row")), langid.fit(docs))
+    return judged.filter(~F.col("rejected")).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of BUDGET of the tokens, its sources, languages and forms raked to smoothed shares."""
-    return mixing.mixed(docs, budget=BUDGET).filter("kept").select(*docs.columns)
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row"))
+    return mixing.mixed(rows, budget=BUDGET).filter("kept").select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ hashes, and hits are verified by exact containment of the shingles' words. No pa
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
@@ -78,6 +79,17 @@ class Index:
                     yield self.ids[k], share
 
 
+_built: dict[str, Index] = {}
+
+
+def _index(key: str, items: list[tuple[int, bytes]], n: int, threshold: float) -> Index:
+    """The block's index, built once a Python process."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Index(items, n, threshold)
+    return _built[key]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """item_id, doc_id, containment: a row for each row of docs and item row it contains at `threshold` or more.
 
@@ -100,8 +112,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", n: int =
         rows = normed.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block).collect()
         index_of = kept.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.words)) for r in rows])
 
-        def search(batches: Iterator[pd.DataFrame], index_of=index_of) -> Iterator[pd.DataFrame]:
-            index = Index(index_of.value, n, threshold)
+        key = uuid.uuid4().hex
+
+        def search(batches: Iterator[pd.DataFrame], index_of=index_of, key=key) -> Iterator[pd.DataFrame]:
+            index = _index(key, index_of.value, n, threshold)
             for b in batches:
                 found = [(i, d, c) for d, t in zip(b["doc_id"], b["text"]) for i, c in index.search(t)]
                 yield pd.DataFrame(found, columns=["item_id", "doc_id", "containment"])

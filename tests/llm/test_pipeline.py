@@ -49,6 +49,14 @@ def test_stages_and_their_decisions(spark, folder):
     assert set(mix) <= set(clean) and 0.5 * len(clean) <= len(mix) < len(clean)
 
 
+def test_columns_of_clashing_names_are_kept(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").selectExpr("*", "doc_id AS score", "'x' AS topic", "1 AS kept", "2 AS fp", "3 AS item_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder[0])
+        assert out.columns == docs.columns
+        assert all(r.score == r.doc_id and r.topic == "x" and (r.kept, r.fp, r.item_id) == (1, 2, 3) for r in out.collect())
+
+
 def test_run_writes_the_ids_of_what_is_left(spark, folder):
     sf_dir, texts = folder
     tok, at = Tokenizer.from_file(byte_bpe_path()), 0
