@@ -81,7 +81,6 @@ FROM lineitem JOIN q USING (l_suppkey) GROUP BY l_partkey HAVING count(*) >= 5
 def opponent_adjusted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return rates of parts, each line weighted by its supplier's quality."""
     l = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").cast("double").alias("x"))
-    q = l.groupBy("l_suppkey").agg((1 - F.avg("x")).alias("q"))
     q = l.groupBy("l_suppkey").agg(ratio(F.count("*") - F.sum("x"), F.count("*")).alias("q"))
     found = l.join(q, "l_suppkey").groupBy("l_partkey").agg(F.count("*").alias("lines"), rounded(mt.weighted_mean(F.col("x"), F.col("q"))).alias("adjusted_rate"), rounded(ratio(F.sum("x"), F.count("*"))).alias("plain_rate"))
     return found.filter("lines >= 5")

@@ -147,12 +147,12 @@ def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH m AS (SELECT c_custkey AS merged_id, c_custkey - 1 AS into_id FROM customer WHERE c_custkey % 7 = 3)
+WITH m AS (SELECT c_custkey AS merged_id, c_custkey - 1 AS into_id FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey > 0)
 SELECT coalesce(into_id, o_custkey) AS o_custkey, count(*) AS n FROM orders LEFT JOIN m ON o_custkey = merged_id GROUP BY 1
 """)
 def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders counted by customer after one hop of merges."""
-    m = load(spark, sf_dir, "customer").filter("c_custkey % 7 = 3").select(F.col("c_custkey").alias("merged_id"), (F.col("c_custkey") - 1).alias("into_id"))
+    m = load(spark, sf_dir, "customer").filter("c_mktsegment = 'MACHINERY' AND c_custkey > 0").select(F.col("c_custkey").alias("merged_id"), (F.col("c_custkey") - 1).alias("into_id"))
     return idn.canonical(load(spark, sf_dir, "orders").select("o_custkey"), m, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
