@@ -1,7 +1,7 @@
 """SimHash near-duplicate classes.
 
-Fingerprints within a radius are found exactly: the 64 bits are cut into BLOCKS blocks, and two
-fingerprints at most `radius` bits apart agree on at least BLOCKS - radius of them, so a row is dealt
+Fingerprints within a radius are found exactly: the 64 bits are cut into blocks, and two
+fingerprints at most `radius` bits apart agree on all but `radius` of them at least, so a row is dealt
 to one bucket for every choice of that many blocks. A bucket is compared bit-sliced: bit planes stand
 vertically, distances of many lanes are counted at once by carry-save adders over whole words, and
 lanes are abandoned once every one of them is beyond the radius. Buckets over TILE rows are compared
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import partitions, table, written
 from .components import connected_components
 
-SHINGLE, RADIUS, BLOCKS, TILE, SMALL = 4, 4, 6, 2048, 16
+SHINGLE, RADIUS, TILE, SMALL = 4, 4, 2048, 16
+#: Rows that a bucket of the exact search may hold on average before the bits are cut into more blocks.
+EXACT_ROWS = 512
 #: Of similar_texts: words a fingerprint, words a shingle, Jaccard similarity, recall at just that similarity, rows a bucket.
 WIDE_WORDS, WIDE_SHINGLE, SIMILARITY, RECALL, BUCKET_ROWS = 4, 5, 0.8, 0.98, 128
 
@@ -207,7 +209,15 @@ def _links(radius: int):
     return run
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Blocks to cut 64 bits into, so that a bucket of n even fingerprints holds EXACT_ROWS at most: two more than the radius at least. Every choice is exact."""
+    blocks = radius + 2
+    while blocks < 64 and n / 2 ** (64 * (blocks - radius) / blocks) > EXACT_ROWS:
+        blocks += 1
+    return blocks
+
+
+def near_links(nodes: DataFrame, radius: int, blocks: int, tile: int = TILE) -> DataFrame:
     """(u, v): links between the `rep`s of distinct `fp`s, spanning the components of all pairs within the radius."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
@@ -232,7 +242,7 @@ def bucket_links(dealt: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return dealt.mapInPandas(_links(radius), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """doc_id, fp (bigint) and component_id, the smallest doc_id reachable over fingerprints at most `radius` bits apart.
 
     Null and wordless texts have fingerprint 0 and link as any other; repeated rows stay; a row whose
@@ -240,7 +250,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, radiu
     """
     prints = written(with_fingerprint(docs, text, k), "simhash")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    comp = connected_components(near_links(nodes, radius, blocks, tile))
+    comp = connected_components(near_links(nodes, radius, blocks or blocks_for(nodes.count(), radius), tile))
     labels = written(
         nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-labels"
     )

@@ -41,11 +41,15 @@ def test_against_brute_force(spark):
         rows.append((int(i * 7), "  ".join(words)))
     rows += [(1, None), (2, ""), (3, " \n\t"), (4, "one Two"), (5, "one two"), (5, "one two"), (6, "A" * 50_000)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
-    for tile in (sh.TILE, 5):
-        got = sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in sh.near_duplicates(docs, tile=tile).collect())
+    for tile, blocks in ((sh.TILE, None), (5, None), (sh.TILE, 7)):
+        got = sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in sh.near_duplicates(docs, tile=tile, blocks=blocks).collect())
         assert got == brute(rows)[0]
 
 
+def test_blocks_grow_with_the_corpus():
+    assert [sh.blocks_for(n) for n in (1, 10**6, 10**8, 10**10, 10**12)] == [6, 6, 6, 7, 8]
+
+
 def test_lanes_and_spanning():
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 2**63, 300, dtype=np.int64).view(np.uint64)
