@@ -48,6 +48,14 @@ def test_report_against_brute_force(spark):
     assert got[None].near_next is None
 
 
+def test_sampled_bounds_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i * i, f"text {i}. and more") for i in range(400)], "doc_id long, text string")
+    rows = lambda: sorted(map(str, mk.edit_report(docs).collect()))
+    whole = rows()
+    monkeypatch.setattr(mk, "SAMPLED_PER_BUCKET", 1)
+    assert rows() == whole
+
+
 def test_repeated_rows_one_row_and_empty(spark):
     one = spark.createDataFrame([(7, "only. one here")], "doc_id long, text string")
     r = mk.edit_report(one).first()
