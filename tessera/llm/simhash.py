@@ -8,16 +8,16 @@ lanes are abandoned once every one of them is beyond the radius. Buckets over TI
 in pairs of sub-blocks, each in a task of its own, so that a hot bucket spreads over the cluster.
 Buckets return links that span their components and not all pairs.
 
-A similarity of 0.8 lies far beyond a radius that so few bits can search. `similar_texts` therefore takes
-fingerprints of WIDE_WORDS x 64 bits over distinct shingles and deals them to buckets by samples of their bits,
-as many tables as the wanted recall at that similarity takes.
+A similarity of 0.8 lies far beyond a radius that so few bits can search. `text_classes` therefore joins sets of shingles by
+prefix filtering, which loses no pair, and compares candidates exactly. Likely pairs are compared first, so that groups of near copies are known
+and only pairs between different groups remain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import acos, ceil, log, log2, pi, sqrt
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,8 @@ from .components import connected_components
 SHINGLE, RADIUS, TILE, SMALL = 4, 4, 2048, 16
 #: Rows that a bucket of the exact search may hold on average before the bits are cut into more blocks.
 EXACT_ROWS = 512
-#: Of similar_texts: words a fingerprint, words a shingle, Jaccard similarity, recall at just that similarity, rows a bucket.
-WIDE_WORDS, WIDE_SHINGLE, SIMILARITY, RECALL, BUCKET_ROWS = 4, 5, 0.8, 0.98, 128
+#: Of similar_texts: words a shingle, Jaccard similarity, least shingles a text is led by; rows sampled for common shingles, and how many of these are kept.
+SIMILAR_SHINGLE, SIMILARITY, LEADS, SAMPLE_ROWS, COMMON = 5, 0.8, 4, 20_000, 300_000
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -257,68 +257,162 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, radiu
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def wide_simhash(text: str | None, k: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
-    """A SimHash of words x 64 bits over the distinct shingles, little-endian; zeros without a word."""
-    h = np.unique(shingle_hashes(text, k))
-    ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(h), 4096):
-        for w in range(words):  # each word takes another mix of the hashes
-            z = h[at : at + 4096] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) % 2**64)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-            ones[64 * w : 64 * w + 64] += np.unpackbits(z.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+def mixed(h: np.ndarray, w: int) -> np.ndarray:
+    """Another mix of hashes for each w."""
+    z = h + np.uint64(0x9E3779B97F4A7C15 * (w + 1) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
-def bit_difference(similarity: float) -> float:
-    """Chance that a bit differs between texts of a Jaccard similarity."""
-    return acos(2 * similarity / (1 + similarity)) / pi
+def common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), sorted by hash: shingles met often in a sample of SAMPLE_ROWS rows. They only order shingles, so any choice loses no pair."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, k)) for t in b["text"]]
+            yield pd.DataFrame({"gram": np.concatenate(found).view(np.int64)})
+
+    cuts = max(1, docs.count() // SAMPLE_ROWS)
+    some = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(cuts)) == 0)
+    often = some.mapInPandas(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "gram").limit(COMMON)
+    rows = np.array([(r.gram, r.n) for r in often.collect()], np.int64).reshape(-1, 2)
+    rows = rows[np.argsort(rows[:, 0].view(np.uint64) if len(rows) else rows[:, 0])]
+    return np.ascontiguousarray(rows[:, 0]).view(np.uint64), rows[:, 1]
+
+
+def prefix_of(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of n distinct hashes in one order for all texts, rare ones first: texts of the similarity share one of these."""
+    hashes, counts = common
+    count = np.zeros(len(h), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        count = np.where(hashes[at] == h, counts[at], 0)
+    return h[np.lexsort((mixed(h, 0), count))][: len(h) - ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def _candidates(similarity: float):
+    """Pairs (u, v) of one (gram, tile) and of different components whose sizes and places let them reach the similarity."""
+
+    def pairs(b: pd.DataFrame) -> pd.DataFrame | None:
+        key = b[["gram", "tile"]].to_numpy(np.int64)
+        starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(b)]
+        node, comp, n, pos = (b[c].to_numpy(np.int64) for c in ("node", "comp", "n", "pos"))
+        us, vs = [], []
+        for s, e in zip(starts, starts[1:]):
+            for at in range(s, e, 256):
+                i, j = slice(at, min(at + 256, e)), slice(at + 1, e)
+                ok = (comp[i, None] != comp[None, j]) & (np.arange(at, i.stop)[:, None] < np.arange(at + 1, e)[None])
+                both = np.minimum((n - pos)[i, None], (n - pos)[None, j])
+                ok &= both >= similarity / (1 + similarity) * (n[i, None] + n[None, j]) - 1e-6
+                ok &= np.minimum(n[i, None], n[None, j]) >= similarity * np.maximum(n[i, None], n[None, j]) - 1e-6
+                x, y = np.nonzero(ok)
+                us.append(node[at + x])
+                vs.append(node[at + 1 + y])
+        if not us:
+            return None
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).drop_duplicates()
 
-def wide_radius(similarity: float, bits: int) -> int:
-    """Bits that nearly all pairs of the similarity are within: the expected ones and 1.5 standard deviations."""
-    p = bit_difference(similarity)
-    return int(bits * p + 1.5 * sqrt(bits * p * (1 - p)))
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # rows of the last bucket, which may go on in the next batch
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            same = (b["gram"] == b["gram"].iloc[-1]) & (b["tile"] == b["tile"].iloc[-1])
+            rest, b = b[same], b[~same]
+            if len(b) and (out := pairs(b)) is not None and len(out):
+                yield out
+        if rest is not None and (out := pairs(rest)) is not None and len(out):
+            yield out
 
-def bit_samples(n: int, similarity: float, bits: int, recall: float = RECALL, rows: int = BUCKET_ROWS) -> np.ndarray:
-    """Places of the sampled bits (tables, bits a key): keys leave about `rows` of n in a bucket, tables give the recall."""
-    size = max(8, round(log2(max(n, 2) / rows)))
-    tables = ceil(log(1 - recall) / log(1 - (1 - bit_difference(similarity)) ** size))
-    rng = np.random.default_rng(42)
-    return np.array([rng.choice(bits, size, replace=False) for _ in range(tables)])
+    return run
 
 
-def similar_texts(docs: DataFrame, text: str = "text", k: int = WIDE_SHINGLE, similarity: float = SIMILARITY, words: int = WIDE_WORDS, tile: int = TILE) -> DataFrame:
-    """doc_id and component_id: classes of texts whose k-word shingles have about the Jaccard similarity or more, by wide fingerprints.
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, k: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have the Jaccard similarity or more, exactly."""
 
-    Equal texts always meet, pairs at the similarity with the chance RECALL, closer ones nearly surely. Nulls, empty texts and repeated
-    rows are as in near_duplicates.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets: dict[int, np.ndarray] = {}
+            keep = []
+            for u, v, a, c in zip(b["u"], b["v"], b["a"], b["c"]):
+                for x, t in ((u, a), (v, c)):
+                    if x not in sets:
+                        sets[x] = np.unique(shingle_hashes(t, k))
+                met = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                keep.append(met > 0 and met / (len(sets[u]) + len(sets[v]) - met) >= similarity)
+            yield b.loc[keep, ["u", "v"]]
+
+    pairs = written(pairs, "candidates")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "h"), "node")
+    found = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text")).join(asked, "h")
+    texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    met = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("c")), "v")
+    return written(met.mapInPandas(run, "u long, v long"), "verified")
+
+
+def text_classes(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """doc_id, h (the text's xxhash64, of "" where it is null) and `class` of each row: components of the pairs of texts whose sets of k-word shingles
+    have at least the Jaccard similarity. No pair is lost and none is guessed: candidates come from prefix filtering and are compared exactly.
+
+    Texts without a word are one class. Sets are sets of 64-bit hashes.
     """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, k))
 
-    def prints_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [wide_simhash(t, k, words) for t in b["text"]]})
-
-    kept = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"))
-    prints = written(kept.mapInPandas(prints_of, "doc_id string, fp binary").withColumn("doc_id", F.col("doc_id").cast("long")), "wide-simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-nodes")
-    places = bit_samples(nodes.count(), similarity, 64 * words)
+            rows = []
+            for t in b["text"]:
+                h = np.unique(shingle_hashes(t, k))
+                least = [int(mixed(h, w).min().view(np.int64)) for w in range(1, LEADS + 1)] if len(h) else []
+                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63, len(h), least, prefix_of(h, common.value, similarity).tobytes()))
+            yield pd.concat([b[["doc_id", "h"]], pd.DataFrame(rows, columns=["node", "n", "least", "prefix"], index=b.index)], axis=1)
 
+    # pandas turns a bigint column with nulls into floats, so the id goes as text
+    kept = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
+    rows = written(kept.mapInPandas(read, "doc_id string, h long, node long, n long, least array<long>, prefix binary"), "shingled")
+    nodes = written(rows.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("prefix").alias("prefix")), "shingled-nodes")
+
+    # first the likely pairs, a few a text: with the leaders of those that share a least shingle
+    dealt = nodes.select("node", F.posexplode("least").alias("w", "key"))
+    leaders = dealt.groupBy("w", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    led = dealt.join(leaders, ["w", "key"]).select("node", F.explode(F.array("low", "high")).alias("lead")).filter("node <> lead")
+    sure = verified(led.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct(), nodes, docs, text, k, similarity)
+    comp = written(connected_components(sure), "led")
+
+    # then every pair of different components that can still reach the similarity
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = 1 << np.arange(places.shape[1], dtype=np.int64)
         for b in batches:
             for at in range(0, len(b), 1000):
                 some = b.iloc[at : at + 1000]
-                bits = bits_of(words_in(some["fp"]))
-                for t, own in enumerate(places):
-                    yield pd.DataFrame({"bucket": bits[:, own] @ powers + (t << 32), "fp": some["fp"], "rep": some["rep"]})
-
-    dealt = nodes.filter("rep IS NOT NULL").mapInPandas(deal, "bucket long, fp binary, rep long")
-    comp = connected_components(bucket_links(dealt, wide_radius(similarity, 64 * words), tile))
-    labels = written(nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "wide-labels")
-    return prints.join(labels, "fp", "left").select("doc_id", "component_id")
+                sizes = np.array([len(x) // 8 for x in some["prefix"]], np.int64)
+                yield pd.DataFrame({
+                    "gram": np.frombuffer(b"".join(some["prefix"]), np.int64), "node": np.repeat(some["node"].to_numpy(), sizes), "comp": np.repeat(some["comp"].to_numpy(), sizes),
+                    "n": np.repeat(some["n"].to_numpy(), sizes), "pos": np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes),
+                })
+
+    labelled = nodes.join(comp.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("comp"))
+    prefixes = labelled.mapInPandas(deal, "gram long, node long, comp long, n long, pos long")
+    live = prefixes.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).filter("low < high")
+    live = written(live.select("gram", F.ceil(F.col("rows") / tile).cast("int").alias("cuts")), "live-shingles")
+    own = F.pmod(F.xxhash64("node", "gram"), F.col("cuts")).cast("int")
+    pair = lambda i: F.least(own, i).cast("long") * F.col("cuts") + F.greatest(own, i)
+    tiles = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), pair)
+    met = prefixes.join(live, "gram").select("gram", "node", "comp", "n", "pos", F.explode(tiles).alias("tile"))
+    met = met.repartition(partitions(docs.sparkSession), "gram", "tile").sortWithinPartitions("gram", "tile")
+    more = verified(met.mapInPandas(_candidates(similarity), "u long, v long").distinct(), nodes, docs, text, k, similarity)
+    classes = written(connected_components(sure.union(more)), "classes")
+    names = classes.withColumnRenamed("node", "__node")
+    return rows.join(names, F.col("node") == F.col("__node"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "h", F.coalesce("component", "node").alias("class"))
+
+
+def similar_texts(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of the row's class in text_classes; null in a class of null doc_ids only. Repeated rows stay."""
+    rows = written(text_classes(docs, text, k, similarity, tile), "similar-texts")
+    least = rows.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "class").select("doc_id", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

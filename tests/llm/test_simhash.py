@@ -116,3 +116,44 @@ def test_similar_texts(spark):
     small = {r.doc_id: r.component_id for r in sh.similar_texts(docs, tile=3).collect()}
     assert small == got
     assert sh.similar_texts(docs.limit(0)).count() == 0
+
+
+def test_similar_texts_are_exact_around_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda w: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+    docs = {}
+    for i in range(0, 800, 2):  # 1 to 14 edits, each of which costs up to five of 196 shingles: similarities from 0.5 to 0.95
+        w = [f"w{i}x{j}" for j in range(200)]
+        near = list(w)
+        for p in rng.choice(200, 1 + i // 2 % 14, replace=False):
+            near[p] = "edited"
+        docs[i], docs[i + 1] = w, near
+    for i in range(1000, 1080, 2):  # exactly 0.8: 36 shingles of which 32 are common
+        w = [f"e{i}x{j}" for j in range(40)]
+        docs[i], docs[i + 1] = w, w[:-4] + [f"f{j}" for j in range(4)]
+    passage = [f"p{j}" for j in range(100)]
+    for i in range(2000, 2040):  # one passage that all hold, alike to less than 0.8
+        docs[i] = passage + [f"q{i}x{j}" for j in range(16)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    near = {i: jaccard(grams(docs[i]), grams(docs[i + 1])) >= 0.8 for i in [*range(0, 800, 2), *range(1000, 1080, 2)]}
+    assert all(near[i] for i in range(1000, 1080, 2)) and 0 < sum(near.values()) - 40 < 400
+    for tile in (sh.TILE, 5):
+        got = {r.doc_id: r.component_id for r in sh.similar_texts(frame, tile=tile).collect()}
+        assert {i: got[i + 1] == i for i in near} == near
+        assert all(got[i] == i for i in range(2000, 2040))
+
+
+def test_links_that_leaders_miss(spark):
+    # a chain: each text is alike to its neighbours only
+    w = [f"w{j}" for j in range(300)]
+    rows = [(i, " ".join(w[5 * i : 5 * i + 60])) for i in range(45)]
+    got = {r.doc_id: r.component_id for r in sh.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), tile=3).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_one_id_with_two_texts_joins_no_classes(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    got = sh.similar_texts(spark.createDataFrame([(7, a), (7, b), (8, a), (9, b)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(7, 7), (7, 7), (8, 7), (9, 7)]
+    assert sh.text_classes(spark.createDataFrame([(7, a), (7, b)], "doc_id long, text string")).select("class").distinct().count() == 2
