@@ -18,17 +18,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each class of texts alike to 0.8 in five-word shingles; exact repeats of a row count once, rows without a doc_id stay."""
-    classes = simhash.similar_texts(docs)
-    gone = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
+    """One row of each class of texts alike to 0.8 in five-word shingles, that of the smallest doc_id, null ids last; the row decides, not its doc_id alone."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    first = simhash.text_classes(docs).groupBy("class").agg(F.min_by(F.struct("doc_id", "h"), order).alias("row"))
+    first = first.select(F.col("row.doc_id").alias("__id"), F.col("row.h").alias("__h"))
+    rows = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left_semi")
     return left.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain no benchmark item; a text is told by its hash, as a doc_id may be null or stand for several texts."""
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    found = decontam.contaminated(rows.select(F.col("__text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("__text")).distinct(), "__text", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,18 @@ def test_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder[0]).count() == 0
+
+
+def test_rows_decide_and_not_their_ids(spark, tmp_path):
+    rnd = random.Random(7)
+    a, b, c, d, item = (text(rnd, "en", 80) for _ in range(5))
+    near = a.split()
+    near[10] = "edited"
+    rows = [(1, a), (2, " ".join(near)), (2, b), (None, a), (None, c), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, c)], key=str)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, d), (1, item + " " + d), (None, item), (None, c)], "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.benchmark_free(spark, docs, f"file://{tmp_path}").collect()]
+    assert sorted(got, key=str) == sorted([(1, d), (None, c)], key=str)
