@@ -3,7 +3,7 @@
 Every rolling K-gram of a text's words is joined with the places of the same gram in license templates. A match at
 text place p and template place t votes for the diagonal p - t; neighbouring diagonals, as a word
 more or less makes them, are merged, and a span is verified by the share of the template's grams it
-holds. Native functions only.
+holds and, in families of licenses that a word changes, by having just the changing words of its template. Native functions only.
 """
 
 from __future__ import annotations
@@ -36,19 +36,47 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("public-domain", "this work has been released into the public domain"),
     ("reserved", "all rights reserved"),
+    ("agpl", "it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "made available under the terms of the eclipse public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+_CC = {"nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}
+for _parts in (["nc"], ["sa"], ["nd"], ["nc", "sa"], ["nc", "nd"]):
+    _label = "-".join(["cc-by", *_parts])
+    TEMPLATES.append((_label, f"this work is licensed under a creative commons attribution {' '.join(_CC[x] for x in _parts)} 4 0 international license"))
+    TEMPLATES += [(_label, f"licensed under cc by {' '.join(_parts)} 4 0")] * (_parts != ["nc"])
+
+#: Words that change a license of the family, by what they mean; a span must have just those of its template.
+CHANGES = {
+    "cc-by": {"nc": "nc noncommercial commercial", "sa": "sa sharealike alike", "nd": "nd noderivatives noderivs derivatives derivs"},
+    "gpl": {"lesser": "lesser library", "affero": "affero"},
+}
+FAMILIES = {"agpl": "gpl", "gpl": "gpl", "lgpl": "gpl"}
+MEANS = {w: f"{family}:{code}" for family, codes in CHANGES.items() for code, words in codes.items() for w in words.split()}
+
+
+def family_of(label: str) -> str:
+    return FAMILIES.get(label, "cc-by" if label.startswith("cc-by") else "")
+
+
+def changes_of(label: str, words: list[str]) -> str:
+    """The sorted meanings of a template's words that change a license of its family."""
+    return ",".join(sorted({MEANS[w] for w in words if MEANS.get(w, "").startswith(f"{family_of(label)}:")}))
 
 
 def signed(h: int) -> int:
     return h - (h >> 63 << 64)
 
 
-def template_grams(k: int = K) -> list[tuple[int, str, int, str, int, int]]:
-    """(template, label, place, gram, hash, grams of the template)."""
+def template_grams(k: int = K) -> list[tuple[int, str, int, str, int, int, str, str]]:
+    """(template, label, place, gram, hash, grams of the template, family, changing words)."""
     out = []
     for n, (label, words) in enumerate((label, t.split()) for label, t in TEMPLATES):
         grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-        out += [(n, label, i, g, signed(xxhash.xxh64_intdigest(g.encode(), 42)), len(grams)) for i, g in enumerate(grams)]
+        out += [(n, label, i, g, signed(xxhash.xxh64_intdigest(g.encode(), 42)), len(grams), family_of(label), changes_of(label, words)) for i, g in enumerate(grams)]
     return out
 
 
@@ -75,6 +103,8 @@ def features(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     hash_ = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("words", i + j) for j in range(k)]))
     # the join below is an inner one, so grams that no template has can go before they become rows
     places = F.when(F.col("n_words") >= k, F.filter(F.sequence(F.lit(0), F.col("n_words").cast("int") - k), lambda i: hash_(i).isin(hashes)))
+    meaning = F.create_map(*[F.lit(x) for kv in MEANS.items() for x in kv])
+    changing = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), F.when(w.isin(list(MEANS)), F.element_at(meaning, w)).alias("means"))), lambda x: x.means.isNotNull())
     last = F.element_at("parts", -1)
     return rows.select(
         "doc_id", "h", "n_words", F.size("found").cast("long").alias("n_base"),
@@ -82,23 +112,34 @@ def features(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
         F.when(F.size("found") > 0, F.col("n_words") - (_spaces(last) - 1) - (_spaces(F.element_at("found", -1)) + 1)).cast("long").alias("last_word"),
         F.array_distinct(F.transform("found", lambda p: F.element_at(F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv]), p))).alias("base"),
         F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.struct(i.alias("place"), hash_(i).alias("hash"), gram(i).alias("gram"))).alias("hits"),
+        F.when(F.size(places) > 0, changing).alias("changing"),
     )
 
 
 def spans(rows: DataFrame, k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, h, label, start, end, coverage): verified license spans, in words."""
     # the templates are a fixed list of a few hundred grams
-    grams = F.broadcast(rows.sparkSession.createDataFrame(template_grams(k), "template int, label string, at int, gram string, hash long, grams int"))
+    grams = F.broadcast(rows.sparkSession.createDataFrame(template_grams(k), "template int, label string, at int, gram string, hash long, grams int, family string, changes string"))
     hits = rows.filter(F.size("hits") > 0).select("doc_id", "h", F.explode("hits").alias("hit")).select("doc_id", "h", "hit.*")
     met = hits.join(grams, ["hash", "gram"]).withColumn("diagonal", F.col("place") - F.col("at"))
     key = ["doc_id", "h", "template"]
-    lines = met.groupBy(*key, "label", "grams", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("place").alias("low"), F.max("place").alias("high"))
+    about = ["label", "grams", "family", "changes"]
+    lines = met.groupBy(*key, *about, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("place").alias("low"), F.max("place").alias("high"))
     by_diagonal = Window.partitionBy(*key).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > drift, F.lit(True))
     lines = lines.withColumn("new", apart.cast("int")).withColumn("band", F.sum("new").over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0)))
-    bands = lines.groupBy(*key, "label", "grams", "band").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("low").alias("start"), (F.max("high") + k).alias("end"))
+    bands = lines.groupBy(*key, *about, "band").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("low").alias("start"), (F.max("high") + k).alias("end"))
     share = F.size("ats") / F.col("grams")
-    return bands.withColumn("coverage", share).filter(F.col("coverage") >= coverage).select("doc_id", "h", "label", "start", "end", "coverage")
+    bands = bands.withColumn("coverage", share).filter(F.col("coverage") >= coverage)
+    # words that were put in may have cut a template's beginning or end off
+    low, high = F.col("start") - F.array_min("ats") - 2 * drift * (F.array_min("ats") > 0).cast("int"), F.col("end") + F.col("grams") - 1 - F.array_max("ats")
+    high = high + 2 * drift * (F.array_max("ats") < F.col("grams") - 1).cast("int")
+    texts = rows.filter(F.size("hits") > 0).groupBy("doc_id", "h").agg(F.first("changing").alias("changing"))
+    texts = texts.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "changing")
+    met = bands.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
+    own = F.filter("changing", lambda x: (x.place >= low) & (x.place < high) & x.means.startswith(F.concat("family", F.lit(":"))))
+    changed = F.array_join(F.array_sort(F.array_distinct(F.transform(own, lambda x: x.means))), ",")
+    return met.filter((F.col("family") == "") | (changed == F.col("changes"))).select("doc_id", "h", "label", "start", "end", "coverage")
 
 
 def scanned(docs: DataFrame, text: str = "text", k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:

@@ -42,3 +42,12 @@ def test_templates_with_edits(spark):
     for i, _, label in rows:
         assert label in got[i].labels.split(",") and (got[i].score >= lc.COVERAGE or not label), (i, got[i])
     assert got[500].labels == got[501].labels == ""
+
+
+def test_words_that_change_a_license(spark):
+    cc = "see this. This work is licensed under a Creative Commons Attribution{} 4.0 International License. More text"
+    rows = [(cc.format(""), "cc-by"), (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"), (cc.format("-NoDerivatives"), "cc-by-nd"), (cc.format(" Non Commercial No Derivatives"), "cc-by-nc-nd")]
+    rows += [(cc.format(" that in no way is for any commercial"), ""), ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(None, rows[1][0])], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in lc.scanned(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for _, x in rows] and got[None] == "cc-by-nc-sa"
