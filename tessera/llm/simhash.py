@@ -8,9 +8,9 @@ lanes are abandoned once every one of them is beyond the radius. Buckets over TI
 in pairs of sub-blocks, each in a task of its own, so that a hot bucket spreads over the cluster.
 Buckets return links that span their components and not all pairs.
 
-A similarity of 0.8 lies far beyond a radius that so few bits can search. `text_classes` therefore joins sets of shingles by
-prefix filtering, which loses no pair, and compares candidates exactly. Likely pairs are compared first, so that groups of near copies are known
-and only pairs between different groups remain.
+A similarity of 0.8 lies far beyond a radius that so few bits can search. `text_classes` therefore takes SimHash links as likely pairs only: each is
+compared exactly, so that groups of near copies are known, and the pairs between different groups are completed by prefix filtering over the
+sets of shingles, which loses no pair.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import discard, partitions, table, written
 from .components import connected_components
 
 SHINGLE, RADIUS, TILE, SMALL = 4, 4, 2048, 16
 #: Rows that a bucket of the exact search may hold on average before the bits are cut into more blocks.
 EXACT_ROWS = 512
 #: Of similar_texts: words a shingle, Jaccard similarity, least shingles a text is led by; rows sampled for common shingles, and how many of these are kept.
-SIMILAR_SHINGLE, SIMILARITY, LEADS, SAMPLE_ROWS, COMMON = 5, 0.8, 4, 20_000, 300_000
+SIMILAR_SHINGLE, SIMILARITY, LEADS, SAMPLE_ROWS, COMMON = 5, 0.8, 4, 10_000, 300_000
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -50,7 +50,11 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
 
 
 def simhash(text: str | None, k: int = SHINGLE) -> int:
-    h = shingle_hashes(text, k)
+    return majority(shingle_hashes(text, k))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are 1 in over half the hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -161,17 +165,10 @@ def spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def words_in(column: pd.Series) -> np.ndarray:
-    """Fingerprints (n, words) of a column of bigints or of little-endian bytes."""
-    if column.dtype == np.int64:
-        return column.to_numpy().view(np.uint64)[:, None]
-    return np.frombuffer(b"".join(column), "<u8").reshape(len(column), -1)
-
-
 def _links(radius: int):
-    def group_links(fps, reps, starts):
+    def group_links(own, starts):
         """Links of the buckets that begin at the given places of one sorted run."""
-        sizes = np.diff(starts)
+        fps, sizes = own.view(np.uint64)[:, None], np.diff(starts)
         us, vs = [], []
         for m in range(2, SMALL + 1):
             first = starts[:-1][sizes == m]
@@ -179,12 +176,12 @@ def _links(radius: int):
                 i, j = np.triu_indices(m, 1)
                 i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
                 ok = pairs_within(fps, i, j, radius)
-                us.append(reps[i[ok]])
-                vs.append(reps[j[ok]])
+                us.append(own[i[ok]])
+                vs.append(own[j[ok]])
         for s, m in zip(starts[:-1][sizes > SMALL], sizes[sizes > SMALL]):
             i, j = spanning(fps[s : s + m], radius)
-            us.append(reps[s + i])
-            vs.append(reps[s + j])
+            us.append(own[s + i])
+            vs.append(own[s + j])
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}) if us else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,11 +195,11 @@ def _links(radius: int):
             last = int(cuts[-1]) if len(cuts) else 0
             rest = b.iloc[last:]
             if last:
-                out = group_links(words_in(b["fp"]), b["rep"].to_numpy(np.int64), np.array([0, *cuts.tolist()]))
+                out = group_links(b["fp"].to_numpy(np.int64), np.array([0, *cuts.tolist()]))
                 if out is not None and len(out):
                     yield out
         if rest is not None:
-            out = group_links(words_in(rest["fp"]), rest["rep"].to_numpy(np.int64), np.array([0, len(rest)]))
+            out = group_links(rest["fp"].to_numpy(np.int64), np.array([0, len(rest)]))
             if out is not None and len(out):
                 yield out
 
@@ -218,19 +215,18 @@ def blocks_for(n: int, radius: int = RADIUS) -> int:
 
 
 def near_links(nodes: DataFrame, radius: int, blocks: int, tile: int = TILE) -> DataFrame:
-    """(u, v): links between the `rep`s of distinct `fp`s, spanning the components of all pairs within the radius."""
+    """(u, v): links between distinct `fp`s, spanning the components of all pairs within the radius."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
     for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(((1 << edges[c + 1]) - (1 << edges[c])) for c in chosen)
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
-    dealt = nodes.filter("rep IS NOT NULL").select("fp", "rep", F.explode(F.array(*keys)).alias("bucket"))
-    return bucket_links(dealt, radius, tile)
+    return bucket_links(nodes.select("fp", F.explode(F.array(*keys)).alias("bucket")), radius, tile)
 
 
 def bucket_links(dealt: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """(u, v): links of rows (bucket, fp, rep) within the radius, by bucket; hot buckets are cut into tiles."""
+    """(u, v): links of fingerprints (bucket, fp) within the radius, by bucket; hot buckets are cut into tiles."""
     n = partitions(dealt.sparkSession)
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     hot = written(sizes.filter(F.col("n") > tile).select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("cuts")), "hot-buckets")
@@ -238,22 +234,23 @@ def bucket_links(dealt: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", "bucket"), F.col("cuts")).cast("int")
     pair = lambda i: F.least(own, i).cast("long") * F.col("cuts") + F.greatest(own, i) + 1
     tiles = F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1), pair))
-    dealt = dealt.select("bucket", "fp", "rep", F.explode(tiles).alias("tile")).repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile")
+    dealt = dealt.select("bucket", "fp", F.explode(tiles).alias("tile")).repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile")
     return dealt.mapInPandas(_links(radius), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """doc_id, fp (bigint) and component_id, the smallest doc_id reachable over fingerprints at most `radius` bits apart.
 
-    Null and wordless texts have fingerprint 0 and link as any other; repeated rows stay; a row whose
-    fingerprint occurs with null doc_ids only has component_id null. Other columns are ignored.
+    Null and wordless texts have fingerprint 0 and link as any other. Fingerprints are linked and not ids: a row without a doc_id links as any other, an
+    id with two texts joins nothing, and a component of null doc_ids only has component_id null. Repeated rows stay; an empty table gives an empty
+    one; other columns are ignored.
     """
     prints = written(with_fingerprint(docs, text, k), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     comp = connected_components(near_links(nodes, radius, blocks or blocks_for(nodes.count(), radius), tile))
-    labels = written(
-        nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-labels"
-    )
+    met = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    least = met.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = written(met.select("fp", "component").join(least, "component").select("fp", "component_id"), "simhash-labels")
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -350,14 +347,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, k:
     found = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text")).join(asked, "h")
     texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
     met = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("c")), "v")
-    return written(met.mapInPandas(run, "u long, v long"), "verified")
+    sure = written(met.mapInPandas(run, "u long, v long"), "verified")
+    discard(pairs, texts)
+    return sure
 
 
 def text_classes(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """doc_id, h (the text's xxhash64, of "" where it is null) and `class` of each row: components of the pairs of texts whose sets of k-word shingles
     have at least the Jaccard similarity. No pair is lost and none is guessed: candidates come from prefix filtering and are compared exactly.
 
-    Texts without a word are one class. Sets are sets of 64-bit hashes.
+    Null texts and texts without a word are one class, repeated rows stay, doc_ids may be null or stand for several texts, an empty table gives an
+    empty one, other columns are ignored. Sets are sets of 64-bit hashes.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, k))
 
@@ -365,21 +365,28 @@ def text_classes(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE,
         for b in batches:
             rows = []
             for t in b["text"]:
-                h = np.unique(shingle_hashes(t, k))
+                all_ = shingle_hashes(t, k)
+                h, fp = np.unique(all_), int(np.uint64(majority(all_)).view(np.int64))
                 least = [int(mixed(h, w).min().view(np.int64)) for w in range(1, LEADS + 1)] if len(h) else []
-                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63, len(h), least, prefix_of(h, common.value, similarity).tobytes()))
-            yield pd.concat([b[["doc_id", "h"]], pd.DataFrame(rows, columns=["node", "n", "least", "prefix"], index=b.index)], axis=1)
+                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63, len(h), fp, least, prefix_of(h, common.value, similarity).tobytes()))
+            yield pd.concat([b[["doc_id", "h"]], pd.DataFrame(rows, columns=["node", "n", "fp", "least", "prefix"], index=b.index)], axis=1)
 
     # pandas turns a bigint column with nulls into floats, so the id goes as text
     kept = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
-    rows = written(kept.mapInPandas(read, "doc_id string, h long, node long, n long, least array<long>, prefix binary"), "shingled")
-    nodes = written(rows.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("prefix").alias("prefix")), "shingled-nodes")
-
-    # first the likely pairs, a few a text: with the leaders of those that share a least shingle
+    rows = written(kept.mapInPandas(read, "doc_id string, h long, node long, n long, fp long, least array<long>, prefix binary"), "shingled")
+    nodes = written(rows.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("prefix").alias("prefix")), "shingled-nodes")
+
+    # first the likely pairs: bit-sliced SimHash links, and the leaders of texts that share a least shingle
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "shingled-prints")
+    near = near_links(prints, RADIUS, blocks_for(prints.count()), tile)
+    own = nodes.join(prints, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    first = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    across = near.join(first("u"), "u").join(first("v"), "v").select(F.col("u_first").alias("a"), F.col("v_first").alias("b"))
     dealt = nodes.select("node", F.posexplode("least").alias("w", "key"))
     leaders = dealt.groupBy("w", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    led = dealt.join(leaders, ["w", "key"]).select("node", F.explode(F.array("low", "high")).alias("lead")).filter("node <> lead")
-    sure = verified(led.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct(), nodes, docs, text, k, similarity)
+    led = dealt.join(leaders, ["w", "key"]).select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    likely = own.union(across).union(led).filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    sure = verified(likely, nodes, docs, text, k, similarity)
     comp = written(connected_components(sure), "led")
 
     # then every pair of different components that can still reach the similarity
@@ -404,6 +411,7 @@ def text_classes(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE,
     met = met.repartition(partitions(docs.sparkSession), "gram", "tile").sortWithinPartitions("gram", "tile")
     more = verified(met.mapInPandas(_candidates(similarity), "u long, v long").distinct(), nodes, docs, text, k, similarity)
     classes = written(connected_components(sure.union(more)), "classes")
+    discard(nodes, prints, comp, live, sure, more)
     names = classes.withColumnRenamed("node", "__node")
     return rows.join(names, F.col("node") == F.col("__node"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "h", F.coalesce("component", "node").alias("class"))
 

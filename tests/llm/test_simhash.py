@@ -5,22 +5,28 @@ from tessera.llm import simhash as sh
 
 
 def brute(rows, k=4, radius=4):
-    fps = {}
+    """(doc_id, fingerprint, component_id) of every row: all pairs of rows are compared, ids decide nothing."""
     prints = [(i, sh_ref(t, k)) for i, t in rows]
-    ids = sorted({i for i, _ in prints if i is not None})
-    of = {i: i for i in ids}
+    of = list(range(len(prints)))
 
     def find(x):
         while of[x] != x:
             x = of[x]
         return x
 
-    for a, x in prints:
-        for b, y in prints:
-            if None not in (a, b) and bin(x ^ y).count("1") <= radius:
-                p, q = find(a), find(b)
-                of[max(p, q)] = min(p, q)
-    return sorted((a, x, find(a)) for a, x in prints if a is not None), fps
+    for a in range(len(prints)):
+        for b in range(a):
+            if bin(prints[a][1] ^ prints[b][1]).count("1") <= radius:
+                of[max(find(a), find(b))] = min(find(a), find(b))
+    ids = {}
+    for n, (i, _) in enumerate(prints):
+        ids.setdefault(find(n), []).append(i)
+    least = {r: min((i for i in found if i is not None), default=None) for r, found in ids.items()}
+    return ordered((i, x, least[find(n)]) for n, (i, x) in enumerate(prints))
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: [(x is None, x or 0) for x in r])
 
 
 def sh_ref(t, k):
@@ -42,8 +48,8 @@ def test_against_brute_force(spark):
     rows += [(1, None), (2, ""), (3, " \n\t"), (4, "one Two"), (5, "one two"), (5, "one two"), (6, "A" * 50_000)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
     for tile, blocks in ((sh.TILE, None), (5, None), (sh.TILE, 7)):
-        got = sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in sh.near_duplicates(docs, tile=tile, blocks=blocks).collect())
-        assert got == brute(rows)[0]
+        got = ordered((r.doc_id, r.fp % 2**64, r.component_id) for r in sh.near_duplicates(docs, tile=tile, blocks=blocks).collect())
+        assert got == brute(rows)
 
 
 def test_blocks_grow_with_the_corpus():
@@ -68,6 +74,35 @@ def test_null_ids_and_empty(spark):
     assert sh.near_duplicates(docs.limit(0)).count() == 0
 
 
+def chain():
+    """Three texts whose fingerprints are close in a row: the first and the last are linked by the middle one only."""
+    rng = np.random.default_rng(7)
+    while True:
+        w = [f"w{i}" for i in range(400)]
+        near = lambda of: [*of[: (p := int(rng.integers(380)))], "edited", *of[p + 1 :]]
+        b = near(w)
+        c = near(b)
+        x, y, z = (sh_ref(" ".join(t), 4) for t in (w, b, c))
+        if bin(x ^ y).count("1") <= 4 and bin(y ^ z).count("1") <= 4 < bin(x ^ z).count("1"):
+            return [" ".join(t) for t in (w, b, c)]
+
+
+def test_links_go_through_rows_without_an_id(spark):
+    a, b, c = chain()
+    for middle in (3, None):
+        rows = [(1, a), (middle, b), (2, c), (None, "quite another text"), (9, "and one more")]
+        got = sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert ordered((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == brute(rows)
+        assert {r.component_id for r in got if r.doc_id in (1, 2, middle) and r.component_id} == {1}
+
+
+def test_one_id_on_two_texts_joins_nothing(spark):
+    rows = [(1, "the first text of all"), (1, "something else is here"), (2, "the first text of all"), (3, "something else is here")]
+    got = sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ordered((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == brute(rows)
+    assert len({r.fp for r in got}) == 2
+
+
 def test_wide_lanes():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 2**63, (150, 4), dtype=np.int64).view(np.uint64)
