@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, mixing, simhash, token_files
-from tessera.llm.common import new_folder, table
+from tessera.llm.common import new_folder, shuffles_freed, table, written
 
 BUDGET = 0.8
 
@@ -19,12 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of texts alike to 0.8 in five-word shingles, that of the smallest doc_id, null ids last; the row decides, not its doc_id alone."""
+    key = lambda h: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), h)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    first = simhash.text_classes(docs).groupBy("class").agg(F.min_by(F.struct("doc_id", "h"), order).alias("row"))
-    first = first.select(F.col("row.doc_id").alias("__id"), F.col("row.h").alias("__h"))
-    rows = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left_semi")
-    return left.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    first = simhash.text_classes(docs).groupBy("class").agg(F.min_by(key(F.col("h")), order).alias("__key")).select("__key")
+    rows = docs.withColumn("__key", key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    return rows.dropDuplicates(["__key"]).join(written(first, "kept"), "__key", "left_semi").select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with shuffles_freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
