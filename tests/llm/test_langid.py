@@ -42,3 +42,28 @@ def test_nothing_learned_and_empty(spark):
     content = langid.fit(none)
     assert content == {} and langid.predict(docs, content).first().lang_pred == "und"
     assert langid.predict(docs.limit(0), {"aa": b" a b "}).count() == 0
+
+
+def test_sizes_are_those_of_the_whole_text_at_one_level(spark):
+    import zstandard as zstd
+
+    content = langid.fit(spark.createDataFrame(list(texts(120, 5)), "doc_id long, text string, lang string"))
+    model = langid.Classifier(content)
+    for text in ("stone", "water Stone, 12 rivers!", " ".join(t for _, t, _ in texts(60, 6)), "x" * 20_000, "é" * 9_000):
+        data = langid.letters_of(text)
+        pieces = list(langid.chunks_of(data))
+        assert b"".join(pieces) == data and all(0 < len(p) <= langid.CHUNK for p in pieces)
+        for lang, size in zip(content, model.sizes(text)):
+            d = zstd.ZstdCompressionDict(content[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=langid.LEVEL)
+            c = zstd.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            assert size == sum(len(c.compress(p)) for p in pieces)
+        lang, _, margin = model(text)
+        best, second = sorted(model.sizes(text))[:2]
+        assert margin == (second - best) / second and model.sizes(text)[model.langs.index(lang)] == best
+
+
+def test_more_languages_than_a_few_hundred(spark):
+    rows = [(i, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x " * 12, f"l{i:03d}") for i in range(150)]
+    content = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(content) == 150
