@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-
 
 def half_up(x: Column, places: int = 4) -> Column:
     """Rounds halves towards plus infinity; Spark's round() takes them away from zero."""
@@ -25,11 +23,6 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
-def gated(value: Column, sample: Column, least: int) -> Column:
-    """The value where the sample is large enough."""
-    return F.when(sample >= least, value)
-
-
 def status(sample: Column, least: int, known: Column | None = None) -> Column:
     """available, insufficient_sample, or source_unavailable where nothing is known."""
     out = F.when(F.coalesce(sample, F.lit(0)) >= least, "available").otherwise("insufficient_sample")
@@ -40,10 +33,6 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def hours_between(later: Column, earlier: Column) -> Column:
-    return F.timestamp_diff("SECOND", earlier, later) / 3600.0
-
-
 def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
 

@@ -40,8 +40,8 @@ def emitted_once(df: DataFrame, dedupe: list[str], order: list[str]) -> DataFram
 
 
 def cadence(minutes_left: Column) -> Column:
-    """Polling interval in minutes by the time that is left; null once it has begun."""
-    return F.when(minutes_left < 0, None).when(minutes_left <= 360, 15).when(minutes_left <= 1440, 30).when(minutes_left <= 10080, 120).otherwise(360)
+    """Polling interval in minutes: 15 from three hours before the start to two after it, else by the time that is left; far where nothing is ahead."""
+    return F.when(minutes_left.between(-120, 180), 15).when(minutes_left <= 0, 360).when(minutes_left <= 1440, 30).when(minutes_left <= 10080, 120).otherwise(360)
 
 
 def temporal_gate(at: Column, now: Column, days: int, exempt: Column) -> Column:

@@ -94,11 +94,36 @@ def canonical(df: DataFrame, merges: DataFrame, id_: str, old: str = "merged_id"
 
 
 def name_quality(name: Column) -> Column:
-    """ok, or why a printed name is no name: empty, placeholder, single or short."""
-    words = tokens(F.lower(name))
-    letters = F.length(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}]", ""))
-    placeholder = F.lower(F.trim(name)).rlike(r"^(tba|tbd|tbc|unknown|unnamed|opponent|n/?a)\b")
-    return F.when(letters == 0, "empty").when(placeholder, "placeholder").when(F.size(words) < 2, "single").when(letters < 4, "short").otherwise("ok")
+    """ok, or why a printed name is no name: placeholder (also empty), short (under four letters and digits) or long (over 120)."""
+    v = F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " "))
+    letters = F.length(F.replace(v, F.lit(" "), F.lit("")))
+    squashed = F.when(v.rlike("^[a-z]( [a-z])*$"), F.replace(v, F.lit(" "), F.lit(""))).otherwise(v)
+    placeholder = v.isin("", "opponent") | v.rlike("^(opponent )?(tbd|tba|tbc|to be (announced|confirmed|determined))( (tbd|tba|tbc|opponent))*$") | squashed.rlike("^(tbd|tba|tbc)+$")
+    return F.when(placeholder, "placeholder").when(letters < 4, "short").when(F.length(v) > 120, "long").otherwise("ok")
+
+
+def edit_pairs(df: DataFrame, value: str, edits: int) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of different values at most `edits` edits apart; nulls pair with nothing.
+
+    A value is cut into edits + 1 pieces, one of which stands unchanged in any value so near, moved by at most `edits` places: the pieces meet in an equi-join, and what meets is measured. Values of at
+    most `edits` characters have no such pieces and meet by their lengths.
+    """
+    d = edits
+    v = df.select(F.col(value).alias("v")).filter("v IS NOT NULL").distinct().withColumn("m", F.length("v"))
+    pieces = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("m") * i / (d + 1)).cast("int").alias("at"), F.floor(F.col("m") * (i + 1) / (d + 1)).cast("int").alias("to")) for i in range(d + 1)])
+    base = v.filter(F.col("m") > d).select(F.col("v").alias("a"), F.col("m").alias("n"), F.explode(pieces).alias("p"))
+    base = base.select("a", "n", F.col("p.i").alias("i"), F.substring("a", F.col("p.at") + 1, F.col("p.to") - F.col("p.at")).alias("piece"))
+    asked = v.select("v", "m", F.explode(F.sequence(F.greatest(F.lit(d + 1), F.col("m") - d), F.greatest(F.lit(d + 1), F.col("m") + d))).alias("n"))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(d)))).withColumn("shift", F.explode(F.sequence(F.lit(-d), F.lit(d))))
+    at = F.floor(F.col("n") * F.col("i") / (d + 1)).cast("int")
+    size = F.floor(F.col("n") * (F.col("i") + 1) / (d + 1)).cast("int") - at
+    asked = asked.withColumn("at", at + F.col("shift")).withColumn("size", size).filter("at >= 0 AND at + size <= m")
+    asked = asked.select("v", "n", "i", F.substring("v", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    met = base.join(asked, ["n", "i", "piece"]).select("a", F.col("v").alias("b"))
+    short = v.filter(F.col("m") <= d).select(F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.col("m") + d)).alias("m"))
+    met = met.union(short.join(v, "m").select("a", F.col("v").alias("b"))).filter("a <> b")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b", d).cast("long")).filter("distance >= 0")
 
 
 def scrubbed(text: Column) -> Column:

@@ -57,3 +57,19 @@ def differentials(subjects: DataFrame, pairs: DataFrame, id_: str, a: str, b: st
     """Pairs with the difference of each measure, null where either side lacks it."""
     side = lambda name, p: subjects.select(F.col(id_).alias(name), *[F.col(m).alias(f"{p}_{m}") for m in measures])
     return pairs.join(side(a, "a"), a).join(side(b, "b"), b).withColumns({f"d_{m}": F.col(f"a_{m}") - F.col(f"b_{m}") for m in measures})
+
+
+def against_others(df: DataFrame, panel: list[str], vote: str) -> DataFrame:
+    """(panel, vote, members, comparable, different): how many members of a panel with a vote can be compared, and differ, with the strict majority of the others.
+
+    A member's own vote is not in the majority it is compared with, and it takes two others at least. Null votes are none. Votes are few kinds, so a panel's tally is short.
+    """
+    tally = df.filter(F.col(vote).isNotNull()).groupBy(*panel, vote).agg(F.count("*").alias("n"))
+    panels = tally.groupBy(*panel).agg(F.collect_list(F.struct("n", vote)).alias("all_"), (F.sum("n") - 1).alias("others"))
+    one = panels.select(*panel, "all_", "others", F.explode("all_").alias("own"))
+    top = F.array_max(F.transform("all_", lambda x: F.struct((x.n - (x[vote] == F.col(f"own.{vote}")).cast("int")).alias("n"), x[vote].alias("vote"))))
+    met = one.withColumn("top", top).withColumn("ok", (F.col("others") >= 2) & (F.col("top.n") * 2 > F.col("others")))
+    return met.select(
+        *panel, F.col(f"own.{vote}").alias(vote), F.col("own.n").alias("members"), F.when(F.col("ok"), F.col("own.n")).otherwise(0).alias("comparable"),
+        F.when(F.col("ok") & (F.col("top.vote") != F.col(f"own.{vote}")), F.col("own.n")).otherwise(0).alias("different"),
+    )

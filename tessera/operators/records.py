@@ -48,14 +48,36 @@ def first_match(df: DataFrame, lookups: list[tuple[DataFrame, dict[str, str], st
 
 
 def unified(held: DataFrame, subject: list[str], body: str, holder: str, age_days: str, bodies: int, stale_after: int) -> DataFrame:
-    """What the bodies' current holders amount to: undisputed, unified, split, vacant or stale."""
-    fresh = F.when(F.col(age_days) <= stale_after, F.col(holder))
-    found = held.groupBy(*subject).agg(F.count_distinct(F.when(F.col(age_days) > stale_after, F.col(body))).alias("stale"), F.count_distinct(fresh).alias("holders"), F.count(fresh).alias("belts"), F.min(fresh).alias("one"))
-    state = (
-        F.when((F.col("stale") == 0) & (F.col("holders") == 1) & (F.col("belts") == bodies), "undisputed").when(F.col("belts") == 0, F.when(F.col("stale") > 0, "stale").otherwise("vacant"))
-        .when(F.col("belts") > F.col("holders"), "unified").otherwise("split")
+    """(subject, state, complete, holders, belts, holder): what the bodies' documents amount to, a row (subject, body, holder, age) each.
+
+    A document is stale if it is more than `stale_after` days older than the subject's newest one; a body without a holder is vacant; else its holder counts. One holder of
+    all bodies is undisputed, one of two or more unified; else a missing or stale document leaves the subject incomplete, and otherwise the state is none.
+    """
+    newest = held.groupBy(*subject).agg(F.min(age_days).alias("__newest"))
+    met = held.join(newest, subject).withColumn("__stale", F.coalesce(F.col(age_days) > F.col("__newest") + stale_after, F.lit(True)))
+    own = met.groupBy(*subject, F.when(~F.col("__stale"), F.col(holder)).alias("__holder")).agg(F.count_distinct(body).alias("n"), F.count_if("__stale").alias("stale"))
+    kept = F.col("__holder").isNotNull()
+    found = own.groupBy(*subject).agg(
+        F.sum("n").alias("documents"), F.sum("stale").alias("stale"), F.count("__holder").alias("holders"), F.coalesce(F.max(F.when(kept, F.col("n"))), F.lit(0)).alias("belts"),
+        F.min(F.when(kept & (F.col("n") == bodies), F.col("__holder"))).alias("holder"),
     )
-    return found.select(*subject, state.alias("state"), "holders", "belts", F.when(state == "undisputed", F.col("one")).alias("holder"))
+    complete = (F.col("documents") == bodies) & (F.col("stale") == 0)
+    state = F.when(F.col("belts") == bodies, "undisputed").when(F.col("belts") >= 2, "unified").when(~complete, "incomplete").otherwise("none")
+    return found.select(*subject, state.alias("state"), complete.alias("complete"), "holders", "belts", "holder")
+
+
+def decision(cards: Column, a: Column, b: Column, missing: Column) -> tuple[Column, Column, Column]:
+    """(outcome, winner_side, decision_type) of a panel: its cards, those for either side, and those without a total, one of which voids all.
+
+    One card is the referee's. A side needs over half of the cards; a draw has its kinds as a win has.
+    """
+    draws = cards - a - b
+    known = (cards > 0) & (missing == 0)
+    most, rest = F.greatest(a, b), F.least(a, b)
+    won = F.when(cards == 1, draws == 0).otherwise(most * 2 > cards)
+    kind = F.when(cards == 1, "referee").when(won, F.when(most == cards, "unanimous").when(rest == 0, "majority").otherwise("split"))
+    kind = F.coalesce(kind, F.when(draws == cards, "unanimous").when(draws * 2 > cards, "majority").otherwise("split"))
+    return F.when(known, F.when(won, "win").otherwise("draw")), F.when(known & won, F.when(a > b, "a").otherwise("b")), F.when(known, kind)
 
 
 def result_code(outcome: Column, winner: Column, me: Column) -> Column:

@@ -77,13 +77,17 @@ def interval_of(df: DataFrame, value: Column, bands: list[tuple[str, float | Non
     return df.withColumn(name, out)
 
 
-def overlapping(df: DataFrame, keys: list[str], id_: str, start: str, end: str) -> DataFrame:
-    """Pairs of rows of one key whose closed intervals overlap, found against the running latest end.
+def overlapping(df: DataFrame, keys: list[str], id_: str, start: str, end: str, days: int = 90) -> DataFrame:
+    """(keys, first_id, second_id): all pairs of rows of one key whose closed intervals overlap, the smaller id first.
 
-    Only neighbours in start order with an overlap are joined: a row overlaps some earlier one exactly if it starts no
-    later than the latest end so far.
+    A null end is open, a row with a null start overlaps nothing. Intervals are dealt to time buckets of `days`, so that a key with many rows spreads, and a pair is told in the
+    bucket in which its later interval starts. No interval of a key starts after its latest start, so that open ones need no bucket beyond it.
     """
-    w = Window.partitionBy(*keys).orderBy(start, id_)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    held = df.withColumn("latest_end", F.max(F.struct(F.coalesce(F.col(end), F.lit("9999-12-31").cast("timestamp_ntz")).alias("until"), F.col(id_).alias("by"))).over(before))
-    return held.filter(F.col("latest_end.until") >= F.col(start)).select(*keys, F.col("latest_end.by").alias("first_id"), F.col(id_).alias("second_id"))
+    at = lambda c: F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz")) / (days * 86400))
+    rows = df.filter(F.col(start).isNotNull()).select(*keys, F.col(id_).alias("id"), F.col(start).alias("a"), F.col(end).alias("z"))
+    latest = rows.groupBy(*keys).agg(F.max("a").alias("latest"))
+    held = rows.join(latest, keys).withColumn("b", at(F.col("a"))).withColumn("last", F.greatest("b", at(F.least("latest", "z"))))
+    first = held.select(*keys, F.col("id").alias("x"), F.col("a").alias("xa"), F.col("z").alias("xz"), F.explode(F.sequence("b", "last")).alias("b"))
+    later = held.select(*keys, F.col("id").alias("y"), F.col("a").alias("ya"), F.col("z").alias("yz"), "b")
+    met = first.join(later, [*keys, "b"]).filter((F.struct("xa", "x") < F.struct("ya", "y")) & (F.col("xz").isNull() | (F.col("xz") >= F.col("ya"))) & (F.col("yz").isNull() | (F.col("yz") >= F.col("xa"))))
+    return met.select(*keys, F.least("x", "y").alias("first_id"), F.greatest("x", "y").alias("second_id"))

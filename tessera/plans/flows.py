@@ -61,13 +61,14 @@ def emit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named(f"""
-WITH m AS (SELECT o_orderkey, date_diff('minute', TIMESTAMP '{NOW}', o_orderdate) AS left_ FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-25')
-SELECT o_orderkey, CAST(CASE WHEN left_ < 0 THEN NULL WHEN left_ <= 360 THEN 15 WHEN left_ <= 1440 THEN 30 WHEN left_ <= 10080 THEN 120 ELSE 360 END AS INTEGER) AS minutes FROM m
+WITH m AS (SELECT o_orderkey, epoch(o_orderdate - INTERVAL (o_orderkey % 300) MINUTE) - epoch(TIMESTAMP '{NOW}') AS s FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN s >= -7200 AND s <= 10800 THEN 15 WHEN s > 0 AND s <= 86400 THEN 30 WHEN s > 0 AND s <= 604800 THEN 120 ELSE 360 END AS INTEGER) AS minutes FROM m
 """)
 def cadence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often orders that are due soon should be polled."""
-    o = load(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit("2001-06-25").cast("timestamp_ntz"))
-    return o.select("o_orderkey", fl.cadence(F.timestamp_diff("MINUTE", F.lit(NOW).cast("timestamp_ntz"), F.col("o_orderdate"))).alias("minutes"))
+    """How often each order should be polled."""
+    o = load(spark, sf_dir, "orders")
+    due = F.timestamp_add("MINUTE", (-(F.col("o_orderkey") % 300)).cast("int"), F.col("o_orderdate").cast("timestamp_ntz"))
+    return o.select("o_orderkey", fl.cadence(F.timestamp_diff("SECOND", F.lit(NOW).cast("timestamp_ntz"), due) / 60.0).alias("minutes"))
 
 
 @named(f"""

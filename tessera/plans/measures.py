@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import half_up, ratio, rounded
 from tessera.operators import metrics as mt
+from tessera.operators import records as rc
 from tessera.operators.metrics import Metric
 from tessera.sources.tables import load
 
@@ -101,15 +102,17 @@ def leave_one_out_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH v AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT l_orderkey, max(n) AS votes, CAST(sum(n) AS BIGINT) AS members, arg_max(l_returnflag, (n, l_returnflag)) AS f FROM v GROUP BY l_orderkey)
-SELECT l.l_returnflag, count(*) AS lines, count(*) FILTER (votes * 2 > members AND f <> l.l_returnflag) AS against, count(*) FILTER (NOT votes * 2 > members) AS undecided FROM lineitem l JOIN m USING (l_orderkey) GROUP BY l.l_returnflag
+WITH v AS (SELECT l_orderkey AS k, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT k, CAST(sum(n) AS BIGINT) AS m FROM v GROUP BY k),
+o AS (SELECT x.k, x.f, x.n AS members, t.m - 1 AS others, max(y.n - CASE WHEN y.f = x.f THEN 1 ELSE 0 END) AS top, arg_max(y.f, y.n - CASE WHEN y.f = x.f THEN 1 ELSE 0 END) AS g
+  FROM v x JOIN v y ON x.k = y.k JOIN t ON t.k = x.k GROUP BY x.k, x.f, x.n, t.m),
+c AS (SELECT f AS l_returnflag, CAST(sum(members) AS BIGINT) AS lines, CAST(coalesce(sum(members) FILTER (others >= 2 AND top * 2 > others), 0) AS BIGINT) AS comparable,
+  CAST(coalesce(sum(members) FILTER (others >= 2 AND top * 2 > others AND g <> f), 0) AS BIGINT) AS different FROM o GROUP BY f)
+SELECT *, CASE WHEN comparable >= 10 THEN floor(CAST(different AS DOUBLE) / comparable * 10000 + 0.5) / 10000 END AS rate FROM c
 """)
 def majority_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a line's flag is against the strict majority of its order."""
-    l = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
-    m = mt.strict_majority(l, ["l_orderkey"], "l_returnflag")
-    met = l.join(m, "l_orderkey")
-    return met.groupBy("l_returnflag").agg(F.count("*").alias("lines"), F.count_if(F.col("majority") != F.col("l_returnflag")).alias("against"), F.count_if(F.col("majority").isNull()).alias("undecided"))
+    """How often a line's flag differs from the strict majority of the other lines of its order, of two others at least."""
+    found = mt.against_others(load(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag").groupBy("l_returnflag").agg(F.sum("members").alias("lines"), F.sum("comparable").alias("comparable"), F.sum("different").alias("different"))
+    return found.withColumn("rate", F.when(F.col("comparable") >= 10, half_up(ratio(F.col("different"), F.col("comparable")))))
 
 
 @named("""
@@ -150,16 +153,20 @@ def result_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH j AS (SELECT l_orderkey, count(*) AS judges, count(*) FILTER (l_quantity > 25) AS yes, count(*) FILTER (l_quantity < 25) AS no FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, judges, CASE WHEN yes = judges OR no = judges THEN 'unanimous' WHEN greatest(yes, no) * 2 > judges AND least(yes, no) = 0 THEN 'majority' WHEN greatest(yes, no) * 2 > judges THEN 'split' ELSE 'draw' END AS decision FROM j WHERE judges >= 3
+WITH j AS (SELECT l_orderkey, count(*) AS judges, count(*) FILTER (l_quantity > 25) AS a, count(*) FILTER (l_quantity < 25) AS b, count(*) FILTER (l_quantity = 25) AS d, bool_or(l_partkey % 50 = 0) AS void FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, judges,
+  CASE WHEN void THEN NULL WHEN judges = 1 AND d = 1 THEN 'draw' WHEN judges = 1 OR a > judges / 2 OR b > judges / 2 THEN 'win' ELSE 'draw' END AS outcome,
+  CASE WHEN void OR (judges = 1 AND d = 1) THEN NULL WHEN a > judges / 2 THEN 'a' WHEN b > judges / 2 THEN 'b' END AS winner_side,
+  CASE WHEN void THEN NULL WHEN judges = 1 THEN 'referee' WHEN a = judges OR b = judges OR d = judges THEN 'unanimous'
+    WHEN (a > judges / 2 AND b = 0) OR (b > judges / 2 AND a = 0) THEN 'majority' WHEN a > judges / 2 OR b > judges / 2 THEN 'split' WHEN d > judges / 2 THEN 'majority' ELSE 'split' END AS decision_type
+FROM j
 """)
 def decision_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a panel's cards amount to: unanimous, majority, split or draw."""
-    yes, no, n = F.col("yes"), F.col("no"), F.col("judges")
-    j = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("judges"), F.count_if(F.col("l_quantity") > 25).alias("yes"), F.count_if(F.col("l_quantity") < 25).alias("no")).filter("judges >= 3")
-    most = F.greatest(yes, no) * 2 > n
-    decision = F.when((yes == n) | (no == n), "unanimous").when(most & (F.least(yes, no) == 0), "majority").when(most, "split").otherwise("draw")
-    return j.select("l_orderkey", "judges", decision.alias("decision"))
+    """What a panel's cards amount to; a card of a part divisible by 50 lacks its total."""
+    q = F.col("l_quantity")
+    j = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("judges"), F.count_if(q > 25).alias("a"), F.count_if(q < 25).alias("b"), F.count_if(F.col("l_partkey") % 50 == 0).alias("missing"))
+    outcome, side, kind = rc.decision(*map(F.col, ("judges", "a", "b", "missing")))
+    return j.select("l_orderkey", "judges", outcome.alias("outcome"), side.alias("winner_side"), kind.alias("decision_type"))
 
 
 @named("""

@@ -66,16 +66,20 @@ def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH h AS (SELECT c_nationkey, c_mktsegment, arg_max(CAST(c_acctbal >= 9000 AS BIGINT) * (c_custkey % 2) + 1, (c_acctbal, c_custkey)) AS holder, CAST(min(c_custkey) % 120 AS BIGINT) AS age FROM customer GROUP BY ALL),
-f AS (SELECT c_nationkey, count(DISTINCT CASE WHEN age > 90 THEN c_mktsegment END) AS stale, count(DISTINCT CASE WHEN age <= 90 THEN holder END) AS holders, count(CASE WHEN age <= 90 THEN holder END) AS belts, min(CASE WHEN age <= 90 THEN holder END) AS one FROM h GROUP BY c_nationkey),
-s AS (SELECT *, CASE WHEN stale = 0 AND holders = 1 AND belts = 5 THEN 'undisputed' WHEN belts = 0 THEN CASE WHEN stale > 0 THEN 'stale' ELSE 'vacant' END WHEN belts > holders THEN 'unified' ELSE 'split' END AS state FROM f)
-SELECT c_nationkey, state, holders, belts, CASE WHEN state = 'undisputed' THEN one END AS holder FROM s
+WITH h AS (SELECT c_nationkey, c_mktsegment, arg_max({'h': CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 2 END}, (c_acctbal, c_custkey)).h AS holder, CAST(min(c_custkey) % 120 AS BIGINT) AS age
+  FROM (SELECT * REPLACE (CAST(c_custkey AS BIGINT) AS c_custkey) FROM customer) GROUP BY ALL),
+x AS (SELECT *, age > min(age) OVER (PARTITION BY c_nationkey) + 90 AS old FROM h),
+t AS (SELECT c_nationkey, count(*) AS docs, count(*) FILTER (old) AS stale FROM x GROUP BY c_nationkey),
+o AS (SELECT c_nationkey, holder, count(*) AS n FROM x WHERE NOT old AND holder IS NOT NULL GROUP BY ALL),
+m AS (SELECT c_nationkey, count(*) AS holders, max(n) AS belts, min(holder) FILTER (n = 5) AS holder FROM o GROUP BY c_nationkey)
+SELECT c_nationkey, CASE WHEN belts = 5 THEN 'undisputed' WHEN belts >= 2 THEN 'unified' WHEN docs < 5 OR stale > 0 THEN 'incomplete' ELSE 'none' END AS state,
+  docs = 5 AND stale = 0 AS complete, coalesce(holders, 0) AS holders, coalesce(belts, 0) AS belts, holder FROM t LEFT JOIN m USING (c_nationkey)
 """)
 def derived_unification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether one holder has a nation's titles of all segments, counting those not over 90 days old."""
-    c = load(spark, sf_dir, "customer")
-    value = (F.col("c_acctbal") >= 9000).cast("long") * (F.col("c_custkey") % 2) + 1
-    held = c.groupBy("c_nationkey", "c_mktsegment").agg(F.max_by(value, F.struct("c_acctbal", "c_custkey")).alias("holder"), (F.min("c_custkey") % 120).alias("age"))
+    """Whether one holder has a nation's titles of all segments, by documents not 90 days older than the nation's newest."""
+    c = load(spark, sf_dir, "customer").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    top = F.max_by(F.struct(F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") % 2).alias("holder")), F.struct("c_acctbal", "c_custkey"))
+    held = c.groupBy("c_nationkey", "c_mktsegment").agg(top.holder.alias("holder"), (F.min("c_custkey") % 120).alias("age"))
     return rc.unified(held, ["c_nationkey"], "c_mktsegment", "holder", "age", 5, 90)
 
 
@@ -188,15 +192,16 @@ def schedule_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey IN (3, 5)), b AS (SELECT l_orderkey FROM m GROUP BY l_orderkey HAVING count(*) = 2)
-SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS meeting FROM orders JOIN b ON o_orderkey = l_orderkey
+WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), b AS (SELECT x.l_orderkey, x.l_suppkey AS a, y.l_suppkey AS b FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey)
+SELECT a, b, o_orderkey, row_number() OVER (PARTITION BY a, b ORDER BY o_orderdate, o_orderkey) AS meeting FROM orders JOIN b ON o_orderkey = l_orderkey
 """)
 def previous_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbered meetings of two suppliers in one order: a pair's own rows only."""
-    l = load(spark, sf_dir, "lineitem").filter(F.col("l_suppkey").isin(3, 5))
-    b = l.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n")).filter("n = 2")
-    met = load(spark, sf_dir, "orders").join(b, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("pair", F.lit("3-5"))
-    return met.select("o_orderkey", "o_orderdate", F.row_number().over(Window.partitionBy("pair").orderBy("o_orderdate", "o_orderkey")).alias("meeting"))
+    """The numbered meetings of every two suppliers in one order; an order has a few lines, so its pairs are few."""
+    sides = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s"))
+    one = sides.select("l_orderkey", "s", F.posexplode("s").alias("i", "a"))
+    pairs = one.select("l_orderkey", "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    met = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(pairs, F.col("o_orderkey") == F.col("l_orderkey"))
+    return met.select("a", "b", "o_orderkey", F.row_number().over(Window.partitionBy("a", "b").orderBy("o_orderdate", "o_orderkey")).alias("meeting"))
 
 
 @named("""

@@ -50,18 +50,24 @@ def change_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named(f"""
-WITH s AS (SELECT user_id, event_type, max(ts) AS last, TIMESTAMP '{AS_OF}' + to_hours(CAST(user_id % 100 AS INTEGER)) AS start_at
-  FROM events WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY user_id, event_type),
-h AS (SELECT *, date_diff('second', last, TIMESTAMP '{AS_OF}') // 1 / 3600.0 AS age, user_id % 100 AS left_ FROM s)
-SELECT user_id, event_type, CASE WHEN age <= CASE WHEN left_ <= 6 THEN 0.5 WHEN left_ <= 24 THEN 2 WHEN left_ <= 72 THEN 12 ELSE 36 END THEN 'fresh' ELSE 'stale' END AS freshness
+WITH s AS (SELECT user_id, event_type, max(date_trunc('second', ts)) AS last, user_id % 240 - 20 AS hours_left FROM events WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY user_id, event_type),
+h AS (SELECT *, epoch(TIMESTAMP '{AS_OF}') - epoch(last) AS age FROM s)
+SELECT user_id, event_type, CASE
+  WHEN event_type = 'click' AND age <= 120 THEN 'live' WHEN event_type = 'click' THEN 'stale'
+  WHEN hours_left <= 0 THEN 'closed'
+  WHEN hours_left <= 3 AND age <= 1800 THEN 'fresh'
+  WHEN hours_left > 3 AND hours_left <= 24 AND age <= 7200 THEN 'fresh'
+  WHEN hours_left > 24 AND hours_left <= 168 AND age <= 43200 THEN 'fresh'
+  WHEN hours_left > 168 AND age <= 129600 THEN 'fresh'
+  ELSE 'stale' END AS freshness
 FROM h
 """)
 def freshness_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is each series' last price fresh enough for how soon its market starts?"""
     at = F.lit(AS_OF).cast("timestamp_ntz")
     s = load(spark, sf_dir, "events").filter(F.col("ts") <= at).groupBy(*SERIES).agg(F.max(F.date_trunc("second", "ts").cast("timestamp_ntz")).alias("last"))
-    start = F.timestamp_add("HOUR", F.pmod("user_id", F.lit(100)).cast("int"), at)
-    return s.select(*SERIES, mk.freshness(F.col("last"), at, start).alias("freshness"))
+    start = F.timestamp_add("HOUR", (F.pmod("user_id", F.lit(240)) - 20).cast("int"), at)
+    return s.select(*SERIES, mk.freshness(F.col("last"), at, start, F.col("event_type") == "click").alias("freshness"))
 
 
 @named("""
@@ -88,38 +94,43 @@ def consensus_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(f"""
 WITH b AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS n, arg_max(value, (ts, event_id)) FILTER (ts <= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR) AS t
-  FROM events WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY user_id, event_type),
-m AS (SELECT event_type, count(*) AS sources, round(quantile_cont(n - t, 0.5), 6) AS move FROM b WHERE t IS NOT NULL GROUP BY event_type)
-SELECT *, CASE WHEN move > 0 THEN 'up' ELSE 'down' END AS direction FROM m WHERE abs(move) >= 0.5
+  FROM events WHERE ts <= TIMESTAMP '{AS_OF}' AND event_id % 10 <> 0 AND value IS NOT NULL GROUP BY user_id, event_type),
+m AS (SELECT event_type, count(*) AS sources, quantile_cont(t, 0.5) AS x, quantile_cont(n, 0.5) AS y FROM b WHERE t IS NOT NULL GROUP BY event_type)
+SELECT event_type, sources, round(x, 6) AS before, round(y, 6) AS after, round(y - x, 6) AS move, CASE WHEN y > x THEN 'shortened' ELSE 'drifted' END AS direction,
+  CAST(floor(x / 0.5) AS BIGINT) AS from_band, CAST(floor(y / 0.5) AS BIGINT) AS band FROM m WHERE sources >= 2 AND abs(y - x) >= 0.5
 """)
 def market_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markets whose sources' median moved by a threshold since ten days before."""
-    return mk.moved(load(spark, sf_dir, "events"), ["event_type"], ["user_id"], "ts", "event_id", "value", AS_OF, 240, 0.5)
+    """Markets whose median over the sources priced at both times moved by a threshold since ten days before; one price in ten is suspended."""
+    return mk.moved(load(spark, sf_dir, "events"), ["event_type"], ["user_id"], "ts", "event_id", "value", AS_OF, 240, 0.5, open_=F.col("event_id") % 10 != 0)
 
 
 @named("""
-WITH w AS (SELECT o_orderstatus AS market, o_orderpriority AS outcome, CAST(count(*) AS DOUBLE) AS weight FROM orders GROUP BY ALL),
-s AS (SELECT market, sum(weight) AS a, count(DISTINCT outcome) AS n FROM w GROUP BY market)
-SELECT market, outcome, weight, round(weight / a, 6) AS share FROM w JOIN s USING (market) WHERE n = 5
+WITH c AS (SELECT o_orderstatus AS market, o_orderpriority AS outcome, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT market, sum(n) AS m FROM c GROUP BY market),
+w AS (SELECT market, outcome, CASE WHEN market = 'P' AND outcome = '5-LOW' THEN NULL ELSE round(n * 1.06 / m, 8) END AS implied FROM c JOIN t USING (market)),
+bad AS (SELECT market FROM w GROUP BY market HAVING count(*) < 2 OR bool_or(implied IS NULL OR implied <= 0 OR implied >= 1)),
+s AS (SELECT market, sum(implied) AS a FROM w WHERE market NOT IN (SELECT market FROM bad) GROUP BY market)
+SELECT market, outcome, implied, round(a, 8) AS overround, round(implied / a, 8) AS share FROM w LEFT JOIN s USING (market)
 """)
 def devig_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proportional shares of complete markets: priorities within an order status."""
-    o = load(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("market"), F.col("o_orderpriority").alias("outcome")).agg(F.count("*").cast("double").alias("weight"))
-    return mk.fair_shares(o, ["market"], "outcome", "weight", 5)
+    """Proportional shares of whole markets: priorities within an order status; one market lacks a price and has none."""
+    c = load(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("market"), F.col("o_orderpriority").alias("outcome")).agg(F.count("*").alias("n"))
+    met = c.join(c.groupBy("market").agg(F.sum("n").alias("m")), "market")
+    implied = F.when((F.col("market") == "P") & (F.col("outcome") == "5-LOW"), None).otherwise(F.round(F.col("n") * 1.06 / F.col("m"), 8))
+    return mk.fair_shares(met.select("market", "outcome", implied.cast("double").alias("implied")), ["market"], "implied")
 
 
 @named("""
-WITH p AS (SELECT p_partkey, CAST((p_partkey % 9 - 4) * 100 + CASE WHEN p_partkey % 9 >= 4 THEN 105 ELSE -105 END AS DOUBLE) AS odds FROM part)
-SELECT p_partkey, CAST(odds AS BIGINT) AS american, round(CASE WHEN odds > 0 THEN 1 + odds / 100 ELSE 1 - 100 / odds END, 6) AS decimal_odds,
-  round(CASE WHEN odds > 0 THEN 100 / (odds + 100) ELSE odds / (odds - 100) END, 6) AS implied, CAST(odds AS BIGINT) AS again FROM p
+WITH p AS (SELECT p_partkey, CAST(p_partkey * 7 % 1201 - 600 AS DOUBLE) AS odds FROM part),
+v AS (SELECT p_partkey, odds, CASE WHEN odds >= 100 OR odds <= -100 THEN odds END AS a FROM p),
+d AS (SELECT *, round(CASE WHEN a > 0 THEN 1 + a / 100 ELSE 1 - 100 / a END, 6) AS decimal_odds, round(CASE WHEN a > 0 THEN 100 / (a + 100) ELSE a / (a - 100) END, 8) AS implied FROM v)
+SELECT p_partkey, CAST(odds AS BIGINT) AS american, decimal_odds, implied, CAST(CASE WHEN decimal_odds >= 2 THEN round((decimal_odds - 1) * 100) ELSE -round(100 / (decimal_odds - 1)) END AS BIGINT) AS again,
+  CAST(CASE WHEN implied >= 0.5 THEN -round(100 * implied / (1 - implied)) ELSE round(100 * (1 - implied) / implied) END AS BIGINT) AS by_probability FROM d
 """)
 def odds_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """American odds to decimal odds and implied probability, and back."""
-    n = F.col("p_partkey") % 9
-    odds = ((n - 4) * 100 + F.when(n >= 4, 105).otherwise(-105)).cast("double")
-    p = load(spark, sf_dir, "part").select("p_partkey", odds.alias("odds"))
-    d = mk.decimal_from_american(F.col("odds"))
-    return p.select("p_partkey", F.col("odds").cast("long").alias("american"), rounded(d).alias("decimal_odds"), rounded(mk.implied_from_american(F.col("odds"))).alias("implied"), mk.american_from_decimal(d).alias("again"))
+    """American odds to decimal odds and implied probability, and back; odds between -100 and 100 are none."""
+    p = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7 % 1201 - 600).cast("double").alias("odds"))
+    d, implied = mk.decimal_from_american(F.col("odds")), mk.implied_from_american(F.col("odds"))
+    return p.select("p_partkey", F.col("odds").cast("long").alias("american"), d.alias("decimal_odds"), implied.alias("implied"), mk.american_from_decimal(d).alias("again"), mk.american_from_probability(implied).alias("by_probability"))
 
 
 @named("""
@@ -186,16 +197,15 @@ def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, max(l_shipdate) AS z FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
-r AS (SELECT *, max((z, o_orderkey)) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)
-SELECT o_custkey, m[2] AS first_id, o_orderkey AS second_id FROM r WHERE m[1] >= a
+WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, max(l_shipdate) AS z FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
+SELECT x.o_custkey, x.o_orderkey AS first_id, y.o_orderkey AS second_id FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a <= y.z AND y.a <= x.z
 """)
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer that were open at the same time as one before."""
+    """All pairs of a customer's orders that were open at the same time."""
     o, l = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
     ends = l.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("z"))
     s = o.join(ends, o.o_orderkey == ends.l_orderkey).select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("a"), "z")
-    return tp.overlapping(s, ["o_custkey"], "o_orderkey", "a", "z")
+    return tp.overlapping(s, ["o_custkey"], "o_orderkey", "a", "z", days=60)
 
 
 @named("""

@@ -21,11 +21,11 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE lang = 'en') GROUP BY token HAVING count(*) >= 50
+SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY token HAVING count(*) >= 50
 """)
 def explode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent words of the English documents."""
-    d = load(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    """Frequent words of the documents."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
     once = d.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
     return once.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).filter("n >= 50")
 
@@ -41,14 +41,11 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH p AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM p a JOIN p b ON a.p_name < b.p_name AND left(a.p_name, 3) = left(b.p_name, 3) AND levenshtein(a.p_name, b.p_name) <= 4
+WITH p AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM p a JOIN p b ON a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 4
 """)
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different names of one beginning at most four edits apart."""
-    p = load(spark, sf_dir, "part").select("p_name").distinct().withColumn("k", F.substring("p_name", 1, 3))
-    b = p.select(F.col("p_name").alias("other"), "k")
-    met = p.join(b, "k").filter("p_name < other").withColumn("distance", F.levenshtein("p_name", "other", 4)).filter("distance >= 0")
-    return met.select(F.col("p_name").alias("a"), F.col("other").alias("b"), F.col("distance").cast("long").alias("distance"))
+    """Different names at most four edits apart."""
+    return idn.edit_pairs(load(spark, sf_dir, "part"), "p_name", 4)
 
 
 TRIGRAMS = """
@@ -128,12 +125,11 @@ SELECT p_partkey, CASE WHEN count(DISTINCT other) = 1 THEN 'matched' WHEN count(
 def entity_match_one_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches only where exactly one other part has the same name and brand."""
     p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    others = p.withColumnRenamed("p_partkey", "other")
-    # a part is among its own candidates; a group is a few rows
-    met = p.join(others, ["p_name", "p_brand"]).withColumn("other", F.when(F.col("other") != F.col("p_partkey"), F.col("other")))
-    n = F.col("candidates")
-    found = met.groupBy("p_partkey").agg(F.count_distinct("other").alias("candidates"), F.min("other").alias("one"))
-    return found.select("p_partkey", F.when(n == 1, "matched").when(n > 1, "ambiguous").otherwise("unmatched").alias("outcome"), F.when(n == 1, F.col("one")).alias("other"), "candidates")
+    groups = p.groupBy("p_name", "p_brand").agg(F.count_distinct("p_partkey").alias("n"), F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
+    met = p.join(groups, ["p_name", "p_brand"])
+    outcome = F.when(F.col("n") == 2, "matched").when(F.col("n") > 2, "ambiguous").otherwise("unmatched")
+    other = F.when(F.col("n") == 2, F.when(F.col("low") == F.col("p_partkey"), F.col("high")).otherwise(F.col("low")))
+    return met.select("p_partkey", outcome.alias("outcome"), other.alias("other"), (F.col("n") - 1).alias("candidates"))
 
 
 @named("""
@@ -157,8 +153,16 @@ def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-SELECT quality, count(*) AS n FROM (SELECT CASE WHEN NOT regexp_matches(p_name, '[a-z]') THEN 'empty' WHEN len(string_split(p_name, ' ')) < 2 THEN 'single' ELSE 'ok' END AS quality FROM part) GROUP BY quality
+WITH s AS (SELECT CASE p_partkey % 12 WHEN 0 THEN 'TBD' WHEN 1 THEN 'T.B.C.' WHEN 2 THEN 'Opponent TBA' WHEN 3 THEN 'To be announced' WHEN 4 THEN 'Li' WHEN 5 THEN repeat('ab', 61) WHEN 6 THEN '--' WHEN 7 THEN 'Zhilei' WHEN 8 THEN 'Tba Tbd Opponent' WHEN 9 THEN NULL ELSE p_name END AS name FROM part),
+v AS (SELECT trim(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', ' ', 'g')) AS v FROM s),
+t AS (SELECT v, length(replace(v, ' ', '')) AS letters, CASE WHEN regexp_full_match(v, '[a-z]( [a-z])*') THEN replace(v, ' ', '') ELSE v END AS q FROM v)
+SELECT quality, count(*) AS n FROM (SELECT CASE WHEN v = '' OR v = 'opponent' OR regexp_full_match(v, '(opponent )?(tbd|tba|tbc|to be (announced|confirmed|determined))( (tbd|tba|tbc|opponent))*') OR regexp_full_match(q, '(tbd|tba|tbc)+') THEN 'placeholder'
+  WHEN letters < 4 THEN 'short' WHEN length(v) > 120 THEN 'long' ELSE 'ok' END AS quality FROM t) GROUP BY quality
 """)
 def name_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many names are fit to be matched."""
-    return load(spark, sf_dir, "part").groupBy(idn.name_quality(F.col("p_name")).alias("quality")).agg(F.count("*").alias("n"))
+    """How many names are fit to be matched; most stand in for what is printed where no name is known."""
+    printed = {0: "TBD", 1: "T.B.C.", 2: "Opponent TBA", 3: "To be announced", 4: "Li", 5: "ab" * 61, 6: "--", 7: "Zhilei", 8: "Tba Tbd Opponent", 9: None}
+    kind, name = F.col("p_partkey") % 12, F.col("p_name")
+    for k, v in printed.items():
+        name = F.when(kind == k, F.lit(v)).otherwise(name)
+    return load(spark, sf_dir, "part").groupBy(idn.name_quality(name).alias("quality")).agg(F.count("*").alias("n"))

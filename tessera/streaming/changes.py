@@ -6,6 +6,7 @@ older tick that comes late is passed on as history and never becomes the standin
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -45,25 +46,40 @@ class ChangeDedupe(StatefulProcessor):
 
 
 class Movement(StatefulProcessor):
-    """Emits a series' move against its last emitted value once it reaches a threshold, at most once in a cooldown."""
+    """Emits a series' move against its price of `window_s` before, once it reaches a threshold.
 
-    def __init__(self, threshold: float, cooldown_s: int):
-        self.threshold, self.cooldown_s = threshold, cooldown_s
+    Within the cooldown after an emission, another takes a further move of `again` from the price emitted then. Without a price as old as the window there is no move.
+    """
+
+    def __init__(self, threshold: float, window_s: int, cooldown_s: int, again: float):
+        self.threshold, self.window, self.cooldown, self.again = threshold, window_s * 1_000_000, cooldown_s * 1_000_000, again
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.reference = handle.getValueState("reference", "emitted BIGINT, value DOUBLE")
+        self.ticks = handle.getListState("ticks", "us BIGINT, event_id BIGINT, value DOUBLE")
+        self.emitted = handle.getValueState("emitted", "us BIGINT, value DOUBLE")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = self.reference.get() if self.reference.exists() else None
-        emitted, value = (state[0], state[1]) if state else (-(2**62), None)
+        ticks = [tuple(t) for t in self.ticks.get()] if self.ticks.exists() else []
+        last = tuple(self.emitted.get()) if self.emitted.exists() else None
         for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
-            if value is None:
-                value = r.value
-            elif abs(r.value - value) >= self.threshold and r.us - emitted >= self.cooldown_s * 1_000_000:
-                yield Row(user_id=key[0], event_type=key[1], ts=r.ts, value=r.value, reference=value, move=r.value - value)
-                emitted, value = r.us, r.value
-        if value is not None:
-            self.reference.update((emitted, value))
+            if r.value is None:
+                continue
+            insort(ticks, (r.us, r.event_id, r.value))
+            then = bisect_right(ticks, (r.us - self.window, 2**63, 0.0)) - 1
+            if then < 0:
+                continue
+            del ticks[:then]  # older ones are no reference any more
+            reference = ticks[0][2]
+            if abs(r.value - reference) < self.threshold:
+                continue
+            if last and r.us - last[0] < self.cooldown and abs(r.value - last[1]) < self.again:
+                continue
+            yield Row(user_id=key[0], event_type=key[1], ts=r.ts, value=r.value, reference=reference, move=r.value - reference)
+            last = r.us, r.value
+        if ticks:
+            self.ticks.put(ticks)
+        if last:
+            self.emitted.update(last)
 
     def close(self) -> None:
         pass
@@ -82,10 +98,10 @@ def changed_ticks(ticks: DataFrame) -> DataFrame:
     return timed.groupBy("user_id", "event_type").transformWithState(statefulProcessor=ChangeDedupe(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
 
 
-def moves(ticks: DataFrame, threshold: float, cooldown_s: int = 6 * 3600) -> DataFrame:
+def moves(ticks: DataFrame, threshold: float = 0.04, window_s: int = 24 * 3600, cooldown_s: int = 6 * 3600, again: float = 0.04) -> DataFrame:
     use_rocksdb(ticks.sparkSession)
     timed = ticks.withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("user_id", "event_type").transformWithState(statefulProcessor=Movement(threshold, cooldown_s), outputStructType=MOVE, outputMode="Append", timeMode="None")
+    return timed.groupBy("user_id", "event_type").transformWithState(statefulProcessor=Movement(threshold, window_s, cooldown_s, again), outputStructType=MOVE, outputMode="Append", timeMode="None")
 
 
 def delivered_once(ticks: DataFrame, delay: str = "1 hour") -> DataFrame:

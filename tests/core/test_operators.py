@@ -1,9 +1,9 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as cl
-from tessera.operators import identity, market, metrics, reads, sequences, temporal
+from tessera.operators import flows, identity, market, metrics, reads, records, sequences, temporal
 from tessera.sources import tables
 
 
@@ -61,8 +61,9 @@ def test_names(spark):
     df = spark.createDataFrame([("José  Ramírez Jr.",), ("O'Neil, Sean",), (None,), ("TBA",)], "n string")
     words = [r[0] for r in df.select(identity.tokens(identity.folded(F.col("n")))).collect()]
     assert words == [["jose", "ramirez"], ["o", "neil", "sean"], None, ["tba"]]
-    q = [r[0] for r in df.select(identity.name_quality(F.col("n"))).collect()]
-    assert q == ["ok", "ok", "empty", "placeholder"]
+    names = ["José  Ramírez Jr.", "O'Neil, Sean", None, "TBA", "T.B.C.", "Opponent", "Opponent TBD", "to be announced", "Tba Jones", "Li", "Lee A", "x" * 121, "Zhilei"]
+    q = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(identity.name_quality(F.col("n"))).collect()]
+    assert q == ["ok", "ok", *["placeholder"] * 6, "ok", "short", "ok", "long", "ok"]
     pairs = spark.createDataFrame([(["a", "c"], ["a", "b", "c"]), (["a", "c", "b"], ["a", "b", "c"]), (["b"], ["a", "b"]), ([], ["a"])], "s array<string>, l array<string>")
     assert [r[0] for r in pairs.select(identity.contained(F.col("s"), F.col("l"))).collect()] == [True, False, False, False]
 
@@ -107,8 +108,84 @@ def test_page_is_clamped(spark):
 
 
 def test_freshness(spark):
-    at = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
-    df = spark.createDataFrame([("2024-01-01 23:40:00",), ("2024-01-01 20:00:00",), (None,)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
-    soon = F.lit("2024-01-02 03:00:00").cast("timestamp_ntz")
-    assert [r[0] for r in df.select(market.freshness(F.col("t"), at, soon)).collect()] == ["fresh", "stale", "missing"]
-    assert [r[0] for r in df.select(market.freshness(F.col("t"), at)).collect()] == ["fresh", "fresh", "missing"]
+    now = datetime(2026, 1, 10, 12)
+    h = lambda n: now + timedelta(hours=n)
+    cases = [  # last seen, start, live, what it is
+        (None, h(5), False, "unknown"), (h(-20), h(120), False, "stale"), (h(-11), h(120), False, "fresh"), (h(-20), h(240), False, "fresh"), (h(-37), h(240), False, "stale"),
+        (h(-1), h(4), False, "fresh"), (h(-1), h(3), False, "stale"), (h(-0.4), h(2), False, "fresh"), (h(-1), h(0), False, "closed"), (h(-1), h(-1), False, "closed"),
+        (h(-0.01), h(-1), True, "live"), (h(-0.1), h(-1), True, "stale"), (h(-30), None, False, "fresh"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, last timestamp_ntz, start timestamp_ntz, live boolean, want string")
+    got = df.select("i", "want", market.freshness(F.col("last"), F.lit(now).cast("timestamp_ntz"), F.col("start"), F.col("live")).alias("got")).collect()
+    assert [(r.i, r.got) for r in got] == [(r.i, r.want) for r in got]
+
+
+def test_prices(spark):
+    df = spark.createDataFrame([(150.0,), (-150.0,), (100.0,), (-100.0,), (50.0,), (150.5,), (None,)], "o double")
+    got = df.select(market.decimal_from_american(F.col("o")), market.implied_from_american(F.col("o")), market.american_from_decimal(market.decimal_from_american(F.col("o")))).collect()
+    assert [tuple(r) for r in got] == [(2.5, 0.4, 150), (1.666667, 0.6, -150), (2.0, 0.5, 100), (2.0, 0.5, 100), (None,) * 3, (None,) * 3, (None,) * 3]
+    p = spark.createDataFrame([(0.6,), (0.25,), (0.5,), (0.0,), (1.0,)], "p double").select(market.american_from_probability(F.col("p"))).collect()
+    assert [r[0] for r in p] == [-150, 300, -100, None, None]
+
+
+def test_only_whole_markets_are_shared_out(spark):
+    rows = [("a", 0.6), ("a", 0.5), ("b", 0.6), ("b", None), ("c", 0.6), ("c", 1.0), ("d", 0.6), ("e", 0.5), ("e", 0.0)]
+    got = market.fair_shares(spark.createDataFrame(rows, "m string, p double"), ["m"], "p").collect()
+    assert {(r.m, r.overround, r.share) for r in got} == {("a", 1.1, 0.54545455), ("a", 1.1, 0.45454545), ("b", None, None), ("c", None, None), ("d", None, None), ("e", None, None)}
+
+
+def test_moves_are_differences_of_medians_over_common_sources(spark):
+    t = lambda d: datetime(2026, 1, d)
+    rows = [("m", 1, t(1), 0.50, True), ("m", 2, t(1), 0.40, True), ("m", 3, t(1), 0.60, True), ("m", 1, t(3), 0.56, True), ("m", 2, t(3), 0.60, True), ("m", 3, t(3), 0.61, True), ("m", 4, t(3), 0.90, True)]
+    rows += [("m", 1, t(3), 0.99, False), ("n", 1, t(1), 0.1, True), ("n", 1, t(3), 0.9, True), ("o", 1, t(1), 0.5, True), ("o", 2, t(1), 0.5, True), ("o", 1, t(3), 0.53, True), ("o", 2, t(3), 0.53, True)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "m string, s int, at timestamp_ntz, v double, open boolean, id int")
+    got = market.moved(df, ["m"], ["s"], "at", "id", "v", "2026-01-03 00:00:00", open_=F.col("open")).collect()
+    assert [(r.m, r.sources, r.before, r.after, r.move, r.direction) for r in got] == [("m", 3, 0.5, 0.6, 0.1, "shortened")]
+
+
+def test_decisions(spark):
+    cases = [  # cards as a's lead, outcome, side, kind
+        ([1], "win", "a", "referee"), ([0], "draw", None, "referee"), ([1, 1, 1], "win", "a", "unanimous"), ([-1, -1, 0], "win", "b", "majority"), ([1, 1, -1], "win", "a", "split"),
+        ([0, 0, 0], "draw", None, "unanimous"), ([0, 0, 1], "draw", None, "majority"), ([1, -1, 0], "draw", None, "split"), ([1, -1], "draw", None, "split"), ([1, 1, None], None, None, None),
+    ]
+    rows = [(i, v) for i, (cards, *_) in enumerate(cases) for v in cards]
+    v = F.col("v")
+    j = spark.createDataFrame(rows, "i int, v int").groupBy("i").agg(F.count("*").alias("n"), F.count_if(v > 0).alias("a"), F.count_if(v < 0).alias("b"), F.count_if(v.isNull()).alias("missing"))
+    got = j.select("i", *records.decision(*map(F.col, ("n", "a", "b", "missing")))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [tuple(c[1:]) for c in cases]
+
+
+def test_unification(spark):
+    rows = [("all", b, "x", 1) for b in "1234"] + [("two", "1", "x", 1), ("two", "2", "x", 5), ("two", "3", "y", 1), ("two", "4", None, 1)]
+    rows += [("old", "1", "x", 1), ("old", "2", "y", 92), ("old", "3", "z", 2), ("old", "4", "w", 3), ("none", "1", "x", 200), ("none", "2", "y", 290), ("none", "3", "z", 201), ("none", "4", None, 203), ("few", "1", "x", 1)]
+    got = records.unified(spark.createDataFrame(rows, "s string, b string, h string, age int"), ["s"], "b", "h", "age", 4, 90).collect()
+    assert {r.s: (r.state, r.complete, r.holder) for r in got} == {"all": ("undisputed", True, "x"), "two": ("unified", True, None), "old": ("incomplete", False, None), "none": ("none", True, None), "few": ("incomplete", False, None)}
+
+
+def test_own_vote_is_not_in_the_majority(spark):
+    rows = [("p", "a"), ("p", "a"), ("p", "b"), ("q", "a"), ("q", "b"), ("r", "a"), ("r", "a"), ("r", "a"), ("r", "b"), ("r", None)]
+    got = metrics.against_others(spark.createDataFrame(rows, "k string, v string"), ["k"], "v").collect()
+    assert {(r.k, r.v): (r.members, r.comparable, r.different) for r in got} == {("p", "a"): (2, 0, 0), ("p", "b"): (1, 1, 1), ("q", "a"): (1, 0, 0), ("q", "b"): (1, 0, 0), ("r", "a"): (3, 3, 0), ("r", "b"): (1, 1, 1)}
+
+
+def test_cadence(spark):
+    df = spark.createDataFrame([(m,) for m in (-121, -120, 180, 181, 1440, 1441, 10080, 10081)], "m int")
+    assert [r[0] for r in df.select(flows.cadence(F.col("m"))).collect()] == [360, 15, 15, 30, 30, 120, 120, 360]
+
+
+def test_edit_pairs_are_complete(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rnd = random.Random(1)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9))) for _ in range(90)}
+    for d in (1, 2, 4):
+        got = {(r.a, r.b, r.distance) for r in identity.edit_pairs(spark.createDataFrame([(w,) for w in words] + [(None,)], "w string"), "w", d).collect()}
+        assert got == {(a, b, n) for a in words for b in words if a < b and (n := distance(a, b)) <= d}

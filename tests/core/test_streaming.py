@@ -32,11 +32,15 @@ def test_stream_equals_batch_on_ordered_arrival(spark, tmp_path):
     assert ids(spark.read.parquet(f"{tmp_path}/out")) == ids(batch)
 
 
-def test_moves_wait_for_the_cooldown(spark, tmp_path):
-    land(spark, f"{tmp_path}/in", [(1, 0, 10), (2, 10, 20), (3, 20, 30), (4, 90, 40), (5, 100, 41)])
-    ch.run_available(ch.moves(ch.tick_stream(spark, f"{tmp_path}/in"), 5.0, 3600), f"{tmp_path}/out", f"{tmp_path}/cp")
+def test_moves_against_a_day_before_and_again_within_the_cooldown(spark, tmp_path):
+    h, d = 60, 1440
+    rows = [(1, 0, 0.50), (2, h, 0.51), (3, d, 0.55), (4, d + h, 0.56), (5, d + 2 * h, 0.60), (6, d + 7 * h, 0.60), (7, 3 * d, 0.60)]
+    land(spark, f"{tmp_path}/in", rows)
+    ch.run_available(ch.moves(ch.tick_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp")
     got = [(r.value, r.reference) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("ts").collect()]
-    assert got == [(20.0, 10.0), (40.0, 20.0)]
+    # the first reaches 0.04 against a day before; 0.56 is within the cooldown and only 0.01 further; 0.60 is 0.05 further; after 5 h it is no further;
+    # at the end the price of a day before is the same
+    assert got == [(0.55, 0.50), (0.60, 0.51)]
 
 
 def test_windows_and_redelivery(spark, tmp_path):
