@@ -1,10 +1,11 @@
 """Benchmark decontamination: which documents contain which test items.
 
 A document contains an item if at least THRESHOLD of the item's distinct N-word shingles are in it. Items
-are partitioned by size: one shorter than N words is one shingle of all its words, and of n shingles a
-document must hold all but m = floor((1 - THRESHOLD) n), so the m + 1 shingles of smallest hash, a
-MinHash sketch as long as the size asks for, cannot all be missing. Documents are searched for sketch
-hashes, and hits are verified by exact containment of the shingles' words. No pair is lost.
+are partitioned by size: by words a shingle, as one shorter than N words is one shingle of all its words, and by powers of two of their
+number of shingles. Each partition has an index of its own and its own bounds: of n shingles a document must hold all but
+m = floor((1 - THRESHOLD) n), so the m + 1 shingles of smallest hash, a MinHash sketch as long as the size asks for, cannot all be missing, and a
+document with fewer shingles than the partition's smallest item needs is not searched. Hits are verified by exact containment of the
+shingles' words. No pair is lost.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], n: int, threshold: float):
         self.threshold = threshold
-        self.sketch: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.sketch: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.least: dict[tuple[int, int], int] = {}
         self.items: dict[int, tuple[int, set[bytes]]] = {}
         for key, (_, joined) in enumerate(items):
             words = joined.split(b" ")
@@ -56,8 +58,10 @@ class Index:
             own = set(shingles(words, size))
             self.items[key] = size, own
             hashes = sorted(xxhash.xxh64_intdigest(s) for s in own)
-            for h in hashes[: sketch_size(len(hashes), threshold)]:
-                self.sketch[size][h].append(key)
+            part, m = (size, len(own).bit_length()), sketch_size(len(hashes), threshold)
+            self.least[part] = min(self.least.get(part, len(own)), len(own) - m + 1)
+            for h in hashes[:m]:
+                self.sketch[part][h].append(key)
         self.ids = [i for i, _ in items]
 
     def search(self, text: str | None) -> Iterator[tuple[int, float]]:
@@ -66,10 +70,13 @@ class Index:
         ends = list(accumulate(len(w) + 1 for w in words))
         starts = [0, *ends[:-1]]
         digest, hits = xxhash.xxh64_intdigest, set()
-        for size, sketch in self.sketch.items():
-            if len(words) >= size:
-                found = sketch.keys() & {digest(joined[a : b - 1]) for a, b in zip(starts, ends[size - 1 :])}
-                hits.update(k for h in found for k in sketch[h])
+        hashes: dict[int, set[int]] = {}
+        for (size, bits), sketch in self.sketch.items():
+            if len(words) - size + 1 >= self.least[size, bits]:
+                if size not in hashes:
+                    hashes[size] = {digest(joined[a : b - 1]) for a, b in zip(starts, ends[size - 1 :])}
+                if len(hashes[size]) >= self.least[size, bits]:
+                    hits.update(k for h in sketch.keys() & hashes[size] for k in sketch[h])
         if hits:
             of_size = {n: set(shingles(words, n)) for n in {self.items[k][0] for k in hits}}
             for k in sorted(hits):

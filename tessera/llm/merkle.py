@@ -1,8 +1,9 @@
-"""Document fingerprints: Merkle trees over the sections, paragraphs and pieces of a text.
+"""Document fingerprints: Merkle trees over the sections and paragraphs of a text.
 
-Sections stand between empty lines, paragraphs between line ends, pieces are at most eight words and end
-with a sentence, so that pieces fall into step again behind an edit. Nothing of the text is lost in the
-cuts: equal roots mean equal texts. Native functions only.
+Sections stand between empty lines, paragraphs between line ends. A paragraph's node is the SHA-256 of its text, a section's that of its
+paragraphs' nodes, the root that of the sections' nodes. Nothing of the text is lost in the cuts, so equal roots mean equal texts as far as
+SHA-256 does, and two trees differ only below nodes that differ. For likeness a paragraph is cut further into pieces of at most eight
+words that end with a sentence, so that pieces fall into step again behind an edit. Native functions only.
 """
 
 from __future__ import annotations
@@ -20,46 +21,51 @@ PIECE = r"(?!\z)(?:[^ ]*+(?<![.!?]) ){0,7}+[^ ]*+ ?"
 BUCKETS_PER_PARTITION, SAMPLED_PER_BUCKET = 8, 20
 
 
-def tree(text: Column) -> Column:
-    """Leaf hashes by section and paragraph: array<array<array<bigint>>>."""
-    pieces = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x))
-    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), pieces))
+def nodes(text: Column) -> Column:
+    """The sections with their nodes and those of their paragraphs: array<struct<node, paragraphs: array<string>>>."""
+    sections = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)))
+    return F.transform(sections, lambda s: F.struct(F.sha2(F.array_join(s, "."), 256).alias("node"), s.alias("paragraphs")))
 
 
-def paragraph_nodes(tree_: Column) -> Column:
-    """Hashes over the leaves of each paragraph, by section."""
-    return F.transform(tree_, lambda s: F.transform(s, lambda p: F.xxhash64(F.size(p), p)))
+def root(nodes_: Column) -> Column:
+    """The root over the section nodes, 64 hex digits."""
+    return F.sha2(F.array_join(nodes_.getField("node"), "."), 256)
 
 
-def root(paragraphs: Column) -> Column:
-    """The root over the section hashes, 32 hex digits."""
-    return F.md5(F.array_join(F.transform(paragraphs, lambda s: F.hex(F.xxhash64(F.size(s), s))), "."))
-
-
-def leaves(tree_: Column) -> Column:
-    return F.array_distinct(F.flatten(F.flatten(tree_)))
+def leaves(text: Column) -> Column:
+    """Hashes of the different pieces of all paragraphs."""
+    pieces = F.flatten(F.transform(F.split(text, "\n", -1), lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))))
+    return F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice share of the common leaves of two trees; 1 for two without a leaf."""
+    """Dice share of the common leaves of two texts; 1 for two without a leaf."""
     n = F.size(a) + F.size(b)
     return F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / n)
 
 
+def paragraphs_under_differing_nodes(a: Column, b: Column) -> Column:
+    """Paragraph nodes of the sections of a whose node is none of b's: sections with an equal node need no look inside."""
+    known = b.getField("node")
+    return F.flatten(F.filter(a, lambda s: ~F.array_contains(known, s.getField("node"))).getField("paragraphs"))
+
+
+def removed(a: Column, b: Column) -> Column:
+    """Nodes of paragraphs that a has and b has not, wherever they stand: an inserted paragraph moves those behind it and changes none."""
+    return F.array_except(paragraphs_under_differing_nodes(a, b), F.flatten(b.getField("paragraphs")))
+
+
 def first_difference(a: Column, b: Column) -> Column:
-    """Place of the first paragraph (from 0) in which two trees differ, null if they are equal: branches with equal nodes need no look inside."""
-    at = F.array_position(F.zip_with(F.flatten(a), F.flatten(b), lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
-    return F.when(at > 0, at - 1)
+    """Place of the first paragraph (from 0) in which two trees differ, null if they are equal."""
+    flat = lambda t: F.flatten(t.getField("paragraphs"))
+    at = F.array_position(F.zip_with(flat(a), flat(b), lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
+    cut = F.least(F.size(flat(a)), F.size(flat(b)))  # equal paragraphs in other sections
+    return F.when(root(a) != root(b), F.coalesce(F.nullif(at, F.lit(0)) - 1, cut.cast("long")))
 
 
 def fingerprinted(docs: DataFrame, text: Column, prefix: str = "") -> DataFrame:
-    """docs with {prefix}leaves, {prefix}paragraphs and {prefix}fingerprint of a text."""
-    return (
-        docs.withColumn(f"{prefix}tree", tree(text))
-        .withColumns({f"{prefix}leaves": leaves(F.col(f"{prefix}tree")), f"{prefix}paragraphs": paragraph_nodes(F.col(f"{prefix}tree"))})
-        .drop(f"{prefix}tree")
-        .withColumn(f"{prefix}fingerprint", root(F.col(f"{prefix}paragraphs")))
-    )
+    """docs with {prefix}leaves, {prefix}nodes and {prefix}fingerprint of a text."""
+    return docs.withColumns({f"{prefix}leaves": leaves(text), f"{prefix}nodes": nodes(text)}).withColumn(f"{prefix}fingerprint", root(F.col(f"{prefix}nodes")))
 
 
 def _bucket(id_: Column, bounds: list[int]) -> Column:
@@ -101,8 +107,9 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
 def edit_report(docs: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited form (its second half replaced by the next document's beginning) and their likeness.
 
-    Null texts count as empty. Where there is no next document (a null doc_id) the second half is cut off and near_next is null. Repeated rows
-    stay and an empty table gives an empty one. first_edited is the first paragraph that differs. Other columns are ignored.
+    Null texts count as empty. Where there is no next document (a null doc_id) the second half is cut off and near_next is 0. Repeated rows
+    stay and an empty table gives an empty one. first_edited is the first paragraph that differs, n_removed and n_added count the different paragraphs that the edit took away and
+    brought. Other columns are ignored.
     """
     half = F.floor(F.length("text") / 2).cast("int")
     rows = with_next(docs, text).withColumns({
@@ -110,12 +117,13 @@ def edit_report(docs: DataFrame, text: str = "text") -> DataFrame:
         "edited": F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)),
     })
     rows = fingerprinted(rows, F.col("text"))
-    rows = rows.withColumn("near_next", F.when(F.col("next_text").isNotNull(), likeness(F.col("leaves"), leaves(tree(F.col("next_text")))))).drop("text", "next_text")
+    rows = rows.withColumn("near_next", F.when(F.col("next_text").isNotNull(), likeness(F.col("leaves"), leaves(F.col("next_text")))).otherwise(0.0)).drop("text", "next_text")
     rows = fingerprinted(rows, F.col("edited"), "edited_").withColumn("edited_sha256", F.sha2("edited", 256))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), "near_next",
-        first_difference(F.col("paragraphs"), F.col("edited_paragraphs")).alias("first_edited"),
+        first_difference(F.col("nodes"), F.col("edited_nodes")).alias("first_edited"),
+        F.size(removed(F.col("nodes"), F.col("edited_nodes"))).alias("n_removed"), F.size(removed(F.col("edited_nodes"), F.col("nodes"))).alias("n_added"),
     )
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,18 @@ from .common import table
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: spans are leftmost, longest and disjoint matches of `pattern`; those that `check` doesn't match as a whole are dropped."""
+    """A kind of secret: spans are leftmost, longest and disjoint matches of `pattern`; those that `check` doesn't match as a whole are dropped.
+
+    `trigger` is the shortest beginning that tells a match; without one it is the pattern with one or the least number of the characters that end it. The combined automaton looks for
+    triggers, as what may go on without end would multiply its states.
+    """
 
     kind: str
     pattern: str
     check: str
     fold: bool = False
     base: bool = False
+    trigger: str = ""
 
 
 #: Base rules in their listed order, then this scanner's own.
@@ -39,16 +45,24 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9\-]+", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
     Rule("stripe", r"sk_live_[A-Za-z0-9]+", r"sk_live_[A-Za-z0-9]{20,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN ([A-Z]+ ){0,2}PRIVATE KEY-----"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_\-]+", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]+", r"npm_[A-Za-z0-9]{36,}"),
+    Rule("google", r"AIza[A-Za-z0-9_\-]+", r"AIza[A-Za-z0-9_-]{35,}"),
+    # the key's lines belong to it, up to its END line if there is one
+    Rule(
+        "private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(\x0d?\x0a[A-Za-z0-9+/=]{16,})*((\x0d?\x0a[A-Za-z0-9+/=]+)?\x0d?\x0a-----END [A-Z ]*PRIVATE KEY-----)?",
+        r"-----BEGIN ([A-Z]+ ){0,2}PRIVATE KEY-----(\r?\n[A-Za-z0-9+/=]+)*(\r?\n-----END ([A-Z]+ ){0,2}PRIVATE KEY-----)?",
+        trigger=r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    ),
 )
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        nodes = [Parser(r.pattern, r.fold).parse() for r in rules]
+        nodes = [Parser(r.trigger or re.sub(r"(\{\d+),\}$", r"\1}", r.pattern.removesuffix("+")), r.fold).parse() for r in rules]
         self.all = Dfa(nodes, anchored=False)
-        self.ends = [Dfa([n], anchored=True) for n in nodes]
+        self.ends = [Dfa([Parser(r.pattern, r.fold).parse()], anchored=True) for r in rules]
         self.starts = [Dfa([reverse(n)], anchored=True) for n in nodes]
         self.checks = [re.compile(r.check) for r in rules]
 
@@ -90,8 +104,10 @@ class Scanner:
         found = self.scan(data)
         if len(data) == len(text or ""):
             return found
-        at = lambda n: sum(b & 0xC0 != 0x80 for b in data[:n])
-        return [(at(a), k, at(b)) for a, k, b in found]
+        if not found:
+            return found
+        at = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])  # code points before each byte, for all spans
+        return [(int(at[a]), k, int(at[b])) for a, k, b in found]
 
 
 @cache

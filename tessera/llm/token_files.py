@@ -11,6 +11,7 @@ bits in an exception list. Behind the blocks stand the documents' ids and length
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -48,13 +49,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        told = json.loads(self.tokenizer.to_str())
+        # the cuts below are those of byte-level BPE without prefix space and normaliser; any other tokenizer encodes whole texts itself
+        self.cuts = told.get("normalizer") is None and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        self.cuts &= {**(told.get("pre_tokenizer") or {}), "trim_offsets": 0} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": 0, "use_regex": True}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        pieces = [PIECE.findall(t) if PLAIN.match(t) and not any(s in t for s in self.special) else None for t in texts]
+        pieces = [PIECE.findall(t) if self.cuts and PLAIN.match(t) and not any(s in t for s in self.special) else None for t in texts]
         if len(self.known) > KNOWN_PIECES:  # what is still in use comes back from the older generation
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -220,7 +225,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, read from the files of a manifest."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, read from the files of a manifest.
+
+    Null doc_ids come back as null, an empty text has the end id only, repeated rows stay, an empty manifest gives no row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

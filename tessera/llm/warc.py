@@ -1,9 +1,9 @@
 """WARC archives with a globally ordered capture index.
 
 Each task writes one archive, a gzip member per record, and sorts the index entries of every RUN
-captures by URL key and time. The sorted runs are dealt out by ranges of (URL key, time, page), and
-each range merges its runs with a k-way loser tree, which gives capture histories in one global order.
-Records are read back through that index.
+captures by URL key, time and page number. The sorted runs are dealt out by ranges, and each range merges its runs with a k-way loser tree,
+which gives capture histories in one global order. The merge is external: HELD entries at most are in memory, what is more goes to
+the shared folder as longer sorted runs, which are streamed through the tree. Records are read back through that index, in its order.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, partitions, table, written
 from .files import make_folder, opened, part_name
 
-RUN, REVISIT_FROM, EPOCH = 50_000, 100, 1_700_000_000
+RUN, HELD, REVISIT_FROM, EPOCH = 50_000, 200_000, 100, 1_700_000_000
 INDEX = "urlkey string, captured string, page_id string, url string, path string, offset long, length long"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -135,12 +137,12 @@ def write_archives(pages: DataFrame, html: str = "html", captured: Column | None
                 entries.append((url_key(url), re.sub(r"\D", "", date), page_id, url, path, at, len(member)))
                 at += len(member)
                 if len(entries) == RUN:
-                    yield pd.DataFrame(sorted(entries), columns=FIELDS)
+                    yield pd.DataFrame(sorted(entries, key=place), columns=FIELDS)
                     entries = []
         if out is not None:
             out.close()
         if entries:
-            yield pd.DataFrame(sorted(entries), columns=FIELDS)
+            yield pd.DataFrame(sorted(entries, key=place), columns=FIELDS)
 
     return written(with_decisions(pages, html, captured).mapInPandas(run, INDEX), "warc-runs")
 
@@ -148,61 +150,113 @@ def write_archives(pages: DataFrame, html: str = "html", captured: Column | None
 FIELDS = [f.split()[0] for f in INDEX.split(", ")]
 
 
+def place(entry: tuple) -> tuple:
+    """Order of index entries: URL key, time, page number (none first), then where the record is."""
+    return (entry[0], entry[1], int(entry[2]) if entry[2] else -(2**63), *entry[3:])
+
+
+def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
+    """Entries of sorted runs in one order."""
+    return (entry for _, entry in LoserTree([((place(e), e) for e in r) for r in runs]))
+
+
+def _frames(entries: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    while held := list(islice(entries, 10_000)):
+        yield pd.DataFrame(held, columns=FIELDS)
+
+
+def _spilled(uri: str, entries: Iterator[tuple]) -> None:
+    store, path = opened(uri)
+    with store.open_output_stream(path, compression=None) as out, pa.ipc.new_stream(out, SPILL) as to:
+        for frame in _frames(entries):
+            to.write_batch(pa.RecordBatch.from_pandas(frame, SPILL, preserve_index=False))
+
+
+def _streamed(uri: str) -> Iterator[tuple]:
+    store, path = opened(uri)
+    with store.open_input_stream(path, compression=None) as file, pa.ipc.open_stream(file) as batches:
+        for batch in batches:
+            yield from zip(*batch.to_pydict().values())
+
+
+SPILL = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in INDEX.split(", ")])
+
+
 def capture_histories(runs: DataFrame) -> DataFrame:
-    """The entries of all runs in global order of (urlkey, captured, page_id): partitions are ascending ranges, each merged from its runs."""
+    """The entries of all runs in global order of (urlkey, captured, page number): partitions are ascending ranges, each merged from its runs.
+
+    Null page numbers come first, repeated entries stay, an empty table gives an empty one.
+    """
+    folder = new_folder(runs.sparkSession, "merge")
+    make_folder(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces: list[list[tuple]] = []
-        for b in batches:
-            for row in b[FIELDS].itertuples(index=False, name=None):
-                if not pieces or row < pieces[-1][-1]:  # a run ends where the order breaks
-                    pieces.append([])
-                pieces[-1].append(row)
-        held = []
-        for row in LoserTree([iter(p) for p in pieces]):
-            held.append(row)
-            if len(held) == 10_000:
-                yield pd.DataFrame(held, columns=FIELDS)
-                held = []
-        if held:
-            yield pd.DataFrame(held, columns=FIELDS)
-
-    return runs.repartitionByRange(partitions(runs.sparkSession), "urlkey", "captured", "page_id").mapInPandas(run, INDEX)
+        held, spilled = 0, []
+        try:
+            for b in batches:
+                for row in b[FIELDS].astype(object).where(b[FIELDS].notna(), None).itertuples(index=False, name=None):
+                    if not pieces or place(row) < place(pieces[-1][-1]):  # a run ends where the order breaks
+                        pieces.append([])
+                    pieces[-1].append(row)
+                    held += 1
+                    if held == HELD:
+                        spilled.append(part_name(folder, "run")[1])
+                        _spilled(spilled[-1], merged([iter(p) for p in pieces]))
+                        pieces, held = [], 0
+            yield from _frames(merged([*map(_streamed, spilled), *map(iter, pieces)]))
+        finally:
+            for uri in spilled:
+                store, path = opened(uri)
+                store.delete_file(path)
+
+    return runs.repartitionByRange(partitions(runs.sparkSession), "urlkey", "captured", F.col("page_id").try_cast("long")).mapInPandas(run, INDEX)
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records that an index names, read and checked: page_id, url, captured, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits)."""
+    """The records that an index names, in its order, read and checked: page_id, url, captured, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
+
+    A record without a page number comes back with a null one; entries that stand twice are read twice; an empty index gives no row. A payload that is not what its digest
+    says is an error. What a revisit says about its payload is checked by `resolved`.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.sort_values(["path", "offset"])
-            for path, own in b.groupby("path", sort=False):
-                store, local = opened(path)
-                rows = []
-                with store.open_input_file(local) as f:
-                    for url, captured, offset, length in zip(own["url"], own["captured"], own["offset"], own["length"]):
-                        f.seek(offset)
-                        h, payload = parse_record(f.read(length))
-                        digest, n = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
-                        if h["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != n):
-                            raise ValueError(f"{path} at {offset}: the payload is not what its digest says")
-                        rows.append((h["X-Page-Id"] or None, url, captured, h["WARC-Type"], n, digest, h.get("X-Refers-To-Page-Id"), payload if h["WARC-Type"] == "response" else None))
-                        if len(rows) == 2_000:
-                            yield pd.DataFrame(rows, columns=RECORD)
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=RECORD)
+        for whole in batches:
+            for at in range(0, len(whole), 1_000):
+                b = whole.iloc[at : at + 1_000].reset_index(drop=True)
+                rows: list = [None] * len(b)
+                for path, own in b.sort_values(["path", "offset"]).groupby("path", sort=False):
+                    store, local = opened(path)
+                    with store.open_input_file(local) as f:
+                        for i, url, captured, offset, length in zip(own.index, own["url"], own["captured"], own["offset"], own["length"]):
+                            f.seek(offset)
+                            h, payload = parse_record(f.read(length))
+                            digest, n = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
+                            if h["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != n):
+                                raise ValueError(f"{path} at {offset}: the payload is not what its digest says")
+                            rows[i] = (h["X-Page-Id"] or None, url, captured, h["WARC-Type"], n, digest, h.get("X-Refers-To-Page-Id"), payload if h["WARC-Type"] == "response" else None)
+                yield pd.DataFrame(rows, columns=RECORD)
 
     read = index.mapInPandas(run, "page_id string, url string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
     return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """records, each revisit met with the response it refers to; one that has none, or one of another payload, is an error."""
+    responses = records.filter("record_type = 'response' AND page_id IS NOT NULL").groupBy("page_id").agg(F.min("payload_digest").alias("__digest"), F.min("payload_bytes").alias("__bytes"))
+    met = records.join(responses.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
+    right = (F.col("record_type") != "revisit") | (F.col("payload_digest").eqNullSafe(F.col("__digest")) & F.col("payload_bytes").eqNullSafe(F.col("__bytes")))
+    wrong = F.raise_error(F.concat(F.lit("a revisit has no response of its payload: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without number"))))
+    return met.withColumn("payload_digest", F.when(right, F.col("payload_digest")).otherwise(wrong.cast("string"))).select(*records.columns)
+
+
 RECORD = ["page_id", "url", "captured", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = capture_histories(write_archives(table(spark, sf_dir, "pages")))
-    return read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "captured")
+    records = read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "captured")
+    return resolved(written(records, "records"))
 
 
 ORACLE_SQL = """

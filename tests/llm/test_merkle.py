@@ -45,7 +45,7 @@ def test_report_against_brute_force(spark):
         prints.setdefault(r.fingerprint, set()).add(t)
         prints.setdefault(r.edited_fingerprint, set()).add(edited)
     assert all(len(v) == 1 for v in prints.values()) and got[2003].fingerprint == got[2004].fingerprint
-    assert got[None].near_next is None
+    assert got[None].near_next == 0
 
 
 def test_sampled_bounds_change_nothing(spark, monkeypatch):
@@ -66,6 +66,10 @@ def test_repeated_rows_one_row_and_empty(spark):
 
 
 def test_differences_are_located(spark):
-    df = spark.createDataFrame([("a.\nb.\nc.", "a.\nX.\nc."), ("a.\nb.", "a.\nb."), ("a.", "a.\nb.")], "a string, b string")
-    node = lambda c: mk.paragraph_nodes(mk.tree(F.col(c)))
-    assert [r[0] for r in df.select(mk.first_difference(node("a"), node("b"))).collect()] == [1, None, 1]
+    rows = [("a.\nb.\nc.", "a.\nX.\nc."), ("a.\nb.", "a.\nb."), ("a.", "a.\nb."), ("a.\nb.\nc.", "a.\nNEW.\nb.\nc."), ("a.\n\nb.\nc.\n\nd.", "a.\n\nb.\nZ.\n\nd."), ("a.\nb.", "a.\n\nb.")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    a, b = mk.nodes(F.col("a")), mk.nodes(F.col("b"))
+    got = df.select("a", "b", mk.first_difference(a, b).alias("first"), mk.removed(a, b).alias("gone"), mk.removed(b, a).alias("new"), mk.paragraphs_under_differing_nodes(a, b).alias("open"), (mk.root(a) == mk.root(b)).alias("same")).collect()
+    sha = lambda *t: [hashlib.sha256(x.encode()).hexdigest() for x in t]
+    assert [(r.first, r.gone, r.new) for r in got[:5]] == [(1, sha("b."), sha("X.")), (None, [], []), (1, [], sha("b.")), (1, [], sha("NEW.")), (2, sha("c."), sha("Z."))]
+    assert got[4].open == sha("b.", "c.") and got[5].first is not None and [r.same for r in got] == [r[0] == r[1] for r in rows]

@@ -12,7 +12,7 @@ BASE = {
     "access": re.compile("AKIA[A-Z0-9]+"),
     "hex": re.compile("[0-9a-f]+"),
 }
-PIECES = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "AKIAKIA", "A1B2C3D4E5F6G7H8", "deadbeef", "0123456789abcdef", "é", "漢", "\n", "-", "x", "ghp_", "-----BEGIN ", "RSA ", "PRIVATE KEY-----"]
+PIECES = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "AKIAKIA", "A1B2C3D4E5F6G7H8", "deadbeef", "0123456789abcdef", "é", "漢", "\n", "-", "x", "ghp_", "-----BEGIN ", "-----END ", "RSA ", "PRIVATE KEY-----", "\nMIIEowIBAAKCAQEA1234", "\r\nabc=", "glpat-" + "q" * 20]
 
 
 def brute(text):
@@ -60,6 +60,20 @@ def test_table(spark):
     assert se.secrets(docs.limit(0)).count() == 0
 
 
+def test_private_keys_with_their_bodies():
+    body = "\n".join(["M" * 64, "n" * 64, "short=="])
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    text = f"é {whole} then\n-----BEGIN PRIVATE KEY-----\n{'Q' * 40}\nordinary words follow"
+    kinds = [(se.scanner().rules[k].kind, text[a:b]) for a, k, b in se.scanner()(text)]
+    assert kinds == [("private_key", whole), ("private_key", "-----BEGIN PRIVATE KEY-----\n" + "Q" * 40)]
+
+
+def test_many_secrets_in_a_long_text():
+    text = "é token=abcdefgh1 " * 20_000
+    got = se.scanner()(text)
+    assert len(got) == 20_000 and got[-1] == (len(text) - 16, 0, len(text) - 1)
+
+
 def test_query_digest(spark, tmp_path):
     spark.createDataFrame([(1, "token=abcdefgh " + "0f" * 12), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in se.query(spark, f"file://{tmp_path}").collect()}

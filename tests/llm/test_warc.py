@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -26,10 +27,11 @@ def test_round_trip(spark):
     rows = [(i, f"https://h{i % 5}.example.org/a b{i % 11}", h, "d") for i, h in html.items()] + [(3, "https://h.example.org/", html[3], "d"), (None, None, same, "d")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     warc.RUN, run = 17, warc.RUN
+    warc.HELD, held = 40, warc.HELD
     runs = warc.write_archives(pages)
     history = warc.capture_histories(runs)
     got = warc.read_archives(history).collect()
-    warc.RUN = run
+    warc.RUN, warc.HELD = run, held
     first = {}
     for i, _, h, _ in rows:
         if i is not None:
@@ -42,10 +44,31 @@ def test_round_trip(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     found = [(r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got]
     assert sorted(found, key=key) == sorted(want, key=key)
-    order = [(r.urlkey, r.captured, r.page_id) for r in history.collect()]
+    order = [(r.urlkey, r.captured, int(r.page_id or -1)) for r in history.collect()]
     assert order == sorted(order) and len(order) == len(rows)
 
 
+def test_merge_goes_through_files_and_keeps_numeric_order(spark, tmp_path):
+    rnd = random.Random(4)
+    entries = [("com,a)/", "20200101000000", str(i), "http://a.com/", "p", i, 1) for i in range(300)]
+    rnd.shuffle(entries)
+    runs = [sorted(entries[i : i + 50], key=warc.place) for i in range(0, 300, 50)]
+    assert list(warc.merged([iter(r) for r in runs])) == sorted(entries, key=warc.place)
+    uri = f"file://{tmp_path}/a.run"
+    warc._spilled(uri, warc.merged([iter(r) for r in runs]))
+    assert list(warc._streamed(uri)) == sorted(entries, key=warc.place)
+    assert [e[2] for e in warc._streamed(uri)] == [str(i) for i in range(300)]
+
+
+def test_revisits_must_have_their_response(spark):
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    good = [(1, 3, "d", "response", None), (2, 3, "d", "revisit", 1), (None, 3, "d", "revisit", 1)]
+    assert warc.resolved(spark.createDataFrame(good, schema)).count() == 3
+    for bad in ((4, 3, "e", "revisit", 1), (4, 3, "d", "revisit", 9), (4, 2, "d", "revisit", 1)):
+        with pytest.raises(Exception, match="no response of its payload"):
+            warc.resolved(spark.createDataFrame([*good, bad], schema)).collect()
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.capture_histories(warc.write_archives(pages))).count() == 0
