@@ -242,12 +242,16 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """records, each revisit met with the response it refers to; one that has none, or one of another payload, is an error."""
-    responses = records.filter("record_type = 'response' AND page_id IS NOT NULL").groupBy("page_id").agg(F.min("payload_digest").alias("__digest"), F.min("payload_bytes").alias("__bytes"))
-    met = records.join(responses.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
-    right = (F.col("record_type") != "revisit") | (F.col("payload_digest").eqNullSafe(F.col("__digest")) & F.col("payload_bytes").eqNullSafe(F.col("__bytes")))
-    wrong = F.raise_error(F.concat(F.lit("a revisit has no response of its payload: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without number"))))
-    return met.withColumn("payload_digest", F.when(right, F.col("payload_digest")).otherwise(wrong.cast("string"))).select(*records.columns)
+    """records, once every revisit has been met with the response it refers to; one that has none, or one of another payload, is an error.
+
+    What the revisits of one response say is reduced to its different claims before they meet it, so that many revisits of one page are no hot key.
+    """
+    claim = ["payload_digest", "payload_bytes"]
+    said = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *claim).distinct()
+    wrong = said.join(records.filter("record_type = 'response'").select("page_id", *claim).distinct(), ["page_id", *claim], "left_anti").first()
+    if wrong:
+        raise ValueError(f"a revisit has no response of its payload: it refers to page {wrong.page_id}")
+    return records
 
 
 RECORD = ["page_id", "url", "captured", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]

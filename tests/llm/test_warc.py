@@ -65,7 +65,7 @@ def test_revisits_must_have_their_response(spark):
     good = [(1, 3, "d", "response", None), (2, 3, "d", "revisit", 1), (None, 3, "d", "revisit", 1)]
     assert warc.resolved(spark.createDataFrame(good, schema)).count() == 3
     for bad in ((4, 3, "e", "revisit", 1), (4, 3, "d", "revisit", 9), (4, 2, "d", "revisit", 1)):
-        with pytest.raises(Exception, match="no response of its payload"):
+        with pytest.raises(ValueError, match="no response of its payload"):
             warc.resolved(spark.createDataFrame([*good, bad], schema)).collect()
 
 
