@@ -16,6 +16,7 @@ sets of shingles, which loses no pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 from math import ceil
 
@@ -31,8 +32,8 @@ from .components import connected_components
 SHINGLE, RADIUS, TILE, SMALL = 4, 4, 2048, 16
 #: Rows that a bucket of the exact search may hold on average before the bits are cut into more blocks.
 EXACT_ROWS = 512
-#: Of similar_texts: words a shingle, Jaccard similarity, least shingles a text is led by; rows sampled for common shingles, and how many of these are kept.
-SIMILAR_SHINGLE, SIMILARITY, LEADS, SAMPLE_ROWS, COMMON = 5, 0.8, 4, 10_000, 300_000
+#: Of similar_texts: words a shingle, Jaccard similarity, least shingles a text is led by; rows sampled for common shingles, how many of these are kept, and classes of a set's tally.
+SIMILAR_SHINGLE, SIMILARITY, LEADS, SAMPLE_ROWS, COMMON, CLASSES = 5, 0.8, 4, 10_000, 300_000, 128
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -288,13 +289,28 @@ def prefix_of(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
     return h[np.lexsort((mixed(h, 0), count))][: len(h) - ceil(similarity * len(h) - 1e-9) + 1]
 
 
+def tally(h: np.ndarray) -> bytes:
+    """How many of the hashes fall in each of CLASSES classes, at most 255: two sets have no more in common than the sum of the lesser counts."""
+    return np.minimum(np.bincount((h % CLASSES).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
+def can_meet(tallies: np.ndarray, i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) may have as many hashes in common as they need; counts that are full on both sides tell nothing."""
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), 65536):
+        least = np.minimum(tallies[i[at : at + 65536]], tallies[j[at : at + 65536]])
+        out[at : at + 65536] = (least.sum(1, dtype=np.int64) >= need[at : at + 65536]) | (least == 255).any(1)
+    return out
+
+
 def _candidates(similarity: float):
-    """Pairs (u, v) of one (gram, tile) and of different components whose sizes and places let them reach the similarity."""
+    """Pairs (u, v) of one (gram, tile) and of different components whose sizes, places and tallies let them reach the similarity."""
 
     def pairs(b: pd.DataFrame) -> pd.DataFrame | None:
         key = b[["gram", "tile"]].to_numpy(np.int64)
         starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(b)]
         node, comp, n, pos = (b[c].to_numpy(np.int64) for c in ("node", "comp", "n", "pos"))
+        tallies = np.frombuffer(b"".join(b["tally"]), np.uint8).reshape(len(b), CLASSES)
         us, vs = [], []
         for s, e in zip(starts, starts[1:]):
             for at in range(s, e, 256):
@@ -304,8 +320,10 @@ def _candidates(similarity: float):
                 ok &= both >= similarity / (1 + similarity) * (n[i, None] + n[None, j]) - 1e-6
                 ok &= np.minimum(n[i, None], n[None, j]) >= similarity * np.maximum(n[i, None], n[None, j]) - 1e-6
                 x, y = np.nonzero(ok)
-                us.append(node[at + x])
-                vs.append(node[at + 1 + y])
+                x, y = at + x, at + 1 + y
+                meet = can_meet(tallies, x, y, similarity / (1 + similarity) * (n[x] + n[y]) - 1e-6)
+                us.append(node[x[meet]])
+                vs.append(node[y[meet]])
         if not us:
             return None
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -352,6 +370,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, k:
     return sure
 
 
+def leads(dealt: DataFrame) -> DataFrame:
+    """(a, b): each node of (node, fp, w, key) with the leaders of its (w, key), if that has other nodes.
+
+    Leaders are the smallest and the largest node, and the one whose fingerprint is nearest to the majority of all, bit by bit: near copies of one text may be less alike to
+    each other than each is to it, and it stands in their middle.
+    """
+    keys = ["w", "key"]
+    ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    groups = dealt.groupBy(*keys).agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), *ones).filter("low < high")
+    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit((1 << i) - ((1 << 64) if i == 63 else 0))).otherwise(F.lit(0)) for i in range(64)]
+    middle = reduce(lambda x, y: x.bitwiseOR(y), [b.cast("long") for b in bits])
+    met = written(dealt.join(groups.select(*keys, "low", "high", middle.alias("middle")), keys), "led-nodes")
+    central = met.groupBy(*keys).agg(F.min_by("node", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))), "node")).alias("central"))
+    found = met.select(*keys, "node", F.explode(F.array("low", "high")).alias("b")).union(met.join(central, keys).select(*keys, "node", F.col("central").alias("b")))
+    return found.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def text_classes(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """doc_id, h (the text's xxhash64, of "" where it is null) and `class` of each row: components of the pairs of texts whose sets of k-word shingles
     have at least the Jaccard similarity. No pair is lost and none is guessed: candidates come from prefix filtering and are compared exactly.
@@ -368,13 +403,13 @@ def text_classes(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE,
                 all_ = shingle_hashes(t, k)
                 h, fp = np.unique(all_), int(np.uint64(majority(all_)).view(np.int64))
                 least = [int(mixed(h, w).min().view(np.int64)) for w in range(1, LEADS + 1)] if len(h) else []
-                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63, len(h), fp, least, prefix_of(h, common.value, similarity).tobytes()))
-            yield pd.concat([b[["doc_id", "h"]], pd.DataFrame(rows, columns=["node", "n", "fp", "least", "prefix"], index=b.index)], axis=1)
+                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63, len(h), fp, least, prefix_of(h, common.value, similarity).tobytes(), tally(h)))
+            yield pd.concat([b[["doc_id", "h"]], pd.DataFrame(rows, columns=["node", "n", "fp", "least", "prefix", "tally"], index=b.index)], axis=1)
 
     # pandas turns a bigint column with nulls into floats, so the id goes as text
     kept = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
-    rows = written(kept.mapInPandas(read, "doc_id string, h long, node long, n long, fp long, least array<long>, prefix binary"), "shingled")
-    nodes = written(rows.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("prefix").alias("prefix")), "shingled-nodes")
+    rows = written(kept.mapInPandas(read, "doc_id string, h long, node long, n long, fp long, least array<long>, prefix binary, tally binary"), "shingled")
+    nodes = written(rows.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("prefix").alias("prefix"), F.first("tally").alias("tally")), "shingled-nodes")
 
     # first the likely pairs: bit-sliced SimHash links, and the leaders of texts that share a least shingle
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "shingled-prints")
@@ -382,9 +417,7 @@ def text_classes(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE,
     own = nodes.join(prints, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
     first = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
     across = near.join(first("u"), "u").join(first("v"), "v").select(F.col("u_first").alias("a"), F.col("v_first").alias("b"))
-    dealt = nodes.select("node", F.posexplode("least").alias("w", "key"))
-    leaders = dealt.groupBy("w", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    led = dealt.join(leaders, ["w", "key"]).select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    led = leads(nodes.select("node", "fp", F.posexplode("least").alias("w", "key")))
     likely = own.union(across).union(led).filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     sure = verified(likely, nodes, docs, text, k, similarity)
     comp = written(connected_components(sure), "led")
@@ -408,6 +441,7 @@ def text_classes(docs: DataFrame, text: str = "text", k: int = SIMILAR_SHINGLE,
     pair = lambda i: F.least(own, i).cast("long") * F.col("cuts") + F.greatest(own, i)
     tiles = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), pair)
     met = prefixes.join(live, "gram").select("gram", "node", "comp", "n", "pos", F.explode(tiles).alias("tile"))
+    met = met.join(nodes.select("node", "tally"), "node")
     met = met.repartition(partitions(docs.sparkSession), "gram", "tile").sortWithinPartitions("gram", "tile")
     more = verified(met.mapInPandas(_candidates(similarity), "u long, v long").distinct(), nodes, docs, text, k, similarity)
     classes = written(connected_components(sure.union(more)), "classes")

@@ -192,3 +192,21 @@ def test_one_id_with_two_texts_joins_no_classes(spark):
     got = sh.similar_texts(spark.createDataFrame([(7, a), (7, b), (8, a), (9, b)], "doc_id long, text string"))
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(7, 7), (7, 7), (8, 7), (9, 7)]
     assert sh.text_classes(spark.createDataFrame([(7, a), (7, b)], "doc_id long, text string")).select("class").distinct().count() == 2
+
+
+def test_tallies_never_say_too_little():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60_000, rng.integers(1, n)).astype(np.uint64)) for n in (5, 50, 3000, 50_000) for _ in range(12)]
+    tallies = np.array([np.frombuffer(sh.tally(x), np.uint8) for x in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert sh.can_meet(tallies, i, j, common).all() and not sh.can_meet(tallies, i, j, common * 2 + 400).all()
+
+
+def test_leaders_are_ends_and_middle(spark):
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(0, 2**62))
+    rows = [(i, base ^ (1 << int(rng.integers(62))) ^ (1 << int(rng.integers(62))), 0, 5) for i in range(40)] + [(100, base, 0, 5), (200, base, 1, 5)]
+    got = {(r.a, r.b) for r in sh.leads(spark.createDataFrame(rows, "node long, fp long, w int, key long")).collect()}
+    assert {b for _, b in got} == {0, 100} or {b for _, b in got} > {0, 100}
+    assert all((i, 100) in got for i in range(40)) and not any(200 in p for p in got)
