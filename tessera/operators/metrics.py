@@ -12,20 +12,22 @@ from tessera.functions.columns import half_up, ratio, status
 
 @dataclass(frozen=True)
 class Metric:
-    """value and sample are expressions over a wide aggregate; below `least` samples there is no value."""
+    """value and sample are expressions over a wide aggregate; below `least` samples there is no value, and where `covered` is 0 no source tells it."""
 
     key: str
     value: Column
     sample: Column
     least: int = 1
     version: int = 1
+    covered: Column | None = None
 
 
 def told(wide: DataFrame, subject: list[str], metrics: list[Metric]) -> DataFrame:
     """(subject, metric, version, status, value, sample): a row for each metric, exploded from one wide aggregate."""
+    missing = lambda m: F.lit(False) if m.covered is None else m.covered == 0
     rows = [
         F.struct(
-            F.lit(m.key).alias("metric"), F.lit(m.version).alias("version"), F.when(m.value.isNull() & (m.sample >= m.least), "not_applicable").otherwise(status(m.sample, m.least)).alias("status"),
+            F.lit(m.key).alias("metric"), F.lit(m.version).alias("version"), F.when(missing(m), "source_unavailable").when(m.value.isNull() & (m.sample >= m.least), "not_applicable").otherwise(status(m.sample, m.least)).alias("status"),
             half_up(F.when(m.sample >= m.least, m.value.cast("double"))).alias("value"), m.sample.cast("long").alias("sample"),
         )
         for m in metrics

@@ -40,27 +40,33 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.explode(idn.name_keys(idn.tokens(idn.folded(F.col("p_name"))))).alias("key"))
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")).distinct()
+
+
 @named("""
-WITH p AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM p a JOIN p b ON a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 4
+WITH p AS (SELECT DISTINCT regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^ -~]', '?', 'g') AS t FROM pages)
+SELECT a.t AS a, b.t AS b, levenshtein(a.t, b.t) AS distance FROM p a JOIN p b ON a.t < b.t AND levenshtein(a.t, b.t) <= 4
 """)
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different names at most four edits apart."""
-    return idn.edit_pairs(load(spark, sf_dir, "part"), "p_name", 4)
+    """Different titles of pages at most four edits apart, what is not ASCII counted as one sign."""
+    return idn.edit_pairs(_titles(spark, sf_dir).select(F.regexp_replace("title", "[^ -~]", "?").alias("title")), "title", 4)
 
 
 TRIGRAMS = """
-p AS (SELECT DISTINCT p_name FROM part), g AS (SELECT DISTINCT p_name, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT p_name, w, unnest(range(1, CAST(length(w) + 2 AS BIGINT))) AS i FROM (SELECT p_name, unnest(string_split(lower(p_name), ' ')) AS w FROM p))),
-n AS (SELECT p_name, count(*) AS n FROM g GROUP BY p_name)
+p AS (SELECT DISTINCT regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages), v AS (SELECT t, unnest(string_split(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM p),
+g AS (SELECT DISTINCT t, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT t, w, unnest(range(1, CAST(length(w) + 2 AS BIGINT))) AS i FROM v WHERE w <> '')),
+n AS (SELECT t, count(*) AS n FROM g GROUP BY t)
 """
 
 
 @named(f"""
-WITH {TRIGRAMS}, c AS (SELECT a.p_name AS a, b.p_name AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.p_name < b.p_name GROUP BY ALL)
-SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.p_name = a JOIN n y ON y.p_name = b WHERE round(c / (x.n + y.n - c), 6) >= 0.6
+WITH {TRIGRAMS}, c AS (SELECT a.t AS a, b.t AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.t < b.t GROUP BY ALL)
+SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.t = a JOIN n y ON y.t = b WHERE round(c / (x.n + y.n - c), 6) >= 0.6
 """)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names whose trigrams are alike."""
-    p = load(spark, sf_dir, "part").select(F.col("p_name").alias("id")).distinct().withColumn("text", F.col("id"))
+    """Different titles of pages whose trigrams are alike."""
+    p = _titles(spark, sf_dir).select(F.col("title").alias("id"), F.col("title").alias("text"))
     return idn.similar_pairs(p, "id", "text", 0.6)
 
 
