@@ -131,3 +131,24 @@ def scrubbed(text: Column) -> Column:
     out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[mail]")
     out = F.regexp_replace(out, r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "[ip]")
     return F.regexp_replace(out, r"[0-9]{9,}", "[number]")
+
+
+def date_likeness(seen: Column, known: Column) -> Column:
+    """How two dates of one thing compare: exact, typo_like (day and month exchanged, a day apart, or one digit differs), conflict, or unknown where one is null."""
+    digits = lambda c: F.date_format(c, "yyyyMMdd")
+    a, b = digits(seen), digits(known)
+    exchanged = (F.year(seen) == F.year(known)) & (F.month(seen) == F.day(known)) & (F.day(seen) == F.month(known))
+    differing = sum(((F.substring(a, i, 1) != F.substring(b, i, 1)).cast("int") for i in range(2, 9)), (F.substring(a, 1, 1) != F.substring(b, 1, 1)).cast("int"))
+    return F.when(seen.isNull() | known.isNull(), "unknown").when(seen == known, "exact").when(exchanged | (F.abs(F.date_diff(seen, known)) <= 1) | (differing == 1), "typo_like").otherwise("conflict")
+
+
+def by_id_prefix(asked: DataFrame, prefix: str, entities: DataFrame, id_: str, digits: int) -> DataFrame:
+    """asked with outcome and the entity whose hashed id begins with `prefix`, which has `digits` hex digits: matched where one does, ambiguous where several, unmatched.
+
+    The beginning is a column of the entities, so they meet in an equi-join of counts and not by LIKE.
+    """
+    begins = entities.select(F.substring(F.sha2(F.col(id_).cast("string"), 256), 1, digits).alias("__begins"), F.col(id_).alias("__id"))
+    found = begins.groupBy("__begins").agg(F.count_distinct("__id").alias("candidates"), F.min("__id").alias("__one"))
+    met = asked.join(found, asked[prefix] == found["__begins"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    outcome = F.when(F.col("candidates") == 1, "matched").when(F.col("candidates") > 1, "ambiguous").otherwise("unmatched")
+    return met.withColumn("outcome", outcome).withColumn(id_, F.when(F.col("candidates") == 1, F.col("__one"))).drop("__begins", "__one")

@@ -81,3 +81,27 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
     """Rows of equal keys whose dates are at most `days` apart."""
     near = F.abs(F.date_diff(F.col(left_at), F.col(right_at))) <= days
     return left.join(right, all_of([left[k] == right[k] for k in keys]) & near)
+
+
+def sharing_pairs(df: DataFrame, id_: str, members: str, within: list[str]) -> DataFrame:
+    """(*within, a, b, shared), a < b: rows of one group whose arrays overlap, with the number of distinct members they share.
+
+    Rows meet by group and member, an equi-join; a member that most rows of a group have makes as many pairs as its answer has.
+    """
+    each = df.select(*within, F.col(id_).alias("id"), F.explode(F.array_distinct(members)).alias("m"))
+    a, b = each.withColumnRenamed("id", "a"), each.withColumnRenamed("id", "b")
+    return a.join(b, [*within, "m"]).filter("a < b").groupBy(*within, "a", "b").agg(F.count("*").alias("shared"))
+
+
+def in_scope(scope: Column, at: Column, now: Column) -> Column:
+    """Whether a row belongs to a named scope: upcoming (from now on), past (before), all; no row belongs to another."""
+    return F.when(scope == "all", True).when(scope == "upcoming", at >= now).when(scope == "past", at < now).otherwise(False)
+
+
+def year_coverage(df: DataFrame, key: str, at: str, ok: Column) -> DataFrame:
+    """(key, year, n, good, share): every year from a key's first to its last, empty ones with 0 rows and no share."""
+    n = df.select(key, F.year(at).alias("year"), ok.alias("ok")).groupBy(key, "year").agg(F.count("*").alias("n"), F.count_if("ok").alias("good"))
+    span = n.filter("year IS NOT NULL").groupBy(key).agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
+    years = span.select(key, F.explode(F.sequence("lo", "hi")).alias("year"))
+    full = years.join(n, [key, "year"], "left").fillna(0, ["n", "good"])
+    return full.withColumn("share", F.round(F.col("good") / F.nullif(F.col("n"), F.lit(0)), 6))
