@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontam, html, langid, licenses, merkle, mixing, secrets, simhash, token_files, warc
+from . import decontam, fim, html, langid, licenses, merkle, mixing, quality, secrets, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,10 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.query,
         "op9_mixing": mixing.query,
         "op10_token_files": token_files.query,
+        "op11_fim": fim.query,
+        "op12_quality": quality.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op7_decontam": decontam.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op7_decontam": decontam.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op11_fim": fim.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
