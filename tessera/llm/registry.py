@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontam, fim, html, langid, licenses, merkle, mixing, quality, secrets, simhash, token_files, warc
+from . import align, decontam, fim, html, langid, licenses, merkle, mixing, quality, secrets, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_files": token_files.query,
         "op11_fim": fim.query,
         "op12_quality": quality.query,
+        "op13_align": align.query,
         "pipeline": corpus_pipeline.run,
     }
 
