@@ -25,7 +25,11 @@ from .common import new_folder, partitions, table, written
 from .files import make_folder, opened, part_name
 
 RUN, HELD, REVISIT_FROM, EPOCH = 50_000, 200_000, 100, 1_700_000_000
+READ_TOGETHER = 16_000_000  # bytes of payloads handed on at once
 INDEX = "urlkey string, captured string, page_id string, url string, path string, offset long, length long"
+#: Without capture times a page has its number in seconds after EPOCH, modulo SPREAD, so that any 64-bit number has a four-digit year. Given times are held within these.
+SPREAD, FIRST_TIME, LAST_TIME = 1_000_000_000, "0001-01-01 00:00:00", "9999-12-31 23:59:59"
+INFO = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -72,18 +76,39 @@ class LoserTree:
             self._play(self.winner)
 
 
-def _record(kind: str, page_id: str, url: str, date: str, digest: str, n: int, refers: str | None, body: bytes) -> bytes:
-    urn = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{p}')}>"
+def _urn(page_id: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+
+
+def _uri(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: quote(m[0]), url)
+
+
+def _record(kind: str, page_id: str, url: str, date: str | None, digest: str, n: int, refers: tuple[str, str, str | None] | None, body: bytes) -> bytes:
+    """A response, or a revisit of what `refers` (page number, url, date) captured; an unknown date has no header."""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', lambda m: quote(m[0]), url)}", f"WARC-Payload-Digest: sha256:{digest}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", *[f"WARC-Date: {date}"] * bool(date),
+        f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(HTTP) + len(body)}", f"X-Page-Id: {page_id}", f"X-Payload-Length: {n}",
     ]
     if refers is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers)}", f"X-Refers-To-Page-Id: {refers}"]
+        first, its_url, its_date = refers
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(first)}", f"WARC-Refers-To-Target-URI: {_uri(its_url)}"]
+        lines += [f"WARC-Refers-To-Date: {its_date}"] * bool(its_date) + [f"X-Refers-To-Page-Id: {first}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + HTTP + body + b"\r\n\r\n"
 
 
+def _info(name: str) -> bytes:
+    """The warcinfo record that an archive begins with; no index entry names it."""
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(INFO)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + INFO + b"\r\n\r\n"
+
+
+def squeezed(record: bytes) -> bytes:
+    squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return squeeze.compress(record) + squeeze.flush()
+
+
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of one gzip member."""
     head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
@@ -95,17 +120,22 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_decisions(pages: DataFrame, html: str, captured: Column | None) -> DataFrame:
-    """page_id, url, html, date and refers_to of each page. The pages of one payload meet in a join that AQE may split, never in a group."""
+    """page_id, url, html, digest, date and what it refers to (first, first_url, first_date) of each page. The pages of one payload meet in a join that AQE may split, never in a group."""
+    number = F.col("page_id").cast("long")
+    ts = F.timestamp_seconds(F.pmod(F.coalesce(number, F.lit(0)), F.lit(SPREAD)) + EPOCH) if captured is None else captured.cast("timestamp")
+    held = F.least(F.greatest(ts, F.lit(FIRST_TIME).cast("timestamp")), F.lit(LAST_TIME).cast("timestamp"))
     kept = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"),
-        (F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + EPOCH) if captured is None else captured).alias("ts"),
+        number.alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"),
+        F.date_format(F.when(ts.isNotNull(), held), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
     )
     kept = kept.withColumn("digest", F.sha2("html", 256))
-    twice = kept.filter(F.octet_length("html") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))
+    twice = kept.filter(F.octet_length("html") >= REVISIT_FROM).groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).filter("n > 1")
     met = kept.join(written(twice.select("digest", "first"), "payloads"), "digest", "left")
+    refers = ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
     return met.select(
-        F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
-        F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).cast("string").alias("refers"),
+        F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", "date",
+        F.when(refers, F.col("first.page_id")).cast("string").alias("refers"), F.when(refers, F.col("first.url")).alias("first_url"), F.when(refers, F.col("first.date")).alias("first_date"),
     )
 
 
@@ -114,8 +144,9 @@ def write_archives(pages: DataFrame, html: str = "html", captured: Column | None
 
     A null html is an empty payload, a null url an empty one. Of records with equal payloads of REVISIT_FROM
     bytes or more, the one with the smallest page_id is the response (all rows that repeat it, too), the others
-    are revisits. A page_id may be null, and is never referred to. `captured` is a timestamp; by default the page's number in seconds
-    after a fixed time, as the tables have none. Other columns are ignored; an empty table writes nothing.
+    are revisits. A page_id may be null, and is never referred to. `captured` is a timestamp; by default the page's number in seconds, modulo SPREAD,
+    after a fixed time, as the tables have none. A null time gives a record without a date, which comes first in its history; times outside the years
+    1 to 9999 count as the nearest within. Page numbers are any 64-bit integers. Other columns are ignored; an empty table writes nothing.
     """
     folder = new_folder(pages.sparkSession, "warc")
     make_folder(folder)
@@ -127,14 +158,15 @@ def write_archives(pages: DataFrame, html: str = "html", captured: Column | None
                 path = part_name(folder, "warc.gz")[1]
                 store, local = opened(path)
                 out = store.open_output_stream(local, compression=None)  # the members are compressed one by one
-            for page_id, url, text, digest, date, refers in zip(b["page_id"], b["url"], b["html"], b["digest"], b["date"], b["refers"]):
+                info = squeezed(_info(path.rsplit("/", 1)[-1]))
+                out.write(info)
+                at = len(info)
+            for page_id, url, text, digest, date, first, its_url, its_date in zip(*(b[c] for c in ("page_id", "url", "html", "digest", "date", "refers", "first_url", "first_date"))):
                 body = text.encode("utf-8", "replace")
-                page_id, refers = page_id or "", refers or None
-                squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-                record = _record("revisit" if refers else "response", page_id, url, date, digest, len(body), refers, b"" if refers else body)
-                member = squeeze.compress(record) + squeeze.flush()
+                page_id, refers = page_id or "", (first, its_url, its_date) if first else None
+                member = squeezed(_record("revisit" if refers else "response", page_id, url, date, digest, len(body), refers, b"" if refers else body))
                 out.write(member)
-                entries.append((url_key(url), re.sub(r"\D", "", date), page_id, url, path, at, len(member)))
+                entries.append((url_key(url), re.sub(r"\D", "", date or ""), page_id, url, path, at, len(member)))
                 at += len(member)
                 if len(entries) == RUN:
                     yield pd.DataFrame(sorted(entries, key=place), columns=FIELDS)
@@ -214,30 +246,42 @@ def capture_histories(runs: DataFrame) -> DataFrame:
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records that an index names, in its order, read and checked: page_id, url, captured, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
+    """The records that an index names, read and checked: urlkey, page_id, url, captured, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
 
-    A record without a page number comes back with a null one; entries that stand twice are read twice; an empty index gives no row. A payload that is not what its digest
-    says is an error. What a revisit says about its payload is checked by `resolved`.
+    Entries are dealt out by ranges of (archive, offset) and read in that order, so that an archive is opened by few tasks, once each; sorted by urlkey,
+    captured and page_id, nulls first, the records stand in the index's order. A record without a page number or a capture time comes back with a null one; entries
+    that stand twice are read twice; an empty index gives no row. A payload that is not what its digest says is an error. What a revisit says
+    about its payload is checked by `resolved`.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 1_000):
-                b = whole.iloc[at : at + 1_000].reset_index(drop=True)
-                rows: list = [None] * len(b)
-                for path, own in b.sort_values(["path", "offset"]).groupby("path", sort=False):
+        at_hand, f = None, None
+        for b in batches:
+            rows, held = [], 0
+            for urlkey, url, captured, path, offset, length in zip(b["urlkey"], b["url"], b["captured"], b["path"], b["offset"], b["length"]):
+                if path != at_hand:
+                    if f is not None:
+                        f.close()
                     store, local = opened(path)
-                    with store.open_input_file(local) as f:
-                        for i, url, captured, offset, length in zip(own.index, own["url"], own["captured"], own["offset"], own["length"]):
-                            f.seek(offset)
-                            h, payload = parse_record(f.read(length))
-                            digest, n = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
-                            if h["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != n):
-                                raise ValueError(f"{path} at {offset}: the payload is not what its digest says")
-                            rows[i] = (h["X-Page-Id"] or None, url, captured, h["WARC-Type"], n, digest, h.get("X-Refers-To-Page-Id"), payload if h["WARC-Type"] == "response" else None)
+                    at_hand, f = path, store.open_input_file(local)
+                f.seek(offset)
+                h, payload = parse_record(f.read(length))
+                digest, n = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
+                full = h["WARC-Type"] == "response"
+                if full and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != n):
+                    raise ValueError(f"{path} at {offset}: the payload is not what its digest says")
+                rows.append((urlkey, h["X-Page-Id"] or None, url, captured or None, h["WARC-Type"], n, digest, h.get("X-Refers-To-Page-Id"), payload if full else None))
+                held += len(payload)
+                if len(rows) == 1_000 or held > READ_TOGETHER:
+                    yield pd.DataFrame(rows, columns=RECORD)
+                    rows, held = [], 0
+            if rows:
                 yield pd.DataFrame(rows, columns=RECORD)
+        if f is not None:
+            f.close()
 
-    read = index.mapInPandas(run, "page_id string, url string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    dealt = index.repartitionByRange(partitions(index.sparkSession), "path", "offset").sortWithinPartitions("path", "offset")
+    read = dealt.mapInPandas(run, "urlkey string, page_id string, url string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
     return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
@@ -254,7 +298,7 @@ def resolved(records: DataFrame) -> DataFrame:
     return records
 
 
-RECORD = ["page_id", "url", "captured", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+RECORD = ["urlkey", "page_id", "url", "captured", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +313,6 @@ r AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
        CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to, url,
-       strftime(to_timestamp(1700000000 + page_id) AT TIME ZONE 'UTC', '%Y%m%d%H%M%S') AS captured
+       strftime(to_timestamp(1700000000 + (page_id % 1000000000 + 1000000000) % 1000000000) AT TIME ZONE 'UTC', '%Y%m%d%H%M%S') AS captured
 FROM p LEFT JOIN r ON p.d = r.d
 """
