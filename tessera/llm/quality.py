@@ -19,7 +19,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import partitions, table, written
 
 #: Bounds of the fit, for each label: documents of the dictionary and characters of each, documents of the calibration (their whole texts are scored).
 DICTIONARY, SAMPLE_CHARS, CALIBRATION = 384, 600, 1024
@@ -109,42 +109,50 @@ def calibrated(features: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
     return tuple(centre), tuple(scale), tuple(w)
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "quality", id_: str = "doc_id") -> Model:
-    """The dictionaries and the curve of labelled rows.
+def agreed(labels: DataFrame, label: str = "quality", id_: str = "doc_id") -> DataFrame:
+    """doc_id and label (0 or 1) of labelled ids; an id whose labels disagree has none, nulls and other values say nothing."""
+    known = labels.select(F.col(id_).alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    return known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("__high")).filter("label = __high").drop("__high")
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", id_: str = "doc_id") -> Model:
+    """The dictionaries and the curve of labelled documents.
 
     Fitted on a bounded sample: of each label, DICTIONARY hash classes give SAMPLE_CHARS characters from the middle of one document each, and
-    CALIBRATION other classes one document each, scored whole and weighted by how many rows of the label there are. Rows without a text or with a label
-    other than 0 and 1 are left out. A label without a row, or without one in either part, leaves nothing to compare: scores are the share of label 1, 0.5 without any row.
+    CALIBRATION other classes one document each, scored whole and weighted by how many documents of the label there are. Only ids meet the labels;
+    texts are fetched of the chosen ones alone. Documents without a text, an id or an agreed label are left out; of the texts of one id the first in order counts.
+    A label without a document, or without one in either part, leaves nothing to compare: scores are the share of label 1, 0.5 without any document.
     """
-    spark = train.sparkSession
-    rows = train.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.xxhash64(id_).alias("h"))
-    rows = rows.filter(F.col("label").isin(0, 1) & F.col("text").isNotNull())
-    part, rest = F.pmod("h", F.lit(2)), F.shiftrightunsigned("h", 1)
+    spark = docs.sparkSession
+    ids = docs.filter(F.col(text).isNotNull()).select(F.col(id_).alias("doc_id"))
+    h = F.xxhash64("doc_id")
+    part, rest = F.pmod(h, F.lit(2)), F.shiftrightunsigned(h, 1)
     slot = F.when(part == 0, F.pmod(rest, F.lit(DICTIONARY))).otherwise(F.pmod(rest, F.lit(CALIBRATION)))
-    middle = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
-    piece = F.when(part == 0, F.substring("text", middle, F.lit(SAMPLE_CHARS)))
-    kept = rows.select("label", part.alias("part"), slot.alias("slot"), F.struct("h", piece.alias("piece")).alias("p"))
+    known = ids.join(agreed(labels, label, id_), "doc_id").select("label", part.alias("part"), slot.alias("slot"), F.struct(h.alias("h"), "doc_id").alias("p"))
     # at most 2 x (DICTIONARY + CALIBRATION) rows, combined before the shuffle
-    found = kept.groupBy("label", "part", "slot").agg(F.min("p").alias("p"), F.count("*").alias("n")).collect()
+    found = known.groupBy("label", "part", "slot").agg(F.min("p").alias("p"), F.count("*").alias("n")).collect()
     count = {k: sum(r.n for r in found if r.label == k) for k in (0, 1)}
-    content = {k: b"\n".join(r.p.piece.encode("utf-8", "replace") for r in sorted((r for r in found if (r.label, r.part) == (k, 0)), key=lambda r: r.p.h)) for k in (0, 1)}
     share = count[1] / (count[0] + count[1]) if found else 0.5
-    chosen = [(r.label, r.p.h) for r in found if r.part == 1]
-    if not all(content.values()) or len({k for k, _ in chosen}) < 2:
+    if len({(r.label, r.part) for r in found}) < 4:
         return Model(b"", b"", share=share)
-    scorer = Scorer(Model(content[0], content[1]))
-    to_score = rows.join(F.broadcast(spark.createDataFrame(chosen, "label int, h long")), ["label", "h"]).dropDuplicates(["label", "h"])
+    chosen = spark.createDataFrame([(r.p.doc_id, r.p.h, r.label, r.part) for r in found], f"doc_id {docs.schema[id_].dataType.simpleString()}, h long, label int, part int")
+    texts = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    picked = written(texts.groupBy("h", "label", "part").agg(F.min("text").alias("text")), "quality-sample")
+    middle = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
+    pieces = picked.filter("part = 0").select("label", F.substring("text", middle, F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("label", "h").collect()
+    content = [b"\n".join(r.piece.encode("utf-8", "replace") for r in pieces if r.label == k) for k in (0, 1)]
+    scorer = Scorer(Model(*content))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"label": b["label"], "x": [scorer.features(t) for t in b["text"]]})
 
-    told = to_score.select("label", "text").mapInPandas(run, "label int, x array<double>").collect()
-    told.sort(key=lambda r: (r.label, r.x))
-    y = np.array([r.label for r in told])
+    spread = picked.filter("part = 1").select("label", "text").repartition(partitions(spark))
+    told = sorted((r.label, r.x) for r in spread.mapInPandas(run, "label int, x array<double>").collect())
+    y = np.array([k for k, _ in told])
     weights = np.where(y == 1, count[1] / max(1, (y == 1).sum()), count[0] / max(1, (y == 0).sum()))
-    centre, scale, w = calibrated(np.array([r.x for r in told]), y, weights * len(y) / weights.sum())
-    return Model(content[0], content[1], centre, scale, w, share)
+    centre, scale, w = calibrated(np.array([x for _, x in told]), y, weights * len(y) / weights.sum())
+    return Model(*content, centre, scale, w, share)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -167,13 +175,7 @@ def held_out(id_: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """doc_id, text and label of documents that have one; a doc_id whose labels disagree has none, nulls say nothing."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__low"), F.max(label).alias("__high"))
-    return docs.select("doc_id", "text").join(known.filter("__low = __high").select("doc_id", F.col("__low").alias(label)), "doc_id")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit(labelled(docs, labels.filter(~held_out())))
+    model = fit(docs, labels.filter(~held_out()))
     return scored(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")

@@ -24,7 +24,8 @@ def texts(n, seed):
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
-    model = quality.fit(spark.createDataFrame([*texts(400, 1), (900, None, 1), (901, "x", None), (902, "y", 7)], "doc_id long, text string, quality int"))
+    train = spark.createDataFrame([*texts(400, 1), (900, None, 1), (901, "x", None), (902, "y", 7), (903, "two texts", 1), (903, "of one id", 1), (None, "z", 1)], "doc_id long, text string, quality int")
+    model = quality.fit(train.drop("quality"), train.drop("text"))
     rows = list(texts(200, 2))
     odd = [(1000, None, None), (1001, "", None), (1003, "old bridge houses " * 9_000, 1), (1003, "old bridge houses " * 9_000, 1), (None, "$$%", 0)]
     docs = spark.createDataFrame([(*r, "old") for r in rows + odd], "doc_id long, text string, quality int, score string")
@@ -71,17 +72,16 @@ def test_the_curve_is_the_best_one():
 
 def test_nothing_to_compare(spark):
     schema = "doc_id long, text string, quality int"
-    none = quality.fit(spark.createDataFrame([], schema))
-    one = quality.fit(spark.createDataFrame([(i, "some words", 1) for i in range(30)], schema))
+    empty, same = spark.createDataFrame([], schema), spark.createDataFrame([(i, "some words", 1) for i in range(30)], schema)
+    none, one = quality.fit(empty, empty), quality.fit(same, same)
     assert (none.share, one.share) == (0.5, 1.0)
     got = quality.scored(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), none).collect()
     assert [r.score for r in got] == [0.5, 0.5] and [r.predicted for r in got] == [1, 1]
 
 
 def test_labels_that_disagree_and_held_out_rows(spark):
-    docs = spark.createDataFrame([(1, "a", 9), (2, "b", 9), (3, "c", 9), (None, "d", 9)], "doc_id long, text string, quality int")
-    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (3, None), (None, 1)], "doc_id long, quality int")
-    assert [tuple(r) for r in quality.labelled(docs, labels).collect()] == [(1, "a", 0)]
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (3, None), (None, 1), (4, 5)], "doc_id long, quality int")
+    assert [tuple(r) for r in quality.agreed(labels).collect()] == [(1, 0)]
     ids = [*range(200), None, -5, 2**62]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("out", quality.held_out()).collect()
     assert all(r.out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
