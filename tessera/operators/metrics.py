@@ -35,6 +35,42 @@ def told(wide: DataFrame, subject: list[str], metrics: list[Metric]) -> DataFram
     return wide.select(*subject, F.explode(F.array(*rows)).alias("m")).select(*subject, "m.*")
 
 
+@dataclass(frozen=True)
+class Kind:
+    """A metric whose value is a number, a category or a document.
+
+    Where `covered` is 0 no source tells it; below `least` samples there is no value; where `gap` holds the source lacks a field; a null value then means that the
+    metric doesn't apply. What no source tells has a sample of 0.
+    """
+
+    key: str
+    value: Column
+    sample: Column
+    least: int = 1
+    kind: str = "number"
+    covered: Column | None = None
+    gap: Column | None = None
+
+
+def told_kinds(wide: DataFrame, subject: list[str], metrics: list[Kind]) -> DataFrame:
+    """(subject, metric, status, value_number, value_text, value_json, sample): a row for each metric of one wide aggregate; only an available metric has a value."""
+    rows = []
+    for m in metrics:
+        state = F.when(m.sample < m.least, "insufficient_sample")
+        if m.covered is not None:
+            state = F.when(m.covered == 0, "source_unavailable").when(m.sample < m.least, "insufficient_sample")
+        if m.gap is not None:
+            state = state.when(m.gap, "source_unavailable")
+        state = state.when(m.value.isNull(), "not_applicable").otherwise("available")
+        value = F.when(state == "available", m.value)
+        none = F.lit(None).cast("string")
+        rows.append(F.struct(
+            F.lit(m.key).alias("metric"), state.alias("status"), (half_up(value.cast("double")) if m.kind == "number" else F.lit(None).cast("double")).alias("value_number"),
+            (value if m.kind == "text" else none).alias("value_text"), (value if m.kind == "json" else none).alias("value_json"), F.when(state == "source_unavailable", 0).otherwise(m.sample).cast("long").alias("sample"),
+        ))
+    return wide.select(*subject, F.explode(F.array(*rows)).alias("m")).select(*subject, "m.*")
+
+
 def weighted_mean(x: Column, weight: Column) -> Column:
     """Mean over rows where both are known; null where the weights sum to zero."""
     known = x.isNotNull() & weight.isNotNull()

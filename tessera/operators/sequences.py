@@ -45,6 +45,21 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     return met.drop("__b", *[f"__{p}_{k}" for k in sums for p in "xoi"])
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, bucket: Column | None = None) -> DataFrame:
+    """Rows with the last known `value` at or before them in the key's order. Buckets as in `before`: a bucket starts from the last known value of the buckets before."""
+    frame = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    if bucket is None:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(frame(Window.partitionBy(*keys).orderBy(*order))))
+    rows = df.withColumn("__b", bucket)
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last")
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.groupBy(*keys, "__b").agg(last).select(*keys, "__b", F.last("__last", ignorenulls=True).over(earlier).alias("__edge"))
+    inner = rows.withColumn("__in", F.last(value, ignorenulls=True).over(frame(Window.partitionBy(*keys, "__b").orderBy(*order))))
+    same = [F.col(f"__l.{c}").eqNullSafe(F.col(f"__r.{c}")) for c in [*keys, "__b"]]
+    met = inner.alias("__l").join(edges.alias("__r"), same, "left").select("__l.*", "__r.__edge")
+    return met.withColumn(name, F.coalesce("__in", "__edge")).drop("__b", "__in", "__edge")
+
+
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
     """Rows with `island`, the number of their run of equal neighbouring values (null-safe) within the key."""
     marked = before(df, keys, order, {value: "__before"}, bucket)

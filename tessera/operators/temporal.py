@@ -21,6 +21,13 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rn") <= k)
 
 
+def newest_per_key(df: DataFrame, keys: list[str], order: list[str], k: int, bucket: Column) -> DataFrame:
+    """The last k rows of each key by `order`, with their place `rn` from the newest: first of each bucket of a key, then of what these leave, so that a key of any size spreads."""
+    newest = [F.desc(c) for c in order]
+    inner = top_per_key(df.withColumn("__b", bucket), [*keys, "__b"], newest, k).drop("rn", "__b")
+    return top_per_key(inner, keys, newest, k)
+
+
 def as_of(df: DataFrame, keys: list[str], clocks: dict[str, str], order: list[str]) -> DataFrame:
     """The last row of each key that every clock allows: clocks maps a time column to the latest time it may hold."""
     allowed = all_of([F.col(c) <= F.lit(t).cast("timestamp_ntz") for c, t in clocks.items()])

@@ -24,4 +24,4 @@ def named(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import contests, flows, lookups, measures, reads, records, runs, series, texts  # noqa: F401
+    from . import careers, contests, flows, lookups, measures, pointintime, reads, records, runs, series, texts  # noqa: F401
