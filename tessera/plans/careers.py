@@ -7,7 +7,7 @@ and the rounds on its judges' cards (a supplier is a judge, its lines in an orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import ratio
@@ -18,7 +18,7 @@ from tessera.operators.temporal import latest_per_key, newest_per_key
 from tessera.sources.tables import load
 
 from .catalog import named
-from .pointintime import QUALITY, appearances, contests, opposition
+from .pointintime import CONTESTS, QUALITY, appearances, contests, opposition
 
 CUTOFF = "2000-07-01"
 
@@ -234,3 +234,95 @@ def career_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[x for s in (0, 1) for x in (n(decided & (stance == s)).alias(f"stance_{s}"), n(win & (stance == s)).alias(f"wins_{s}"))],
     )
     return mt.told_kinds(wide.join(division_facts(pro), "subject", "left"), ["subject"], career_registry())
+
+
+def official_registry() -> list[Kind]:
+    """Keys and least samples of the 19 metrics of judges and referees."""
+    c = F.col
+    rate = lambda top, bottom: ratio(c(top), c(bottom))
+    return [
+        Kind("judge.bouts_scored", c("judged"), c("judged"), 0),
+        Kind("judge.rounds_scored", c("rounds"), c("judged"), 0),
+        Kind("judge.avg_card_margin", rate("margin", "judged"), c("judged"), 10),
+        Kind("judge.panel_disagreement_rate", rate("different", "comparable"), c("comparable"), 10),
+        Kind("judge.split_decision_involvement", rate("split", "decisions"), c("decisions"), 10),
+        Kind("judge.majority_decision_involvement", rate("majority", "decisions"), c("decisions"), 10),
+        Kind("judge.round_10_10_rate", rate("even", "rounds"), c("rounds"), 60),
+        Kind("judge.round_10_8_rate", rate("wide", "rounds"), c("rounds"), 60),
+        Kind("judge.round_consensus_distance", rate("distance", "compared"), c("compared"), 60),
+        Kind("judge.title_fight_assignments", c("judged_titles"), c("judged"), 0),
+        Kind("judge.jurisdictions", c("jurisdictions"), c("judged"), 0, "json"),
+        Kind("referee.bouts_refereed", c("refereed_known"), c("refereed_known"), 0),
+        Kind("referee.stoppage_rate", rate("stops", "refereed_known"), c("refereed_known"), 10),
+        Kind("referee.avg_stoppage_round", rate("stop_rounds", "stops_r"), c("stops_r"), 5),
+        Kind("referee.ko_tko_stoppages", c("stops"), c("refereed_known"), 0),
+        Kind("referee.disqualifications", c("dqs"), c("refereed_known"), 0),
+        Kind("referee.point_deductions_per_bout", rate("deductions", "refereed"), c("refereed"), 10),
+        Kind("referee.title_fights", c("refereed_titles"), c("refereed"), 0),
+        Kind("referee.avg_completed_rounds", rate("completed", "completed_n"), c("completed_n"), 10),
+    ]
+
+
+def judged_rounds(lines: DataFrame) -> DataFrame:
+    """One entry a judge, order and round, of cards known at the cutoff, the first in order where a card has two."""
+    known = cards(lines.filter(F.col("l_shipdate") <= F.lit(CUTOFF).cast("timestamp_ntz")))
+    return known.groupBy("l_orderkey", "l_suppkey", "round").agg(F.min(F.struct("l_linenumber", "l_partkey", "pa", "pb")).alias("x")).select("l_orderkey", "l_suppkey", "round", "x.pa", "x.pb")
+
+
+@named(CONTESTS + f"""
+, bouts AS (SELECT v.*, CASE WHEN method IN ('DECISION', 'TECHNICAL_DECISION') THEN CASE o_orderkey % 3 WHEN 0 THEN 'split' WHEN 1 THEN 'majority' ELSE 'unanimous' END END AS decision, 'n' || o_orderkey % 25 AS commission FROM (SELECT * FROM v0 WHERE side = 'a') v),
+{CARDS},
+rounds AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.l_orderkey, c.l_suppkey, c.round ORDER BY c.l_linenumber, c.l_partkey) AS rn FROM cards c JOIN lineitem l ON l.l_orderkey = c.l_orderkey AND l.l_suppkey = c.l_suppkey AND l.l_partkey = c.l_partkey AND l.l_linenumber = c.l_linenumber WHERE l_shipdate <= TIMESTAMP '{CUTOFF}') WHERE rn = 1),
+seen AS (SELECT r.* FROM rounds r JOIN bouts ON l_orderkey = o_orderkey),
+con AS (SELECT *, count(*) OVER p - 1 AS others, CAST(sum(pa - pb) OVER p - (pa - pb) AS DOUBLE) / nullif(count(*) OVER p - 1, 0) AS om FROM seen WINDOW p AS (PARTITION BY l_orderkey, round)),
+card AS (SELECT l_orderkey, l_suppkey, count(*) AS rounds, sum(pa) - sum(pb) AS gap, sign(sum(pa) - sum(pb)) AS vote, count(*) FILTER (pa = pb) AS even, count(*) FILTER (abs(pa - pb) >= 2) AS wide, sum(CAST(abs(pa - pb - om) AS DECIMAL(28,10))) FILTER (others >= 2) AS distance, count(*) FILTER (others >= 2) AS compared FROM con GROUP BY ALL),
+votes AS (SELECT l_orderkey, vote, count(*) AS n FROM card GROUP BY ALL), panel AS (SELECT l_orderkey, count(*) - 1 AS others FROM card GROUP BY 1),
+rest AS (SELECT c.l_orderkey, c.l_suppkey, p.others, max(y.n - CASE WHEN y.vote = c.vote THEN 1 ELSE 0 END) AS top, arg_max(y.vote, y.n - CASE WHEN y.vote = c.vote THEN 1 ELSE 0 END) AS g FROM card c JOIN votes y USING (l_orderkey) JOIN panel p USING (l_orderkey) GROUP BY ALL),
+jd AS (SELECT c.*, r.others >= 2 AND r.top * 2 > r.others AS comparable, g <> c.vote AS differs, decision, title, commission FROM card c JOIN rest r ON r.l_orderkey = c.l_orderkey AND r.l_suppkey = c.l_suppkey JOIN bouts ON c.l_orderkey = o_orderkey),
+jw AS (SELECT 'judge' || l_suppkey AS official, count(*) AS judged, sum(rounds) AS rounds, sum(abs(gap)) AS margin, count(*) FILTER (comparable) AS comparable, count(*) FILTER (comparable AND differs) AS different, count(decision) AS decisions, count(*) FILTER (decision = 'split') AS split, count(*) FILTER (decision = 'majority') AS majority,
+  sum(even) AS even, sum(wide) AS wide, CAST(sum(distance) AS DOUBLE) AS distance, sum(compared) AS compared, count(*) FILTER (title) AS judged_titles FROM jd GROUP BY 1),
+jj AS (SELECT official, '{{' || string_agg('"' || commission || '":' || n, ',' ORDER BY commission) || '}}' AS jurisdictions FROM (SELECT 'judge' || l_suppkey AS official, commission, count(*) AS n FROM jd GROUP BY ALL) GROUP BY 1),
+rw AS (SELECT 'referee' || CAST(substr(subject, 2) AS BIGINT) % 25 AS official, count(*) AS refereed, count(res) AS refereed_known, count(*) FILTER (stopped) AS stops, sum(round) FILTER (stopped) AS stop_rounds, count(round) FILTER (stopped) AS stops_r, count(*) FILTER (method = 'DQ') AS dqs,
+  sum(o_orderkey % 3) AS deductions, count(*) FILTER (title) AS refereed_titles, CAST(sum(CAST(completed AS DECIMAL(28,10))) AS DOUBLE) AS completed, count(completed) AS completed_n FROM bouts GROUP BY 1),
+m AS (SELECT official, unnest([{", ".join("{'k': '" + k + "', 'n': CAST(" + (n or "NULL") + " AS DOUBLE), 'j': CAST(" + (j or "NULL") + " AS VARCHAR), 's': CAST(" + s_ + " AS BIGINT), 'l': " + str(l_) + "}" for k, n, j, s_, l_ in [
+    ("judge.bouts_scored", "judged", "", "judged", 0), ("judge.rounds_scored", "rounds", "", "judged", 0), ("judge.avg_card_margin", "margin::DOUBLE / judged", "", "judged", 10), ("judge.panel_disagreement_rate", "different::DOUBLE / nullif(comparable, 0)", "", "comparable", 10),
+    ("judge.split_decision_involvement", "split::DOUBLE / nullif(decisions, 0)", "", "decisions", 10), ("judge.majority_decision_involvement", "majority::DOUBLE / nullif(decisions, 0)", "", "decisions", 10), ("judge.round_10_10_rate", "even::DOUBLE / rounds", "", "rounds", 60),
+    ("judge.round_10_8_rate", "wide::DOUBLE / rounds", "", "rounds", 60), ("judge.round_consensus_distance", "distance / nullif(compared, 0)", "", "compared", 60), ("judge.title_fight_assignments", "judged_titles", "", "judged", 0), ("judge.jurisdictions", "", "jurisdictions", "judged", 0),
+])}]) AS x FROM jw JOIN jj USING (official)
+UNION ALL SELECT official, unnest([{", ".join("{'k': '" + k + "', 'n': CAST(" + n + " AS DOUBLE), 'j': CAST(NULL AS VARCHAR), 's': CAST(" + s_ + " AS BIGINT), 'l': " + str(l_) + "}" for k, n, s_, l_ in [
+    ("referee.bouts_refereed", "refereed_known", "refereed_known", 0), ("referee.stoppage_rate", "stops::DOUBLE / nullif(refereed_known, 0)", "refereed_known", 10), ("referee.avg_stoppage_round", "stop_rounds::DOUBLE / nullif(stops_r, 0)", "stops_r", 5),
+    ("referee.ko_tko_stoppages", "stops", "refereed_known", 0), ("referee.disqualifications", "dqs", "refereed_known", 0), ("referee.point_deductions_per_bout", "deductions::DOUBLE / refereed", "refereed", 10), ("referee.title_fights", "refereed_titles", "refereed", 0), ("referee.avg_completed_rounds", "completed / nullif(completed_n, 0)", "completed_n", 10),
+])}]) FROM rw),
+s AS (SELECT official, x, CASE WHEN x.s < x.l THEN 'insufficient_sample' WHEN x.n IS NULL AND x.j IS NULL THEN 'not_applicable' ELSE 'available' END AS status FROM m)
+SELECT official, x.k AS metric, status, CASE WHEN status = 'available' THEN floor(x.n * 10000 + 0.5) / 10000 END AS value_number, CAST(NULL AS VARCHAR) AS value_text, CASE WHEN status = 'available' THEN x.j END AS value_json, x.s AS sample FROM s
+""".replace("(SELECT * FROM v0 WHERE side = 'a') v)", "v WHERE side = 'a')").replace(", bouts AS", f",{VIEW}, bouts AS", 1))
+def official_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of judges (a supplier's lines in an order are its card) and referees (by the customer's number) at the cutoff."""
+    c, n, lines = F.col, F.count_if, load(spark, sf_dir, "lineitem")
+    k = c("o_orderkey")
+    bouts = with_view(appearances(contests(spark, sf_dir)).filter("side = 'a'"))
+    decision = F.when(c("method").isin(*DECISIONS), F.when(k % 3 == 0, "split").when(k % 3 == 1, "majority").otherwise("unanimous"))
+    bouts = bouts.withColumns({"decision": decision, "commission": F.concat(F.lit("n"), k % 25)})
+    seen = judged_rounds(lines).join(bouts.select(k.alias("l_orderkey")), "l_orderkey")
+    margins = mt.leave_one_out(seen.withColumn("margin", c("pa") - c("pb")), ["l_orderkey", "round"], "margin")
+    size = F.count("margin").over(Window.partitionBy("l_orderkey", "round"))
+    margins = margins.withColumn("off", F.when(size >= 3, F.abs(c("margin") - c("others_mean")).cast("decimal(28,10)")))
+    card = margins.groupBy("l_orderkey", "l_suppkey").agg(
+        F.count("*").alias("rounds"), F.sum("margin").alias("gap"), F.signum(F.sum("margin")).alias("vote"), n(c("margin") == 0).alias("even"), n(F.abs("margin") >= 2).alias("wide"), F.sum("off").alias("distance"), F.count("off").alias("compared"),
+    )
+    # members of a panel with one vote are compared alike
+    against = mt.against_others(card, ["l_orderkey"], "vote").select("l_orderkey", "vote", (c("comparable") > 0).alias("comparable"), (c("different") > 0).alias("different"))
+    terms = bouts.select(k.alias("l_orderkey"), "decision", "title", "commission")
+    judged = card.join(against, ["l_orderkey", "vote"]).join(terms, "l_orderkey").withColumn("official", F.concat(F.lit("judge"), "l_suppkey"))
+    wide = judged.groupBy("official").agg(
+        F.count("*").alias("judged"), F.sum("rounds").alias("rounds"), F.sum(F.abs("gap")).alias("margin"), n("comparable").alias("comparable"), n("different").alias("different"), F.count("decision").alias("decisions"), n(c("decision") == "split").alias("split"),
+        n(c("decision") == "majority").alias("majority"), F.sum("even").alias("even"), F.sum("wide").alias("wide"), F.sum("distance").alias("distance"), F.sum("compared").alias("compared"), n("title").alias("judged_titles"),
+    )
+    by_place = judged.groupBy("official", "commission").agg(F.count("*").alias("n")).groupBy("official").agg(F.array_sort(F.collect_list(F.struct("commission", "n"))).alias("places"))
+    wide = wide.join(by_place.select("official", F.to_json(F.map_from_entries("places")).alias("jurisdictions")), "official")
+    refereed = bouts.withColumn("official", F.concat(F.lit("referee"), F.substring("subject", 2, 20).cast("long") % 25)).groupBy("official").agg(
+        F.count("*").alias("refereed"), F.count("res").alias("refereed_known"), n("stopped").alias("stops"), F.sum(F.when(c("stopped"), c("round"))).alias("stop_rounds"), F.count(F.when(c("stopped"), c("round"))).alias("stops_r"), n(c("method") == "DQ").alias("dqs"),
+        F.sum(k % 3).alias("deductions"), n("title").alias("refereed_titles"), F.sum(c("completed").cast("decimal(28,10)")).alias("completed"), F.count("completed").alias("completed_n"),
+    )
+    metrics = official_registry()
+    return mt.told_kinds(wide, ["official"], [m for m in metrics if m.key.startswith("judge")]).union(mt.told_kinds(refereed, ["official"], [m for m in metrics if m.key.startswith("referee")]))
