@@ -24,4 +24,4 @@ def named(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import careers, contests, flows, identities, lookups, measures, pointintime, reads, records, runs, series, texts  # noqa: F401
+    from . import careergraph, careers, contests, flows, identities, lookups, measures, pointintime, reads, records, runs, series, texts  # noqa: F401
