@@ -2,8 +2,9 @@
 
 Every rolling K-gram of a text's words is joined with the places of the same gram in license templates. A match at
 text place p and template place t votes for the diagonal p - t; neighbouring diagonals, as a word
-more or less makes them, are merged, and a span is verified by the share of the template's grams it
-holds and, in families of licenses that a word changes, by having just the changing words of its template. Native functions only.
+more or less makes them, are merged, and a span that holds a share of the template's grams is verified word by word: it is aligned with
+its template by a table of edits, which also counts the words that turn a grant into a refusal, put in, left out or just before. In families of licenses that a word changes, a span must have just the
+changing words of its template. Native functions only.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K, DRIFT, COVERAGE = 3, 4, 0.6
+#: Edits of a span as a share of its template's words, words around a gram that are kept for the alignment, words before a span in which a refusal counts.
+EDITS, REACH, BEFORE = 0.4, 12, 2
 
 # The base phrases with their labels, and the wording of public license notices.
 PHRASES = {
@@ -42,11 +45,29 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("agpl", "licensed under the gnu affero general public license version 3"),
+    ("gpl", "licensed under the gnu general public license version 2"),
+    ("lgpl", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
 ]
-_CC = {"nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}
+# Identifiers of the SPDX list, by label.
+SPDX = {
+    "agpl": ["agpl 3 0 only", "agpl 3 0 or later"], "apache": ["apache 2 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "cc-by": ["cc by 4 0"], "cc-by-nc": ["cc by nc 4 0"], "cc-by-sa": ["cc by sa 4 0"], "cc0": ["cc0 1 0"], "epl": ["epl 2 0"],
+    "gpl": ["gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later"], "isc": ["isc"], "lgpl": ["lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0 only", "lgpl 3 0 or later"], "mit": ["mit"], "mpl": ["mpl 2 0"], "unlicense": ["unlicense"],
+}
+TEMPLATES += [(label, f"spdx license identifier {name}") for label, names in SPDX.items() for name in names]
+#: Words that refuse what a notice grants; put into a span, left out of it, or just before it, they make it no notice.
+REFUSALS = "not no never nor neither without cannot unless except isn aren doesn don won wasn".split()
+_CC, _APART = {"nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}, {"nc": "non commercial", "sa": "share alike", "nd": "no derivatives"}
 for _parts in (["nc"], ["sa"], ["nd"], ["nc", "sa"], ["nc", "nd"]):
     _label = "-".join(["cc-by", *_parts])
-    TEMPLATES.append((_label, f"this work is licensed under a creative commons attribution {' '.join(_CC[x] for x in _parts)} 4 0 international license"))
+    for _spelled in (_CC, _APART):
+        TEMPLATES.append((_label, f"this work is licensed under a creative commons attribution {' '.join(_spelled[x] for x in _parts)} 4 0 international license"))
     TEMPLATES += [(_label, f"licensed under cc by {' '.join(_parts)} 4 0")] * (_parts != ["nc"])
 
 #: Words that change a license of the family, by what they mean; a span must have just those of its template.
@@ -91,7 +112,10 @@ def _spaces(s: Column) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
-    """One row per row: doc_id, h (the text's hash), n_words, base matches, and `hits`, the grams that some template has."""
+    """One row per row: doc_id, h (the text's hash), n_words, base matches, `hits`, the grams that some template has, and `near`, the words around them.
+
+    Null texts count as empty; texts without a word or a hit have empty lists, repeated rows stay, an empty table gives an empty one.
+    """
     phrase = f" ({'|'.join(PHRASES)})(?= )"
     hashes = sorted({g[4] for g in template_grams(k)})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -103,8 +127,7 @@ def features(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     hash_ = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("words", i + j) for j in range(k)]))
     # the join below is an inner one, so grams that no template has can go before they become rows
     places = F.when(F.col("n_words") >= k, F.filter(F.sequence(F.lit(0), F.col("n_words").cast("int") - k), lambda i: hash_(i).isin(hashes)))
-    meaning = F.create_map(*[F.lit(x) for kv in MEANS.items() for x in kv])
-    changing = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), F.when(w.isin(list(MEANS)), F.element_at(meaning, w)).alias("means"))), lambda x: x.means.isNotNull())
+    around = F.array_sort(F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(i - REACH, F.lit(0)), F.least(i + k + REACH, F.col("n_words").cast("int")) - 1)))))
     last = F.element_at("parts", -1)
     return rows.select(
         "doc_id", "h", "n_words", F.size("found").cast("long").alias("n_base"),
@@ -112,12 +135,12 @@ def features(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
         F.when(F.size("found") > 0, F.col("n_words") - (_spaces(last) - 1) - (_spaces(F.element_at("found", -1)) + 1)).cast("long").alias("last_word"),
         F.array_distinct(F.transform("found", lambda p: F.element_at(F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv]), p))).alias("base"),
         F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.struct(i.alias("place"), hash_(i).alias("hash"), gram(i).alias("gram"))).alias("hits"),
-        F.when(F.size(places) > 0, changing).alias("changing"),
+        F.when(F.size(places) > 0, F.transform(around, lambda i: F.struct(i.alias("place"), F.get("words", i).alias("word")))).alias("near"),
     )
 
 
 def spans(rows: DataFrame, k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, h, label, start, end, coverage): verified license spans, in words."""
+    """(doc_id, h, label, start, end, coverage): verified license spans, in words. Rows of one doc_id and text have one set of spans; no hits, no spans."""
     # the templates are a fixed list of a few hundred grams
     grams = F.broadcast(rows.sparkSession.createDataFrame(template_grams(k), "template int, label string, at int, gram string, hash long, grams int, family string, changes string"))
     hits = rows.filter(F.size("hits") > 0).select("doc_id", "h", F.explode("hits").alias("hit")).select("doc_id", "h", "hit.*")
@@ -132,14 +155,41 @@ def spans(rows: DataFrame, k: int = K, drift: int = DRIFT, coverage: float = COV
     share = F.size("ats") / F.col("grams")
     bands = bands.withColumn("coverage", share).filter(F.col("coverage") >= coverage)
     # words that were put in may have cut a template's beginning or end off
-    low, high = F.col("start") - F.array_min("ats") - 2 * drift * (F.array_min("ats") > 0).cast("int"), F.col("end") + F.col("grams") - 1 - F.array_max("ats")
-    high = high + 2 * drift * (F.array_max("ats") < F.col("grams") - 1).cast("int")
-    texts = rows.filter(F.size("hits") > 0).groupBy("doc_id", "h").agg(F.first("changing").alias("changing"))
-    texts = texts.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "changing")
+    head, tail = F.array_min("ats"), F.col("grams") - 1 - F.array_max("ats")
+    bands = bands.withColumns({"low": F.col("start") - head, "high": F.col("end") + tail, "slack": F.lit(2 * drift), "headless": (head > 0).cast("int"), "tailless": (tail > 0).cast("int")})
+    texts = rows.filter(F.size("hits") > 0).groupBy("doc_id", "h").agg(F.first("near").alias("near"))
+    texts = texts.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "near")
     met = bands.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
-    own = F.filter("changing", lambda x: (x.place >= low) & (x.place < high) & x.means.startswith(F.concat("family", F.lit(":"))))
-    changed = F.array_join(F.array_sort(F.array_distinct(F.transform(own, lambda x: x.means))), ",")
-    return met.filter((F.col("family") == "") | (changed == F.col("changes"))).select("doc_id", "h", "label", "start", "end", "coverage")
+    words = F.array(*[F.array(*map(F.lit, t.split())) for _, t in TEMPLATES])
+    met = met.withColumn("wanted", F.element_at(words, F.col("template") + 1))
+    within = lambda a, z: F.filter("near", lambda x: (x.place >= a) & (x.place < z))
+    meaning = F.create_map(*[F.lit(x) for kv in MEANS.items() for x in kv])
+    wide = within(F.col("low") - F.col("slack") * F.col("headless"), F.col("high") + F.col("slack") * F.col("tailless"))
+    own = F.filter(F.transform(wide, lambda x: F.when(x.word.isin(list(MEANS)), F.element_at(meaning, x.word))), lambda m: F.coalesce(m.startswith(F.concat("family", F.lit(":"))), F.lit(False)))
+    met = met.filter((F.col("family") == "") | (F.array_join(F.array_sort(F.array_distinct(own)), ",") == F.col("changes")))
+    span = F.transform(within(F.col("low"), F.col("high")), lambda x: x.word)
+    refused = F.exists(within(F.col("low") - BEFORE, F.col("low")), lambda x: x.word.isin(REFUSALS))
+    met = met.withColumn("edits", edits(span, F.col("wanted"))).filter((F.col("edits") % 1000 == 0) & ~refused & (F.floor(F.col("edits") / 1000) <= EDITS * F.size("wanted")))
+    return met.select("doc_id", "h", "label", "start", "end", "coverage")
+
+
+def edits(span: Column, wanted: Column) -> Column:
+    """1000 times the fewest words to put in, leave out or replace to make one list of words of the other, and among such ways the fewest refusing words concerned.
+
+    One row of the table of edits is carried from word to word of the span.
+    """
+    cost = lambda w: F.lit(1000) + w.isin(REFUSALS).cast("int")
+    first = F.aggregate(wanted, F.array(F.lit(0)), lambda row, t: F.concat(row, F.array(F.element_at(row, -1) + cost(t))))
+
+    def next_row(row: Column, w: Column) -> Column:
+        def cell(made: Column, j: Column) -> Column:
+            t = F.element_at(wanted, j)
+            kept = F.element_at(row, j) + F.when(w == t, 0).otherwise(1000 + (w.isin(REFUSALS) | t.isin(REFUSALS)).cast("int"))
+            return F.concat(made, F.array(F.least(kept, F.element_at(row, j + 1) + cost(w), F.element_at(made, -1) + cost(t))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(wanted)), F.array(F.element_at(row, 1) + cost(w)), cell)
+
+    return F.element_at(F.aggregate(span, first, next_row), -1)
 
 
 def scanned(docs: DataFrame, text: str = "text", k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
