@@ -93,13 +93,28 @@ def canonical(df: DataFrame, merges: DataFrame, id_: str, old: str = "merged_id"
     return df.join(m, df[id_] == m["__old"], "left").withColumn(id_, F.coalesce("__new", id_)).drop("__old", "__new")
 
 
+# What sources print where no name is known yet, and how long a name is.
+UNNAMED, UNNAMED_PHRASES, NO_ONE = ["tbd", "tba", "tbc"], ["to be announced", "to be confirmed", "to be determined"], "opponent"
+LEAST_LETTERS, MOST_CHARACTERS = 4, 120
+
+
 def name_quality(name: Column) -> Column:
-    """ok, or why a printed name is no name: placeholder (also empty), short (under four letters and digits) or long (over 120)."""
-    v = F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " "))
-    letters = F.length(F.replace(v, F.lit(" "), F.lit("")))
-    squashed = F.when(v.rlike("^[a-z]( [a-z])*$"), F.replace(v, F.lit(" "), F.lit(""))).otherwise(v)
-    placeholder = v.isin("", "opponent") | v.rlike("^(opponent )?(tbd|tba|tbc|to be (announced|confirmed|determined))( (tbd|tba|tbc|opponent))*$") | squashed.rlike("^(tbd|tba|tbc)+$")
-    return F.when(placeholder, "placeholder").when(letters < 4, "short").when(F.length(v) > 120, "long").otherwise("ok")
+    """ok, or why a printed name is no name: placeholder (also without letters and digits), short or long.
+
+    A placeholder names no one word by word: after one leading `opponent` it begins with a word or phrase that stands for a name, and goes on with such words or `opponent` only. Letters that stand apart are read as one
+    word, and a word may be several such words run together.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    apart = F.forall(words, lambda w: w.rlike("^[a-z]$"))
+    whole = F.when(apart & (F.size(words) > 0), F.array(F.array_join(words, ""))).otherwise(words)
+    later = F.when((F.size(whole) > 1) & (F.get(whole, F.lit(0)) == NO_ONE), F.slice(whole, F.lit(2), F.size(whole) - 1)).otherwise(whole)
+    phrase = F.array_join(F.slice(later, 1, 3), " ").isin(UNNAMED_PHRASES)
+    begins, rest = phrase | F.get(later, F.lit(0)).isin(UNNAMED), F.slice(later, F.when(phrase, 4).otherwise(2), F.greatest(F.size(later), F.lit(1)))
+    one = F.get(whole, F.lit(0))
+    run_together = (F.size(whole) == 1) & ((one == NO_ONE) | (F.length(one) % 3 == 0) & F.forall(F.sequence(F.lit(1), F.length(one) - 2, F.lit(3)), lambda i: F.substring(one, i, F.lit(3)).isin(UNNAMED)))
+    unnamed = (F.size(words) == 0) | run_together | (begins & F.forall(rest, lambda w: w.isin([*UNNAMED, NO_ONE])))
+    letters = F.length(F.array_join(words, ""))
+    return F.when(F.coalesce(unnamed, F.lit(False)), "placeholder").when(letters < LEAST_LETTERS, "short").when(letters + F.size(words) - 1 > MOST_CHARACTERS, "long").otherwise("ok")
 
 
 def edit_pairs(df: DataFrame, value: str, edits: int) -> DataFrame:
@@ -142,13 +157,20 @@ def date_likeness(seen: Column, known: Column) -> Column:
     return F.when(seen.isNull() | known.isNull(), "unknown").when(seen == known, "exact").when(exchanged | (F.abs(F.date_diff(seen, known)) <= 1) | (differing == 1), "typo_like").otherwise("conflict")
 
 
-def by_id_prefix(asked: DataFrame, prefix: str, entities: DataFrame, id_: str, digits: int) -> DataFrame:
-    """asked with outcome and the entity whose hashed id begins with `prefix`, which has `digits` hex digits: matched where one does, ambiguous where several, unmatched.
+# Digits of a hashed id, and how many of its first an address may have.
+ID_DIGITS, LEAST_DIGITS = 32, 12
+
+
+def by_id_prefix(asked: DataFrame, prefix: str, entities: DataFrame, id_: str) -> DataFrame:
+    """asked with outcome, the entity whose hashed id begins with `prefix`, and how many do: matched where one does, ambiguous where several, unmatched; also where `prefix` isn't LEAST_DIGITS to ID_DIGITS lower-case hex digits.
 
-    The beginning is a column of the entities, so they meet in an equi-join of counts and not by LIKE.
+    Both sides meet by their first LEAST_DIGITS digits, an equi-join and not LIKE; what goes on differently is dropped then.
     """
-    begins = entities.select(F.substring(F.sha2(F.col(id_).cast("string"), 256), 1, digits).alias("__begins"), F.col(id_).alias("__id"))
-    found = begins.groupBy("__begins").agg(F.count_distinct("__id").alias("candidates"), F.min("__id").alias("__one"))
-    met = asked.join(found, asked[prefix] == found["__begins"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    whole = F.substring(F.sha2(F.col(id_).cast("string"), 256), 1, ID_DIGITS)
+    ids = entities.select(whole.alias("__whole"), F.col(id_).alias("__id")).distinct().withColumn("__first", F.substring("__whole", 1, LEAST_DIGITS))
+    refs = asked.select(F.col(prefix).alias("__ref")).distinct().filter(F.col("__ref").rlike(f"^[0-9a-f]{{{LEAST_DIGITS},{ID_DIGITS}}}$"))
+    met = refs.withColumn("__first", F.substring("__ref", 1, LEAST_DIGITS)).join(ids, "__first").filter(F.startswith(F.col("__whole"), F.col("__ref")))
+    found = met.groupBy("__ref").agg(F.count("*").alias("candidates"), F.min("__id").alias("__one"))
+    out = asked.join(found, asked[prefix] == found["__ref"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     outcome = F.when(F.col("candidates") == 1, "matched").when(F.col("candidates") > 1, "ambiguous").otherwise("unmatched")
-    return met.withColumn("outcome", outcome).withColumn(id_, F.when(F.col("candidates") == 1, F.col("__one"))).drop("__begins", "__one")
+    return out.withColumn("outcome", outcome).withColumn(id_, F.when(F.col("candidates") == 1, F.col("__one"))).drop("__ref", "__one")

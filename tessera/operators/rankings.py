@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import names as nm
+
 # The kinds of change in the order they are told, and the labels of a champion's place.
 CHANGE_ORDER = [
     "champion_changed", "title_vacant_in_ranking", "became_champion", "no_longer_champion", "new_champion_listed",
@@ -14,8 +16,9 @@ CHAMPION_LABEL = "(?i)^(c|champion|super champion|sc)$"
 
 
 def entry_key(entity: Column, name: Column) -> Column:
-    """The entity where it is resolved, else the printed name without case and extra blanks; null without both."""
-    return F.coalesce(F.concat(F.lit("id:"), entity.cast("string")), F.concat(F.lit("name:"), F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))))
+    """The entity where it is resolved, else the printed name without accents, particles and generation suffix; null without both."""
+    full = nm.parsed(nm.romanised(name))["full"]
+    return F.coalesce(F.concat(F.lit("id:"), entity.cast("string")), F.concat(F.lit("name:"), F.nullif(full, F.lit(""))))
 
 
 def ranking_changes(old: DataFrame, new: DataFrame, board: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import all_of
@@ -93,15 +93,45 @@ def sharing_pairs(df: DataFrame, id_: str, members: str, within: list[str]) -> D
     return a.join(b, [*within, "m"]).filter("a < b").groupBy(*within, "a", "b").agg(F.count("*").alias("shared"))
 
 
-def in_scope(scope: Column, at: Column, now: Column) -> Column:
-    """Whether a row belongs to a named scope: upcoming (from now on), past (before), all; no row belongs to another."""
-    return F.when(scope == "all", True).when(scope == "upcoming", at >= now).when(scope == "past", at < now).otherwise(False)
+def in_scope(scope: Column, at: Column, status: Column, today: Column) -> Column:
+    """Whether a row belongs to a named scope: upcoming (from today on, unless complete), results (before today, or complete), and all rows to any other scope or none. Cancelled rows belong nowhere."""
+    open_, done = ~status.eqNullSafe("complete"), status.eqNullSafe("complete")
+    inside = F.when(scope == "upcoming", (at >= today) & open_).when(scope == "results", (at < today) | done).otherwise(True)
+    return F.coalesce(inside, F.lit(False)) & ~status.eqNullSafe("cancelled")
 
 
-def year_coverage(df: DataFrame, key: str, at: str, ok: Column) -> DataFrame:
-    """(key, year, n, good, share): every year from a key's first to its last, empty ones with 0 rows and no share."""
-    n = df.select(key, F.year(at).alias("year"), ok.alias("ok")).groupBy(key, "year").agg(F.count("*").alias("n"), F.count_if("ok").alias("good"))
-    span = n.filter("year IS NOT NULL").groupBy(key).agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
-    years = span.select(key, F.explode(F.sequence("lo", "hi")).alias("year"))
-    full = years.join(n, [key, "year"], "left").fillna(0, ["n", "good"])
-    return full.withColumn("share", F.round(F.col("good") / F.nullif(F.col("n"), F.lit(0)), 6))
+# A page has 1 to 100 rows, 40 by default.
+PAGE, MOST_ROWS = 40, 100
+
+
+def scoped_page(df: DataFrame, scope: str | None, at: str, status: str, name: str, today: Column, limit: int | None = PAGE, offset: int | None = 0) -> DataFrame:
+    """A page of a scope's rows with `place`, from 1: upcoming ones from the next on, others from the latest back, then by name; null dates last. limit and offset are held to what a page may be."""
+    kept = df.filter(in_scope(F.lit(scope), F.col(at), F.col(status), today))
+    order = [F.asc_nulls_last(at)] if scope == "upcoming" else []
+    order = [*order, F.desc_nulls_last(at), F.asc(name)]
+    size, skip = max(1, min(PAGE if limit is None else limit, MOST_ROWS)), max(0, offset or 0)
+    page = kept.orderBy(*order).limit(skip + size).withColumn("__page", F.lit(1))
+    ranked = page.withColumn("place", F.row_number().over(Window.partitionBy("__page").orderBy(*order))).drop("__page")
+    return ranked.filter(F.col("place") > skip)
+
+
+def year_coverage(events: DataFrame, bouts: DataFrame, members: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, year, events, live, replaced, total, linked, held, events_with_held) of each source and year with events or held bouts, and (source, year, event_date, held).
+
+    events: event, source, event_date; bouts: bout, event, status, external_id; members: bout, member; decisions: source, appearance, external_id (that begins with its event's date), seq, decision. A bout is held if the last decision of an
+    appearance in it is review and no bout of its source carries its id.
+    """
+    e = events.select("event", "source", F.year("event_date").alias("year"))
+    b = bouts.join(e, "event").withColumn("live", ~F.col("status").eqNullSafe("replaced"))
+    counted = e.groupBy("source", "year").agg(F.count("*").alias("events"))
+    by_bout = b.groupBy("source", "year").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("replaced"), F.count("*").alias("total"))
+    linked = b.filter("live").join(members, "bout").groupBy("source", "year").agg(F.count_distinct("member").alias("linked"))
+    last = decisions.groupBy("source", "appearance").agg(F.max_by(F.struct("external_id", "decision"), "seq").alias("x")).select("source", "x.*")
+    open_ = last.filter("decision = 'review'").select("source", "external_id").distinct()
+    held = open_.join(b.select("source", "external_id").filter("external_id IS NOT NULL").distinct(), ["source", "external_id"], "left_anti")
+    held = held.withColumn("year", F.substring("external_id", 1, 4).cast("int")).withColumn("event_date", F.substring("external_id", 1, 10))
+    by_event = held.groupBy("source", "year", "event_date").agg(F.count("*").alias("held"))
+    by_year = by_event.groupBy("source", "year").agg(F.sum("held").alias("held"), F.count("*").alias("events_with_held"))
+    key = ["source", "year"]
+    told = counted.join(by_bout, key, "left").join(linked, key, "left").join(by_year, key, "full_outer")
+    return told.fillna(0, ["events", "live", "replaced", "total", "linked", "held", "events_with_held"]), by_event

@@ -18,7 +18,7 @@ ENTRIES = """
 WITH m AS (SELECT l_suppkey, year(l_shipdate) AS y, p_brand, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) IN (1996, 1997) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, y ORDER BY q DESC, p_brand) AS rn FROM m),
 e AS (SELECT l_suppkey, y, rn AS position, rn = 1 AND q % 5 <> 0 AS champion, rn = 1 AND q % 5 = 0 AS vacant, CASE WHEN rn > 1 THEN rn - 1 END AS rank, r AS flags, n,
-  CASE WHEN CAST(right(p_brand, 1) AS INTEGER) = 3 THEN 'name:' || lower(p_brand) ELSE 'id:' || p_brand END AS key, CASE WHEN r >= 3 THEN 'returned' END AS designation, CASE WHEN n >= 6 THEN TRUE WHEN n >= 3 THEN FALSE END AS mandatory
+  CASE WHEN CAST(right(p_brand, 1) AS INTEGER) = 3 THEN 'name:' || replace(lower(p_brand), '#', ' ') ELSE 'id:' || p_brand END AS key, CASE WHEN r >= 3 THEN 'returned' END AS designation, CASE WHEN n >= 6 THEN TRUE WHEN n >= 3 THEN FALSE END AS mandatory
   FROM r WHERE rn <= 15)
 """
 

@@ -25,15 +25,17 @@ def date_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH e AS (SELECT c_custkey, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 4) AS begins FROM customer), a AS (SELECT o_orderkey, substr(sha256(CAST(o_custkey + CASE WHEN o_orderkey % 10 = 0 THEN 1000000007 ELSE 0 END AS VARCHAR)), 1, 4) AS slug FROM orders),
-f AS (SELECT begins, count(*) AS n, min(c_custkey) AS one FROM e GROUP BY begins)
-SELECT o_orderkey, slug, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS outcome, CASE WHEN n = 1 THEN one END AS c_custkey FROM a LEFT JOIN f ON slug = begins
+WITH e AS (SELECT c_custkey, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 32) AS whole FROM customer), k AS (SELECT o_orderkey, sha256(CAST(o_custkey + CASE WHEN o_orderkey % 10 = 0 THEN 1000000007 ELSE 0 END AS VARCHAR)) AS h FROM orders),
+a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 5 THEN upper(substr(h, 1, 20)) ELSE substr(h, 1, CAST(8 + o_orderkey % 25 AS INTEGER)) END AS slug FROM k),
+f AS (SELECT slug, count(*) AS n, min(c_custkey) AS one FROM (SELECT DISTINCT slug FROM a WHERE regexp_full_match(slug, '[0-9a-f]{12,32}')) JOIN e ON substr(whole, 1, 12) = substr(slug, 1, 12) AND starts_with(whole, slug) GROUP BY slug)
+SELECT o_orderkey, a.slug, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS outcome, CASE WHEN n = 1 THEN one END AS c_custkey FROM a LEFT JOIN f ON f.slug = a.slug
 """)
 def id_suffix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers found by the first four digits of their hashed ids, as the end of a page's address has them; every tenth order asks for one that need not be there."""
-    asked = F.col("o_custkey") + F.when(F.col("o_orderkey") % 10 == 0, 1000000007).otherwise(0)
-    o = load(spark, sf_dir, "orders").select("o_orderkey", F.substring(F.sha2(asked.cast("string"), 256), 1, 4).alias("slug"))
-    return idn.by_id_prefix(o, "slug", load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 4)
+    """Customers found by the first digits of their hashed ids, as the end of a page's address has them: 8 to 32, of which under 12 find nothing, as do capitals; every tenth order asks for one that need not be there."""
+    k, asked = F.col("o_orderkey"), F.col("o_custkey") + F.when(F.col("o_orderkey") % 10 == 0, 1000000007).otherwise(0)
+    h = F.sha2(asked.cast("string"), 256)
+    slug = F.when(k % 13 == 5, F.upper(F.substring(h, 1, 20))).otherwise(F.substring(h, F.lit(1), (8 + k % 25).cast("int")))
+    return idn.by_id_prefix(load(spark, sf_dir, "orders").select(k, slug.alias("slug")), "slug", load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
 @named("""
@@ -47,26 +49,75 @@ def overlapping_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.sharing_pairs(o, "o_orderkey", "suppliers", ["o_custkey", "y"])
 
 
-@named("""
-SELECT c_mktsegment AS segment, count(*) AS n, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE CASE c_mktsegment WHEN 'BUILDING' THEN o_orderdate >= TIMESTAMP '1998-01-01' WHEN 'MACHINERY' THEN o_orderdate < TIMESTAMP '1998-01-01' WHEN 'FURNITURE' THEN TRUE ELSE FALSE END GROUP BY 1
+STATUS = "CASE WHEN o_orderpriority = '5-LOW' THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN 'scheduled' END"
+TODAY = "1998-01-01 00:00:00"
+
+
+def with_status(orders: DataFrame) -> DataFrame:
+    """Orders as events: cancelled at the lowest priority, complete, scheduled, or of no status."""
+    state = F.when(F.col("o_orderpriority") == "5-LOW", "cancelled").when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "scheduled")
+    return orders.withColumn("status", state)
+
+
+@named(f"""
+WITH e AS (SELECT o_custkey, o_orderdate, {STATUS} AS status FROM orders)
+SELECT c_mktsegment AS segment, count(*) AS n, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM e JOIN customer ON o_custkey = c_custkey
+WHERE status IS DISTINCT FROM 'cancelled' AND CASE c_mktsegment WHEN 'BUILDING' THEN o_orderdate >= TIMESTAMP '{TODAY}' AND status IS DISTINCT FROM 'complete' WHEN 'MACHINERY' THEN o_orderdate < TIMESTAMP '{TODAY}' OR coalesce(status = 'complete', FALSE) ELSE TRUE END GROUP BY 1
 """)
 def scoped_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders within the scope that their customer's segment asks for."""
-    scope = F.when(F.col("c_mktsegment") == "BUILDING", "upcoming").when(F.col("c_mktsegment") == "MACHINERY", "past").when(F.col("c_mktsegment") == "FURNITURE", "all")
-    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate").join(load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
-    kept = o.filter(rd.in_scope(scope, F.col("o_orderdate"), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")))
+    """Orders within the scope that their customer's segment asks for; an unknown scope asks for all."""
+    scope = F.when(F.col("c_mktsegment") == "BUILDING", "upcoming").when(F.col("c_mktsegment") == "MACHINERY", "results").when(F.col("c_mktsegment") == "FURNITURE", "every")
+    o = with_status(load(spark, sf_dir, "orders")).select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", "status").join(load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    kept = o.filter(rd.in_scope(scope, F.col("o_orderdate"), F.col("status"), F.lit(TODAY).cast("timestamp_ntz")))
     return kept.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"))
 
 
-@named("""
-WITH n AS (SELECT o_custkey, year(o_orderdate) AS year, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS good FROM orders GROUP BY ALL), s AS (SELECT o_custkey, min(year) AS lo, max(year) AS hi FROM n GROUP BY o_custkey),
-y AS (SELECT o_custkey, unnest(range(lo, hi + 1)) AS year FROM s)
-SELECT y.o_custkey, CAST(y.year AS INTEGER) AS year, coalesce(n, 0) AS n, coalesce(good, 0) AS good, round(CAST(good AS DOUBLE) / n, 6) AS share FROM y LEFT JOIN n ON y.o_custkey = n.o_custkey AND y.year = n.year
+_PAGES = {"upcoming": (40, 0), "results": (500, 20), "all": (None, None)}
+
+
+@named(f"WITH e AS (SELECT o_orderkey, o_orderdate, o_orderkey AS name, {STATUS} AS status FROM orders), k AS (SELECT * FROM e WHERE status IS DISTINCT FROM 'cancelled'), p AS (" + " UNION ALL ".join(
+    f"SELECT '{s}' AS scope, o_orderkey, o_orderdate, status, row_number() OVER (ORDER BY {'o_orderdate ASC,' if s == 'upcoming' else ''} o_orderdate DESC, name) AS place FROM k WHERE "
+    + {"upcoming": f"o_orderdate >= TIMESTAMP '{TODAY}' AND status IS DISTINCT FROM 'complete'", "results": f"(o_orderdate < TIMESTAMP '{TODAY}' OR coalesce(status = 'complete', FALSE))", "all": "TRUE"}[s] for s in _PAGES
+) + ") SELECT * FROM p WHERE CASE scope WHEN 'upcoming' THEN place <= 40 WHEN 'results' THEN place > 20 AND place <= 120 ELSE place <= 40 END")
+def scoped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each scope, in the order that the scope asks for: the next events, the latest results (from the 21st, the size held to the most a page has), and all by default."""
+    e = with_status(load(spark, sf_dir, "orders")).select("o_orderkey", "o_orderdate", F.col("o_orderkey").alias("name"), "status")
+    pages = [rd.scoped_page(e, s, "o_orderdate", "status", "name", F.lit(TODAY).cast("timestamp_ntz"), *page).select(F.lit(s).alias("scope"), "o_orderkey", "o_orderdate", "status", F.col("place").cast("long").alias("place")) for s, page in _PAGES.items()]
+    return pages[0].union(pages[1]).union(pages[2])
+
+
+COVERAGE = """
+WITH e AS (SELECT o_orderkey AS o, 'src' || o_custkey % 5 AS source, o_orderdate AS d FROM orders), b AS (SELECT e.source, year(d) AS year, l_returnflag = 'R' AS replaced, l_partkey, CASE WHEN l_tax < 0.05 THEN strftime(d, '%Y-%m-%d') || '-' || o || '-' || l_linenumber END AS x FROM lineitem JOIN e ON l_orderkey = o),
+a AS (SELECT source, strftime(d, '%Y-%m-%d') || '-' || o || '-' || l_linenumber AS x, l_returnflag AS f, row_number() OVER (PARTITION BY o, l_linenumber, l_suppkey % 2 ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_tax DESC) AS rn FROM lineitem JOIN e ON l_orderkey = o),
+h AS (SELECT DISTINCT source, x FROM a WHERE rn = 1 AND f = 'A' AND NOT EXISTS (SELECT 1 FROM b WHERE b.source = a.source AND b.x = a.x)), he AS (SELECT source, CAST(substr(x, 1, 4) AS INTEGER) AS year, substr(x, 1, 10) AS event_date, count(*) AS held FROM h GROUP BY ALL)
+"""
+
+
+def coverage_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as events of five sources, lines as bouts (replaced if returned, with a source's id under five percent tax) and as appearances in them, whose flag is the decision."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), F.concat(F.lit("src"), F.col("o_custkey") % 5).alias("source"), F.col("o_orderdate").alias("event_date"))
+    l = load(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "event").join(o, "event")
+    x = F.concat_ws("-", F.date_format("event_date", "yyyy-MM-dd"), "event", "l_linenumber")
+    bout = F.xxhash64("event", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "l_shipdate")
+    rows = l.withColumns({"bout": bout, "x": x, "seq": F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")})
+    bouts = rows.select("bout", "event", F.when(F.col("l_returnflag") == "R", "replaced").otherwise("scheduled").alias("status"), F.when(F.col("l_tax") < 0.05, F.col("x")).alias("external_id"))
+    decisions = rows.select("source", F.concat_ws(":", "event", "l_linenumber", F.col("l_suppkey") % 2).alias("appearance"), F.col("x").alias("external_id"), "seq", F.when(F.col("l_returnflag") == "A", "review").otherwise("matched").alias("decision"))
+    return rd.year_coverage(o, bouts, rows.select("bout", F.col("l_partkey").alias("member")), decisions)
+
+
+@named(COVERAGE + """, y AS (SELECT source, year, sum(held) AS held, count(*) AS events_with_held FROM he GROUP BY ALL), n AS (SELECT source, year(d) AS year, count(*) AS events FROM e GROUP BY ALL),
+t AS (SELECT source, year, count(*) FILTER (NOT replaced) AS live, count(*) FILTER (replaced) AS replaced, count(*) AS total, count(DISTINCT l_partkey) FILTER (NOT replaced) AS linked FROM b GROUP BY ALL)
+SELECT source, CAST(year AS INTEGER) AS year, coalesce(events, 0) AS events, coalesce(live, 0) AS live, coalesce(replaced, 0) AS replaced, coalesce(total, 0) AS total, coalesce(linked, 0) AS linked, CAST(coalesce(held, 0) AS BIGINT) AS held, coalesce(events_with_held, 0) AS events_with_held FROM n LEFT JOIN t USING (source, year) FULL JOIN y USING (source, year)
 """)
 def year_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each customer's every year is finished, years without an order told as such."""
-    return rd.year_coverage(load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderstatus"), "o_custkey", "o_orderdate", F.col("o_orderstatus") == "F")
+    """What each source has of each year: events, live and replaced bouts, persons linked, and bouts that are held for review."""
+    return coverage_of(spark, sf_dir)[0]
+
+
+@named(COVERAGE + "SELECT * FROM he")
+def held_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each source and year that have held bouts."""
+    return coverage_of(spark, sf_dir)[1]
 
 
 @named("""

@@ -74,19 +74,6 @@ def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@named("""
-WITH d AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_suppkey), q AS (SELECT l_suppkey, CAST(n - r AS DOUBLE) / n AS q FROM d)
-SELECT l_partkey, count(*) AS lines, round(sum(CASE WHEN l_returnflag = 'R' THEN q ELSE 0 END) / nullif(sum(q), 0), 6) AS adjusted_rate, round(CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) / count(*), 6) AS plain_rate
-FROM lineitem JOIN q USING (l_suppkey) GROUP BY l_partkey HAVING count(*) >= 5
-""")
-def opponent_adjusted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Return rates of parts, each line weighted by its supplier's quality."""
-    l = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").cast("double").alias("x"))
-    q = l.groupBy("l_suppkey").agg(ratio(F.count("*") - F.sum("x"), F.count("*")).alias("q"))
-    found = l.join(q, "l_suppkey").groupBy("l_partkey").agg(F.count("*").alias("lines"), rounded(mt.weighted_mean(F.col("x"), F.col("q"))).alias("adjusted_rate"), rounded(ratio(F.sum("x"), F.count("*"))).alias("plain_rate"))
-    return found.filter("lines >= 5")
-
-
 @named("""
 WITH w AS (SELECT l_orderkey, l_quantity, count(*) OVER p AS n, sum(l_quantity) OVER p AS s, l_suppkey FROM lineitem WINDOW p AS (PARTITION BY l_orderkey))
 SELECT l_suppkey, count(*) AS panels, round(sum(CAST(abs(l_quantity - (s - l_quantity) / (n - 1)) AS DECIMAL(28,10)))::DOUBLE / count(*), 6) AS distance FROM w WHERE n >= 3 GROUP BY l_suppkey

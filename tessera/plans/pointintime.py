@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import half_up
+from tessera.functions.columns import half_up, ratio
 from tessera.operators import history as hs
 from tessera.sources.tables import load
 
@@ -110,6 +110,18 @@ def opponent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "side", "subject", "sourced", "n", half_up(F.col("win_share")).alias("win_share"), half_up(F.col("quality")).alias("quality"))
 
 
+@named(QUALITY + """
+SELECT ap.subject, count(*) AS decided, count(*) FILTER (result = 'win') AS wins, floor(sum(CASE WHEN result = 'win' THEN CAST(quality AS DECIMAL(28,10)) ELSE 0 END)::DOUBLE / nullif(sum(CAST(quality AS DECIMAL(28,10)))::DOUBLE, 0) * 10000 + 0.5) / 10000 AS adjusted_rate
+FROM ap JOIN quality q ON q.o_orderkey = ap.o_orderkey AND q.side = ap.side WHERE result IN ('win', 'loss', 'draw') GROUP BY ap.subject HAVING count(*) >= 5
+""")
+def opponent_adjusted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of wins of subjects with five decided contests, each weighted by its opponent's quality on entering; null where no opponent had any."""
+    rows = appearances(contests(spark, sf_dir))
+    met = rows.filter(F.col("result").isin("win", "loss", "draw")).select("o_orderkey", "side", "subject", (F.col("result") == "win").alias("won")).join(opposition(rows).select("o_orderkey", "side", F.col("quality").cast("decimal(28,10)").alias("q")), ["o_orderkey", "side"])
+    found = met.groupBy("subject").agg(F.count("*").alias("decided"), F.count_if("won").alias("wins"), half_up(ratio(F.sum(F.when(F.col("won"), F.col("q")).otherwise(0)), F.sum("q"))).alias("adjusted_rate"))
+    return found.filter("decided >= 5")
+
+
 @named(RECORDS + """
 SELECT g.o_orderkey, g.starts, g.outcome, CASE WHEN g.l_tax > 0.035 THEN 12 ELSE 8 END AS scheduled, g.l_partkey % 17 AS division, g.l_discount > 0.08 AS title, g.a, g.b, x.contests AS a_contests, x.wins AS a_wins, x.losses AS a_losses, y.contests AS b_contests, y.wins AS b_wins, y.losses AS b_losses,
   x.last_result = 'win' AS a_won_last, y.last_result = 'win' AS b_won_last FROM g JOIN rec x ON x.o_orderkey = g.o_orderkey AND x.side = 'a' JOIN rec y ON y.o_orderkey = g.o_orderkey AND y.side = 'b'

@@ -159,16 +159,19 @@ def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named("""
-WITH s AS (SELECT CASE p_partkey % 12 WHEN 0 THEN 'TBD' WHEN 1 THEN 'T.B.C.' WHEN 2 THEN 'Opponent TBA' WHEN 3 THEN 'To be announced' WHEN 4 THEN 'Li' WHEN 5 THEN repeat('ab', 61) WHEN 6 THEN '--' WHEN 7 THEN 'Zhilei' WHEN 8 THEN 'Tba Tbd Opponent' WHEN 9 THEN NULL ELSE p_name END AS name FROM part),
-v AS (SELECT trim(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', ' ', 'g')) AS v FROM s),
-t AS (SELECT v, length(replace(v, ' ', '')) AS letters, CASE WHEN regexp_full_match(v, '[a-z]( [a-z])*') THEN replace(v, ' ', '') ELSE v END AS q FROM v)
-SELECT quality, count(*) AS n FROM (SELECT CASE WHEN v = '' OR v = 'opponent' OR regexp_full_match(v, '(opponent )?(tbd|tba|tbc|to be (announced|confirmed|determined))( (tbd|tba|tbc|opponent))*') OR regexp_full_match(q, '(tbd|tba|tbc)+') THEN 'placeholder'
-  WHEN letters < 4 THEN 'short' WHEN length(v) > 120 THEN 'long' ELSE 'ok' END AS quality FROM t) GROUP BY quality
+WITH s AS (SELECT CASE p_partkey % 14 WHEN 0 THEN 'TBD' WHEN 1 THEN 'T.B.C.' WHEN 2 THEN 'Opponent TBA' WHEN 3 THEN 'To be announced' WHEN 4 THEN 'Li' WHEN 5 THEN repeat('ab', 61) WHEN 6 THEN '--' WHEN 7 THEN 'Zhilei' WHEN 8 THEN 'Tba Tbd Opponent' WHEN 9 THEN NULL WHEN 10 THEN 'TBATBD' WHEN 11 THEN 'Opponent to be determined tbc' ELSE p_name END AS name FROM part),
+w AS (SELECT name, list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM s),
+x AS (SELECT w, CASE WHEN len(w) > 0 AND len(list_filter(w, lambda t: length(t) > 1 OR t >= '0' AND t <= '9')) = 0 THEN [array_to_string(w, '')] ELSE w END AS x FROM w),
+y AS (SELECT w, x, CASE WHEN len(x) > 1 AND x[1] = 'opponent' THEN x[2:] ELSE x END AS y FROM x),
+z AS (SELECT *, array_to_string(y[1:3], ' ') IN ('to be announced', 'to be confirmed', 'to be determined') AS phrase, length(array_to_string(w, '')) AS letters FROM y),
+q AS (SELECT *, len(w) = 0 OR x = ['opponent'] OR (len(x) = 1 AND length(x[1]) % 3 = 0 AND len(list_filter(range(0, length(x[1]) // 3), lambda i: substr(x[1], CAST(3 * i + 1 AS INTEGER), 3) NOT IN ('tbd', 'tba', 'tbc'))) = 0)
+  OR ((phrase OR y[1] IN ('tbd', 'tba', 'tbc')) AND len(list_filter(CASE WHEN phrase THEN y[4:] ELSE y[2:] END, lambda t: t NOT IN ('tbd', 'tba', 'tbc', 'opponent'))) = 0) AS unnamed FROM z)
+SELECT quality, count(*) AS n FROM (SELECT CASE WHEN unnamed THEN 'placeholder' WHEN letters < 4 THEN 'short' WHEN letters + len(w) - 1 > 120 THEN 'long' ELSE 'ok' END AS quality FROM q) GROUP BY quality
 """)
 def name_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many names are fit to be matched; most stand in for what is printed where no name is known."""
-    printed = {0: "TBD", 1: "T.B.C.", 2: "Opponent TBA", 3: "To be announced", 4: "Li", 5: "ab" * 61, 6: "--", 7: "Zhilei", 8: "Tba Tbd Opponent", 9: None}
-    kind, name = F.col("p_partkey") % 12, F.col("p_name")
+    printed = {0: "TBD", 1: "T.B.C.", 2: "Opponent TBA", 3: "To be announced", 4: "Li", 5: "ab" * 61, 6: "--", 7: "Zhilei", 8: "Tba Tbd Opponent", 9: None, 10: "TBATBD", 11: "Opponent to be determined tbc"}
+    kind, name = F.col("p_partkey") % 14, F.col("p_name")
     for k, v in printed.items():
         name = F.when(kind == k, F.lit(v)).otherwise(name)
     return load(spark, sf_dir, "part").groupBy(idn.name_quality(name).alias("quality")).agg(F.count("*").alias("n"))

@@ -20,22 +20,34 @@ def test_date_likeness(spark):
 
 def test_id_prefix_needs_one(spark):
     ids = spark.createDataFrame([(i,) for i in range(40)] + [(7,)], "id long")
-    asked = ids.select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12).alias("slug")).distinct().union(spark.createDataFrame([("none",), (None,)], "slug string"))
-    got = identity.by_id_prefix(asked, "slug", ids, "id", 12).collect()
-    assert sorted(r.id for r in got if r.outcome == "matched") == list(range(40)) and sum(r.outcome == "unmatched" for r in got) == 2
-    short = identity.by_id_prefix(asked.select(F.substring("slug", 1, 1).alias("slug")).distinct(), "slug", ids, "id", 1).collect()
-    assert any(r.outcome == "ambiguous" and r.id is None for r in short)
+    whole = F.sha2(F.col("id").cast("string"), 256)
+    asked = ids.select(F.substring(whole, F.lit(1), (12 + F.col("id") % 21).cast("int")).alias("slug")).distinct()
+    odd = spark.createDataFrame([("none",), (None,), ("ABCDEF012345",), ("abc",)], "slug string").union(ids.limit(3).select(F.substring(whole, 1, 11))).union(ids.limit(2).select(F.substring(whole, 1, 33)))
+    got = identity.by_id_prefix(asked.union(odd), "slug", ids, "id").collect()
+    assert sorted(r.id for r in got if r.outcome == "matched") == list(range(40)) and sum(r.outcome == "unmatched" for r in got) == 9
 
 
 def test_sharing_pairs_and_scopes(spark):
     df = spark.createDataFrame([(1, "g", [1, 2, 2]), (2, "g", [2, 1]), (3, "g", [9]), (4, "h", [1]), (5, "g", []), (6, "g", None)], "id int, k string, m array<int>")
     assert [tuple(r) for r in reads.sharing_pairs(df, "id", "m", ["k"]).collect()] == [("g", 1, 2, 2)]
-    s = spark.createDataFrame([("all", None), ("upcoming", 5), ("upcoming", 4), ("past", 4), ("past", 5), ("other", 4), (None, 4)], "s string, t int")
-    kept = s.filter(reads.in_scope(F.col("s"), F.col("t"), F.lit(5))).collect()
-    assert [tuple(r) for r in kept] == [("all", None), ("upcoming", 5), ("past", 4)]
-
-
-def test_year_coverage_tells_empty_years(spark):
-    df = spark.createDataFrame([("a", date(2001, 5, 1), True), ("a", date(2003, 1, 1), False), ("a", date(2003, 2, 1), True), ("b", None, True)], "k string, at date, ok boolean")
-    got = reads.year_coverage(df, "k", "at", F.col("ok")).orderBy("year").collect()
-    assert [tuple(r) for r in got] == [("a", 2001, 1, 1, 1.0), ("a", 2002, 0, 0, None), ("a", 2003, 2, 1, 0.5)]
+    rows = [("all", None, None), ("upcoming", 5, "scheduled"), ("upcoming", 4, None), ("upcoming", 6, "complete"), ("results", 4, None), ("results", 5, None), ("results", 9, "complete"), ("other", 4, None), (None, 4, None), ("all", 4, "cancelled"), ("upcoming", None, None), ("results", None, None)]
+    s = spark.createDataFrame(rows, "s string, t int, u string")
+    kept = s.filter(reads.in_scope(F.col("s"), F.col("t"), F.col("u"), F.lit(5))).collect()
+    assert [tuple(r) for r in kept] == [rows[i] for i in (0, 1, 4, 6, 7, 8)]
+
+
+def test_pages_are_held_and_sorted_by_scope(spark):
+    df = spark.createDataFrame([(i, date(2020, 1, 1 + i), None, f"n{i % 2}") for i in range(20)] + [(99, None, None, "z")], "id int, at date, st string, name string")
+    page = lambda *a, **k: [r.id for r in reads.scoped_page(df, *a, "at", "st", "name", F.lit(date(2020, 1, 11)), **k).orderBy("place").collect()]
+    assert page("upcoming", limit=3) == [10, 11, 12] and page("results", limit=2, offset=1) == [8, 7] and page("other", limit=0) == [19]
+    assert page(None, limit=None)[-1] == 99 and len(page("all", limit=1000)) == 21 and page("all", offset=-4, limit=1) == [19]
+
+
+def test_year_coverage_counts_what_is_held(spark):
+    events = spark.createDataFrame([(1, "s", date(2001, 5, 1)), (2, "s", date(2001, 6, 1)), (3, "t", date(2001, 6, 1))], "event int, source string, event_date date")
+    bouts = spark.createDataFrame([(11, 1, "scheduled", "2001-05-01-a"), (12, 1, "replaced", None), (13, 2, None, None)], "bout int, event int, status string, external_id string")
+    members = spark.createDataFrame([(11, "x"), (11, "y"), (12, "z"), (13, "x")], "bout int, member string")
+    decided = [("s", "k1", "2001-05-01-a", 1, "review"), ("s", "k2", "2001-05-01-b", 1, "matched"), ("s", "k2", "2001-05-01-b", 2, "review"), ("s", "k3", "2001-05-01-b", 1, "review"), ("s", "k4", "2001-06-01-c", 1, "review"), ("s", "k4", "2001-06-01-c", 2, "matched"), ("s", "k5", "2002-01-01-d", 1, "review")]
+    told, by_event = reads.year_coverage(events, bouts, members, spark.createDataFrame(decided, "source string, appearance string, external_id string, seq int, decision string"))
+    assert sorted(tuple(r) for r in told.select("source", "year", "events", "live", "replaced", "total", "linked", "held", "events_with_held").collect()) == [("s", 2001, 2, 2, 1, 3, 2, 1, 1), ("s", 2002, 0, 0, 0, 0, 0, 1, 1), ("t", 2001, 1, 0, 0, 0, 0, 0, 0)]
+    assert sorted(tuple(r) for r in by_event.collect()) == [("s", 2001, "2001-05-01", 1), ("s", 2002, "2002-01-01", 1)]
