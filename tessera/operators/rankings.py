@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import names as nm
@@ -61,3 +61,17 @@ def ranking_changes(old: DataFrame, new: DataFrame, board: list[str]) -> DataFra
     slots = boards.withColumn("type", slot).filter("type IS NOT NULL").select(*board, "type", none("key"), none("position"), none("rank"), none("previous_rank"), none("places"), F.lit(False).alias("unresolved"))
     order = F.array_position(F.array(*map(F.lit, CHANGE_ORDER)), F.col("type")).cast("int")
     return told.union(slots).withColumn("type_order", order)
+
+
+def chain_changes(lists: DataFrame, board: list[str], at: str, last: DataFrame | None = None) -> DataFrame:
+    """What changed from each list of a board to the next of its chain, `at` being the later one: all neighbouring lists in one pass, as each entry stands once as new and once as old.
+
+    Columns as of `ranking_changes`, with `at`. The first list of a chain tells nothing by itself. `last` holds the last list of each board that was seen before, with the same columns: then only new lists are read, and
+    a board's first new one is compared with it.
+    """
+    held = lists if last is None else lists.unionByName(last)
+    found = held.select(*board, at).distinct()
+    following = found.withColumn("__next", F.lead(at).over(Window.partitionBy(*board).orderBy(at))).filter("__next IS NOT NULL")
+    old = held.join(following, [*board, at]).drop(at).withColumnRenamed("__next", at)
+    new = held.join(following.select(*board, F.col("__next").alias(at)), [*board, at], "left_semi")
+    return ranking_changes(old, new, [*board, at])

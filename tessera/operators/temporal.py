@@ -98,3 +98,24 @@ def overlapping(df: DataFrame, keys: list[str], id_: str, start: str, end: str,
     later = held.select(*keys, F.col("id").alias("y"), F.col("a").alias("ya"), F.col("z").alias("yz"), "b")
     met = first.join(later, [*keys, "b"]).filter((F.struct("xa", "x") < F.struct("ya", "y")) & (F.col("xz").isNull() | (F.col("xz") >= F.col("ya"))) & (F.col("yz").isNull() | (F.col("yz") >= F.col("xa"))))
     return met.select(*keys, F.least("x", "y").alias("first_id"), F.greatest("x", "y").alias("second_id"))
+
+
+def within_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
+    """points with the columns of each interval [low, high) of a table that holds them (all of them, if several do); an open end is null, a point in none is left out.
+
+    A ladder of buckets: an interval of length l stands at the level whose buckets are as wide as the power of two from l up, where it touches two at most, and one with an open end at a level of its own, where a key has few; a point asks
+    each level that its key has. Values are whole numbers or days. Nothing is compared that isn't in one bucket.
+    """
+    number = lambda c: F.date_diff(c, F.lit("1970-01-01").cast("date")).cast("long") if dict(points.dtypes)[at] == "date" else c.cast("long")
+    whole = lambda c: number(F.col(c))
+    others = [c for c in intervals.columns if c not in keys]
+    level = F.when(F.col(low).isNull() | F.col(high).isNull(), -1).otherwise(F.ceil(F.log2(F.greatest(whole(high) - whole(low), F.lit(1)).cast("double"))).cast("int"))
+    held = intervals.filter(F.col(low).isNull() | F.col(high).isNull() | (F.col(low) < F.col(high))).select(*keys, level.alias("__l"), F.struct(*others).alias("__i"), whole(low).alias("__lo"), whole(high).alias("__hi"))
+    bucket = lambda v, l: F.call_function("shiftright", v, l)
+    touched = F.when(F.col("__l") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(bucket(F.col("__lo"), F.col("__l")), bucket(F.col("__hi") - 1, F.col("__l"))))
+    held = held.withColumn("__b", F.explode(touched))
+    levels = held.groupBy(*keys).agg(F.collect_set("__l").alias("__ls"))  # 65 at most
+    asked = points.filter(F.col(at).isNotNull()).join(levels, keys).withColumn("__l", F.explode("__ls")).drop("__ls").withColumn("__v", whole(at))
+    asked = asked.withColumn("__b", F.when(F.col("__l") < 0, F.lit(0).cast("long")).otherwise(bucket(F.col("__v"), F.col("__l"))))
+    met = asked.join(held, [*keys, "__l", "__b"]).filter((F.col("__lo").isNull() | (F.col("__v") >= F.col("__lo"))) & (F.col("__hi").isNull() | (F.col("__v") < F.col("__hi"))))
+    return met.select(*points.columns, *[F.col(f"__i.{c}").alias(c) for c in others])

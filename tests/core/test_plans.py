@@ -10,7 +10,7 @@ from tessera.plans import catalog
 catalog.load_all()
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ONE_ROW_SIDES = {"directory_paged"}  # a total of one row joins the page
-PYTHON = {"name_keys", "identity_resolve", "career_tiers", "two_corner_matches", "ranking_changes"}  # Unicode folding
+PYTHON = {"name_keys", "identity_resolve", "career_tiers", "two_corner_matches", "ranking_changes", "ranking_chain", "document_digests"}  # Unicode folding
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
 
