@@ -65,11 +65,54 @@ def test_repeated_rows_one_row_and_empty(spark):
     assert mk.edit_report(one.limit(0)).count() == 0
 
 
-def test_differences_are_located(spark):
-    rows = [("a.\nb.\nc.", "a.\nX.\nc."), ("a.\nb.", "a.\nb."), ("a.", "a.\nb."), ("a.\nb.\nc.", "a.\nNEW.\nb.\nc."), ("a.\n\nb.\nc.\n\nd.", "a.\n\nb.\nZ.\n\nd."), ("a.\nb.", "a.\n\nb.")]
+def plain_tree(text):
+    """The levels of nodes, by hand."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rx = re.compile(mk.PIECE.replace(r"\z", r"\Z"))
+    levels = [[sha(".".join(map(sha, rx.findall(p)))) for p in text.split("\n")]]
+    for _ in range(mk.LEVELS):
+        out, run = [], []
+        for n in levels[-1]:
+            run.append(n)
+            if n[0] == "0" or len(run) == mk.WIDEST and all(x[0] != "0" for x in run):
+                out, run = [*out, run], []
+        levels.append([sha("".join(f"{n}." for n in r)) for r in [*out, run] if r])
+    return [*levels, [sha("".join(f"{n}." for n in levels[-1]))]]
+
+
+def compared(spark, rows):
     df = spark.createDataFrame(rows, "a string, b string")
-    a, b = mk.nodes(F.col("a")), mk.nodes(F.col("b"))
-    got = df.select("a", "b", mk.first_difference(a, b).alias("first"), mk.removed(a, b).alias("gone"), mk.removed(b, a).alias("new"), mk.paragraphs_under_differing_nodes(a, b).alias("open"), (mk.root(a) == mk.root(b)).alias("same")).collect()
-    sha = lambda *t: [hashlib.sha256(x.encode()).hexdigest() for x in t]
-    assert [(r.first, r.gone, r.new) for r in got[:5]] == [(1, sha("b."), sha("X.")), (None, [], []), (1, [], sha("b.")), (1, [], sha("NEW.")), (2, sha("c."), sha("Z."))]
-    assert got[4].open == sha("b.", "c.") and got[5].first is not None and [r.same for r in got] == [r[0] == r[1] for r in rows]
+    for c in "ab":
+        df = df.withColumn(f"p{c}", mk.pieces_of(F.col(c))).withColumn(f"t{c}", mk.tree(F.col(f"p{c}")))
+    a, b = F.col("ta"), F.col("tb")
+    return df.select("a", "b", F.transform(a, lambda x: x["node"]).alias("levels"), mk.first_difference(a, b).alias("first"), mk.descended(a, b).alias("d"), (mk.root(a) == mk.root(b)).alias("same")).collect()
+
+
+def test_trees_and_differences_against_brute_force(spark):
+    rnd = random.Random(4)
+    rows = [("a.\nb.\nc.", "a.\nX.\nc."), ("a.\nb.", "a.\nb."), ("a.", "a.\nb."), ("a.\nb.\nc.", "a.\nNEW.\nb.\nc."), ("a.\n\nb.", "a.\nb."), ("", "x"), ("", ""), ("\n" * 200, "\n" * 199)]
+    for _ in range(60):
+        lines = [f"line {rnd.randrange(500)} of it." for _ in range(rnd.randint(1, 300))]
+        other = list(lines)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(other) + 1)
+            other[at : at + rnd.randint(0, 2)] = [f"new {rnd.randrange(99)}"] * rnd.randint(0, 2)
+        rows.append(("\n".join(lines), "\n".join(other)))
+    for r in compared(spark, rows):
+        assert r.levels == plain_tree(r.a) and r.same == (r.a == r.b)
+        x, y = plain_tree(r.a)[0], plain_tree(r.b)[0]
+        first = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        assert r["first"] == (None if r.a == r.b else first)
+        # all that is only on one side is found, and nothing that both sides keep in the same number
+        assert set(x) - set(y) <= set(r.d.gone) <= {n for n in x if x.count(n) != y.count(n) or n not in y or r.a != r.b} and set(y) - set(x) <= set(r.d.came)
+        assert (r.d.visited == 2) == (r.a == r.b)
+
+
+def test_an_edit_in_a_long_text_visits_few_nodes(spark):
+    lines = [f"paragraph {i} says this. And that." for i in range(10_000)]
+    other = [*lines[:7_003], "an edit", *lines[7_004:]]
+    moved = [*lines[:20], "put in", *lines[20:]]
+    sha = lambda t: plain_tree(t)[0][0]
+    got = compared(spark, [("\n".join(lines), "\n".join(other)), ("\n".join(lines), "\n".join(moved))])
+    assert [(r["first"], r.d.gone, r.d.came) for r in got] == [(7_003, [sha(lines[7_003])], [sha("an edit")]), (20, [], [sha("put in")])]
+    assert all(r.d.visited <= 2 * (mk.LEVELS + 2) * mk.WIDEST for r in got)
