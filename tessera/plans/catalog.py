@@ -24,4 +24,4 @@ def named(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import cards, careergraph, careers, contests, documents, flows, identities, lookups, measures, pointintime, reads, records, runs, series, texts  # noqa: F401
+    from . import cards, careergraph, careers, contests, documents, flows, identities, lookups, measures, pointintime, reads, records, ringside, runs, series, texts  # noqa: F401
