@@ -35,8 +35,10 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of BUDGET of the tokens, its sources, languages and forms raked to smoothed shares."""
-    rows = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row"))
-    return mixing.mixed(rows, budget=BUDGET).filter("kept").select("row.*")
+    # the text stands beside the other columns and not among them, too, as the table of described rows holds all it gets
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    kept = mixing.mixed(docs.select("doc_id", "text", "lang", "source", others), budget=BUDGET).filter("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
