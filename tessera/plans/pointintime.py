@@ -52,30 +52,23 @@ def appearances(contests_: DataFrame) -> DataFrame:
     return rows.withColumns({"subject": of("a", "b"), "opponent": of("b", "a"), "result": result})
 
 
-def records_entering(rows: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes with contests, wins, losses and draws of their subject before `before`, as known at `cutoff`. Subjects with many contests are dealt out by months."""
+def records_entering(rows: DataFrame, probes: DataFrame, values: dict[str, str] | None = None) -> DataFrame:
+    """probes with contests, wins, losses and draws of their subject before `before`, as known at `cutoff`, and with values of the last such contest. Subjects with very many contests are dealt out by months."""
     counts = {"contests": F.col("result").isNotNull(), **{n: F.col("result").eqNullSafe(r) for n, r in (("wins", "win"), ("losses", "loss"), ("draws", "draw"))}}
-    facts = rows.select("subject", "starts", "known", "result")
-    return hs.totals_as_of(facts, probes, ["subject"], "starts", hs.day_number(F.col("known")), "before", hs.day_number(F.col("cutoff")), counts, F.trunc("__at", "month"))
+    facts = rows.select("subject", "starts", "known", "result", "o_orderkey").withColumn("told", F.coalesce("result", F.lit("unknown")))
+    return hs.as_of(facts, probes, ["subject"], "starts", hs.day_number(F.col("known")), "before", hs.day_number(F.col("cutoff")), counts, values or {}, "o_orderkey", F.trunc("__at", "month"))
 
 
-def probes_of(rows: DataFrame) -> DataFrame:
+def probes_of(rows: DataFrame, *more: Column) -> DataFrame:
     """Each appearance asks for its subject's record before it, as known some days (0 to 89, by its number) after."""
-    return rows.select("o_orderkey", "side", "subject", F.col("starts").alias("before"), F.date_add("starts", (F.col("o_orderkey") % 90).cast("int")).alias("cutoff"))
+    return rows.select("o_orderkey", "side", "subject", F.col("starts").alias("before"), F.date_add("starts", (F.col("o_orderkey") % 90).cast("int")).alias("cutoff"), *more)
 
 
 @named(RECORDS + "SELECT * FROM rec")
 def history_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record of each side of each contest on entering it, as known at a cutoff of its own, and its last known contest."""
     rows = appearances(contests(spark, sf_dir))
-    probes = probes_of(rows)
-    sums = records_entering(rows, probes)
-    facts = rows.select("subject", "starts", "known", "o_orderkey", F.coalesce("result", F.lit("unknown")).alias("result"))
-    last = hs.last_as_of(
-        facts.withColumnRenamed("o_orderkey", "fact"), probes, ["subject"], "starts", hs.day_number(F.col("known")), "before", hs.day_number(F.col("cutoff")),
-        {"fact": "last_contest", "result": "last_result"}, "fact", F.trunc("__at", "month"),
-    )
-    return sums.join(last.select("o_orderkey", "side", "last_contest", "last_result"), ["o_orderkey", "side"]).drop("before", "cutoff")
+    return records_entering(rows, probes_of(rows), {"o_orderkey": "last_contest", "told": "last_result"}).drop("before", "cutoff")
 
 
 SOURCED = "a.o_orderkey % 7 = 0"
@@ -88,15 +81,16 @@ quality AS (SELECT *, coalesce(CAST(w AS DOUBLE) / nullif(w + l + d, 0), 0) AS w
 
 
 def opposition(rows: DataFrame) -> DataFrame:
-    """For each appearance its opponent's record on entering (w, l, d, n), whether a source tells it or the graph, its share of wins and its quality.
+    """For each appearance its result, its opponent's record on entering (w, l, d, n), whether a source tells it or the graph, its share of wins and its quality.
 
     A sourced record stands before that of the graph. Stand-in: contests with a number divisible by seven come with a sourced record.
     """
-    known = records_entering(rows, probes_of(rows))
-    other = known.select("o_orderkey", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), "contests", "wins", "losses", "draws")
+    # an opponent's probe carries what is told of the other side, so that they need not meet again
+    result = F.when(F.col("result") == "win", "loss").when(F.col("result") == "loss", "win").otherwise(F.col("result"))
+    known = records_entering(rows, probes_of(rows, F.col("opponent").alias("other"), result.alias("result")))
     sourced, k = F.col("o_orderkey") % 7 == 0, F.col("o_orderkey")
-    told = rows.select("o_orderkey", "side", "subject").join(other, ["o_orderkey", "side"]).select(
-        "o_orderkey", "side", "subject", sourced.alias("sourced"), F.when(sourced, k % 31).otherwise(F.col("wins")).alias("w"), F.when(sourced, k % 5).otherwise(F.col("losses")).alias("l"),
+    told = known.select(
+        "o_orderkey", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), F.col("other").alias("subject"), "result", sourced.alias("sourced"), F.when(sourced, k % 31).otherwise(F.col("wins")).alias("w"), F.when(sourced, k % 5).otherwise(F.col("losses")).alias("l"),
         F.when(sourced, 0).otherwise(F.col("draws")).alias("d"), F.when(sourced, k % 31 + k % 5).otherwise(F.col("contests")).alias("n"),
     )
     w, l, d, n = (F.col(c) for c in "wldn")
@@ -116,8 +110,7 @@ FROM ap JOIN quality q ON q.o_orderkey = ap.o_orderkey AND q.side = ap.side WHER
 """)
 def opponent_adjusted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of wins of subjects with five decided contests, each weighted by its opponent's quality on entering; null where no opponent had any."""
-    rows = appearances(contests(spark, sf_dir))
-    met = rows.filter(F.col("result").isin("win", "loss", "draw")).select("o_orderkey", "side", "subject", (F.col("result") == "win").alias("won")).join(opposition(rows).select("o_orderkey", "side", F.col("quality").cast("decimal(28,10)").alias("q")), ["o_orderkey", "side"])
+    met = opposition(appearances(contests(spark, sf_dir))).filter(F.col("result").isin("win", "loss", "draw")).select("subject", (F.col("result") == "win").alias("won"), F.col("quality").cast("decimal(28,10)").alias("q"))
     found = met.groupBy("subject").agg(F.count("*").alias("decided"), F.count_if("won").alias("wins"), half_up(ratio(F.sum(F.when(F.col("won"), F.col("q")).otherwise(0)), F.sum("q"))).alias("adjusted_rate"))
     return found.filter("decided >= 5")
 
@@ -130,6 +123,10 @@ def matchup_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is put into a comparison of the two sides of each contest: its terms, and both records on entering."""
     g = contests(spark, sf_dir)
     known = history_as_of(spark, sf_dir)
-    side = lambda s: known.filter(F.col("side") == s).select("o_orderkey", *[F.col(c).alias(f"{s}_{c}") for c in ("contests", "wins", "losses")], (F.col("last_result") == "win").alias(f"{s}_won_last"))
+    told = ("contests", "wins", "losses", "last_result")
+    # both sides' records of a contest meet in one aggregation of one row a side
+    side = lambda s: F.max(F.when(F.col("side") == s, F.struct(*told)))
+    of = lambda s: [*[F.col(f"__{s}.{c}").alias(f"{s}_{c}") for c in told[:3]], (F.col(f"__{s}.last_result") == "win").alias(f"{s}_won_last")]
+    both = known.groupBy("o_orderkey").agg(side("a").alias("__a"), side("b").alias("__b"))
     terms = g.select("o_orderkey", "starts", "outcome", F.when(F.col("l_tax") > 0.035, 12).otherwise(8).alias("scheduled"), (F.col("l_partkey") % 17).alias("division"), (F.col("l_discount") > 0.08).alias("title"), "a", "b")
-    return terms.join(side("a"), "o_orderkey").join(side("b"), "o_orderkey")
+    return terms.join(both, "o_orderkey").select(*terms.columns, *of("a"), *of("b"))

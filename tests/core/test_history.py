@@ -78,3 +78,18 @@ def test_quality_of_a_record(spark):
     rows = [(3, 1, 0, 4), (0, 0, 0, 0), (20, 10, 10, 45), (0, 0, 0, 2), (None, None, None, None)]
     got = spark.createDataFrame(rows, "w int, l int, d int, n int").select(hs.entering_quality(*[F.col(c) for c in "wldn"]).alias("q")).collect()
     assert [None if r.q is None else round(r.q, 6) for r in got] == [round(0.375 + 4 / 60, 6), 0.0, 0.75, round(2 / 60, 6), None]
+
+
+def test_keys_beyond_the_limit_are_dealt_out(spark, monkeypatch):
+    f, p = made(5, 300, 150, ["a", "a", "a", "b", "c"], 200)
+    monkeypatch.setattr(hs, "LARGE", 120)
+    monkeypatch.setattr(hs, "ROWS_A_TASK", 50)
+    assert found(spark, f, p, None) == found(spark, f, p, F.trunc(F.col("__at"), "month")) == brute(f, p)
+
+
+def test_rows_are_shuffled_before_they_are_multiplied(spark):
+    f, p = made(6, 300, 150, ["a", "b", "c"], 200)
+    facts, probes = spark.createDataFrame(f, FACTS), spark.createDataFrame(p, PROBES)
+    both = hs.totals_as_of(facts, probes, ["k"], "holds", hs.day_number(F.col("known")), "before", hs.day_number(F.col("cutoff")), {"n": F.lit(1)}, F.trunc("__at", "month"))
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate explode")  # the exchange lies below
