@@ -202,13 +202,15 @@ def career_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = appearances(contests(spark, sf_dir))
     lines = load(spark, sf_dir, "lineitem")
     quality = opposition(rows).select("o_orderkey", "side", F.col("n").alias("q_bouts"), "win_share", "quality")
-    pro = with_view(rows).filter("o_orderkey % 11 <> 0").join(quality, ["o_orderkey", "side"])
+    seen = with_view(rows).filter("o_orderkey % 11 <> 0")
+    pro = seen.join(quality, ["o_orderkey", "side"])
     own = punches(lines)
     mine = own.select("o_orderkey", "side", *[F.col(c).alias(f"my_{c}") for c in ("rows", "thrown", "landed", "jabs", "jabs_landed", "power", "power_landed", "no_jabs")])
     theirs = own.select("o_orderkey", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), F.col("rows").alias("op_rows"), F.col("landed").alias("op_landed"))
     margins = cards(lines).filter("round >= 9").groupBy("l_orderkey", "round").agg(F.avg(F.col("pa") - F.col("pb")).alias("m"))
     scored = margins.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("scored_rounds"), F.count_if(F.col("m") > 0).alias("for_a"), F.count_if(F.col("m") < 0).alias("for_b"))
-    met = pro.join(mine, ["o_orderkey", "side"], "left").join(theirs, ["o_orderkey", "side"], "left").join(scored, "o_orderkey", "left")
+    scored = scored.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))  # one shuffle of the appearances serves all joins
+    met = pro.join(mine, ["o_orderkey", "side"], "left").join(theirs, ["o_orderkey", "side"], "left").join(scored, ["o_orderkey", "side"], "left")
     c, n = F.col, F.count_if
     win, loss, stop, long_ = c("res") == "win", c("res") == "loss", F.coalesce(c("stopped"), F.lit(False)), F.coalesce(c("scheduled") > 8, F.lit(False))
     decided, k = F.coalesce(c("decided"), F.lit(False)), c("o_orderkey")
@@ -233,7 +235,7 @@ def career_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         n(c("title")).alias("titles"), total(exact(F.greatest(c("completed") - 9, F.when(c("completed").isNotNull(), 0.0))), c("title")).alias("title_rounds"), F.count(F.when(c("title"), c("completed"))).alias("title_n"), F.count("division").alias("with_division"),
         *[x for s in (0, 1) for x in (n(decided & (stance == s)).alias(f"stance_{s}"), n(win & (stance == s)).alias(f"wins_{s}"))],
     )
-    return mt.told_kinds(wide.join(division_facts(pro), "subject", "left"), ["subject"], career_registry())
+    return mt.told_kinds(wide.join(division_facts(seen), "subject", "left"), ["subject"], career_registry())
 
 
 def official_registry() -> list[Kind]:
