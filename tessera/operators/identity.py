@@ -62,22 +62,40 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many partitions as a shuffle has, however small it is: where few rows make very many, few partitions would be few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def similar_pairs(df: DataFrame, id_: str, text: str, least: float) -> DataFrame:
-    """(a, b, similarity): pairs with trigram Jaccard of at least `least`, complete by prefix filtering.
+    """(a, b, similarity): pairs with trigram Jaccard of at least `least`, complete by prefix filtering; ids are unique.
 
-    A pair that similar shares one of the first n - ceil(least n) + 1 trigrams in a common rare-first order, so only
-    those are joined, and common trigrams, which stand last, hardly ever are.
+    In a common rare-first order of trigrams a pair that similar shares one of the first n - ceil(least n) + 1 of the larger and of the first n - ceil(2 least / (1 + least) n) + 1 of the smaller one, so only those meet, and
+    common trigrams, which stand last, hardly ever do. Rows bring their trigrams along as numbers: a pair is decided where its first common trigram meets, and no candidates are shuffled.
     """
     grams = df.select(F.col(id_).alias("id"), trigrams(F.col(text)).alias("grams")).filter(F.size("grams") > 0)
     each = grams.select("id", F.explode("grams").alias("g"))
-    ranks = each.groupBy("g").agg(F.count("*").alias("n"))
-    ordered = each.join(ranks, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o"))
-    prefix = ordered.select("id", F.size("o").alias("size"), F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * least - 1e-9).cast("int") + 1)).alias("p"))
-    prefix = prefix.select("id", "size", F.col("p.g").alias("g"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("size").alias("na"), "g"), prefix.select(F.col("id").alias("b"), F.col("size").alias("nb"), "g")
-    met = a.join(b, "g").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
-    left, right = grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    return met.join(left, "a").join(right, "b").withColumn("similarity", F.round(jaccard(F.col("ga"), F.col("gb")), 6)).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    # a trigram's number orders by how often it stands, then by its three signs; there are 37 ** 3 at most
+    sign = lambda i: F.ascii(F.substring("g", i, 1)).cast("long")
+    ranks = each.groupBy("g").agg(F.count("*").alias("n")).select("g", (F.col("n") * 2**21 + sign(1) * 2**14 + sign(2) * 2**7 + sign(3)).alias("r"))
+    ordered = each.join(F.broadcast(ranks), "g").groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("o")).withColumn("n", F.size("o"))
+    least = least - 1e-6  # what rounds up to it
+
+    def begun(share: float, to: str) -> DataFrame:
+        """Rows for each trigram of the prefix that a share of common trigrams needs."""
+        prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * share).cast("int") + 1)
+        return spread(ordered.select(F.col("id").alias(f"{to}_id"), F.col("n").alias(f"{to}_n"), F.col("o").alias(f"{to}_o"), F.posexplode(prefix).alias(f"{to}_at", "g")), "g")
+
+    x, y = begun(2 * least / (1 + least), "x"), begun(least, "y")
+    col = F.col
+    smaller = (col("x_n") < col("y_n")) | ((col("x_n") == col("y_n")) & (col("x_id") < col("y_id")))
+    # were this the first common trigram, so many could follow
+    needed = (col("x_n") + col("y_n")) * (least / (1 + least))
+    possible = (col("x_n") >= col("y_n") * least) & (F.least(col("x_n") - col("x_at"), col("y_n") - col("y_at")) >= needed)
+    met = x.join(y, "g").filter(smaller & possible).withColumn("c", F.array_intersect("x_o", "y_o"))
+    met = met.filter((F.get("c", F.lit(0)) == col("g")) & (F.size("c") >= needed))
+    out = met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), F.round(F.size("c") / (col("x_n") + col("y_n") - F.size("c")), 6).alias("similarity"))
+    return out.filter(col("similarity") >= least + 1e-6)
 
 
 def one_candidate(probes: DataFrame, entities: DataFrame, keys: list[str], probe_id: str, entity_id: str) -> DataFrame:
@@ -120,20 +138,22 @@ def name_quality(name: Column) -> Column:
 def edit_pairs(df: DataFrame, value: str, edits: int) -> DataFrame:
     """(a, b, distance), a < b: all pairs of different values at most `edits` edits apart; nulls pair with nothing.
 
-    A value is cut into edits + 1 pieces, one of which stands unchanged in any value so near, moved by at most `edits` places: the pieces meet in an equi-join, and what meets is measured. Values of at
+    A value is cut into edits + 1 pieces, one of which stands unchanged in any value so near, moved by at most half of `edits` and of the difference in length: the pieces meet in an equi-join, and what meets is measured. Values of at
     most `edits` characters have no such pieces and meet by their lengths.
     """
     d = edits
-    v = df.select(F.col(value).alias("v")).filter("v IS NOT NULL").distinct().withColumn("m", F.length("v"))
+    v = spread(df.select(F.col(value).alias("v")).filter("v IS NOT NULL").distinct(), "v").withColumn("m", F.length("v"))
     pieces = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("m") * i / (d + 1)).cast("int").alias("at"), F.floor(F.col("m") * (i + 1) / (d + 1)).cast("int").alias("to")) for i in range(d + 1)])
     base = v.filter(F.col("m") > d).select(F.col("v").alias("a"), F.col("m").alias("n"), F.explode(pieces).alias("p"))
     base = base.select("a", "n", F.col("p.i").alias("i"), F.substring("a", F.col("p.at") + 1, F.col("p.to") - F.col("p.at")).alias("piece"))
-    asked = v.select("v", "m", F.explode(F.sequence(F.greatest(F.lit(d + 1), F.col("m") - d), F.greatest(F.lit(d + 1), F.col("m") + d))).alias("n"))
-    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(d)))).withColumn("shift", F.explode(F.sequence(F.lit(-d), F.lit(d))))
+    # the shorter one's pieces are looked for in the longer one; a piece moved by s leaves at least |s| edits before it and |m - n - s| behind it
+    asked = v.filter(F.col("m") > d).select("v", "m", F.explode(F.sequence(F.greatest(F.lit(d + 1), F.col("m") - d), F.col("m"))).alias("n"))
+    longer = F.col("m") - F.col("n")
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(d)))).withColumn("shift", F.explode(F.sequence(-F.floor((d - longer) / 2), F.floor((d + longer) / 2))))
     at = F.floor(F.col("n") * F.col("i") / (d + 1)).cast("int")
     size = F.floor(F.col("n") * (F.col("i") + 1) / (d + 1)).cast("int") - at
     asked = asked.withColumn("at", at + F.col("shift")).withColumn("size", size).filter("at >= 0 AND at + size <= m")
-    asked = asked.select("v", "n", "i", F.substring("v", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    asked = asked.select("v", "n", "i", F.substring("v", (F.col("at") + 1).cast("int"), F.col("size")).alias("piece"))
     met = base.join(asked, ["n", "i", "piece"]).select("a", F.col("v").alias("b"))
     short = v.filter(F.col("m") <= d).select(F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.col("m") + d)).alias("m"))
     met = met.union(short.join(v, "m").select("a", F.col("v").alias("b"))).filter("a <> b")

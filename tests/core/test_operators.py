@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -189,3 +190,16 @@ def test_edit_pairs_are_complete(spark):
     for d in (1, 2, 4):
         got = {(r.a, r.b, r.distance) for r in identity.edit_pairs(spark.createDataFrame([(w,) for w in words] + [(None,)], "w string"), "w", d).collect()}
         assert got == {(a, b, n) for a in words for b in words if a < b and (n := distance(a, b)) <= d}
+
+
+def test_candidates_of_similar_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, f"word{i} other{i % 7} third{i % 3}") for i in range(50)], "id int, t string")
+    plan = identity.similar_pairs(df, "id", "t", 0.6)._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("SortMergeJoin")] if "SortMergeJoin" in plan else plan[: plan.index("HashJoin")]
+    assert "Exchange" not in top and "Aggregate" not in top
+
+
+def test_pieces_of_texts_are_not_gathered_before_they_meet(spark):
+    df = spark.createDataFrame([(f"title number {i} of many",) for i in range(50)], "w string")
+    plan = identity.edit_pairs(df, "w", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "piece#" in plan and not re.search(r"HashAggregate\(keys=\[[^\]]*piece", plan)
