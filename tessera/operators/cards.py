@@ -16,6 +16,8 @@ from tessera.operators import names as nm
 CHANGE = "array<struct<type:string,before:string,after:string>>"
 # States of a bout that no replacement concerns.
 CLOSED = ["cancelled", "complete"]
+#: Days within which a provider's event and a bout can be one.
+NEAR_DAYS = 2
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -168,11 +170,11 @@ def corner_of(name: Column, a: Column, b: Column) -> Column:
     return told[0]
 
 
-def two_corner_match(events: DataFrame, bouts: DataFrame, corners: DataFrame, days: int = 2) -> DataFrame:
+def two_corner_match(events: DataFrame, bouts: DataFrame, corners: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
     """(event, bout_id, home_side, outcome): the one bout near in time whose two different corners an event's two names stand for, else why none.
 
     events: event, at, mapped (a bout that an earlier match stands for, or null); bouts: bout_id, starts_at; corners: event, bout_id, home, away (the side that each name stands for, see corner_of) of bouts
-    and events that share a name. Time only filters, and events never meet bouts by it: whether any bout is near is asked of the days' first and last starts. A mapping is verified each time.
+    and events that share a name and are near in time, or that an earlier match has made one; others may be there and don't count. Events never meet bouts by time alone: whether any bout is near is asked of the days' first and last starts. A mapping is verified each time.
     """
     width = days * 86_400
     sec = lambda c: F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))

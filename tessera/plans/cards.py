@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cards as cd
 from tessera.operators import names as nm
+from tessera.sources.shared import cut
 from tessera.sources.tables import load
 
 from .catalog import named
-from .identities import PEOPLE, people
+from .identities import PEOPLE, people, syllable
 
 LINES = """
 WITH n AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_tax, l_discount, l_extendedprice) AS rn, l_partkey, l_suppkey, l_quantity AS q, l_tax, l_discount, l_linestatus FROM lineitem),
@@ -135,15 +136,16 @@ SELECT o AS event, CASE outcome WHEN 'both_corners_resolved' THEN hit WHEN 'exis
 """)
 def two_corner_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which bout (a customer's order against the next order's customer) each of a provider's events is, by both corners' names."""
-    p = people(spark, sf_dir).select("k", "first", "next_first", "last")
+    # a name stands for one customer here: beyond the surnames that three syllables make, as many more tell the rest of its number
+    rest = F.concat(*[F.when(F.col("k") >= d, syllable(F.floor(F.col("k") / d) % 20)).otherwise("") for d in (20**i for i in range(3, 13))])
+    p = people(spark, sf_dir).select("k", "first", "next_first", F.concat("last", rest).alias("last"))
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     other = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("kb"))
     bt = o.withColumnRenamed("o_custkey", "ka").join(other, "o_orderkey").filter("ka <> kb")
     of = lambda side: p.select(F.col("k").alias(f"k{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("first", "next_first", "last")])
     bt = bt.join(of("a"), "ka").join(of("b"), "kb")
     plain = lambda side: F.concat_ws(" ", f"first_{side}", f"last_{side}")
-    parsed = lambda text: nm.parsed(nm.romanised(text))
-    bouts = bt.select(F.col("o_orderkey").alias("bout_id"), F.col("o_orderdate").alias("starts_at"), "last_a", "last_b", parsed(plain("a")).alias("pa"), parsed(plain("b")).alias("pb"))
+    bouts = bt.select(F.col("o_orderkey").alias("bout_id"), F.col("o_orderdate").alias("starts_at"), "last_a", "last_b", plain("a").alias("name_a"), plain("b").alias("name_b"))
     k, way = F.col("o_orderkey"), F.col("o_orderkey") % 7
     initial = F.concat(F.substring("first_a", 1, 1), F.lit(". "), "last_a")
     home = F.when(way == 1, plain("b")).when(way.isin(2, 5), initial).when(way == 3, F.col("last_a")).when(way == 6, F.concat_ws(" ", "next_first_a", "last_a")).otherwise(plain("a"))
@@ -152,12 +154,22 @@ def two_corner_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("event"), F.when(k % 35 != 4, F.col("o_orderdate") + F.make_dt_interval((k % 4).cast("int"))).alias("at"), F.when(k % 9 == 0, k).when(k % 9 == 3, -k).when(k % 45 == 6, k + 1).alias("mapped"), home.alias("home"), away.alias("away"),
         F.array("last_a", "last_b").alias("lasts"),
     )
+    # each different name is parsed once
+    texts = p.select(F.concat_ws(" ", "first", "last").alias("text")).union(events.select("home")).union(events.select("away")).distinct()
+    known = cut(texts.select("text", nm.parsed(nm.romanised(F.col("text"))).alias("p")))
+    of_text = lambda text, name: known.select(F.col("text").alias(text), F.col("p").alias(name))
     # names meet corners by surname, as all of a name's forms have it; the other corner need not meet
-    asked = events.select("event", parsed(F.col("home")).alias("ph"), parsed(F.col("away")).alias("pw"))
-    said = asked.select("event", F.explode(F.array_distinct(F.array(F.element_at("ph.core", -1), F.element_at("pw.core", -1)))).alias("last"))
-    there = bouts.select("bout_id", F.explode(F.array_distinct(F.array("last_a", "last_b"))).alias("last"))
-    pairs = said.join(there, "last").select("event", "bout_id").distinct()
-    met = pairs.join(asked, "event").join(bouts.select("bout_id", "pa", "pb"), "bout_id")
+    surname = lambda text: known.select(F.col("text").alias(text), F.element_at("p.core", -1).alias(f"last_{text}"))
+    asked = events.join(surname("home"), "home").join(surname("away"), "away")
+    # only bouts near in time, or one that an earlier match names, can count: those of a surname meet by days before any names are compared
+    surnames = F.explode(F.array_distinct(F.array("last_home", "last_away"))).alias("last")
+    day = lambda c: F.date_diff(F.to_date(c), F.lit("1970-01-01").cast("date"))
+    said = asked.select("event", "at", surnames).withColumn("day", F.explode(F.sequence(day("at") - cd.NEAR_DAYS, day("at") + cd.NEAR_DAYS)))
+    there = bouts.select("bout_id", day("starts_at").alias("day"), F.explode(F.array_distinct(F.array("last_a", "last_b"))).alias("last"))
+    pairs = said.join(there, ["last", "day"]).select("event", "bout_id").union(events.filter("mapped IS NOT NULL").select("event", F.col("mapped").alias("bout_id"))).distinct()
+    met = pairs.join(events.select("event", "home", "away"), "event").join(bouts.select("bout_id", "name_a", "name_b"), "bout_id")
+    for text, name in (("home", "ph"), ("away", "pw"), ("name_a", "pa"), ("name_b", "pb")):
+        met = met.join(of_text(text, name), text)
     side = lambda name: cd.corner_of(F.col(name), F.col("pa"), F.col("pb"))
     corners = met.select("event", "bout_id", side("ph").alias("home"), side("pw").alias("away"))
     return cd.two_corner_match(events.select("event", "at", "mapped"), bouts.select("bout_id", "starts_at"), corners)

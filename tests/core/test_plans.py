@@ -42,3 +42,8 @@ def test_scans_are_pruned_and_filtered(spark):
 def test_buckets_add_no_exchange_of_the_rows(spark):
     plan = plan_of(spark, "change_dedupe")
     assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning(user_id") <= 4
+
+
+def test_corners_meet_by_day_before_names_are_compared(spark):
+    plan = plan_of(spark, "two_corner_matches")
+    assert re.search(r"Join \[last#\d+L?, day#\d+\], \[last#\d+L?, day#\d+\]", plan)
