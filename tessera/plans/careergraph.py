@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as gr
+from tessera.operators import names as nm
 from tessera.operators import resolution as rs
 from tessera.sources.tables import load
 
@@ -75,7 +76,8 @@ def career_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = apps.select("app_id", "last").join(p.select(id_.alias("entity_id"), "last"), "last").select(F.col("app_id").alias("obs_id"), "entity_id")
     seen = rs.named(apps.select(F.col("app_id").alias("obs_id"), F.array(F.struct(F.col("name").alias("text"), F.lit("name").alias("kind"))).alias("names")), "obs_id", F.col("names"))
     known = rs.named(p.select(id_.alias("entity_id"), F.array(F.struct(F.concat_ws(" ", "first", "last").alias("text"), F.lit("name").alias("kind"))).alias("names")), "entity_id", F.col("names"))
-    alike = rs.name_evidence(pairs, seen, known).withColumnRenamed("obs_id", "app_id")
+    # no decision counts persons of other names, so that only those alike meet contests
+    alike = rs.name_evidence(pairs, seen, known).withColumnRenamed("obs_id", "app_id").filter(F.col("level").isin([*nm.STRONG, *nm.WEAK]))
     towns = p.select(id_.alias("entity_id"), F.concat(F.lit("city"), F.col("k") % 50, F.lit(", "), "nation").alias("hometown"))
     own = apps.drop("k", "first", "last", "o_orderkey", "name")
     return gr.decided(own, gr.evidence(alike, own, bouts, towns))
