@@ -106,16 +106,19 @@ def parsed(folded: Column) -> Column:
     return F.element_at(F.transform(steps, told), 1)
 
 
-def _within(small: Column, large: Column) -> Column:
-    """Whether all words of the one stand in the other, each as often at least."""
+def _within(small: Column, large: Column, counted: bool) -> Column:
+    """Whether all words of the one stand in the other, each as often at least if `counted`."""
+    if not counted:
+        return F.size(F.array_except(small, large)) == 0
     times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
     return F.forall(F.array_distinct(small), lambda w: times(small, w) <= times(large, w))
 
 
-def compared(seen: Column, known: Column, nickname: Column) -> Column:
+def compared(seen: Column, known: Column, nickname: Column, counted: bool = True) -> Column:
     """struct(level, suffix_conflict, suffix_missing, given_differs) of two parsed names; `nickname` where the known one is a nickname.
 
-    A suffix on one side only never makes an exact name, as father and son share it. Different first names under one likeness are told, as twins share all else.
+    A suffix on one side only never makes an exact name, as father and son share it. Different first names under one likeness are told, as twins share all else. A name is contained in another with its words
+    as often as it has them, or, unless `counted`, with each word once.
     """
     o, c = seen, known
     n, m = F.size(o["core"]), F.size(c["core"])
@@ -124,7 +127,8 @@ def compared(seen: Column, known: Column, nickname: Column) -> Column:
     missing = (o["suffix"].isNull() != c["suffix"].isNull()) & ~empty
     first = lambda x, key: F.get(x[key], F.lit(0))
     last = lambda x: F.element_at(x["skeletons"], -1)
-    held = F.when(n <= m, _within(o["core"], c["core"]) | _within(o["skeletons"], c["skeletons"])).otherwise(_within(c["core"], o["core"]) | _within(c["skeletons"], o["skeletons"]))
+    inside = lambda x, y: _within(x["core"], y["core"], counted) | _within(x["skeletons"], y["skeletons"], counted)
+    held = F.when(n <= m, inside(o, c)).otherwise(inside(c, o))
     contained = (F.least(n, m) >= 2) & (n != m) & held & ((first(o, "core") == first(c, "core")) | (first(o, "skeletons") == first(c, "skeletons")))
     near = 1 - F.levenshtein(o["sorted"], c["sorted"]) / F.greatest(F.length(o["sorted"]), F.length(c["sorted"])) >= NEAR
     plain = (

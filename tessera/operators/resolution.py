@@ -64,11 +64,11 @@ def candidates(observations: DataFrame, entities: DataFrame, seen: DataFrame, kn
     return asking.join(dealt.select("key", "part", "entity_id"), ["key", "part"]).select("obs_id", "entity_id").distinct()
 
 
-def name_evidence(pairs: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
+def name_evidence(pairs: DataFrame, seen: DataFrame, known: DataFrame, counted: bool = True) -> DataFrame:
     """pairs with level, suffix_missing and given_differs of their best names (the first of equals) and suffix_conflict of any."""
     o = seen.select("obs_id", F.col("at").alias("__o"), F.col("p").alias("__seen"))
     c = known.select("entity_id", F.col("at").alias("__c"), "kind", F.col("p").alias("__known"))
-    met = pairs.join(o, "obs_id").join(c, "entity_id").select("obs_id", "entity_id", "__o", "__c", nm.compared(F.col("__seen"), F.col("__known"), F.col("kind") == "nickname").alias("x"))
+    met = pairs.join(o, "obs_id").join(c, "entity_id").select("obs_id", "entity_id", "__o", "__c", nm.compared(F.col("__seen"), F.col("__known"), F.col("kind") == "nickname", counted).alias("x"))
     better = F.when(~F.col("x.suffix_conflict") & (F.col("x.level") != "none"), F.struct(place_in(nm.LEVELS, F.col("x.level")), "__o", "__c"))
     found = met.groupBy("obs_id", "entity_id").agg(F.min_by("x", better).alias("best"), F.bool_or("x.suffix_conflict").alias("suffix_conflict"))
     out = pairs.join(found, ["obs_id", "entity_id"], "left")
@@ -79,11 +79,11 @@ def name_evidence(pairs: DataFrame, seen: DataFrame, known: DataFrame) -> DataFr
     )
 
 
-def scored(pairs: DataFrame, observations: DataFrame, entities: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
+def scored(pairs: DataFrame, observations: DataFrame, entities: DataFrame, seen: DataFrame, known: DataFrame, counted: bool = True) -> DataFrame:
     """pairs with level, given_differs, mapped, the signs `hard`, `soft`, `strong` and `medium` (arrays of names, in a fixed order), and confidence (0 to 99)."""
     o = observations.select("obs_id", *[F.col(c).alias(f"o_{c}") for c in observations.columns if c not in ("obs_id", "names")])
     c = entities.select("entity_id", *[F.col(x).alias(f"c_{x}") for x in entities.columns if x not in ("entity_id", "names")])
-    met = name_evidence(pairs, seen, known).join(o, "obs_id").join(c, "entity_id")
+    met = name_evidence(pairs, seen, known, counted).join(o, "obs_id").join(c, "entity_id")
     col = F.col
 
     def sign(name: str, holds: Column) -> Column:
@@ -185,8 +185,8 @@ def decided(observations: DataFrame, pairs: DataFrame, seen: DataFrame) -> DataF
     )
 
 
-def resolve(observations: DataFrame, entities: DataFrame, hot: int = HOT) -> DataFrame:
-    """A decision for each observation; see `decided`. obs_id and entity_id are unique strings; repeated observations are decided alike."""
+def resolve(observations: DataFrame, entities: DataFrame, hot: int = HOT, counted: bool = True) -> DataFrame:
+    """A decision for each observation; see `decided`, and `counted` in names.compared. obs_id and entity_id are unique strings; repeated observations are decided alike."""
     seen, known = observed_names(observations), entity_names(entities)
-    pairs = scored(candidates(observations, entities, seen, known, hot), observations, entities, seen, known)
+    pairs = scored(candidates(observations, entities, seen, known, hot), observations, entities, seen, known, counted)
     return decided(observations, pairs, seen)

@@ -1,7 +1,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import names as nm
 from tessera.operators import resolution as rs
 
 ATTRIBUTES = "dob date, sex string, nationalities array<string>, stance string, height int, reach int, divisions array<int>, hometown string, promoter string"
@@ -94,3 +96,20 @@ def test_nothing_known(tables):
     got = rs.resolve(observations, entities.limit(0)).groupBy("outcome").count().collect()
     assert {r.outcome for r in got} == {"created", "unresolved", "rejected"}
     assert rs.resolve(observations.limit(0), entities).count() == 0
+
+
+def test_a_name_whose_words_have_one_skeleton_against_the_sql(spark, tmp_path):
+    """karel amadeus quoriwex and karel quoriyel, both of one birthday: the skeletons of the second are one word twice."""
+    import duckdb
+
+    from tessera.plans import identities
+
+    duck = duckdb.connect()
+    for name, rows in (("customer", "SELECT k AS c_custkey, 3 AS c_nationkey FROM (VALUES (28450::BIGINT), (70450)) t(k)"), ("orders", "SELECT 255653::BIGINT AS o_orderkey, 28450::BIGINT AS o_custkey")):
+        duck.execute(f"COPY ({rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    want = duck.execute(identities.RESOLVED).fetchall()
+    assert [tuple(r) for r in identities.identity_resolve(spark, str(tmp_path)).collect()] == want and want[0][1:3] == ("review", "ambiguous")
+    names = spark.createDataFrame([("karel amadeus quoriwex", "karel quoriyel")], "a string, b string").select(nm.parsed(nm.romanised("a")).alias("a"), nm.parsed(nm.romanised("b")).alias("b"))
+    level = lambda counted: names.select(nm.compared(F.col("a"), F.col("b"), F.lit(False), counted).level).first()[0]
+    assert (level(True), level(False)) == ("none", "containment")
