@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import all_of
-from tessera.operators.sequences import before
+from tessera.operators.sequences import before, carried
+from tessera.sources.shared import dealt
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -100,22 +104,48 @@ def overlapping(df: DataFrame, keys: list[str], id_: str, start: str, end: str,
     return met.select(*keys, F.least("x", "y").alias("first_id"), F.greatest("x", "y").alias("second_id"))
 
 
-def within_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
-    """points with the columns of each interval [low, high) of a table that holds them (all of them, if several do); an open end is null, a point in none is left out.
+def within_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str, rows: int | None = None) -> DataFrame:
+    """points with the columns of each interval [low, high) of a table that holds them (all of them, if several do); an open end is null, a point in none is left out. Values are whole numbers or days.
 
-    A ladder of buckets: an interval of length l stands at the level whose buckets are as wide as the power of two from l up, where it touches two at most, and one with an open end at a level of its own, where a key has few; a point asks
-    each level that its key has. Values are whole numbers or days. Nothing is compared that isn't in one bucket.
+    Where no two intervals of a key overlap, a point can only be in the last one that starts at it or before, which one pass over both in order carries to it: each row
+    is shuffled once, whatever the lengths. `rows` is a bound of both tables' rows for who knows one without counting. Keys with overlapping intervals go by a ladder of buckets, see _by_ladder.
     """
-    number = lambda c: F.date_diff(c, F.lit("1970-01-01").cast("date")).cast("long") if dict(points.dtypes)[at] == "date" else c.cast("long")
-    whole = lambda c: number(F.col(c))
+    number = lambda c: F.date_diff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long") if dict(points.dtypes)[at] == "date" else F.col(c).cast("long")
     others = [c for c in intervals.columns if c not in keys]
-    level = F.when(F.col(low).isNull() | F.col(high).isNull(), -1).otherwise(F.ceil(F.log2(F.greatest(whole(high) - whole(low), F.lit(1)).cast("double"))).cast("int"))
-    held = intervals.filter(F.col(low).isNull() | F.col(high).isNull() | (F.col(low) < F.col(high))).select(*keys, level.alias("__l"), F.struct(*others).alias("__i"), whole(low).alias("__lo"), whole(high).alias("__hi"))
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    held = intervals.filter(known & (F.col(low).isNull() | F.col(high).isNull() | (F.col(low) < F.col(high)))).select(*keys, F.struct(*others).alias("__i"), number(low).alias("__lo"), number(high).alias("__hi"))
+    asked = points.filter(F.col(at).isNotNull() & known).withColumn("__v", number(at))
+    first, last = F.lit(-(2**63)), F.lit(2**63 - 1)
+    start = F.coalesce("__lo", first)
+    # an interval that starts before the latest end so far overlaps another
+    ended = F.max(F.coalesce("__hi", last)).over(Window.partitionBy(*keys).orderBy(start).rowsBetween(Window.unboundedPreceding, -1))
+    mixed = held.withColumn("__e", ended).filter(start < F.col("__e")).select(*keys).distinct()
+    rest = [F.col(f"__p_{c}").alias(c) for c in points.columns if c not in keys]
+
+    def by_order(asked: DataFrame, held: DataFrame) -> DataFrame:
+        at_start = held.select(*keys, start.alias("__s"), F.lit(0).alias("__kind"), F.struct("__i", "__hi").alias("__f"))
+        at_point = asked.select(*keys, F.col("__v").alias("__s"), F.lit(1).alias("__kind"), *[F.col(c).alias(f"__p_{c}") for c in points.columns if c not in keys])
+        met = carried(dealt(at_start.unionByName(at_point, allowMissingColumns=True), *keys, rows=rows), keys, ["__s", "__kind"], "__f", "__in").filter("__kind = 1 AND __in IS NOT NULL AND (__in.__hi IS NULL OR __s < __in.__hi)")
+        told = met.select(*keys, *rest, *[F.col(f"__in.__i.{c}").alias(c) for c in others])
+        return told.select(*points.columns, *others)
+
+    if mixed.isEmpty():
+        return by_order(asked, held)
+    of = lambda df, how: df.join(mixed, keys, how)
+    return by_order(of(asked, "left_anti"), of(held, "left_anti")).unionByName(_by_ladder(of(asked, "left_semi"), of(held, "left_semi"), keys, points.columns, others))
+
+
+def _by_ladder(asked: DataFrame, held: DataFrame, keys: list[str], columns: list[str], others: list[str]) -> DataFrame:
+    """An interval of length l stands at the level whose buckets are as wide as the power of two from l up, where it touches two at most, and one with an open end at a level of its own, where a key has few; a point asks
+    each level that its key has. Nothing is compared that isn't in one bucket.
+    """
+    level = F.when(F.col("__lo").isNull() | F.col("__hi").isNull(), -1).otherwise(F.ceil(F.log2(F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)).cast("double"))).cast("int"))
     bucket = lambda v, l: F.call_function("shiftright", v, l)
+    held = held.withColumn("__l", level)
     touched = F.when(F.col("__l") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(bucket(F.col("__lo"), F.col("__l")), bucket(F.col("__hi") - 1, F.col("__l"))))
     held = held.withColumn("__b", F.explode(touched))
     levels = held.groupBy(*keys).agg(F.collect_set("__l").alias("__ls"))  # 65 at most
-    asked = points.filter(F.col(at).isNotNull()).join(levels, keys).withColumn("__l", F.explode("__ls")).drop("__ls").withColumn("__v", whole(at))
+    asked = asked.join(levels, keys).withColumn("__l", F.explode("__ls")).drop("__ls")
     asked = asked.withColumn("__b", F.when(F.col("__l") < 0, F.lit(0).cast("long")).otherwise(bucket(F.col("__v"), F.col("__l"))))
     met = asked.join(held, [*keys, "__l", "__b"]).filter((F.col("__lo").isNull() | (F.col("__v") >= F.col("__lo"))) & (F.col("__hi").isNull() | (F.col("__v") < F.col("__hi"))))
-    return met.select(*points.columns, *[F.col(f"__i.{c}").alias(c) for c in others])
+    return met.select(*columns, *[F.col(f"__i.{c}").alias(c) for c in others])

@@ -11,6 +11,7 @@ from tessera.operators import rankings as rk
 from tessera.operators import records as rc
 from tessera.operators import temporal as tp
 from tessera.operators.temporal import top_per_key
+from tessera.sources.shared import dealt
 from tessera.sources.tables import load
 
 from .catalog import named
@@ -80,8 +81,10 @@ def periods_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     periods = o.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("low"), F.to_date(F.lead("o_orderdate").over(w)).alias("high"))
-    p = load(spark, sf_dir, "lineitem").join(o.select("o_custkey", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("o_custkey", "l_orderkey", F.to_date("l_shipdate").alias("d"))
-    met = tp.within_intervals(p, periods, ["o_custkey"], "d", "low", "high")
+    l = load(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("d"))
+    n = l.count()
+    p = dealt(l, "l_orderkey", rows=n).join(o.select("o_custkey", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("o_custkey", "l_orderkey", "d")
+    met = tp.within_intervals(p, periods, ["o_custkey"], "d", "low", "high", rows=n + o.count())
     return met.groupBy("o_custkey", "o_orderkey").agg(F.count("*").alias("lines"), F.count_if(F.col("l_orderkey") != F.col("o_orderkey")).alias("of_others"))
 
 

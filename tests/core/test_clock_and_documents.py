@@ -135,3 +135,18 @@ def test_chains_are_pairs_of_lists(spark):
     assert got == sorted(want, key=str) and len(got) > 30
     step = rk.chain_changes(lists.filter("y > 4"), ["b"], "y", last=lists.filter("y = 4"))
     assert sorted(map(tuple, step.select("b", "y", "type", "key", "rank", "previous_rank").collect()), key=str) == [r for r in got if r[1] > 4]
+
+
+def test_intervals_that_do_not_overlap_are_met_in_order(spark):
+    rnd = random.Random(7)
+    cuts = {k: sorted(rnd.sample(range(-500, 500), 30)) for k in "ab"}
+    intervals = [(k, i, None if i == 0 else lo, None if i == 29 else lo + rnd.choice([0, 1, hi - lo])) for k in "ab" for i, (lo, hi) in enumerate(zip(cuts[k], [*cuts[k][1:], 600]))]
+    points = [(rnd.choice("abc"), n, rnd.choice([None, *[rnd.randrange(-600, 700)] * 20])) for n in range(300)]
+    intervals, more = [x for x in intervals if x[1] != 0], [x for x in intervals if x[1] == 0]
+    overlapping = [("d", 0, 0, 50), ("d", 1, 40, 60), ("d", 2, None, None)]
+    points += [("d", 300 + v, v) for v in range(-5, 70, 5)] + [(None, 400, 3)]
+    for rows, mixed in ((intervals, False), (intervals + more + overlapping + [(None, 9, 0, 9)], True)):
+        want = sorted((k, n, v, i) for k, n, v in points for q, i, lo, hi in rows if k is not None and k == q and v is not None and (lo is None or lo <= v) and (hi is None or v < hi))
+        got = tp.within_intervals(spark.createDataFrame(points, "k string, n int, v int"), spark.createDataFrame(rows, "k string, i int, lo int, hi int"), ["k"], "v", "lo", "hi")
+        assert sorted((r.k, r.n, r.v, r.i) for r in got.collect()) == want and len(want) > 40
+        assert ("Generate" in got._jdf.queryExecution().optimizedPlan().toString()) == mixed  # no point is made several rows
