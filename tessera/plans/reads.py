@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import content_hash, place_in
 from tessera.operators import reads as rd
 from tessera.operators.temporal import top_per_key
+from tessera.sources.shared import PAIRS_A_LINE, dealt
 from tessera.sources.tables import load, merged, new_rows
 
 from .catalog import named
@@ -111,9 +112,11 @@ SELECT a.l_suppkey AS a_supp, b.l_suppkey AS b_supp, count(*) AS orders FROM d a
 """)
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of suppliers that often share an order. An order has a few lines, so pairs are made inside its array."""
-    d = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
-    pairs = d.select(F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a_supp"), y.alias("b_supp")))))).alias("p"))
-    return pairs.groupBy("p.a_supp", "p.b_supp").agg(F.count("*").alias("orders")).filter("orders >= 12")
+    l = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    n = PAIRS_A_LINE * l.count()
+    d = dealt(l, "l_orderkey", rows=n).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    pairs = d.select(F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a_supp"), y.alias("b_supp")))))).alias("p")).select("p.*")
+    return dealt(pairs, "a_supp", "b_supp", rows=n).groupBy("a_supp", "b_supp").agg(F.count("*").alias("orders")).filter("orders >= 12")
 
 
 @named("""
