@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import rounded, slug
 from tessera.operators import records as rc
+from tessera.sources.shared import PAIRS_A_LINE, dealt
 from tessera.sources.tables import load
 
 from .catalog import named
@@ -197,10 +198,13 @@ SELECT a, b, o_orderkey, row_number() OVER (PARTITION BY a, b ORDER BY o_orderda
 """)
 def previous_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered meetings of every two suppliers in one order; an order has a few lines, so its pairs are few."""
-    sides = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s"))
+    l = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    n = PAIRS_A_LINE * l.count()
+    sides = dealt(l, "l_orderkey", rows=n).groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s"))
     one = sides.select("l_orderkey", "s", F.posexplode("s").alias("i", "a"))
     pairs = one.select("l_orderkey", "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
     met = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(pairs, F.col("o_orderkey") == F.col("l_orderkey"))
+    met = dealt(met.select("a", "b", "o_orderkey", "o_orderdate"), "a", "b", rows=n)
     return met.select("a", "b", "o_orderkey", F.row_number().over(Window.partitionBy("a", "b").orderBy("o_orderdate", "o_orderkey")).alias("meeting"))
 
 
