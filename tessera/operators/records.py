@@ -95,16 +95,25 @@ def longest_label(text: Column, labels: dict[str, str]) -> Column:
     return F.array_max(F.array_compact(held)).key
 
 
-def phrases_found(texts: DataFrame, vocabulary: DataFrame, id_: str, text: str, phrase: str) -> DataFrame:
+#: Phrases whose list is sent to every task at once.
+PHRASES = 1_000_000
+
+
+def phrases_found(texts: DataFrame, vocabulary: DataFrame, id_: str, text: str, phrase: str, block: int = PHRASES) -> DataFrame:
     """(id, *vocabulary's columns, n): which phrases of a vocabulary table stand in each text at word edges, and how often.
 
-    Both sides are cut to words of letters and digits in lower case, and every run of as many words as some phrase has meets the phrases in an equi-join; runs are counted within their text first, so that a
-    frequent phrase is one row a text. A vocabulary of any size does; phrases without a word find nothing.
+    Both sides are cut to words of letters and digits in lower case, and every run of as many words as some phrase has meets the phrases where it stands: their list is sent to the tasks, in blocks of `block` different
+    ones, so that only runs that are phrases are shuffled and counted. A vocabulary of any size does; phrases without a word find nothing.
     """
     words = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     wanted = vocabulary.withColumn("__w", words(phrase)).filter(F.size("__w") > 0).withColumns({"__n": F.size("__w"), "__phrase": F.array_join("__w", " ")}).drop("__w")
-    sizes = sorted(r[0] for r in wanted.select("__n").distinct().collect())  # the different lengths of phrases
+    sizes = wanted.groupBy("__n").agg(F.count_distinct("__phrase").alias("n")).orderBy("__n").collect()  # the different lengths of phrases
     held = texts.select(F.col(id_), words(text).alias("__w"))
-    runs = F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    each = held.select(id_, F.explode(runs).alias("__phrase")).groupBy(id_, "__phrase").agg(F.count("*").alias("n"))
-    return each.join(wanted.drop("__n"), "__phrase").select(id_, *vocabulary.columns, "n")
+    lengths = F.array(*[F.lit(r[0]) for r in sizes]).cast("array<int>")
+    runs = F.flatten(F.transform(lengths, lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    each = held.select(id_, F.explode(runs).alias("__phrase"))
+    blocks = max(1, -(-sum(r.n for r in sizes) // block))
+    listed = wanted.select("__phrase").distinct()
+    of = lambda b: listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("__phrase"), F.lit(blocks)) == b)
+    met = reduce(DataFrame.unionAll, [each.join(F.broadcast(of(b)), "__phrase", "left_semi") for b in range(blocks)])
+    return met.groupBy(id_, "__phrase").agg(F.count("*").alias("n")).join(wanted.drop("__n"), "__phrase").select(id_, *vocabulary.columns, "n")

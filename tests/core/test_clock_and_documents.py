@@ -150,3 +150,15 @@ def test_intervals_that_do_not_overlap_are_met_in_order(spark):
         got = tp.within_intervals(spark.createDataFrame(points, "k string, n int, v int"), spark.createDataFrame(rows, "k string, i int, lo int, hi int"), ["k"], "v", "lo", "hi")
         assert sorted((r.k, r.n, r.v, r.i) for r in got.collect()) == want and len(want) > 40
         assert ("Generate" in got._jdf.queryExecution().optimizedPlan().toString()) == mixed  # no point is made several rows
+
+
+def test_only_runs_that_are_phrases_are_counted(spark):
+    rnd = random.Random(8)
+    texts = spark.createDataFrame([(i, " ".join(rnd.choice("abcdef") for _ in range(30))) for i in range(40)], "id int, t string")
+    words = spark.createDataFrame([("a", 1), ("a b", 2), ("c d", 3), ("e f a", 4), ("b c", 5), ("x y", 6)], "phrase string, tag int")
+    found = [rc.phrases_found(texts, words, "id", "t", "phrase", block) for block in (100, 2)]
+    one, several = (sorted(tuple(r) for r in f.collect()) for f in found)
+    held = {(i, p): len([k for k in range(len(t.split()) - len(p.split()) + 1) if t.split()[k : k + len(p.split())] == p.split()]) for i, t in texts.collect() for p, _ in words.collect()}
+    assert one == several == sorted((i, p, tag, held[i, p]) for i in range(40) for p, tag in words.collect() if held[i, p])
+    plan = found[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [id") < plan.index("LeftSemi")  # below the count
