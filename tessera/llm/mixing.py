@@ -139,7 +139,7 @@ def mixed(
     tokens are `budget` of all, never over 1. `targets` has for each of source, lang, topic a small table
     (value, target); values without a target get weight 0, targets of values that do not occur are left out
     and the rest scaled to 1. Null categories count as `unknown`. Documents without a token have weight null and
-    probability 1. `model` tells the topics; by default it is fitted on a sample of docs. Keeping depends on doc_id, text and seed alone, so repeated rows share their fate. The columns added replace columns of
+    probability 1. `model` tells the topics; by default it is fitted on docs. Keeping depends on doc_id, text and seed alone, so repeated rows share their fate. The columns added replace columns of
     the same names; an empty table gives an empty one.
     """
     model = topics.fit(docs, text) if model is None else model

@@ -1,15 +1,19 @@
-"""Topics: spherical k-means over hashed TF-IDF vectors of words, fitted on a bounded sample of texts."""
+"""Topics: spherical k-means over hashed TF-IDF vectors of words, fitted on all texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most texts and characters of each that the centroids are fitted on; topics, bins of the hashed vocabulary, rounds of k-means.
-SAMPLE, SAMPLE_CHARS, TOPICS, BINS, ROUNDS = 2_000, 2_000, 12, 1024, 25
+from .common import discard, written
+
+#: Most texts that the centroids start from; topics, bins of the hashed vocabulary, rounds of k-means, parts of a unit that vectors are summed in, so that sums don't hang on their order.
+SAMPLE, TOPICS, BINS, ROUNDS, UNIT = 2_000, 12, 1024, 25, 1 << 30
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -70,18 +74,57 @@ class Model:
         return np.where(counts.any(1) & bool(len(self.centroids)), best, -1)
 
 
+def _held(texts: DataFrame) -> DataFrame:
+    """(h, bins, n): the bins that each text (h, text) has words in, and how many; texts without a word are left out."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [features(t)[0] for t in part["text"]]
+            bins = [np.flatnonzero(c).astype(np.int16) for c in found]
+            yield pd.DataFrame({"h": part["h"], "bins": bins, "n": [c[b].astype(np.int32) for c, b in zip(found, bins)]})
+
+    return texts.mapInPandas(run, "h long, bins array<smallint>, n array<int>").filter(F.size("bins") > 0)
+
+
+def _counts(part: pd.DataFrame) -> np.ndarray:
+    x = np.zeros((len(part), BINS), np.float32)
+    if len(part):
+        x[np.repeat(np.arange(len(part)), part["bins"].map(len)), np.concatenate(part["bins"].to_list())] = np.concatenate(part["n"].to_list())
+    return x
+
+
+def _means(rows: DataFrame, model: Model) -> np.ndarray:
+    """The mean of the texts of each centroid, of unit length; the centroid itself where it has none. A task sends one row a centroid and bin."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(model.centroids), BINS), np.int64)
+        for part in parts:
+            x = _unit(np.log1p(_counts(part)) * model.idf)
+            own = (x @ model.centroids.T).argmax(1)
+            for k in np.unique(own):
+                sums[k] += np.rint(x[own == k].astype(np.float64) * UNIT).astype(np.int64).sum(0)
+        k, b = np.nonzero(sums)
+        yield pd.DataFrame({"k": k, "b": b, "s": sums[k, b]})
+
+    new = np.zeros(model.centroids.shape, np.float64)
+    for r in rows.select("bins", "n").mapInPandas(run, "k int, b int, s long").groupBy("k", "b").agg(F.sum("s").alias("s")).collect():
+        new[r.k, r.b] = r.s
+    return np.where(new.any(1)[:, None], _unit(new), model.centroids).astype(np.float32)
+
+
 def fit(docs: DataFrame, text: str = "text", topics: int = TOPICS) -> Model:
-    """Centroids of a sample of at most SAMPLE different texts, told by their hashes, so that neither the order of rows nor their number of copies matters.
+    """Weights and centroids of all different texts, told by their hashes, so that neither the order of rows nor their number of copies matters.
 
-    Null texts and texts without a word are left out; fewer texts than topics give fewer topics, no text none.
+    Each text's words are counted once; a round of k-means is one pass over the counts, of which only sums by centroid and bin come to the driver. The centroids start from texts far from each other among the SAMPLE texts
+    of least hashes. Null texts and texts without a word are left out; fewer texts than topics give fewer topics, no text none.
     """
     texts = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")).filter("text IS NOT NULL")
-    share = F.pmod(F.shiftrightunsigned("h", 20), F.lit(max(1, texts.count() // SAMPLE))) == 0
-    rows = texts.filter(share).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(SAMPLE).collect()
-    counts = np.array([features(r.text)[0] for r in rows], np.float32).reshape(-1, BINS)
-    counts = counts[counts.any(1)]
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(0.1)
-    x = _unit(np.log1p(counts) * idf)
+    rows = written(_held(texts).dropDuplicates(["h"]), "topic-words")
+    n, held = rows.count(), np.zeros(BINS, np.int64)
+    for r in rows.select(F.explode("bins").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect():
+        held[r.b] = r.n
+    idf = np.log((1 + n) / (1 + held)).astype(np.float32) + np.float32(0.1)
+    x = _unit(np.log1p(_counts(pd.DataFrame(rows.orderBy("h").limit(SAMPLE).collect(), columns=rows.columns))) * idf)
     chosen = [0] if len(x) else []
     near = np.full(len(x), -np.inf, np.float32)
     while 0 < len(chosen) < min(topics, len(x)):  # the text farthest from all chosen ones
@@ -91,10 +134,9 @@ def fit(docs: DataFrame, text: str = "text", topics: int = TOPICS) -> Model:
         chosen.append(int(near.argmin()))
     centroids = x[chosen]
     for _ in range(ROUNDS if len(chosen) else 0):
-        own = (x @ centroids.T).argmax(1)
-        new = np.array([x[own == k].mean(0) if (own == k).any() else centroids[k] for k in range(len(centroids))])
-        new = _unit(new)
+        new = _means(rows, Model(idf, centroids))
         if np.allclose(new, centroids, atol=1e-6):
             break
         centroids = new
+    discard(rows)
     return Model(idf, centroids)

@@ -56,6 +56,19 @@ def test_topics_part_texts_of_different_words(spark):
     assert len(topics.fit(docs.limit(0)).centroids) == 0
 
 
+def test_all_texts_make_the_model(spark, monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(["abc", "abd", "abe"] if i % 2 else ["xyc", "xyd", "xye"]) for _ in range(40)) + f" end {i}" + " rare" * (i == 77) for i in range(200)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(texts[0],)] * 50, "text string")
+    monkeypatch.setattr(topics, "SAMPLE", 8)
+    model = topics.fit(docs, topics=2)
+    counts = np.array([topics.features(t)[0] for t in texts])
+    assert np.allclose(model.idf, np.log(201 / (1 + (counts > 0).sum(0))) + 0.1)
+    own, x = model(counts), topics._unit(np.log1p(counts) * model.idf)
+    assert len(set(own[::2])) == len(set(own[1::2])) == 1
+    assert np.allclose(model.centroids, topics._unit(np.array([x[own == k].mean(0) for k in (0, 1)])), atol=1e-5)
+
+
 def rows(n=3000):
     rnd = random.Random(1)
     for i in range(n):
