@@ -24,28 +24,31 @@ def pair(a: Column, b: Column) -> Column:
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
 
 
-def _ranked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-
-
 def matched(docs: DataFrame, bouts: DataFrame) -> DataFrame:
     """(event_id, n, bout_id, matched_by): which bout on record each bout of a document is.
 
     Stages, each of which takes away what it matched on both sides: the source's own id; then the unordered pair, for a document bout with an id only among bouts that have none from this source, for one
     without an id among all that are left. Bouts of one pair on one card are taken in their order. What is left is new.
     """
-    key = ["event_id", "__pair"]
-    d = docs.select("event_id", "n", "external_id", pair(F.col("a"), F.col("b")).alias("__pair"))
-    s = bouts.select("event_id", "bout_id", "external_id", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), pair(F.col("a"), F.col("b"))).alias("__pair"))
-    own = _ranked(d.filter("external_id IS NOT NULL"), ["event_id", "external_id"], "n").join(s.filter("external_id IS NOT NULL").groupBy("event_id", "external_id").agg(F.min("bout_id").alias("bout_id")), ["event_id", "external_id"])
-    found = own.select("event_id", "n", "bout_id", F.lit("external_id").alias("matched_by"))
+    doc, bout, known = F.col("__doc"), ~F.col("__doc"), F.col("external_id").isNotNull() & F.col("event_id").isNotNull()
+    d = docs.select("event_id", "n", "external_id", pair(F.col("a"), F.col("b")).alias("__pair"), F.lit(True).alias("__doc"))
+    s = bouts.select("event_id", "bout_id", "external_id", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), pair(F.col("a"), F.col("b"))).alias("__pair"), F.lit(False).alias("__doc"))
+    # both sides lie together by card, once for all stages, which only sort them
+    rows = d.unionByName(s, allowMissingColumns=True).repartition("event_id")
+    same = Window.partitionBy("event_id", "external_id")
+    first, asked = F.min(F.when(bout & known, F.col("bout_id"))).over(same), F.max(doc & known).over(same)
+    rows = rows.withColumns({"__first": first, "__asked": asked})
+    rows = rows.withColumns({"__m": F.when(doc & known, F.col("__first")), "__gone": bout & known & F.col("__asked") & (F.col("bout_id") == F.col("__first"))})
+    rows = rows.withColumns({"__gone": F.coalesce("__gone", F.lit(False)), "matched_by": F.when(F.col("__m").isNotNull(), "external_id")})
     for with_id in (True, False):
-        left = d.filter(F.col("external_id").isNotNull() == with_id).join(found, ["event_id", "n"], "left_anti")
-        free = s.join(found.select("event_id", "bout_id").distinct(), ["event_id", "bout_id"], "left_anti").filter("__pair IS NOT NULL")
-        free = free.filter("external_id IS NULL") if with_id else free
-        met = _ranked(left, key, "n").select(*key, "__k", "n").join(_ranked(free, key, "bout_id").select(*key, "__k", "bout_id"), [*key, "__k"])
-        found = found.unionByName(met.select("event_id", "n", "bout_id", F.lit("pair").alias("matched_by")))
-    return found
+        open_ = F.when(doc, F.col("external_id").isNotNull() == with_id).otherwise(~F.col("__gone") & (F.col("external_id").isNull() if with_id else F.lit(True)))
+        rows = rows.withColumn("__in", open_ & F.col("__m").isNull() & F.col("__pair").isNotNull() & F.col("event_id").isNotNull())
+        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("event_id", "__pair", "__in", "__doc").orderBy("n", "bout_id")))
+        met = Window.partitionBy("event_id", "__pair", "__in", "__k")
+        rows = rows.withColumns({"__b": F.max("bout_id").over(met), "__l": F.max("__doc").over(met)})
+        found = F.col("__in") & doc & F.col("__b").isNotNull()
+        rows = rows.withColumns({"__m": F.when(found, F.col("__b")).otherwise(F.col("__m")), "matched_by": F.when(found, "pair").otherwise(F.col("matched_by")), "__gone": F.col("__gone") | (F.col("__in") & bout & F.col("__l"))})
+    return rows.filter(doc & F.col("__m").isNotNull()).select("event_id", "n", F.col("__m").alias("bout_id"), "matched_by")
 
 
 def _change(kind: Column | str, holds: Column, before: Column, after: Column) -> Column:

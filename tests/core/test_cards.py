@@ -124,3 +124,12 @@ def test_empty(spark):
     assert all(x.count() == 0 for x in cd.bout_changes(docs, state))
     with pytest.raises(Exception):
         cd.bout_changes(docs.drop("a"), state)
+
+
+def test_cards_are_shuffled_once_for_all_stages(spark):
+    docs = spark.createDataFrame([(1, 1, "x1", "a", "b"), (1, 2, "x9", "c", "d"), (1, 3, None, "d", "c"), (1, 4, None, "d", "c"), (1, 5, "x1", "q", "r"), (2, 1, None, "a", "b"), (None, 1, "x1", "a", "b"), (None, 2, None, "c", "d")], "event_id long, n int, external_id string, a string, b string")
+    bouts = spark.createDataFrame([(1, "1-1", "x1", "b", "a"), (1, "1-2", None, "c", "d"), (1, "1-3", "x3", "c", "d"), (1, "1-4", "x1", "z", "y"), (2, "2-1", None, "a", None), (None, "n-1", "x1", "a", "b"), (None, "n-2", None, "c", "d")], "event_id long, bout_id string, external_id string, a string, b string")
+    found = cd.matched(docs, bouts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "1-1", "external_id"), (1, 2, "1-2", "pair"), (1, 3, "1-3", "pair"), (1, 5, "1-1", "external_id")]
