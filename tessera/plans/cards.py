@@ -94,7 +94,7 @@ UNION ALL SELECT o, ref_, 'card_segment_changed', ssegment, 'undercard' FROM j W
 """)
 def card_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change that a document of each card makes to the card on record."""
-    return cd.card_changes(*cards(spark, sf_dir))[0]
+    return cd.card_changes(*cards(spark, sf_dir), size=2 * load(spark, sf_dir, "lineitem").count())[0]
 
 
 @named(LINES + """
@@ -103,7 +103,7 @@ UNION ALL SELECT o, 'possible_replacement_without_external_id', ref_ || ' for '
 """)
 def card_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person must look at in those documents."""
-    return cd.card_changes(*cards(spark, sf_dir))[1]
+    return cd.card_changes(*cards(spark, sf_dir), size=2 * load(spark, sf_dir, "lineitem").count())[1]
 
 
 @named("""
