@@ -27,10 +27,10 @@ def described(text: Column, model: topics.Model) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             names, tokens = [], []
-            for at in range(0, len(part), 1000):
-                found = [topics.features(t) for t in part.iloc[at : at + 1000]]
-                tokens += [n for _, n in found]
-                names += ["none" if k < 0 else f"t{k:02d}" for k in model(np.array([c for c, _ in found])).tolist()]
+            for at in range(0, len(part), topics.CHUNK):
+                counts, n = topics.features_of(part.iloc[at : at + topics.CHUNK].to_list())
+                tokens += n.tolist()
+                names += ["none" if k < 0 else f"t{k:02d}" for k in model(counts).tolist()]
             yield pd.DataFrame({"topic": names, "n_tokens": tokens})
 
     return F.pandas_udf(run, "topic string, n_tokens long")(text)

@@ -42,6 +42,15 @@ def test_features_against_plain_words():
     assert topics.features("a" * 3_000_000)[1] == 1
 
 
+def test_features_of_many_texts_are_those_of_each():
+    rnd = random.Random(8)
+    texts = [None, "", " ", "a", "\u00e9\ud800", "12 !"] + ["".join(rnd.choice("ab\u00c9X1- \n\t") for _ in range(rnd.choice([3, 50, 3000, 40_000]))) for _ in range(60)] + ["", None]
+    counts, tokens = topics.features_of(texts)
+    for t, c, n in zip(texts, counts, tokens):
+        assert (topics.features(t)[0] == c).all() and topics.features(t)[1] == n
+    assert len(topics.features_of([])[0]) == 0
+
+
 def test_topics_part_texts_of_different_words(spark):
     rnd = random.Random(5)
     kinds = [[f"{k}{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)] for k in ("ab", "xy", "mn")]
@@ -69,6 +78,26 @@ def test_all_texts_make_the_model(spark, monkeypatch):
     assert np.allclose(model.centroids, topics._unit(np.array([x[own == k].mean(0) for k in (0, 1)])), atol=1e-5)
 
 
+def test_rounds_hold_few_texts_at_once_and_sum_exactly(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["abc", "abd", "xyc", "xyd", f"q{chr(97 + i % 26)}"]) for _ in range(1 + i % 30)) for i in range(2500)]
+    counts = np.array([topics.features(t)[0] for t in texts])
+    rows = topics._held(spark.createDataFrame(list(enumerate(texts)), "h long, text string")).repartition(1)
+    assert (topics._texts_of_bins(rows) == (counts > 0).sum(0)).all()
+    idf = np.linspace(0.5, 2, topics.BINS, dtype=np.float32)
+    vectors = topics._vectors(rows, idf)
+    part = vectors.toPandas().sort_values("h")
+    found = [x for x, *_ in topics._matrices(part, "x", np.float32)]
+    assert [len(x) for x in found] == [1000, 1000, 500]
+    x = topics._unit(np.log1p(counts) * idf)
+    assert (np.concatenate(found) == x).all()
+    centroids = x[[3, 4, 29]]
+    own = (x @ centroids.T).argmax(1)
+    sums = np.array([np.rint(x[own == k].astype(np.float64) * topics.UNIT).sum(0) for k in range(3)])
+    assert np.allclose(topics._means(vectors, centroids), topics._unit(sums), atol=1e-6)
+    assert len(topics._starts(vectors)) == topics.SAMPLE and (topics._starts(vectors) == x[: topics.SAMPLE]).all()
+
+
 def rows(n=3000):
     rnd = random.Random(1)
     for i in range(n):
