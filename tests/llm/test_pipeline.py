@@ -87,3 +87,17 @@ def test_rows_decide_and_not_their_ids(spark, tmp_path):
     docs = spark.createDataFrame([(1, d), (1, item + " " + d), (None, item), (None, c)], "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.benchmark_free(spark, docs, f"file://{tmp_path}").collect()]
     assert sorted(got, key=str) == sorted([(1, d), (None, c)], key=str)
+
+
+def test_written_tables_send_python_small_batches(spark):
+    from tessera.llm.common import written
+
+    def sizes(parts):
+        for part in parts:
+            yield part.assign(n=len(part), bytes=part["text"].str.len().sum())[["n", "bytes"]]
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(2000).coalesce(1).selectExpr("repeat('long text ', 2000) AS text")
+    got = written(texts.mapInPandas(sizes, "n long, bytes long"), "batches").distinct().collect()
+    assert max(r.bytes for r in got) < 6 << 20 and spark.conf.get(key) == before
