@@ -115,18 +115,19 @@ def scoped_page(df: DataFrame, scope: str | None, at: str, status: str, name: st
     return ranked.filter(F.col("place") > skip)
 
 
-def year_coverage(events: DataFrame, bouts: DataFrame, members: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def year_coverage(events: DataFrame, bouts: DataFrame, members: DataFrame | None, decisions: DataFrame, appearance: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(source, year, events, live, replaced, total, linked, held, events_with_held) of each source and year with events or held bouts, and (source, year, event_date, held).
 
-    events: event, source, event_date; bouts: bout, event, status, external_id; members: bout, member; decisions: source, appearance, external_id (that begins with its event's date), seq, decision. A bout is held if the last decision of an
-    appearance in it is review and no bout of its source carries its id.
+    events: event, source, event_date; bouts: bout, event, status, external_id; members: bout, member, or none if bouts have theirs in an array `members`; decisions: source, appearance (or the columns named so), external_id (that begins
+    with its event's date), seq, decision. A bout is held if the last decision of an appearance in it is review and no bout of its source carries its id. Where the appearance's columns hold what decisions are dealt by already, they aren't shuffled.
     """
     e = events.select("event", "source", F.year("event_date").alias("year"))
     b = bouts.join(e, "event").withColumn("live", ~F.col("status").eqNullSafe("replaced"))
     counted = e.groupBy("source", "year").agg(F.count("*").alias("events"))
     by_bout = b.groupBy("source", "year").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("replaced"), F.count("*").alias("total"))
-    linked = b.filter("live").join(members, "bout").groupBy("source", "year").agg(F.count_distinct("member").alias("linked"))
-    last = decisions.groupBy("source", "appearance").agg(F.max_by(F.struct("external_id", "decision"), "seq").alias("x")).select("source", "x.*")
+    each = b.filter("live").select("source", "year", F.explode("members").alias("member")) if members is None else b.filter("live").join(members, "bout")
+    linked = each.groupBy("source", "year").agg(F.count_distinct("member").alias("linked"))
+    last = decisions.groupBy("source", *(appearance or ["appearance"])).agg(F.max_by(F.struct("external_id", "decision"), "seq").alias("x")).select("source", "x.*")
     open_ = last.filter("decision = 'review'").select("source", "external_id").distinct()
     held = open_.join(b.select("source", "external_id").filter("external_id IS NOT NULL").distinct(), ["source", "external_id"], "left_anti")
     held = held.withColumn("year", F.substring("external_id", 1, 4).cast("int")).withColumn("event_date", F.substring("external_id", 1, 10))

@@ -51,3 +51,13 @@ def test_year_coverage_counts_what_is_held(spark):
     told, by_event = reads.year_coverage(events, bouts, members, spark.createDataFrame(decided, "source string, appearance string, external_id string, seq int, decision string"))
     assert sorted(tuple(r) for r in told.select("source", "year", "events", "live", "replaced", "total", "linked", "held", "events_with_held").collect()) == [("s", 2001, 2, 2, 1, 3, 2, 1, 1), ("s", 2002, 0, 0, 0, 0, 0, 1, 1), ("t", 2001, 1, 0, 0, 0, 0, 0, 0)]
     assert sorted(tuple(r) for r in by_event.collect()) == [("s", 2001, "2001-05-01", 1), ("s", 2002, "2002-01-01", 1)]
+
+
+def test_year_coverage_of_members_in_arrays_and_appearances_by_columns(spark):
+    events = spark.createDataFrame([(1, "s", date(2001, 5, 1))], "event int, source string, event_date date")
+    bouts = spark.createDataFrame([(11, 1, "scheduled", "2001-05-01-a", ["x", "y"]), (12, 1, "replaced", None, ["z"]), (13, 1, None, None, ["x"]), (14, 1, None, None, None)], "bout int, event int, status string, external_id string, members array<string>")
+    decided = [("s", 1, 1, "2001-05-01-b", 1, "matched"), ("s", 1, 1, "2001-05-01-b", 2, "review"), ("s", 1, 2, "2001-05-01-c", 1, "review"), ("s", 1, 2, "2001-05-01-c", 2, "matched")]
+    decisions = spark.createDataFrame(decided, "source string, event int, corner int, external_id string, seq int, decision string").repartition(3, "event")
+    told, by_event = reads.year_coverage(events, bouts, None, decisions, ["event", "corner"])
+    assert [tuple(r) for r in told.select("events", "live", "replaced", "total", "linked", "held", "events_with_held").collect()] == [(1, 3, 1, 4, 2, 1, 1)]
+    assert [tuple(r) for r in by_event.collect()] == [("s", 2001, "2001-05-01", 1)]
