@@ -26,3 +26,12 @@ def test_partitions_follow_the_rows(spark, monkeypatch, name, shuffles):
     df = catalog.QUERIES[name](spark, FOLDER)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") >= shuffles
     assert sorted(map(str, df.collect())) == plain
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_panels_are_dealt_by_the_rows(spark, monkeypatch):
+    plain = sorted(map(str, catalog.QUERIES["official_metrics"](spark, FOLDER).collect()))
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 500)
+    df = catalog.QUERIES["official_metrics"](spark, FOLDER)
+    assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, df.collect())) == plain
