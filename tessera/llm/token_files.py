@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,6 +39,22 @@ PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^
 # Byte-level vocabularies spell a byte by its Latin-1 character where that is visible, else by the next one from U+0100 on.
 VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
+SPELLED = "".join(chr(BYTE_LETTERS.get(b, b)) for b in range(256))
+
+
+class Known(dict):
+    """Ids of pieces as bytes; a piece asked for the first time comes back from the older generation or is encoded by the model."""
+
+    def __init__(self, model, older: dict[str, bytes]):
+        super().__init__()
+        self.tokens, self.older = model.tokenize, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokens(charmap_decode(piece.encode(), "strict", SPELLED)[0])]).tobytes()
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -54,25 +71,19 @@ class Encoder:
         self.cuts = told.get("normalizer") is None and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
         self.cuts &= {**(told.get("pre_tokenizer") or {}), "trim_offsets": 0} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": 0, "use_regex": True}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known(self.model, {})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        pieces = [PIECE.findall(t) if self.cuts and PLAIN.match(t) and not any(s in t for s in self.special) else None for t in texts]
         if len(self.known) > KNOWN_PIECES:  # what is still in use comes back from the older generation
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        if new := set().union(*filter(None, pieces)).difference(known):
-            back = new & older.keys()
-            known.update((p, older[p]) for p in back)
-            tokens = self.model.tokenize
-            for p in new - back:
-                known[p] = array("I", [t.id for t in tokens(p.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
-        of = known.__getitem__
+            self.known.older = {}
+            self.known = Known(self.model, self.known)
+        of = self.known.__getitem__  # one look for each place of a piece
         return [
-            array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if p is None else b"".join(map(of, p))
-            for t, p in zip(texts, pieces)
+            b"".join(map(of, PIECE.findall(t)))
+            if self.cuts and PLAIN.match(t) and not any(s in t for s in self.special)
+            else array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+            for t in texts
         ]
 
 

@@ -34,6 +34,26 @@ def test_generations_of_known_pieces(monkeypatch):
         assert np.frombuffer(encode([text, "a b c"])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_a_piece_is_looked_up_once_and_encoded_once(monkeypatch):
+    monkeypatch.setattr(tf, "KNOWN_PIECES", 2)
+    tok = Tokenizer.from_file(tf.byte_bpe_path())
+    asked = []
+
+    class Model:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return tok.model.tokenize(piece)
+
+    encode = tf.Encoder(tf.byte_bpe_path())
+    encode.known = tf.Known(Model(), {})
+    want = np.array(tok.encode("un éa un éa", add_special_tokens=False).ids, "<u4").tobytes()
+    assert encode(["un éa un éa"] * 2) == [want] * 2 and len(asked) == len(encode.known) == 3
+    assert encode(["un éa un éa"]) == [want] and len(asked) == 3  # from the older generation
+    assert encode.known.older and not encode.known.older.older  # two generations are held, not more
+    letters = tok.pre_tokenizer.pre_tokenize_str("".join(map(chr, range(161, 256))))
+    assert "".join(x for x, _ in letters) == tf.charmap_decode("".join(map(chr, range(161, 256))).encode(), "strict", tf.SPELLED)[0]
+
+
 def test_files_round_trip(spark):
     tok = Tokenizer.from_file(tf.byte_bpe_path())
     rows = [(i * 3, t, "x") for i, t in enumerate(TEXTS)] + [(1000, "word " * 9000, "x"), (1001, None, None), (None, "no id", None), (5, "twice", "y"), (5, "twice", "y")]
