@@ -1,11 +1,11 @@
 """Main text of web pages.
 
-A page's article is found by its markup; what stands outside becomes a token stream. For pages without a
-marked article the streams of a host's pages decide, through a suffix array cut at depth DEPTH: every
-suffix is keyed by its first DEPTH tokens, suffixes of one key stand together with a common prefix of at
-least DEPTH, and a key met on PAGES or more distinct pages and SHARE of the host's marks a long repeated substring. Covered runs are
-boilerplate, unique runs are kept. Repeats inside a marked article stay, as articles may quote each
-other or be copies.
+The pages of a host become token streams whose suffixes are keyed and shuffled by host and key. Outside marked articles this is a
+suffix array cut at depth DEPTH: every suffix is keyed by its first DEPTH tokens, suffixes of one key stand together with a common
+prefix of at least DEPTH, and a key met on PAGES or more distinct pages and SHARE of the host's marks a long repeated substring.
+Covered runs are boilerplate, unique runs are kept. Where an article is marked, the markup says where it stands and the array which of
+its blocks stay: as articles quote each other and are copied, only whole blocks may go, so the array holds the suffixes that begin a block, keyed to
+the block's end, and a block goes that stands in HALF of the host's articles, those that are near copies counted as one.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from html import unescape
 from itertools import groupby
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -27,6 +28,8 @@ from .common import table, written
 DEPTH, PAGES = 6, 3
 #: Pages of a host from which PAGES holds (two are enough below), share of a host's pages, tokens of a run inside a block, tokens of a block that tells a body.
 SMALL_HOST, SHARE, RUN, BODY = 10, 0.05, 12, 20
+#: Share of a host's articles from which a whole block of a marked article is no part of it; on hosts of fewer than SMALL_HOST articles none goes.
+HALF = 0.5
 
 # How HTML elements are treated.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
@@ -44,6 +47,7 @@ WORDS_OUT = set(
 HEADS_OUT = set("header siteheader pageheader".split())
 # Words of layout that may stand beside one of the above in a class name; a name with any other word in it is less sure, and then the block's links decide.
 LAYOUT = set("bar block box container inner left list outer right section slot unit widget wrap wrapper".split())
+MIXED = np.array([-7046029254386353131, -4417276706812531889, 1609587929392839161])  # odd factors of the least hashes
 DENSE = 0.5  # share of a block's characters in links from which a less sure name counts
 # An article that opens inside one of these is no main article.
 FIRM = set("comment comments commentlist reply replies respond discussion disqus related recommended nav aside footer widget sidebar ad ads".split())
@@ -215,7 +219,14 @@ def unique_runs(blocks: list[str], out: list[bool], repeated: set[int], depth: i
     return kept
 
 
-PARSED = "page_id string, url string, host string, content string, text string, outside array<long>, blocks array<string>, outs array<boolean>"
+def sketch(text: str) -> list[int]:
+    """Three least hashes of the text's runs of three words: each is the same for two texts as likely as the share of runs that they have in common."""
+    words = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in text.split()], np.uint64).view(np.int64)
+    runs = words[:-2] * MIXED[0] + words[1:-1] * MIXED[1] + words[2:] * MIXED[2] if len(words) > 2 else words
+    return [int((runs * m).min()) for m in MIXED] if len(runs) else [0] * len(MIXED)
+
+
+PARSED = "page_id string, url string, host string, content string, text string, sketch array<long>, outside array<long>, blocks array<string>, outs array<boolean>"
 
 
 def parsed(pages: DataFrame, html: str = "html", depth: int = DEPTH, markup: bool = True) -> DataFrame:
@@ -238,22 +249,55 @@ def parsed(pages: DataFrame, html: str = "html", depth: int = DEPTH, markup: boo
                 content = blake2b(body.encode("utf-8", "replace"), digest_size=16).hexdigest()
                 others = keys(stream([t for main, _, t in found if not main]), depth)
                 bare = ([t for _, _, t in found], [out for _, out, _ in found]) if text is None else (None, None)
-                rows.append((page_id, url, host_of(url), content, text, list(dict.fromkeys(others)), *bare))
+                rows.append((page_id, url, host_of(url), content, text, sketch(text or ""), list(dict.fromkeys(others)), *bare))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     kept = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html).alias("html"))
     return kept.mapInPandas(run, PARSED)
 
 
+def block_key(host: str, block) -> Column:
+    return F.xxhash64(F.col(host), block, F.lit("\n"))
+
+
+def repeated_blocks(articles: DataFrame) -> DataFrame:
+    """host, key of the blocks of DEPTH or more words that stand in HALF of the host's articles, of host, text and sketch.
+
+    Articles that agree in a least hash count as one by it, and the smallest of the three counts holds, so near copies never make their own blocks
+    repeats. A title, the first block, is not looked at; a host of fewer than SMALL_HOST articles has no row, and neither has an empty table.
+    """
+    told = articles.filter("text <> ''").select("host", "sketch", F.split("text", "\n").alias("blocks"))
+    begun = F.filter(F.slice("blocks", 2, F.greatest(F.size("blocks"), F.lit(1))), lambda b: F.size(F.split(b, " ")) >= DEPTH)
+    placed = told.select("host", "sketch", F.explode(F.array_distinct(F.transform(begun, lambda b: block_key("host", b)))).alias("key"))
+    counts = [F.count_distinct(F.col("sketch")[i]) for i in range(len(MIXED))]
+    # only keys that stand on enough pages of any host are counted by sketches
+    often = placed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= SMALL_HOST * HALF).select("key")
+    found = placed.join(often, "key", "left_semi").groupBy("host", "key").agg(F.least(*counts).alias("n"))
+    sizes = told.groupBy("host").agg(F.least(*counts).alias("least"), F.greatest(*counts).alias("most")).filter(F.col("least") >= SMALL_HOST)
+    return found.join(sizes, "host").filter(F.col("n") >= F.col("most") * HALF).select("host", "key")
+
+
+def without_repeats(articles: DataFrame) -> DataFrame:
+    """page_id, url, text of the articles without the repeated blocks of their hosts, of which a host has at most its articles' mean number of blocks by HALF."""
+    repeated = written(repeated_blocks(articles), "repeated-blocks")
+    if repeated.isEmpty():
+        return articles.select("page_id", "url", "text")
+    gone = repeated.groupBy("host").agg(F.collect_set("key").alias("gone"))
+    blocks = F.split("text", "\n")
+    stays = F.filter(blocks, lambda b, i: (i == 0) | (F.size(F.split(b, " ")) < DEPTH) | ~F.array_contains("gone", block_key("host", b)))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    return articles.join(gone, "host", "left").select("page_id", "url", kept.alias("text"))
+
+
 def main_text(pages: DataFrame, html: str = "html", depth: int = DEPTH, min_pages: int = PAGES, markup: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of each row.
 
     A null html or one without text gives an empty text. A page without an article keeps what is neither boilerplate by its markup nor covered by
     substrings repeated on min_pages pages of its host, on two of a host of fewer than SMALL_HOST pages, and on SHARE of them at least; pages of one
-    body count as one, a null url as a host of its own name. Without `markup` the array alone decides, about every block of every page. Repeated rows stay, page_ids may be null, other columns are ignored.
+    body count as one, a null url as a host of its own name. A marked article loses the blocks that repeated_blocks() tells. Without `markup` the array alone decides, about every block of every page. Repeated rows stay, page_ids may be null, other columns are ignored.
     """
     rows = written(parsed(pages, html, depth, markup), "parsed-pages")
-    marked = rows.filter("text IS NOT NULL").select("page_id", "url", "text")
+    marked = without_repeats(rows.filter("text IS NOT NULL"))
     bare = rows.filter("text IS NULL")
     if bare.isEmpty():  # the array has nothing to decide
         return _told(marked)

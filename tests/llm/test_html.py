@@ -174,3 +174,41 @@ def test_given_and_made_pages_against_a_tree_walk(spark):
         pages += [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     for page in pages:
         assert article(page) == by_tree(page)
+
+
+def test_the_array_decides_about_blocks_of_marked_articles(spark):
+    own = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n))
+    page = lambda *blocks: "<nav>Home</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    notice, quote, lead = "Read our letter for more stories like this one", "A quoted passage that other pages of this host quote too", "The weekly report of the county and its towns"
+    rows, want = [], {}
+
+    def add(host, kept, *blocks):
+        want[len(rows)] = "\n".join(kept)
+        rows.append((len(rows), f"https://{host}/", page(*blocks)))
+
+    for i in range(30):  # a notice that no markup tells, a passage that some quote, short headings and a title that all have
+        kept = [lead, "The introduction", own(i, 20), *([quote] if i < 12 else []), own(i + 100, 20)]
+        add("big.org", kept, *kept[:3], *([notice] if i % 5 else []), *kept[3:])
+    for i in range(30):  # near copies of one article, and of what else the host has
+        kept = [own(500, 30), own(501, 30), own(502, 30), f"edited {i}"] if i < 24 else [own(600 + i, 30), own(700 + i, 30)]
+        add("copies.org", kept, *kept)
+    for i in range(9):  # a host of too few articles
+        add("small.org", [own(900 + i, 20), notice], own(900 + i, 20), notice)
+    for i in range(12):  # on most of one host is on some of another
+        kept = [own(1000 + i, 20), own(1100 + i, 20), *([notice] if i < 5 else [])]
+        add("some.org", kept, *kept)
+    got = ht.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_sketches():
+    text = " ".join(f"word{i}" for i in range(200))
+    assert ht.sketch("") == ht.sketch(" ") == [0, 0, 0] and ht.sketch("one") == ht.sketch(" one ") != ht.sketch("two")
+    assert ht.sketch("one two") != ht.sketch(text) == ht.sketch(text.replace(" ", "\n"))
+    runs = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    agree, likely = 0, 0.0
+    for i in range(100):
+        other = text.replace(f"word{i + 50} ", "").replace(f"word{i + 20} ", f"other{i} ").replace(f"word{i} ", "x y ")
+        agree += sum(a == b for a, b in zip(ht.sketch(text), ht.sketch(other)))
+        likely += 3 * len(runs(text) & runs(other)) / len(runs(text) | runs(other))
+    assert abs(agree - likely) < 40
