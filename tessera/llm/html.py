@@ -263,8 +263,8 @@ def block_key(host: str, block) -> Column:
 def repeated_blocks(articles: DataFrame) -> DataFrame:
     """host, key of the blocks of DEPTH or more words that stand in HALF of the host's articles, of host, text and sketch.
 
-    Articles that agree in a least hash count as one by it, and the smallest of the three counts holds, so near copies never make their own blocks
-    repeats. A title, the first block, is not looked at; a host of fewer than SMALL_HOST articles has no row, and neither has an empty table.
+    Articles that agree in a least hash count as one by it, so near copies are few; the middle one of the three counts holds for a block, as one least hash may lie in the repeat itself.
+    A title, the first block, is not looked at; a host of fewer than SMALL_HOST articles has no row, and neither has an empty table.
     """
     told = articles.filter("text <> ''").select("host", "sketch", F.split("text", "\n").alias("blocks"))
     begun = F.filter(F.slice("blocks", 2, F.greatest(F.size("blocks"), F.lit(1))), lambda b: F.size(F.split(b, " ")) >= DEPTH)
@@ -272,20 +272,24 @@ def repeated_blocks(articles: DataFrame) -> DataFrame:
     counts = [F.count_distinct(F.col("sketch")[i]) for i in range(len(MIXED))]
     # only keys that stand on enough pages of any host are counted by sketches
     often = placed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= SMALL_HOST * HALF).select("key")
-    found = placed.join(often, "key", "left_semi").groupBy("host", "key").agg(F.least(*counts).alias("n"))
-    sizes = told.groupBy("host").agg(F.least(*counts).alias("least"), F.greatest(*counts).alias("most")).filter(F.col("least") >= SMALL_HOST)
+    found = placed.join(often, "key", "left_semi").groupBy("host", "key").agg(F.sort_array(F.array(*counts))[1].alias("n"))
+    sizes = told.groupBy("host").agg(F.greatest(*counts).alias("most")).filter(F.col("most") >= SMALL_HOST)
     return found.join(sizes, "host").filter(F.col("n") >= F.col("most") * HALF).select("host", "key")
 
 
 def without_repeats(articles: DataFrame) -> DataFrame:
-    """page_id, url, text of the articles without the repeated blocks of their hosts, of which a host has at most its articles' mean number of blocks by HALF."""
+    """page_id, url, text of the articles without the repeated blocks of their hosts, of which a host has at most its articles' mean number of blocks by HALF.
+
+    Where less than HALF of an article's words would stay it is itself copied, and all of it stays.
+    """
     repeated = written(repeated_blocks(articles), "repeated-blocks")
     if repeated.isEmpty():
         return articles.select("page_id", "url", "text")
     gone = repeated.groupBy("host").agg(F.collect_set("key").alias("gone"))
-    blocks = F.split("text", "\n")
+    blocks, words = F.split("text", "\n"), lambda text: F.size(F.split(text, "[ \n]"))
     stays = F.filter(blocks, lambda b, i: (i == 0) | (F.size(F.split(b, " ")) < DEPTH) | ~F.array_contains("gone", block_key("host", b)))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    left = F.array_join(stays, "\n")
+    kept = F.when(F.col("gone").isNull() | (words(left) < words(F.col("text")) * HALF), F.col("text")).otherwise(left)
     return articles.join(gone, "host", "left").select("page_id", "url", kept.alias("text"))
 
 

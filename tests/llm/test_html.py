@@ -192,13 +192,23 @@ def test_the_array_decides_about_blocks_of_marked_articles(spark):
     for i in range(30):  # near copies of one article, and of what else the host has
         kept = [own(500, 30), own(501, 30), own(502, 30), f"edited {i}"] if i < 24 else [own(600 + i, 30), own(700 + i, 30)]
         add("copies.org", kept, *kept)
+    for i in range(45):  # looser copies, whose least hashes differ, are more than half of a host
+        kept = [own(2000, 8), *(own(2001 + j, 8) if i % 7 != j else own(3000 + 10 * i + j, 8) for j in range(7))] if i < 30 else [own(4000 + i, 30), own(4100 + i, 30)]
+        add("loose.org", kept, *kept)
     for i in range(9):  # a host of too few articles
         add("small.org", [own(900 + i, 20), notice], own(900 + i, 20), notice)
     for i in range(12):  # on most of one host is on some of another
         kept = [own(1000 + i, 20), own(1100 + i, 20), *([notice] if i < 5 else [])]
         add("some.org", kept, *kept)
+    for h in range(60):  # whatever the least hashes of a notice
+        for i in range(30):
+            kept = [own(5000 + 40 * h + i, 60), own(9000 + 40 * h + i, 60)]
+            add(f"h{h}.org", kept, *kept, f"Read letter number {h} of this host for more stories like it")
     got = ht.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+    lost = sum(r.text != want[r.page_id] and "Read letter number" in r.text for r in got)
+    assert lost <= 60  # of 60 hosts two at most, those of notices with two very small hashes
+    got = [r for r in got if "Read letter number" not in r.text]
+    assert {r.page_id: r.text for r in got} == {r.page_id: want[r.page_id] for r in got} and len(got) == len(rows) - lost and all(r.n_chars == len(r.text) for r in got)
 
 
 def test_sketches():
