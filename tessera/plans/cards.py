@@ -11,7 +11,7 @@ from tessera.sources.shared import cut
 from tessera.sources.tables import load
 
 from .catalog import named
-from .identities import PEOPLE, people, syllable
+from .identities import PEOPLE, people
 
 LINES = """
 WITH n AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_tax, l_discount, l_extendedprice) AS rn, l_partkey, l_suppkey, l_quantity AS q, l_tax, l_discount, l_linestatus FROM lineitem),
@@ -136,8 +136,8 @@ SELECT o AS event, CASE outcome WHEN 'both_corners_resolved' THEN hit WHEN 'exis
 """)
 def two_corner_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which bout (a customer's order against the next order's customer) each of a provider's events is, by both corners' names."""
-    # a name stands for one customer here: beyond the surnames that three syllables make, as many more tell the rest of its number
-    rest = F.concat(*[F.when(F.col("k") >= d, syllable(F.floor(F.col("k") / d) % 20)).otherwise("") for d in (20**i for i in range(3, 13))])
+    # a name stands for one customer here: three syllables make few surnames and near ones, so consonants by the number's hash follow, of which any two customers' differ in most places
+    rest = F.translate(F.lpad(F.lower(F.hex(F.xxhash64("k"))), 16, "0"), "0123456789abcdef", "bcdfgjklmnprstvz")
     p = people(spark, sf_dir).select("k", "first", "next_first", F.concat("last", rest).alias("last"))
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     other = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("kb"))
@@ -156,7 +156,7 @@ def two_corner_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # each different name is parsed once
     texts = p.select(F.concat_ws(" ", "first", "last").alias("text")).union(events.select("home")).union(events.select("away")).distinct()
-    known = cut(texts.select("text", nm.parsed(nm.romanised(F.col("text"))).alias("p")))
+    known = cut(texts.select("text", nm.parsed(nm.romanised(F.col("text"))).alias("p"))).withColumn("p", F.col("p").dropFields("keys"))
     of_text = lambda text, name: known.select(F.col("text").alias(text), F.col("p").alias(name))
     # names meet corners by surname, as all of a name's forms have it; the other corner need not meet
     surname = lambda text: known.select(F.col("text").alias(text), F.element_at("p.core", -1).alias(f"last_{text}"))

@@ -133,3 +133,21 @@ def test_cards_are_shuffled_once_for_all_stages(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "1-1", "external_id"), (1, 2, "1-2", "pair"), (1, 3, "1-3", "pair"), (1, 5, "1-1", "external_id")]
+
+
+def test_corners_of_like_syllables_against_the_sql(spark, tmp_path):
+    """Customers 6325 and 2945 are nils vlayeltso and rafael vlacziczi, surnames of one skeleton, and the event has a surname alone."""
+    import duckdb
+
+    from tessera.plans import catalog
+
+    catalog.load_all()
+    duck = duckdb.connect()
+    on = [(61533, 6325, "2000-11-04"), (61534, 2945, "1999-01-31")]
+    orders = ", ".join(f"({o}::BIGINT, {k}::BIGINT, TIMESTAMP '{d}')" for o, k, d in on)
+    rows = {"customer": "SELECT k AS c_custkey, 3 AS c_nationkey FROM (VALUES (6325::BIGINT), (2945)) t(k)", "orders": f"SELECT * FROM (VALUES {orders}) t(o_orderkey, o_custkey, o_orderdate)"}
+    for name, sql in rows.items():
+        duck.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    want = duck.execute(catalog.SQL["two_corner_matches"]).fetchall()
+    assert [tuple(r) for r in catalog.QUERIES["two_corner_matches"](spark, str(tmp_path)).collect()] == want and len(want) == 1
