@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import names as nm
@@ -18,6 +18,12 @@ from tessera.sources.shared import cut
 SAME_FIGHT_DAYS, SIMULTANEOUS_DAYS, CLOSE_DAYS, WEIGHT_DAYS = 1, 2, 13, 400
 NEEDED, ONE_OF = ["hometown", "weight"], ["jurisdiction", "venue", "opponent_graph"]
 EXACT_FORMS = ["exact", "reordered", "joined"]
+# Signs for a person, against one and those that rule one out, in the order in which they are told.
+FAMILIES = ["hometown", "jurisdiction", "opponent_graph", "venue", "weight"]
+SOFT = ["suffix_missing", "hometown_different_city", "possible_duplicate_event", "fought_within_13_days", "weight_incompatible"]
+HARD = ["suffix_conflict", "candidate_is_the_opponent", "simultaneous_event_elsewhere", "debut_after_recorded_bout"]
+#: Appearances and persons of one name beyond which it is dealt to tiles, and pairs that a task is given.
+TILE, PAIRS_A_TASK = 1_000, 500_000
 
 
 def city(hometown: Column) -> Column:
@@ -60,29 +66,41 @@ def evidence(pairs: DataFrame, appearances: DataFrame, bouts: DataFrame, hometow
     out = out.join(first, "entity_id", "left").join(towns, "entity_id", "left")
     own_town, gap = city(col("a_hometown")), F.abs(col("a_weight") - col("weighed"))
     met_before = lambda c: F.coalesce(col(f"n_{c}"), F.lit(0)) > F.coalesce(col(f"less_{c}"), F.lit(0))
-    signs = lambda **s: F.array_compact(F.array(*[F.when(F.coalesce(v, no), k) for k, v in s.items()]))
-    out = out.withColumns({
-        "families": signs(
-            hometown=F.array_contains("towns", own_town), jurisdiction=met_before("commission"), opponent_graph=met_before("opponent_id"), venue=met_before("venue"), weight=gap <= F.greatest(F.lit(8.0), 0.05 * col("a_weight")),
-        ),
-        "soft": signs(
-            suffix_missing=col("suffix_missing"), hometown_different_city=own_town.isNotNull() & col("towns").isNotNull() & ~F.array_contains("towns", own_town), possible_duplicate_event=col("twice"), fought_within_13_days=col("close"),
-            weight_incompatible=gap > F.greatest(F.lit(20.0), 0.12 * col("a_weight")),
-        ),
-        "hard": signs(
-            suffix_conflict=col("suffix_conflict"), candidate_is_the_opponent=col("entity_id") == col("a_opponent_id"), simultaneous_event_elsewhere=col("elsewhere"), debut_after_recorded_bout=col("a_debut") & (F.date_diff("a_date", "__first") > 1),
-        ),
-    })
-    strong = col("level").isin(nm.STRONG)
-    exact = col("level").isin(EXACT_FORMS) & ~col("given_differs") & ~col("suffix_missing")
-    clear = F.size("soft") == 0
-    going_on = F.coalesce(col("same_fight"), no) | F.coalesce(col("repeat_pairing"), no)
-    has = lambda k: F.array_contains("families", k)
-    supported = has(NEEDED[0]) & has(NEEDED[1]) & (has(ONE_OF[0]) | has(ONE_OF[1]) | has(ONE_OF[2]))
-    tier = F.when(F.size("hard") > 0, "D").when(going_on & strong & clear, "A").when(exact & clear & supported, "B").otherwise("C")
-    told = F.least(F.when(tier == "B", 95).otherwise(79), 40 + F.when(exact, 20).when(strong, 10).otherwise(0) + F.size("families") * 9 - F.size("soft") * 15)
-    out = out.withColumns({"tier": tier, "confidence": F.when(tier == "D", 0).when(tier == "A", 98).otherwise(F.greatest(told, F.lit(0)))})
-    return out.select("app_id", "entity_id", "level", "families", "soft", "hard", F.coalesce("same_fight", no).alias("same_fight"), F.coalesce("repeat_pairing", no).alias("repeat_pairing"), "tier", "confidence")
+    facts = {
+        "hometown": F.array_contains("towns", own_town), "jurisdiction": met_before("commission"), "opponent_graph": met_before("opponent_id"), "venue": met_before("venue"), "weight": _comparable(gap, col("a_weight")),
+        "hometown_different_city": own_town.isNotNull() & col("towns").isNotNull() & ~F.array_contains("towns", own_town), "possible_duplicate_event": col("twice"), "fought_within_13_days": col("close"), "weight_incompatible": _incompatible(gap, col("a_weight")),
+        "candidate_is_the_opponent": col("entity_id") == col("a_opponent_id"), "simultaneous_event_elsewhere": col("elsewhere"), "debut_after_recorded_bout": col("a_debut") & (F.date_diff("a_date", "__first") > 1),
+        "same_fight": col("same_fight"), "repeat_pairing": col("repeat_pairing"), "suffix_missing": col("suffix_missing"), "suffix_conflict": col("suffix_conflict"),
+    }
+    out = judged(out.withColumns({k: F.coalesce(v, no) for k, v in facts.items()} | _name_marks()))
+    return out.select("app_id", "entity_id", "level", _signs(FAMILIES).alias("families"), _signs(SOFT).alias("soft"), _signs(HARD).alias("hard"), "same_fight", "repeat_pairing", "tier", "confidence")
+
+
+def _comparable(gap: Column, weight: Column) -> Column:
+    return gap <= F.greatest(F.lit(8.0), 0.05 * weight)
+
+
+def _incompatible(gap: Column, weight: Column) -> Column:
+    return gap > F.greatest(F.lit(20.0), 0.12 * weight)
+
+
+def _name_marks() -> dict[str, Column]:
+    return {"strong": F.col("level").isin(nm.STRONG), "exact": F.col("level").isin(EXACT_FORMS) & ~F.col("given_differs") & ~F.col("suffix_missing")}
+
+
+def _signs(names: list[str], of: str = "") -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(of + k), k) for k in names]))
+
+
+def judged(facts: DataFrame) -> DataFrame:
+    """facts, a boolean column for each sign beside strong, exact, same_fight and repeat_pairing, with tier and confidence."""
+    col = F.col
+    n = lambda names: sum((col(k).cast("int") for k in names[1:]), col(names[0]).cast("int"))
+    clear, ruled = n(SOFT) == 0, n(HARD) > 0
+    supported = col(NEEDED[0]) & col(NEEDED[1]) & (col(ONE_OF[0]) | col(ONE_OF[1]) | col(ONE_OF[2]))
+    tier = F.when(ruled, "D").when((col("same_fight") | col("repeat_pairing")) & col("strong") & clear, "A").when(col("exact") & clear & supported, "B").otherwise("C")
+    told = F.least(F.when(tier == "B", 95).otherwise(79), 40 + F.when(col("exact"), 20).when(col("strong"), 10).otherwise(0) + n(FAMILIES) * 9 - n(SOFT) * 15)
+    return facts.withColumns({"tier": tier, "confidence": F.when(tier == "D", 0).when(tier == "A", 98).otherwise(F.greatest(told, F.lit(0)))})
 
 
 def decided(appearances: DataFrame, found: DataFrame) -> DataFrame:
@@ -92,7 +110,11 @@ def decided(appearances: DataFrame, found: DataFrame) -> DataFrame:
     order = F.when(live, F.struct(-F.col("confidence"), "entity_id"))
     best = F.struct("entity_id", "tier", "confidence", "families", "soft", "repeat_pairing")
     per = similar.groupBy("app_id").agg(F.count("*").alias("similar"), F.count_if(live).alias("live"), F.min_by(best, order).alias("best"))
-    met = appearances.select("app_id", F.coalesce("may_create", F.lit(False)).alias("may_create")).join(per, "app_id", "left")
+    return _told(appearances.select("app_id", F.coalesce("may_create", F.lit(False)).alias("may_create")).join(per, "app_id", "left"))
+
+
+def _told(met: DataFrame) -> DataFrame:
+    """The decisions, from how many candidates are similar and live and the best of these."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     none, ruled, several, sure = n("similar") == 0, n("live") == 0, n("live") > 1, F.col("best.tier").isin("A", "B")
     joined = F.array_join("best.families", "+")
@@ -107,6 +129,62 @@ def decided(appearances: DataFrame, found: DataFrame) -> DataFrame:
     return met.select("app_id", decision.alias("decision"), tier.alias("tier"), F.when(decision == "matched", F.col("best.entity_id")).alias("entity_id"), confidence.cast("int").alias("confidence"), reason.alias("reason"), n("similar").alias("candidates"))
 
 
+def decided_by_names(appearances: DataFrame, persons: DataFrame, alike: DataFrame, bouts: DataFrame, hometowns: DataFrame, sizes: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """What `decided` tells of all pairs of an appearance and a person whose names are alike, and no pair is shuffled.
+
+    appearances have `name` as printed, persons (entity_id, known) and bouts `known`, their one name; alike has (name, known) with the name evidence of names that are alike. Appearances, persons and contests are shuffled by the
+    known name, a name of more than `tile` of either to tiles of both; there pairs are made, judged and counted, so that only a row for each appearance and tile leaves. `sizes` (name, n) is a bound of the appearances of each name,
+    for who knows one more cheaply. The pairs themselves grow with the square of those that share a name; tasks are as many as they need.
+    """
+    col, no, key = F.col, F.lit(False), ["known", "__i", "__j"]
+    asked = (appearances.groupBy("name").agg(F.count("*").alias("n")) if sizes is None else sizes).join(alike.select("name", "known"), "name").groupBy("known").agg(F.sum("n").alias("n_apps"))
+    each = cut(asked.join(persons.groupBy("known").agg(F.count("*").alias("n_persons")), "known"))
+    pairs, = each.agg(F.sum(col("n_apps") * col("n_persons"))).first()
+    n = max(int(appearances.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(pairs or 0) // PAIRS_A_TASK))
+    parts = lambda c: F.ceil(col(c) / tile).cast("int")
+    # at most one name for each `tile` appearances or persons
+    hot = F.broadcast(each.filter((col("n_apps") > tile) | (col("n_persons") > tile)).select("known", parts("n_apps").alias("__is"), parts("n_persons").alias("__js")))
+    dealt = lambda df: df.join(hot, "known", "left").withColumns({"__is": F.coalesce("__is", F.lit(1)), "__js": F.coalesce("__js", F.lit(1))})
+    at = lambda id_, of: F.pmod(F.xxhash64(id_), col(of)).cast("int")
+    all_of = lambda of: F.explode(F.sequence(F.lit(0), col(of) - 1))
+    a = appearances.select("app_id", "name", F.coalesce("may_create", no).alias("may_create"), city(col("hometown")).alias("a_town"), *[col(c).alias(f"a_{c}") for c in ("event_id", "date", "commission", "venue", "opponent_id", "weight", "bout_id", "bout_order", "debut")])
+    marks = alike.select("name", "known", "suffix_missing", "suffix_conflict", *[v.alias(k) for k, v in _name_marks().items()])
+    # appearances of no known name meet nobody, and lie anywhere
+    a = dealt(a.join(marks, "name", "left").drop("name")).withColumn("__i", F.when(col("known").isNull(), F.pmod(F.xxhash64("app_id"), F.lit(n)).cast("int")).otherwise(at("app_id", "__is"))).withColumn("__j", all_of("__js")).drop("__is", "__js").repartition(n, *key)
+    towns = hometowns.select("entity_id", city(col("hometown")).alias("town")).filter("town IS NOT NULL").groupBy("entity_id").agg(F.collect_set("town").alias("towns"))
+    own = ["event_id", "date", "complete", "commission", "venue", "opponent_id", "weight", "bout_id", "bout_order"]
+    # a row for each person, with the towns, and one for each contest
+    rows = persons.select("entity_id", "known").join(towns, "entity_id", "left").unionByName(bouts.select("entity_id", "known", *own), allowMissingColumns=True)
+    rows = dealt(rows).withColumn("__j", at("entity_id", "__js")).withColumn("__i", all_of("__is")).drop("__is", "__js").repartition(n, *key)
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*key, "entity_id").orderBy("bout_id")).cast("long"))
+    true = lambda c: F.coalesce(c, no)
+    days = F.abs(F.date_diff("date", "a_date"))
+    m = a.join(rows, key, "left").withColumns({"days": days, "near": true(days <= WEIGHT_DAYS), "same_event": true(col("event_id") == col("a_event_id"))})
+    m = m.withColumn("one_fight", true(col("opponent_id") == col("a_opponent_id")) & true(col("days") <= SAME_FIGHT_DAYS))
+    again = col("one_fight") & col("same_event") & (true(col("bout_id") != col("a_bout_id")) | true(col("bout_order") != col("a_bout_order")))
+    other, near = ~col("same_event") & ~col("one_fight"), col("near")
+    at_once, elsewhere = near & other & true(col("days") <= SIMULTANEOUS_DAYS), true(col("commission") != col("a_commission")) | true(col("venue") != col("a_venue"))
+    gap = F.abs(col("a_weight") - col("weight"))
+    # the nearest contest of a known weight, the first by its id of equals, and what its weight says, in one number that is aggregated in place
+    said = F.when(_comparable(gap, col("a_weight")), 1).when(_incompatible(gap, col("a_weight")), 2).otherwise(0)
+    weighed = F.min(F.when(near & other & col("weight").isNotNull(), col("days").cast("long") * 2**40 + col("__rank") * 4 + said))
+    any_ = lambda c: F.bool_or(true(c))
+    met_before = lambda c: any_((col(c) == col(f"a_{c}")) & (other | ~near))
+    pair = m.groupBy(*key, "app_id", "entity_id", "strong", "exact", "suffix_missing", "suffix_conflict", "may_create").agg(
+        any_(near & col("one_fight") & ~again).alias("same_fight"), any_(near & again).alias("repeat_pairing"), any_(at_once & elsewhere).alias("simultaneous_event_elsewhere"), any_(at_once & ~elsewhere).alias("possible_duplicate_event"),
+        any_(near & other & (col("days") > SIMULTANEOUS_DAYS) & (col("days") <= CLOSE_DAYS)).alias("fought_within_13_days"), weighed.alias("weighed"), met_before("commission").alias("jurisdiction"), met_before("venue").alias("venue"),
+        met_before("opponent_id").alias("opponent_graph"), any_(F.array_contains("towns", col("a_town"))).alias("hometown"), any_(col("towns").isNotNull() & ~F.array_contains("towns", col("a_town"))).alias("hometown_different_city"),
+        any_(col("a_debut") & col("complete") & (F.date_diff("a_date", "date") > 1)).alias("debut_after_recorded_bout"), any_(col("entity_id") == col("a_opponent_id")).alias("candidate_is_the_opponent"),
+    )
+    pair = judged(pair.withColumns({"weight": true(col("weighed") % 4 == 1), "weight_incompatible": true(col("weighed") % 4 == 2)}))
+    there = col("entity_id").isNotNull()
+    live = there & (col("tier") != "D")
+    best = F.struct("entity_id", "tier", "confidence", "repeat_pairing", *FAMILIES, *SOFT)
+    per = pair.groupBy("app_id").agg(F.max("may_create").alias("may_create"), F.count_if(there).alias("similar"), F.count_if(live).alias("live"), F.min_by(best, F.when(live, F.struct(-col("confidence"), "entity_id"))).alias("best"))
+    signs = {"families": _signs(FAMILIES, "best."), "soft": _signs(SOFT, "best.")}
+    return _told(per.withColumn("best", F.when(col("best").isNotNull(), F.struct("best.entity_id", "best.tier", "best.confidence", "best.repeat_pairing", *[v.alias(k) for k, v in signs.items()]))))
+
+
 def fixed_point(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], most: int = 4) -> DataFrame:
     """start and what `step` adds to it, pass by pass, with `found_in`, the pass a row came in (0 for start).
 

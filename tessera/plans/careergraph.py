@@ -5,7 +5,7 @@ The initial h. and hugo have one skeleton, so they count as spellings of one nam
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as gr
@@ -27,6 +27,16 @@ a AS (SELECT 'a' || o_orderkey AS app, o_orderkey, k, first, last, event, date,
 """
 
 
+#: Which orders are appearances, and how often.
+APPEARANCES = "o_orderkey % 4 = 1 OR o_orderkey % 12 = 0 OR o_orderkey % 20 = 0"
+APPEARANCES_OF = "CAST(o_orderkey % 4 = 1 AS INT) + CAST(o_orderkey % 12 = 0 AS INT) + CAST(o_orderkey % 20 = 0 AS INT)"
+
+
+def printed() -> Column:
+    way, first, last = F.col("o_orderkey") % 5, F.col("first"), F.col("last")
+    return F.when(way == 2, F.concat(last, F.lit(", "), first)).when(way == 3, F.concat(F.substring(first, 1, 1), F.lit(". "), last)).when(way == 4, F.concat_ws(" ", first, last, F.lit("Jr."))).otherwise(F.concat_ws(" ", first, last))
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(people, contests on record, appearances with the printed name)."""
     p, o = people(spark, sf_dir), F.col("o_orderkey")
@@ -37,15 +47,13 @@ def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         "date": F.to_date("o_orderdate"), "commission": text("n", o % 7), "venue": text("v", F.col("x.l_suppkey") % 11), "event_id": text(F.date_format("o_orderdate", "yyyy-MM-dd"), "-n", o % 7), "opponent": text("s", F.col("x.l_suppkey")),
         "weight": F.when(o % 13 != 0, 140 + F.col("k") % 40 + F.col("x.l_partkey") % 9 + F.when(o % 29 == 0, 40).otherwise(0)).cast("double"), "town": text("city", F.col("k") % 50, ", ", F.col("nation")),
     })
-    bouts = c.filter(o % 4 != 1).select(text("p", F.col("k")).alias("entity_id"), text("b", o).alias("bout_id"), "event_id", "date", (o % 5 != 0).alias("complete"), "commission", "venue", F.col("opponent").alias("opponent_id"), "weight", F.lit(None).cast("int").alias("bout_order"))
+    bouts = c.filter(o % 4 != 1).select(text("p", F.col("k")).alias("entity_id"), text("b", o).alias("bout_id"), "event_id", "date", (o % 5 != 0).alias("complete"), "commission", "venue", F.col("opponent").alias("opponent_id"), "weight", F.lit(None).cast("int").alias("bout_order"), F.concat_ws(" ", "first", "last").alias("known"))
     none = F.lit(None).cast("string")
     shared = ["k", "first", "last", "o_orderkey", "commission", "venue", "weight"]
     a = c.filter(o % 4 == 1).select(text("a", o).alias("app_id"), *shared, "event_id", "date", F.when(o % 9 == 0, text("elsewhere, ", F.col("nation"))).when(o % 9 != 1, F.col("town")).alias("hometown"), (o % 31 == 0).alias("debut"), F.when(o % 8 == 1, F.col("opponent")).alias("opponent_id"), none.alias("bout_id"))
     d = c.filter(o % 12 == 0).select(text("d", o).alias("app_id"), *shared, text("doc", o).alias("event_id"), F.date_add("date", (F.floor(o / 12) % 2).cast("int")).alias("date"), F.col("town").alias("hometown"), F.lit(False).alias("debut"), F.col("opponent").alias("opponent_id"), none.alias("bout_id"))
     r = c.filter(o % 20 == 0).select(text("r", o).alias("app_id"), *shared, "event_id", "date", F.col("town").alias("hometown"), F.lit(False).alias("debut"), F.col("opponent").alias("opponent_id"), text("b", o, "|2").alias("bout_id"))
-    way, first, last = o % 5, F.col("first"), F.col("last")
-    name = F.when(way == 2, text(last, ", ", first)).when(way == 3, text(F.substring(first, 1, 1), ". ", last)).when(way == 4, text(first, " ", last, " Jr.")).otherwise(text(first, " ", last))
-    apps = a.unionByName(d).unionByName(r).withColumns({"name": name, "may_create": o % 3 != 0, "bout_order": F.lit(None).cast("int"), "other_app": none})
+    apps = a.unionByName(d).unionByName(r).withColumns({"name": printed(), "may_create": o % 3 != 0, "bout_order": F.lit(None).cast("int"), "other_app": none})
     return p, bouts, apps
 
 
@@ -72,15 +80,17 @@ SELECT app_id, CASE WHEN alike IS NULL THEN 'none' WHEN live = 0 THEN CASE WHEN
 def career_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which person each appearance under a name is, by the person's other contests, or why that is left open."""
     p, bouts, apps = sheets(spark, sf_dir)
-    id_ = F.concat(F.lit("p"), "k")
-    pairs = apps.select("app_id", "last").join(p.select(id_.alias("entity_id"), "last"), "last").select(F.col("app_id").alias("obs_id"), "entity_id")
-    seen = rs.named(apps.select(F.col("app_id").alias("obs_id"), F.array(F.struct(F.col("name").alias("text"), F.lit("name").alias("kind"))).alias("names")), "obs_id", F.col("names"))
-    known = rs.named(p.select(id_.alias("entity_id"), F.array(F.struct(F.concat_ws(" ", "first", "last").alias("text"), F.lit("name").alias("kind"))).alias("names")), "entity_id", F.col("names"))
-    # no decision counts persons of other names, so that only those alike meet contests
-    alike = rs.name_evidence(pairs, seen, known).withColumnRenamed("obs_id", "app_id").filter(F.col("level").isin([*nm.STRONG, *nm.WEAK]))
+    id_, known = F.concat(F.lit("p"), "k"), F.concat_ws(" ", "first", "last").alias("known")
+    # names meet by surname, each different one once; orders without lines have a name too, so that these are a bound that needs no lines
+    said = load(spark, sf_dir, "orders").join(p, F.col("o_custkey") == F.col("k"))
+    said = gr.cut(said.filter(APPEARANCES).withColumn("name", printed()).groupBy("name", "last").agg(F.sum(F.expr(APPEARANCES_OF)).alias("n")))
+    pairs = said.select("name", "last").join(p.select("last", known).distinct(), "last").select(F.col("name").alias("obs_id"), F.col("known").alias("entity_id"))
+    texts = lambda df, id_: rs.named(df, id_, F.array(F.struct(F.col(id_).alias("text"), F.lit("name").alias("kind"))))
+    level = rs.name_evidence(pairs, texts(said.select(F.col("name").alias("obs_id")), "obs_id"), texts(p.select(known.alias("entity_id")).distinct(), "entity_id"))
+    # no decision counts persons of other names
+    alike = gr.cut(level.withColumnsRenamed({"obs_id": "name", "entity_id": "known"}).filter(F.col("level").isin([*nm.STRONG, *nm.WEAK])))
     towns = p.select(id_.alias("entity_id"), F.concat(F.lit("city"), F.col("k") % 50, F.lit(", "), "nation").alias("hometown"))
-    own = apps.drop("k", "first", "last", "o_orderkey", "name")
-    return gr.decided(own, gr.evidence(alike, own, bouts, towns))
+    return gr.decided_by_names(apps, p.select(id_.alias("entity_id"), known), alike, bouts, towns, said.select("name", "n"))
 
 
 PASSES = 4

@@ -116,3 +116,30 @@ def test_fixed_point_ends(spark):
     assert got == {0: 0, 6: 0, 1: 1, 7: 1, 2: 2, 8: 2, 3: 3, 9: 3, 4: 4}
     assert {r.n for r in gr.fixed_point(start, step, ["n"], 40).collect()} == set(range(10))
     assert gr.fixed_point(start.limit(0), step, ["n"]).count() == 0
+
+
+def test_pairs_of_names_are_decided_where_they_lie(spark):
+    """decided_by_names tells what evidence and decided tell of the same pairs, in tiles of any size; what is shuffled are appearances and persons, not pairs."""
+    rnd = random.Random(11)
+    names = {"a": ["ann", "anna"], "a, a": ["ann"], "b": ["bob"], "d": ["dan"], "z": []}
+    levels = {("a", "ann"): ("exact", False, False, False), ("a", "anna"): ("fuzzy", False, True, False), ("a, a", "ann"): ("containment", True, False, False), ("b", "bob"): ("transliteration", False, False, False), ("d", "dan"): ("exact", False, False, False)}
+    of = {f"p{i}": ("ann", "anna", "bob", "cat")[i % 4] for i in range(24)} | {"p24": "dan"}
+    towns = [(p, f"town{i % 3}, X") for i, p in enumerate(of) if i % 5 or i == 0] + [("p1", "town9, X")]
+    bouts = [{**bout(p, rnd.choice([-900, -401, -400, -90, -13, -2, -1, 0, 1, 14, 300]), opponent_id=rnd.choice(["z", "p0", None]), commission=rnd.choice("AB"), venue=rnd.choice("vw"), event_id=rnd.choice(["ev0", "ev1", "ev2"]), weight=rnd.choice([None, 151.0, 165.0, 190.0]),
+        complete=rnd.random() < 0.7), "bout_id": f"b{n}"} for n, p in enumerate(rnd.choices([p for p in of if p != "p2"], k=90)) if p != "p24"]
+    bouts.append(bout("p24", -90, commission="A"))
+    apps = [app(f"x{n}", name=rnd.choice(list(names)), date=rnd.choice([D, D, D + dt.timedelta(days=5), None]), event_id=rnd.choice(["ev0", "ev1", None]), hometown=rnd.choice(["Town0, X", "town1, x", "X", None]), commission=rnd.choice("AB"), venue=rnd.choice("vw"),
+        debut=rnd.random() < 0.2, opponent_id=rnd.choice(["z", "p0", None]), bout_id=rnd.choice(["b1", None]), weight=rnd.choice([150.0, None]), may_create=rnd.choice([True, False, None])) for n in range(150)]
+    frame, known, homes = spark.createDataFrame(apps, APP + ", name string"), spark.createDataFrame(bouts, BOUT), spark.createDataFrame(towns, "entity_id string, hometown string")
+    pairs = spark.createDataFrame([(a["app_id"], p, *levels[a["name"], k]) for a in apps for p, k in of.items() if k in names[a["name"]]], PAIR)
+    want = sorted(map(tuple, gr.decided(frame, gr.evidence(pairs, frame, known, homes)).collect()))
+    assert len({r[1] for r in want}) == 4 and len({r[5] for r in want}) >= 8
+    persons = spark.createDataFrame(list(of.items()), "entity_id string, known string")
+    alike = spark.createDataFrame([(*k, *v) for k, v in levels.items()], "name string, known string, level string, suffix_missing boolean, given_differs boolean, suffix_conflict boolean")
+    for tile in (1_000, 4, 1):
+        found = gr.decided_by_names(frame, persons, alike, known.join(persons, "entity_id"), homes, tile=tile)
+        assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    paired = plan[: plan.index("__rank")]
+    assert paired.count("Exchange") <= 1
+    assert gr.decided_by_names(frame.limit(0), persons, alike, known.join(persons, "entity_id"), homes).count() == 0
