@@ -168,10 +168,10 @@ def scrubbed(text: Column) -> Column:
     return F.regexp_replace(out, r"[0-9]{9,}", "[number]")
 
 
-def date_likeness(seen: Column, known: Column) -> Column:
-    """How two dates of one thing compare: exact, typo_like (day and month exchanged, a day apart, or one digit differs), conflict, or unknown where one is null."""
+def date_likeness(seen: Column, known: Column, seen_digits: Column | None = None, known_digits: Column | None = None) -> Column:
+    """How two dates of one thing compare: exact, typo_like (day and month exchanged, a day apart, or one digit differs), conflict, or unknown where one is null. Their digits (yyyyMMdd) can be given for who has them at hand."""
     digits = lambda c: F.date_format(c, "yyyyMMdd")
-    a, b = digits(seen), digits(known)
+    a, b = digits(seen) if seen_digits is None else seen_digits, digits(known) if known_digits is None else known_digits
     exchanged = (F.year(seen) == F.year(known)) & (F.month(seen) == F.day(known)) & (F.day(seen) == F.month(known))
     differing = sum(((F.substring(a, i, 1) != F.substring(b, i, 1)).cast("int") for i in range(2, 9)), (F.substring(a, 1, 1) != F.substring(b, 1, 1)).cast("int"))
     return F.when(seen.isNull() | known.isNull(), "unknown").when(seen == known, "exact").when(exchanged | (F.abs(F.date_diff(seen, known)) <= 1) | (differing == 1), "typo_like").otherwise("conflict")

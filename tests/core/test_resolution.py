@@ -113,3 +113,17 @@ def test_a_name_whose_words_have_one_skeleton_against_the_sql(spark, tmp_path):
     names = spark.createDataFrame([("karel amadeus quoriwex", "karel quoriyel")], "a string, b string").select(nm.parsed(nm.romanised("a")).alias("a"), nm.parsed(nm.romanised("b")).alias("b"))
     level = lambda counted: names.select(nm.compared(F.col("a"), F.col("b"), F.lit(False), counted).level).first()[0]
     assert (level(True), level(False)) == ("none", "containment")
+
+
+def test_pairs_are_decided_where_they_lie(spark, tables):
+    """Only one exchange lies above the join of the keys: a row for each observation and key, no pairs. Of several names the best one counts, also where only a birthday is shared."""
+    observations, entities = tables
+    row = observations.filter("obs_id = '00'").first().asDict()
+    born = lambda id_, *names, **more: {**row, "obs_id": id_, "names": list(names), **more}
+    asked = spark.createDataFrame([born("a", "Nobody Here", "Pavel Ruzicka"), born("b", "Pavle Ruzickaa Jr", "Dorota Lindholm", dob=dt.date(1990, 7, 7)), born("c", "Pavel Ruzicka", "Ruzicka, Pavel", dob=None), born("d", "Pavel Ruzickax", nationalities=["CZ"], divisions=[9])], OBSERVED)
+    for hot in (1_000, 1):
+        found = rs.resolve(asked, entities, hot=hot)
+        got = {r.obs_id: (r.outcome, r.reason, r.entity_id, r.candidates) for r in found.collect()}
+        assert got == {"a": ("matched", "name_exact", "ana", 1), "b": ("created", "distinct_from_candidates", None, 3), "c": ("review", "ambiguous", None, 2), "d": ("matched", "name_fuzzy", "ana", 0)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan[: plan.index("Join")].count("Exchange") == 1
