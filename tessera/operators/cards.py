@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import names as nm
-from tessera.sources.shared import dealt
 
 
 CHANGE = "array<struct<type:string,before:string,after:string>>"
@@ -25,19 +24,24 @@ def pair(a: Column, b: Column) -> Column:
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
 
 
-def matched(docs: DataFrame, bouts: DataFrame, size: int | None = None) -> DataFrame:
+def matched(docs: DataFrame, bouts: DataFrame) -> DataFrame:
     """(event_id, n, bout_id, matched_by): which bout on record each bout of a document is.
 
     Stages, each of which takes away what it matched on both sides: the source's own id; then the unordered pair, for a document bout with an id only among bouts that have none from this source, for one
-    without an id among all that are left. Bouts of one pair on one card are taken in their order. What is left is new. `size` is a bound of both tables' rows for who knows one without counting; tasks are then as many as they need.
+    without an id among all that are left. Bouts of one pair on one card are taken in their order. What is left is new.
     """
+    return _staged(docs, bouts).filter(F.col("__doc") & F.col("__m").isNotNull()).select("event_id", "n", F.col("__m").alias("bout_id"), "matched_by")
+
+
+def _staged(docs: DataFrame, bouts: DataFrame, lying: bool = False) -> DataFrame:
+    """The rows of both sides (__doc tells which) with all columns of a document bout in `d` and of a bout in `s`, and the bout_id `__m` that a document bout is, with matched_by. Both are shuffled by card once, or not at all if `lying`: dealt to as many tasks by event_id already."""
     doc, bout, known = F.col("__doc"), ~F.col("__doc"), F.col("external_id").isNotNull() & F.col("event_id").isNotNull()
-    d = docs.select("event_id", "n", "external_id", pair(F.col("a"), F.col("b")).alias("__pair"), F.lit(True).alias("__doc"))
-    s = bouts.select("event_id", "bout_id", "external_id", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), pair(F.col("a"), F.col("b"))).alias("__pair"), F.lit(False).alias("__doc"))
+    whole = lambda df: F.struct(*[c for c in df.columns if c not in ("event_id", "n", "bout_id")])
+    d = docs.select("event_id", "n", "external_id", pair(F.col("a"), F.col("b")).alias("__pair"), F.lit(True).alias("__doc"), whole(docs).alias("d"))
+    s = bouts.select("event_id", "bout_id", "external_id", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), pair(F.col("a"), F.col("b"))).alias("__pair"), F.lit(False).alias("__doc"), whole(bouts).alias("s"))
     # both sides lie together by card, once for all stages, which only sort them
     both = d.unionByName(s, allowMissingColumns=True)
-    rows = both if size is None else dealt(both, "event_id", rows=size)
-    rows = both.repartition("event_id") if rows is both else rows
+    rows = both if lying else both.repartition("event_id")
     same = Window.partitionBy("event_id", "external_id")
     first, asked = F.min(F.when(bout & known, F.col("bout_id"))).over(same), F.max(doc & known).over(same)
     rows = rows.withColumns({"__first": first, "__asked": asked})
@@ -51,7 +55,7 @@ def matched(docs: DataFrame, bouts: DataFrame, size: int | None = None) -> DataF
         rows = rows.withColumns({"__b": F.max("bout_id").over(met), "__l": F.max("__doc").over(met)})
         found = F.col("__in") & doc & F.col("__b").isNotNull()
         rows = rows.withColumns({"__m": F.when(found, F.col("__b")).otherwise(F.col("__m")), "matched_by": F.when(found, "pair").otherwise(F.col("matched_by")), "__gone": F.col("__gone") | (F.col("__in") & bout & F.col("__l"))})
-    return rows.filter(doc & F.col("__m").isNotNull()).select("event_id", "n", F.col("__m").alias("bout_id"), "matched_by")
+    return rows
 
 
 def _change(kind: Column | str, holds: Column, before: Column, after: Column) -> Column:
@@ -91,10 +95,12 @@ def event_changes(docs: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFr
     return told, m.select("event_id", F.lit("event_field_disagreement").alias("reason"), F.explode(odd).alias("detail"))
 
 
-def bout_changes(docs: DataFrame, bouts: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(event_id, ref, type, before, after) and (event_id, reason, detail): what a document changes in the bouts, and new pairings that may be replacements."""
-    fields = [c for c in bouts.columns if c not in ("event_id", "bout_id")]
-    m = docs.join(matched(docs, bouts, size), ["event_id", "n"], "left").join(bouts.select("event_id", "bout_id", *[F.col(c).alias(f"s_{c}") for c in fields]), ["event_id", "bout_id"], "left")
+def bout_changes(docs: DataFrame, bouts: DataFrame, lying: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(event_id, ref, type, before, after) and (event_id, reason, detail): what a document changes in the bouts, and new pairings that may be replacements. If `lying`, both sides are dealt to as many tasks by event_id already, and stay there."""
+    # a document bout is told its bout where both lie
+    one = Window.partitionBy("event_id", F.coalesce("__m", "bout_id"))
+    m = _staged(docs, bouts, lying).withColumn("s", F.first(F.when(~F.col("__doc"), F.col("s")), ignorenulls=True).over(one)).filter("__doc")
+    m = m.select("event_id", "n", F.col("__m").alias("bout_id"), "matched_by", "d.*", *[F.col(f"s.{c}").alias(f"s_{c}") for c in bouts.columns if c not in ("event_id", "bout_id")])
     col, old = F.col, lambda c: F.col(f"s_{c}")
     new_pair = pair(col("a"), col("b"))
     ref = F.coalesce("bout_id", F.concat(F.lit("ext:"), "external_id"), F.concat(F.lit("pair:"), new_pair))
@@ -134,9 +140,9 @@ def bout_changes(docs: DataFrame, bouts: DataFrame, size: int | None = None) ->
     return told, replacing.select("event_id", F.lit("possible_replacement_without_external_id").alias("reason"), F.concat("ref", F.lit(" for "), "bouts").alias("detail"))
 
 
-def card_changes(doc_events: DataFrame, doc_bouts: DataFrame, events: DataFrame, bouts: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """All changes and all that a person must look at. Cards are told apart by event_id; nothing is gathered beyond the titles and officials of one bout."""
-    (a, x), (b, y) = event_changes(doc_events, events), bout_changes(doc_bouts, bouts, size)
+def card_changes(doc_events: DataFrame, doc_bouts: DataFrame, events: DataFrame, bouts: DataFrame, lying: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All changes and all that a person must look at. Cards are told apart by event_id; nothing is gathered beyond the titles and officials of one bout. See bout_changes for `lying`."""
+    (a, x), (b, y) = event_changes(doc_events, events), bout_changes(doc_bouts, bouts, lying)
     return a.unionByName(b), x.unionByName(y)
 
 

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cards as cd
 from tessera.operators import names as nm
-from tessera.sources.shared import cut
+from tessera.sources.shared import ROWS_A_TASK, cut
 from tessera.sources.tables import load
 
 from .catalog import named
 from .identities import PEOPLE, people
 
+#: Lines that a task is given, as documents and as bouts: fewer than other rows, as each stage of matching sorts them whole in the same task.
+LINES_A_TASK = ROWS_A_TASK // 4
+
 LINES = """
 WITH n AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_tax, l_discount, l_extendedprice) AS rn, l_partkey, l_suppkey, l_quantity AS q, l_tax, l_discount, l_linestatus FROM lineitem),
 v AS (SELECT *, (o * 31 + rn * 7) % 20 AS v, CASE WHEN rn % 3 <> 0 THEN 'x' || rn END AS x, 'p' || l_partkey AS a, 's' || l_suppkey AS b, CASE WHEN l_tax > 0.035 THEN 12 ELSE 8 END AS rounds, 'd' || l_partkey % 17 AS class, CASE WHEN l_discount > 0.05 THEN 't' || l_suppkey % 4 END AS title, 'r' || l_partkey % 20 AS ref, 'j' || l_suppkey % 10 AS judge,
@@ -34,7 +37,10 @@ def cards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     """(document events, document bouts, events, bouts)."""
     text = lambda *parts: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in parts])
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_tax", "l_discount", "l_extendedprice")
-    l = load(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(own)).withColumnRenamed("l_orderkey", "event_id")
+    lines = load(spark, sf_dir, "lineitem")
+    # dealt by card before all else, to a number of tasks that is kept: documents and bouts are made where a card's lines lie, and meet there
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * lines.count() // LINES_A_TASK))
+    l = lines.repartition(tasks, "l_orderkey").withColumn("rn", F.row_number().over(own)).withColumnRenamed("l_orderkey", "event_id")
     o, rn, none = F.col("event_id"), F.col("rn"), F.lit(None).cast("string")
     title = lambda t, e: F.struct(t.alias("title"), e.alias("eligible"))
     post = lambda who, role, slot: F.struct(who.alias("official"), F.lit(role).alias("role"), F.lit(slot).cast("int").alias("slot"))
@@ -94,7 +100,7 @@ UNION ALL SELECT o, ref_, 'card_segment_changed', ssegment, 'undercard' FROM j W
 """)
 def card_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change that a document of each card makes to the card on record."""
-    return cd.card_changes(*cards(spark, sf_dir), size=2 * load(spark, sf_dir, "lineitem").count())[0]
+    return cd.card_changes(*cards(spark, sf_dir), lying=True)[0]
 
 
 @named(LINES + """
@@ -103,7 +109,7 @@ UNION ALL SELECT o, 'possible_replacement_without_external_id', ref_ || ' for '
 """)
 def card_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person must look at in those documents."""
-    return cd.card_changes(*cards(spark, sf_dir), size=2 * load(spark, sf_dir, "lineitem").count())[1]
+    return cd.card_changes(*cards(spark, sf_dir), lying=True)[1]
 
 
 @named("""

@@ -151,3 +151,21 @@ def test_corners_of_like_syllables_against_the_sql(spark, tmp_path):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
     want = duck.execute(catalog.SQL["two_corner_matches"]).fetchall()
     assert [tuple(r) for r in catalog.QUERIES["two_corner_matches"](spark, str(tmp_path)).collect()] == want and len(want) == 1
+
+
+def test_cards_stay_where_their_lines_lie(spark, tmp_path):
+    """Lines are shuffled for documents and for bouts; what is made of them meets without another shuffle, and orders are the only other rows."""
+    from tessera.plans import catalog
+
+    catalog.load_all()
+    found = catalog.QUERIES["card_changes"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_sides_that_lie_together_change_nothing(spark):
+    docs = spark.createDataFrame([{**doc(n, *c), "event_id": f"e{n % 3}", "external_id": x} for n, (c, x) in enumerate([(("x", "y"), "b1"), (("p", "q"), None), (("q", "p"), None), (("new", "one"), "z"), (("x", "z"), "b1"), (("p", "r"), None)] * 4)], DOC)
+    state = spark.createDataFrame([{**bout(f"B{n}", *c), "event_id": f"e{n % 3}", "external_id": x} for n, (c, x) in enumerate([(("x", "y"), "b1"), (("p", "q"), "b2"), (("q", "p"), None), (("x", "w"), None)] * 3)], BOUT)
+    want = [sorted(map(str, f.collect())) for f in cd.bout_changes(docs, state)]
+    got = [sorted(map(str, f.collect())) for f in cd.bout_changes(docs.repartition(5, "event_id"), state.repartition(5, "event_id"), lying=True)]
+    assert got == want and all(want)
