@@ -15,7 +15,7 @@ from tessera.operators import metrics as mt
 from tessera.operators.metrics import Kind
 from tessera.operators.sequences import before, islands
 from tessera.operators.temporal import latest_per_key, newest_per_key
-from tessera.sources.shared import dealt
+from tessera.sources.shared import dealt, written
 from tessera.sources.tables import load
 
 from .catalog import named
@@ -200,9 +200,10 @@ SELECT subject, x.k AS metric, status, CASE WHEN status = 'available' THEN floor
 """)
 def career_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All career metrics of every subject at the cutoff: numbers, categories and documents, each with its status and sample."""
-    rows = appearances(contests(spark, sf_dir))
+    # contests are asked for six times, and each step's rows are few beside what it is shuffled through
+    rows = appearances(written(contests(spark, sf_dir)))
     lines = load(spark, sf_dir, "lineitem")
-    quality = opposition(rows).select("o_orderkey", "side", F.col("n").alias("q_bouts"), "win_share", "quality")
+    quality = written(opposition(rows).select("o_orderkey", "side", F.col("n").alias("q_bouts"), "win_share", "quality"))
     seen = with_view(rows).filter("o_orderkey % 11 <> 0")
     pro = seen.join(quality, ["o_orderkey", "side"])
     own = punches(lines)
@@ -236,7 +237,8 @@ def career_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         n(c("title")).alias("titles"), total(exact(F.greatest(c("completed") - 9, F.when(c("completed").isNotNull(), 0.0))), c("title")).alias("title_rounds"), F.count(F.when(c("title"), c("completed"))).alias("title_n"), F.count("division").alias("with_division"),
         *[x for s in (0, 1) for x in (n(decided & (stance == s)).alias(f"stance_{s}"), n(win & (stance == s)).alias(f"wins_{s}"))],
     )
-    return mt.told_kinds(wide.join(division_facts(seen), "subject", "left"), ["subject"], career_registry())
+    # the joins' files are gone before those of the divisions come
+    return mt.told_kinds(written(wide).join(division_facts(seen), "subject", "left"), ["subject"], career_registry())
 
 
 def official_registry() -> list[Kind]:

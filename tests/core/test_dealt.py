@@ -35,3 +35,14 @@ def test_panels_are_dealt_by_the_rows(spark, monkeypatch):
     df = catalog.QUERIES["official_metrics"](spark, FOLDER)
     assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, df.collect())) == plain
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_steps_of_career_metrics_are_tables(spark):
+    """Nothing is left to read of the lines and orders once the contests, their quality and the subjects' numbers are written, and the setting of the write does not stay."""
+    df = catalog.QUERIES["career_metrics"](spark, FOLDER)
+    files = df.inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]
+    assert spark.conf.get(shared.FREED, "false") == "false"
+    few = shared.written(spark.createDataFrame([(1, None), (2, "b")], "k int, v string").repartition(3, "k"))
+    assert sorted(map(tuple, few.collect())) == [(1, None), (2, "b")] and few.schema.simpleString() == "struct<k:int,v:string>"
