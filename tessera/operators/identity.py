@@ -67,11 +67,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Words of 64 bits of a row's bitmap of trigrams.
+WORDS = 4
+
+
 def similar_pairs(df: DataFrame, id_: str, text: str, least: float) -> DataFrame:
     """(a, b, similarity): pairs with trigram Jaccard of at least `least`, complete by prefix filtering; ids are unique.
 
     In a common rare-first order of trigrams a pair that similar shares one of the first n - ceil(least n) + 1 of the larger and of the first n - ceil(2 least / (1 + least) n) + 1 of the smaller one, so only those meet, and
-    common trigrams, which stand last, hardly ever do. Rows bring their trigrams along as numbers: a pair is decided where its first common trigram meets, and no candidates are shuffled.
+    common trigrams, which stand last, hardly ever do. Rows bring their trigrams along as numbers and as a bitmap: a pair is decided where its first common trigram meets, and no candidates are shuffled.
     """
     grams = df.select(F.col(id_).alias("id"), trigrams(F.col(text)).alias("grams")).filter(F.size("grams") > 0)
     each = grams.select("id", F.explode("grams").alias("g"))
@@ -79,12 +83,16 @@ def similar_pairs(df: DataFrame, id_: str, text: str, least: float) -> DataFrame
     sign = lambda i: F.ascii(F.substring("g", i, 1)).cast("long")
     ranks = each.groupBy("g").agg(F.count("*").alias("n")).select("g", (F.col("n") * 2**21 + sign(1) * 2**14 + sign(2) * 2**7 + sign(3)).alias("r"))
     ordered = each.join(F.broadcast(ranks), "g").groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("o")).withColumn("n", F.size("o"))
+    # trigrams as a bitmap: each bit that two bitmaps differ in is a trigram at least that only one of them has, so that hardly any pair's trigrams must be compared themselves
+    bit = lambda r: F.pmod(F.xxhash64(r), F.lit(64 * WORDS))
+    word = lambda i: F.aggregate(F.filter("o", lambda r: F.floor(bit(r) / 64) == i), F.lit(0).cast("long"), lambda have, r: have.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (bit(r) % 64).cast("int"))))
+    ordered = ordered.withColumns({f"w{i}": word(i) for i in range(WORDS)})
     least = least - 1e-6  # what rounds up to it
 
     def begun(share: float, to: str) -> DataFrame:
         """Rows for each trigram of the prefix that a share of common trigrams needs."""
         prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * share).cast("int") + 1)
-        return spread(ordered.select(F.col("id").alias(f"{to}_id"), F.col("n").alias(f"{to}_n"), F.col("o").alias(f"{to}_o"), F.posexplode(prefix).alias(f"{to}_at", "g")), "g")
+        return spread(ordered.select(F.col("id").alias(f"{to}_id"), F.col("n").alias(f"{to}_n"), F.col("o").alias(f"{to}_o"), *[F.col(f"w{i}").alias(f"{to}_w{i}") for i in range(WORDS)], F.posexplode(prefix).alias(f"{to}_at", "g")), "g")
 
     x, y = begun(2 * least / (1 + least), "x"), begun(least, "y")
     col = F.col
@@ -92,10 +100,14 @@ def similar_pairs(df: DataFrame, id_: str, text: str, least: float) -> DataFrame
     # were this the first common trigram, so many could follow
     needed = (col("x_n") + col("y_n")) * (least / (1 + least))
     possible = (col("x_n") >= col("y_n") * least) & (F.least(col("x_n") - col("x_at"), col("y_n") - col("y_at")) >= needed)
-    met = x.join(y, "g").filter(smaller & possible).withColumn("c", F.array_intersect("x_o", "y_o"))
-    met = met.filter((F.get("c", F.lit(0)) == col("g")) & (F.size("c") >= needed))
-    out = met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), F.round(F.size("c") / (col("x_n") + col("y_n") - F.size("c")), 6).alias("similarity"))
-    return out.filter(col("similarity") >= least + 1e-6)
+    differing = sum((F.bit_count(col(f"x_w{i}").bitwiseXOR(col(f"y_w{i}"))) for i in range(1, WORDS)), F.bit_count(col("x_w0").bitwiseXOR(col("y_w0"))))
+    cheap = smaller & possible & (differing <= col("x_n") + col("y_n") - 2 * needed)
+    common = F.array_intersect("x_o", "y_o")
+    similarity = F.round(F.size(common) / (col("x_n") + col("y_n") - F.size(common)), 6)
+    # one condition: of several filters the last is asked first, and trigrams were compared before the cheap conditions
+    alike = F.when(cheap, (F.get(common, F.lit(0)) == col("g")) & (F.size(common) >= needed) & (similarity >= least + 1e-6)).otherwise(F.lit(False))
+    met = x.join(y, "g").filter(alike)
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), similarity.alias("similarity"))
 
 
 def one_candidate(probes: DataFrame, entities: DataFrame, keys: list[str], probe_id: str, entity_id: str) -> DataFrame:

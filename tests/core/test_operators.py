@@ -203,3 +203,19 @@ def test_pieces_of_texts_are_not_gathered_before_they_meet(spark):
     df = spark.createDataFrame([(f"title number {i} of many",) for i in range(50)], "w string")
     plan = identity.edit_pairs(df, "w", 4)._jdf.queryExecution().executedPlan().toString()
     assert "piece#" in plan and not re.search(r"HashAggregate\(keys=\[[^\]]*piece", plan)
+
+
+def test_similar_pairs_ask_bitmaps_before_trigrams(spark):
+    """Every pair of random titles is found, and trigrams are compared only where sizes, places and bitmaps leave it possible."""
+    import random
+
+    rnd = random.Random(5)
+    words = ["ring", "hot bolt", "ande", "the", "thon", "ereste", "onan", "hathe", "stonen", "a"]
+    texts = sorted({" ".join(rnd.choices(words, k=rnd.randrange(1, 14))) for _ in range(160)})
+    grams = {t: {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)} for t in texts}
+    want = {(a, b): round(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), 6) for a in texts for b in texts if a < b and round(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), 6) >= 0.6}
+    found = identity.similar_pairs(spark.createDataFrame([(t, t) for t in texts], "id string, text string"), "id", "text", 0.6)
+    assert {(r.a, r.b): r.similarity for r in found.collect()} == want and len(want) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join Inner") :].split("\n")[0]
+    assert "bit_count" in joined and joined.index("bit_count") < joined.index("array_intersect")
